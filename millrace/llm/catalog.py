@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from millrace.llm.bpe import op6_bpe
 from millrace.llm.langid import op8_language_id
 from millrace.llm.tokencount import op5_token_counts
+from millrace.llm.urlfilter import OP2_SQL, op2_url_filter
+from millrace.llm.warc import OP1_SQL, op1_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_token_counts, op6_bpe, op8_language_id)}
+    return {f.__name__: f for f in (op1_warc, op2_url_filter, op5_token_counts, op6_bpe, op8_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc": OP1_SQL, "op2_url_filter": OP2_SQL}
