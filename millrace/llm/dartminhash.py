@@ -34,10 +34,9 @@ ODD = U(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-        return x ^ (x >> U(31))
+    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -117,27 +116,28 @@ def sketch(of: np.ndarray, element: np.ndarray, weight: np.ndarray, texts: int,
         darts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         lo, width, slab = 0.0, 1.0, 0
         while len(o):
-            live, seed = np.arange(len(o)), mix(e + U((slab + 1) * int(ODD) % 2**64))
-            rank, i = np.zeros(len(o)), 0
+            live, seed, limit = o, mix(e + U((slab + 1) * int(ODD) % 2**64)), bound[o]
+            rank, i, share = np.zeros(len(o)), 0, np.minimum((x - lo) / width, 1.0)
             while len(live):
-                with np.errstate(over="ignore"):
-                    h = mix(seed[live] + U((2 * i + 1) * int(ODD) % 2**64))
+                h = mix(seed + U((2 * i + 1) * int(ODD) % 2**64))
                 rank = rank - np.log(unit(h)) / width
-                inside = rank <= bound[o[live]]
-                live, rank, h = live[inside], rank[inside], h[inside]
-                hit = lo + unit(mix(h ^ ODD)) * width < x[live]
-                darts.append((o[live][hit], rank[hit], mix(h)[hit]))
+                inside = rank <= limit
+                live, rank, h, seed, limit, share = live[inside], rank[inside], h[inside], seed[inside], limit[inside], share[inside]
+                if (share < 1).any():  # of slabs that are only in part the element's
+                    hit = unit(mix(h ^ ODD)) < share
+                    darts.append((live[hit], rank[hit], h[hit]))
+                else:
+                    darts.append((live, rank, h))
                 i += 1
             lo, width, slab = lo + width, max(1.0, lo + width), slab + 1
             more = x > lo
             o, e, x = o[more], e[more], x[more]
         t, r, h = (np.concatenate(c) for c in zip(*darts, strict=True))
-        cell = t * k + (h % U(k)).astype(np.int64)
-        order = np.lexsort((r, cell))
-        cell, h = cell[order], h[order]
-        first = np.concatenate([[True], cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, bool)
-        found = np.bincount(cell[first] // k, minlength=texts) == k
-        take = first & found[cell // k] & todo[cell // k]
+        cell = t * k + ((h & U(0xFFFFFFFF)) * U(k) >> U(32)).astype(np.int64)
+        least = np.full(texts * k, np.inf)
+        np.minimum.at(least, cell, r)
+        found = todo & np.isfinite(least.reshape(texts, k)).all(axis=1)
+        take = (r == least[cell]) & found[t]
         out.reshape(-1)[cell[take]] = h[take]
         todo &= ~found
         reach *= 2
