@@ -10,6 +10,7 @@ from millrace.llm.bpe import op6_bpe
 from millrace.llm.dartminhash import op3_near_duplicates
 from millrace.llm.decontam import op7_decontamination
 from millrace.llm.langid import op8_language_id
+from millrace.llm.quality import op10_quality
 from millrace.llm.secrets import op9_secrets
 from millrace.llm.tokencount import op5_token_counts
 from millrace.llm.urlfilter import OP2_SQL, op2_url_filter
@@ -17,7 +18,7 @@ from millrace.llm.warc import OP1_SQL, op1_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_url_filter, op3_near_duplicates, op5_token_counts, op6_bpe, op7_decontamination, op8_language_id, op9_secrets)}
+    return {f.__name__: f for f in (op1_warc, op2_url_filter, op3_near_duplicates, op5_token_counts, op6_bpe, op7_decontamination, op8_language_id, op9_secrets, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
