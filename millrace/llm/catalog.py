@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.llm.ann import op4_nearest
 from millrace.llm.bpe import op6_bpe
 from millrace.llm.dartminhash import op3_near_duplicates
 from millrace.llm.decontam import op7_decontamination
@@ -18,7 +19,7 @@ from millrace.llm.warc import OP1_SQL, op1_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_url_filter, op3_near_duplicates, op5_token_counts, op6_bpe, op7_decontamination, op8_language_id, op9_secrets, op10_quality)}
+    return {f.__name__: f for f in (op1_warc, op2_url_filter, op3_near_duplicates, op4_nearest, op5_token_counts, op6_bpe, op7_decontamination, op8_language_id, op9_secrets, op10_quality)}
 
 
 def oracle_sql() -> dict[str, str]:

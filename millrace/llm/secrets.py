@@ -135,27 +135,27 @@ def thresholds(found: DataFrame, share: float = FALSE_SHARE) -> dict[tuple[int,
     return out
 
 
-def scan(docs: DataFrame, text: str = "text", share: float = FALSE_SHARE) -> DataFrame:
-    """docs with a column `spans`: kind, start, end (code points, end exclusive) of each secret in the whole text, by start and kind.
+def scan(docs: DataFrame, text: str = "text", spans: str = "spans", share: float = FALSE_SHARE) -> DataFrame:
+    """docs with a column of spans (an array): kind, start, end (code points, end exclusive) of each secret in the whole text, by start and kind.
 
     Kinds are assign, access, hex and random; a random span is a token of 20 characters or more with a letter and a digit
     that passes the battery and overlaps no base span. Null and empty texts have none; every row gives one row, and an input
-    column named spans is replaced. Thresholds are of all of docs' tokens. The matches, not the texts, are written to the
+    column of that name is replaced. Thresholds are of all of docs' tokens. The matches, not the texts, are written to the
     shared folder unless docs has the text among its columns.
     """
     ws = Workspace(docs.sparkSession, "secrets")
-    found = ws.save(found_in(docs.drop("spans"), text), "found")
-    return with_spans(found, share).drop("__base", "__candidates")
+    found = ws.save(found_in(docs.drop(spans), text), "found")
+    return with_spans(found, share, spans).drop("__base", "__candidates")
 
 
-def with_spans(found: DataFrame, share: float) -> DataFrame:
+def with_spans(found: DataFrame, share: float, name: str = "spans") -> DataFrame:
     limit = thresholds(found, share)
     cases = " ".join(f"WHEN x.encoding = {e} AND x.length_class = {n} THEN x.p >= {p!r}D" for (e, n), p in sorted(limit.items()))
     ok = f"CASE {cases} ELSE false END" if cases else "false"
     added = f"transform(filter(__candidates, x -> {ok} AND NOT exists(__base, b -> b.start < x.end AND x.start < b.end)), x -> struct({len(KINDS) - 1} AS kind, x.start AS start, x.end AS end))"
     ordered = f"array_sort(transform(concat(__base, {added}), x -> struct(x.start AS start, x.kind AS kind, x.end AS end)))"
     names = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
-    return found.withColumn("spans", F.expr(f"transform({ordered}, x -> struct({names}[x.kind] AS kind, x.start AS start, x.end AS end))"))
+    return found.withColumn(name, F.expr(f"transform({ordered}, x -> struct({names}[x.kind] AS kind, x.start AS start, x.end AS end))"))
 
 
 def written(spans: Column) -> Column:
