@@ -49,6 +49,8 @@ class Lists:
     def search(self, q: np.ndarray, most: int) -> list[int]:
         """Best-first search of the graph for the `most` nearest centroids, cut where the distance exceeds the ratio."""
         n = len(self.centroids)
+        if not n:
+            return []
         width = min(n, 2 * most + DEGREE)
         entries = np.unique(np.linspace(0, n - 1, min(n, DEGREE)).astype(int))
         seen = np.zeros(n, bool)
@@ -84,7 +86,7 @@ def fit(x: np.ndarray, lists: int, rounds: int = 12, seed: int = 11) -> Lists:
     c = x[np.random.default_rng(seed).permutation(len(x))[:lists]].copy()
     lists, prices = len(c), np.zeros(len(c))
     scale = float(squared(x[:256], c).min(axis=1).mean()) if lists else 0.0
-    for _ in range(rounds):
+    for _ in range(rounds if lists else 0):
         at = (squared(x, c) + prices).argmin(axis=1)
         n = np.bincount(at, minlength=lists)
         total = np.zeros_like(c)
