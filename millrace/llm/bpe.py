@@ -19,8 +19,8 @@ from pyspark.sql import types as T
 
 from millrace.llm._base import by_bytes, one_thread, raw_texts, rows_of, table
 
-#: Distinct fragments that a Python worker keeps; then it starts anew.
-KEPT_FRAGMENTS = 300_000
+#: Distinct fragments that a task keeps; then it starts anew.
+KEPT_FRAGMENTS = 120_000
 _models: dict[str, FragmentCoder] = {}
 
 
@@ -105,15 +105,15 @@ def coder(model: str) -> FragmentCoder:
     return _models[key]
 
 
-def encode(df: DataFrame, model: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """df with the token ids (array of int) of each whole text in a column `ids`.
+def encode(df: DataFrame, model: str, text: str = "text", ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
+    """df (or its columns in `keep`) with the token ids (array of int) of each whole text in a column `ids`.
 
     model: the text of a byte-level vocabulary's JSON file (a few MB: sent to the executors). Null and empty texts get an
     empty array; texts of any length are encoded whole; every input row gives one row, repeated rows and null keys too.
     An input column named as `ids` is replaced. No shuffle.
     """
     sent = df.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([f for f in df.schema.fields if f.name != ids] + [T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([f for f in df.schema.fields if f.name != ids and (keep is None or f.name in keep)] + [T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(sent.value)
@@ -123,6 +123,7 @@ def encode(df: DataFrame, model: str, text: str = "text", ids: str = "ids") -> D
             at = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
             out = pa.ListArray.from_arrays(pa.array(at), pa.array(flat, pa.int32()))
             yield pa.RecordBatch.from_arrays([out if f.name == ids else b.column(f.name) for f in schema.fields], names=schema.names)
+        c.cache.clear()
 
     return df.mapInArrow(run, schema)
 
@@ -154,7 +155,7 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 def digests(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of docs."""
-    ids = encode(rows_of(docs, doc_id=key, text=text), model).select("doc_id", "ids")
+    ids = encode(rows_of(docs, doc_id=key, text=text), model, keep=["doc_id"])
     return decode(ids, model).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

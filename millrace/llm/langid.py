@@ -20,8 +20,8 @@ from millrace.llm._base import by_bytes, raw_texts, rows_of, table
 #: Labelled rows that the model is fitted on, at most, and bytes that such a text has at most.
 SAMPLE_ROWS, SAMPLE_BYTES = 2000, 1 << 16
 LONGEST = 5
-#: Words that a Python worker keeps with their scores; then it starts anew.
-KEPT_WORDS = 200_000
+#: Words that a task keeps with their scores; then it starts anew.
+KEPT_WORDS = 100_000
 WORD = re.compile(r"[^\W\d_]+")
 
 

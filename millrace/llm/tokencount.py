@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 from millrace.llm._base import by_bytes, one_thread, raw_texts, rows_of, table
 
-#: Distinct fragments that a Python worker keeps; then it starts anew.
-KEPT_FRAGMENTS = 300_000
+#: Distinct fragments that a task keeps; then it starts anew.
+KEPT_FRAGMENTS = 200_000
 _models: dict[str, LengthCoder] = {}
 
 
@@ -54,7 +54,7 @@ def coder(model: str) -> LengthCoder:
 def count_tokens(df: DataFrame, model: str, text: str = "text", counted: str = "n_tokens") -> DataFrame:
     """df with the number of tokens of each whole text in a column `counted`, without begin, end or other added tokens.
 
-    Batches hold about 4 MB of text each, so a very long text is alone in its batch. Null and empty texts count 0; every
+    Batches hold about 1 MB of text each, so a very long text is alone in its batch. Null and empty texts count 0; every
     input row gives one row. An input column named as `counted` is replaced. No shuffle.
     """
     sent = df.sparkSession.sparkContext.broadcast(model)
@@ -65,6 +65,7 @@ def count_tokens(df: DataFrame, model: str, text: str = "text", counted: str = "
         for b in by_bytes(batches, text):
             n = pa.array(c.counts(raw_texts(b.column(text))), pa.int64())
             yield pa.RecordBatch.from_arrays([n if f.name == counted else b.column(f.name) for f in schema.fields], names=schema.names)
+        c.cache.clear()
 
     return df.mapInArrow(run, schema)
 
