@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -61,6 +63,7 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20
             held += x
         if start < batch.num_rows:
             yield batch.slice(start)
+    give_back()
 
 
 def raw_texts(column: pa.Array) -> list[bytes]:
@@ -75,6 +78,13 @@ def raw_texts(column: pa.Array) -> list[bytes]:
     return out
 
 
+def give_back() -> None:
+    """At a task's end: memory that the allocators hold goes back to the system, since Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def one_thread() -> None:
     """Executors have as many tasks as cores: the tokenizers library starts no threads of its own."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

@@ -105,15 +105,17 @@ def coder(model: str) -> FragmentCoder:
     return _models[key]
 
 
-def encode(df: DataFrame, model: str, text: str = "text", ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
+def encode(df: DataFrame, model: str, text: str = "text", ids: str = "ids", decoded: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """df (or its columns in `keep`) with the token ids (array of int) of each whole text in a column `ids`.
 
-    model: the text of a byte-level vocabulary's JSON file (a few MB: sent to the executors). Null and empty texts get an
-    empty array; texts of any length are encoded whole; every input row gives one row, repeated rows and null keys too.
-    An input column named as `ids` is replaced. No shuffle.
+    With `decoded`, a column of that name has the text of those ids again. model: the text of a byte-level vocabulary's JSON
+    file (a few MB: sent to the executors). Null and empty texts get an empty array; texts of any length are encoded whole;
+    every input row gives one row, repeated rows and null keys too. Input columns named as the new ones are replaced. No
+    shuffle.
     """
     sent = df.sparkSession.sparkContext.broadcast(model)
-    schema = T.StructType([f for f in df.schema.fields if f.name != ids and (keep is None or f.name in keep)] + [T.StructField(ids, T.ArrayType(T.IntegerType()))])
+    new = [T.StructField(ids, T.ArrayType(T.IntegerType())), *([T.StructField(decoded, T.StringType())] if decoded else [])]
+    schema = T.StructType([f for f in df.schema.fields if f.name not in (ids, decoded) and (keep is None or f.name in keep)] + new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = coder(sent.value)
@@ -121,8 +123,10 @@ def encode(df: DataFrame, model: str, text: str = "text", ids: str = "ids", keep
             arrays = c.encode(raw_texts(b.column(text)))
             flat = np.concatenate(arrays) if arrays else np.zeros(0, np.int32)
             at = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
-            out = pa.ListArray.from_arrays(pa.array(at), pa.array(flat, pa.int32()))
-            yield pa.RecordBatch.from_arrays([out if f.name == ids else b.column(f.name) for f in schema.fields], names=schema.names)
+            made = {ids: pa.ListArray.from_arrays(pa.array(at), pa.array(flat, pa.int32()))}
+            if decoded:
+                made[decoded] = pa.array([c.decode(a) for a in arrays], pa.string())
+            yield pa.RecordBatch.from_arrays([made[f.name] if f.name in made else b.column(f.name) for f in schema.fields], names=schema.names)
         c.cache.clear()
 
     return df.mapInArrow(run, schema)
@@ -155,8 +159,7 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 def digests(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of docs."""
-    ids = encode(rows_of(docs, doc_id=key, text=text), model, keep=["doc_id"])
-    return decode(ids, model).select(
+    return encode(rows_of(docs, doc_id=key, text=text), model, decoded="decoded", keep=["doc_id"]).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
