@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm._base import by_bytes, one_thread, raw_texts, rows_of, table
+from millrace.llm._base import by_bytes, give_back, one_thread, raw_texts, rows_of, table
 
 #: Distinct fragments that a task keeps; then it starts anew.
 KEPT_FRAGMENTS = 120_000
@@ -128,6 +128,7 @@ def encode(df: DataFrame, model: str, text: str = "text", ids: str = "ids", deco
                 made[decoded] = pa.array([c.decode(a) for a in arrays], pa.string())
             yield pa.RecordBatch.from_arrays([made[f.name] if f.name in made else b.column(f.name) for f in schema.fields], names=schema.names)
         c.cache.clear()
+        give_back()
 
     return df.mapInArrow(run, schema)
 

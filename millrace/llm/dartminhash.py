@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm._base import Workspace, by_bytes, raw_texts, rows_of, table
+from millrace.llm._base import Workspace, by_bytes, give_back, raw_texts, rows_of, table
 from millrace.llm._graph import components
 
 WORDS, SIMILARITY = 5, 0.8
 #: A pair at the threshold shares no band with a probability of (1 - 0.8**ROWS)**BANDS = 8e-6.
 BANDS, ROWS = 50, 7
-#: Elements of one block of a group whose members are compared with each other.
-BLOCK_ELEMENTS = 1 << 20
+#: Elements, and members, of one block of a group whose members are compared with each other, on average.
+BLOCK_ELEMENTS, BLOCK_MEMBERS = 1 << 19, 1 << 10
 
 U = np.uint64
 ODD = U(0x9E3779B97F4A7C15)
@@ -186,21 +186,24 @@ def elements(docs: DataFrame) -> DataFrame:
 def links_in_block(ids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], side: np.ndarray, least: float) -> list[tuple[int, int]]:
     """Links between texts of a and of b sides (bits 1 and 2 of side) of different components: those that join components, at most one a text."""
     flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-    n = np.array([len(s) for s in sets])
+    n = np.array([len(s) for s in sets], np.float32)
     _, column = np.unique(flat, return_inverse=True)
-    row = np.repeat(np.arange(len(sets)), n)
+    row = np.repeat(np.arange(len(sets)), n.astype(int))
     a, b = np.flatnonzero(side & 1), np.flatnonzero(side & 2)
     common, cols = np.zeros((len(a), len(b)), np.float32), (column.max() + 1) if len(column) else 0
     order = np.argsort(column, kind="stable")
     column, row = column[order], row[order]
-    step = max(256, (16 << 20) // max(1, len(sets)) // 4)
+    step = max(64, (8 << 20) // max(1, len(sets)) // 4)
     for c in range(0, cols, step):
         i, j = np.searchsorted(column, [c, c + step])
         x = np.zeros((len(sets), step), np.float32)
         x[row[i:j], column[i:j] - c] = 1
         common += x[a] @ x[b].T
-    both = n[a][:, None] + n[b][None, :] - common
-    ok = (common >= least * both - 1e-4) & (common > 0) & (roots[a][:, None] != roots[b][None, :])
+    pairs = []
+    for i in range(0, len(a), 128):
+        part = common[i : i + 128]
+        ok = (part >= least * (n[a[i : i + 128]][:, None] + n[b][None, :] - part) - 1e-4) & (part > 0) & (roots[a[i : i + 128]][:, None] != roots[b][None, :])
+        pairs += [(a[i + x], b[y]) for x, y in zip(*np.nonzero(ok), strict=True)]
     parent = {int(r): int(r) for r in roots}
 
     def find(x: int) -> int:
@@ -209,11 +212,11 @@ def links_in_block(ids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], s
         return x
 
     out = []
-    for i, j in zip(*np.nonzero(ok), strict=True):
-        u, v = find(int(roots[a[i]])), find(int(roots[b[j]]))
+    for i, j in pairs:
+        u, v = find(int(roots[i])), find(int(roots[j]))
         if u != v:
             parent[max(u, v)] = min(u, v)
-            out.append((int(ids[a[i]]), int(ids[b[j]])))
+            out.append((int(ids[i]), int(ids[j])))
     return out
 
 
@@ -272,7 +275,7 @@ def unresolved(tried: DataFrame, roots: DataFrame) -> DataFrame:
     m = tried.join(node.select(F.col("node").alias("doc"), "root"), "doc", "left").join(node.select(F.col("node").alias("leader"), F.col("root").alias("top")), "leader", "left")
     m = m.select("leader", "doc", "n", F.coalesce("root", "doc").alias("root"), F.coalesce("top", "leader").alias("top")).withColumn("apart", F.col("root") != F.col("top"))
     open_ = m.groupBy("leader").agg(F.count(F.lit(1)).alias("members"), F.sum(F.col("apart").cast("long")).alias("apart_n"), F.sum("n").alias("size")).where("members > 1 AND apart_n > 0")
-    return m.join(open_.select("leader", "size", "apart_n"), "leader").select("leader", "doc", "root", "apart", F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK_ELEMENTS)).alias("blocks"))
+    return m.join(open_.select("leader", "size", "members"), "leader").select("leader", "doc", "root", "apart", F.greatest(F.ceil(F.col("size") / BLOCK_ELEMENTS), F.ceil(F.col("members") / BLOCK_MEMBERS)).alias("blocks"))
 
 
 def apart_links(apart: DataFrame, sets: DataFrame, ws: Workspace, least: float) -> DataFrame:
@@ -288,6 +291,7 @@ def apart_links(apart: DataFrame, sets: DataFrame, ws: Workspace, least: float)
         import pandas as pd
 
         found = links_in_block(pdf["doc"].to_numpy(), pdf["root"].to_numpy(), list(pdf["elements"]), pdf["side"].to_numpy(), least)
+        give_back()
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return put.groupBy("leader", "i", "j").applyInPandas(run, "a long, b long")
