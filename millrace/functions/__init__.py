@@ -1 +1 @@
-"""functions"""
+"""Column functions: text predicates, extractors, normalisers, token arrays."""

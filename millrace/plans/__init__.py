@@ -1 +1 @@
-"""plans"""
+"""Multi-step plans, and the queries over the test tables."""

@@ -1 +1 @@
-"""sources"""
+"""Reading and writing tables, records, manifests and metrics."""

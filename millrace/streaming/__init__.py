@@ -1 +1 @@
-"""streaming"""
+"""State that is carried over micro-batches."""

@@ -7,17 +7,18 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 
+SESSION = (
+    SparkSession.builder.master("local[4]")
+    .config("spark.driver.memory", "4g")
+    .config("spark.sql.shuffle.partitions", "4")
+    .config("spark.sql.session.timeZone", "UTC")
+    .config("spark.ui.enabled", "false")
+    .config("spark.ui.showConsoleProgress", "false")
+    .getOrCreate()
+)
+SESSION.sparkContext.setLogLevel("OFF")
+
+
 @pytest.fixture(scope="session")
 def spark():
-    s = (
-        SparkSession.builder.master("local[4]")
-        .config("spark.driver.memory", "4g")
-        .config("spark.sql.shuffle.partitions", "4")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
-    )
-    s.sparkContext.setLogLevel("OFF")
-    yield s
-    s.stop()
+    return SESSION
