@@ -7,12 +7,13 @@ import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,13 +52,22 @@ def rows_of(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])
 
 
-def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about `most` bytes of a string column (one row at least)."""
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """df.mapInArrow, with Arrow batches of a few MB: the session's limit is lowered where it is Spark's own (64 MB), since JVM
+    and Python each hold a batch for every task."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("67108864b", "67108864", "64MB"):
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4MB")
+    return df.mapInArrow(run, schema)
+
+
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about `most` bytes of a string column, and `rows` rows at most (one row at least)."""
     for batch in batches:
         n = pc.binary_length(batch.column(column).cast(pa.large_binary())).fill_null(0).to_numpy(zero_copy_only=False)
         start = held = 0
         for i, x in enumerate(n.tolist()):
-            if held and held + x > most:
+            if i > start and (held + x > most or i - start == rows):
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += x

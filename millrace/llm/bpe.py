@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm._base import by_bytes, give_back, one_thread, raw_texts, rows_of, table
+from millrace.llm._base import by_bytes, give_back, mapped, one_thread, raw_texts, rows_of, table
 
 #: Distinct fragments that a task keeps; then it starts anew.
 KEPT_FRAGMENTS = 120_000
@@ -130,7 +130,7 @@ def encode(df: DataFrame, model: str, text: str = "text", ids: str = "ids", deco
         c.cache.clear()
         give_back()
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def decode(df: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -148,7 +148,7 @@ def decode(df: DataFrame, model: str, ids: str = "ids", text: str = "decoded") -
                 out = pa.array([c.decode(flat[i:j]) for i, j in zip(at, at[1:], strict=False)], pa.string())
                 yield pa.RecordBatch.from_arrays([out if f.name == text else b.column(f.name) for f in schema.fields], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm._base import Workspace, by_bytes, give_back, raw_texts, rows_of, table
+from millrace.llm._base import Workspace, by_bytes, give_back, mapped, raw_texts, rows_of, table
 from millrace.llm._graph import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -157,21 +157,21 @@ def signed(docs: DataFrame) -> DataFrame:
     """doc_id, whole (a hash of the word sequence, null without words), weight (number of shingles) and bands of doc_id, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_bytes(batches, "text", 1 << 20):
+        for b in by_bytes(batches, "text", rows=128):
             of, h, n, whole = shingles(raw_texts(b.column("text")))
             bs = bands(sketch(of, h, n, b.num_rows, BANDS * ROWS)).view(np.int64)
             some, w = whole != 0, np.bincount(of, n, b.num_rows).astype(np.int64)
             at = np.arange(b.num_rows + 1, dtype=np.int32) * BANDS
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(whole.view(np.int64), mask=~some), pa.array(w), pa.ListArray.from_arrays(pa.array(at), pa.array(bs.reshape(-1)))], names=["doc_id", "whole", "weight", "bands"])
 
-    return docs.mapInArrow(run, T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("whole long, weight long, bands array<long>").fields]))
+    return mapped(docs, run, T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("whole long, weight long, bands array<long>").fields]))
 
 
 def elements(docs: DataFrame) -> DataFrame:
     """doc_id and elements: the c-th occurrence of each shingle as a hash of its own, so that overlaps of these sets are overlaps of the weighted ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in by_bytes(batches, "text", 1 << 20):
+        for b in by_bytes(batches, "text"):
             of, h, n, _ = shingles(raw_texts(b.column("text")))
             each = np.repeat(h, n)
             nth = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
@@ -180,7 +180,7 @@ def elements(docs: DataFrame) -> DataFrame:
             at = np.concatenate([[0], np.cumsum(np.bincount(of, n, b.num_rows).astype(np.int64))]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(at), pa.array(each))], names=["doc_id", "elements"])
 
-    return docs.mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("elements", T.ArrayType(T.LongType()))]))
+    return mapped(docs, run, T.StructType([docs.schema["doc_id"], T.StructField("elements", T.ArrayType(T.LongType()))]))
 
 
 def links_in_block(ids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], side: np.ndarray, least: float) -> list[tuple[int, int]]:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm._base import by_bytes, raw_texts, rows_of, table
+from millrace.llm._base import by_bytes, mapped, raw_texts, rows_of, table
 
 #: Labelled rows that the model is fitted on, at most, and bytes that such a text has at most.
 SAMPLE_ROWS, SAMPLE_BYTES = 2000, 1 << 16
@@ -146,7 +146,7 @@ def identify(df: DataFrame, model: Model, text: str = "text", pred: str = "lang_
             new = {pred: pa.array([x[0] for x in out], pa.string()), score: pa.array([x[1] for x in out], pa.float64())}
             yield pa.RecordBatch.from_arrays([new[f.name] if f.name in new else b.column(f.name) for f in schema.fields], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def held_out(key: str = "doc_id") -> Column:

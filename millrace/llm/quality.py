@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm._base import by_bytes, raw_texts, rows_of, table
+from millrace.llm._base import by_bytes, mapped, raw_texts, rows_of, table
 
 #: Labelled documents of each label that the network learns from, at most, and bytes that such a text has at most.
 SAMPLE_EACH, SAMPLE_BYTES = 600, 1 << 15
@@ -146,7 +146,7 @@ def classify(df: DataFrame, network: Network, text: str = "text", score: str = "
             s = pa.array([net.score(r) for r in raw_texts(b.column(text))], pa.float64())
             yield pa.RecordBatch.from_arrays([s if f.name == score else b.column(f.name) for f in schema.fields], names=schema.names)
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def held_out(key: str = "doc_id") -> Column:

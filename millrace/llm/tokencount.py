@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm._base import by_bytes, one_thread, raw_texts, rows_of, table
+from millrace.llm._base import by_bytes, mapped, one_thread, raw_texts, rows_of, table
 
 #: Distinct fragments that a task keeps; then it starts anew.
 KEPT_FRAGMENTS = 200_000
@@ -67,7 +67,7 @@ def count_tokens(df: DataFrame, model: str, text: str = "text", counted: str = "
             yield pa.RecordBatch.from_arrays([n if f.name == counted else b.column(f.name) for f in schema.fields], names=schema.names)
         c.cache.clear()
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def token_report(docs: DataFrame, model: str, limit: int = 2048, key: str = "doc_id", text: str = "text") -> DataFrame:
