@@ -411,3 +411,16 @@ def last_user_turn(messages: Column) -> Column:
 
 def head_and_tail(text: Column, most: int = 400, keep: int = 200) -> Column:
     return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(keep)), F.lit("..."), F.right(text, F.lit(keep)))).otherwise(text)
+
+
+def middle_cut(text: Column, most: int = 300) -> Column:
+    """Texts over `most` characters as their two halves of that length around a note."""
+    half = most // 2
+    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(half)), F.lit("...(truncated) ..."), F.right(text, F.lit(half)))).otherwise(text)
+
+
+def regex_runs(text: Column) -> Column:
+    """Array of struct(unit, times) of consecutive repeats as a greedy back-reference finds them, left to right (short texts:
+    its cost grows with a power of the length)."""
+    pattern = r"(.+)\1+"
+    return F.zip_with(found(text, pattern, 1), found(text, pattern, 0), lambda u, w: F.struct(u.alias("unit"), F.floor(F.length(w) / F.length(u)).cast("int").alias("times")))

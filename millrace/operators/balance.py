@@ -48,7 +48,7 @@ def greedy(lengths: list[int], parts: int) -> list[list[int]]:
     return out
 
 
-def balanced(df: DataFrame, batch: str, length: str, row: str, parts: int, equal_size: bool = False) -> DataFrame:
+def balanced(df: DataFrame, batch: str, length: str, row: str, parts: int, equal_size: bool = False, method: str = "differencing") -> DataFrame:
     """df with part_id, each batch (the rows of one training step, which fit one task) balanced over `parts` parts. Batches
     are dealt over the cluster; nothing comes to the driver."""
     ids = df.select(batch, row, length)
@@ -56,7 +56,8 @@ def balanced(df: DataFrame, batch: str, length: str, row: str, parts: int, equal
     def deal(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(row).reset_index(drop=True)
         part = [0] * len(pdf)
-        found = differencing(pdf[length].tolist(), min(parts, len(pdf)), equal_size)
+        k = min(parts, len(pdf))
+        found = differencing(pdf[length].tolist(), k, equal_size) if method == "differencing" else greedy(pdf[length].tolist(), k)
         for k, idx in enumerate(sorted(found)):
             for i in idx:
                 part[i] = k

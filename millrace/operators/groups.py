@@ -44,7 +44,11 @@ def outcome_ratios(df: DataFrame, group: str, metric: str) -> DataFrame:
     return g.agg(share((sd == 0) & (s > 0)).alias("all_true"), share((sd == 0) & (s == 0)).alias("all_false"), share(sd > 0).alias("mixed"))
 
 
-def prefix_accuracy(df: DataFrame, prefixes: list[str], source: str, reward: str) -> DataFrame:
+#: Data sets that accuracies are reported for, by a part of their source's name; the first that fits counts (fixed values).
+DATA_SETS = ["MATH", "LiveMathBench", "AIME_2024", "AIME_2025", "amc_2023"]
+
+
+def prefix_accuracy(df: DataFrame, source: str, reward: str, prefixes: list[str] = DATA_SETS) -> DataFrame:
     """prefix, true_num, total_num, accuracy by the first prefix that a source holds; sources with none are dropped, prefixes
     without rows are 0."""
     hit = F.lit(None).cast("string")

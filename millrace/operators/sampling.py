@@ -65,6 +65,13 @@ def sorted_sample(df: DataFrame, text: str, row: str, n: int, seed: int = 42) ->
     return at_most(df, n, row, seed)
 
 
+def wide_sample(df: DataFrame, step: int, columns: list[str], row: str, n: int, seed: int = 42) -> DataFrame:
+    """One row: step, and the columns of n sampled rows side by side (column_1 ... column_n)."""
+    picked = at_most(df, n, row, seed).withColumn("__h", dice(F.col(row), seed))
+    rows = picked.agg(F.array_sort(F.collect_list(F.struct("__h", row, *[c for c in columns if c != row]))).alias("r"))  # n rows
+    return rows.select(F.lit(step).cast("long").alias("step"), *[F.get("r", F.lit(i))[c].alias(f"{c}_{i + 1}") for i in range(n) for c in columns])
+
+
 def shuffled_epoch(df: DataFrame, row: str, batch: int, seed: int = 1) -> DataFrame:
     """df in hash order, with position and batch; the rows of a last, short batch are dropped."""
     from millrace.operators.batch import numbered

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import advantage, balance, batch, groups, sampling
+from millrace.operators import advantage, balance, batch, dispatch, groups, sampling
 from millrace.plans.fixtures import RESP, SEQ, TOK, TRAJ, query, responses, sequences, tokens, trajectories
 from millrace.sources import files
 from millrace.sources.tables import table
@@ -261,7 +261,7 @@ PREFIXES = ["1-URG", "2-HI", "MEDIUM", "absent", "5-"]
 h AS (SELECT traj.*, (SELECT min(k) FROM p WHERE contains(source, prefix)) AS k FROM traj)
 SELECT prefix, coalesce(sum(reward), 0.0::DOUBLE) AS true_num, count(reward) AS total_num, coalesce(sum(reward), 0.0::DOUBLE) / greatest(count(reward), 1) AS accuracy FROM p LEFT JOIN h USING (k) GROUP BY prefix""")
 def prefix_accuracy(spark, sf):
-    return groups.prefix_accuracy(trajectories(spark, sf), PREFIXES, "source", "reward")
+    return groups.prefix_accuracy(trajectories(spark, sf), "source", "reward", PREFIXES)
 
 
 @query(f"WITH {TRAJ}, g AS (SELECT source, avg(reward) AS mean FROM traj GROUP BY source) SELECT source, round(mean, 9) AS mean FROM g UNION ALL SELECT 'all', round(avg(mean), 9) FROM g")
@@ -378,6 +378,28 @@ def kk_partition(spark, sf):
     return balance.balanced(d, "batch", "n_chars", "doc_id", 8)
 
 
+@query()
+def greedy_partition(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.floor(F.col("doc_id") / 100).alias("batch"), "n_chars")
+    return balance.balanced(d, "batch", "n_chars", "doc_id", 8, method="greedy")
+
+
+@query(f"WITH {TRAJ} SELECT part, count(*) AS n, round(sum(reward), 9) AS reward FROM (SELECT *, uid % 5 AS part FROM traj) GROUP BY part")
+def shard_function(spark, sf):
+    def sums(batches):
+        for b in batches:
+            yield b.groupby("part", as_index=False).agg(n=("reward", "size"), reward=("reward", "sum"))
+
+    t = trajectories(spark, sf).select((F.col("uid") % 5).alias("part"), "reward")
+    return dispatch.on_shards(t, sums, "part long, n long, reward double", 4, "part").groupBy("part").agg(F.sum("n").alias("n"), F.round(F.sum("reward"), 9).alias("reward"))
+
+
+@query("WITH k AS (SELECT doc_id, source, row_number() OVER (ORDER BY md5(concat(doc_id, ':42')), doc_id) AS k FROM documents) SELECT CAST(7 AS BIGINT) AS step, " + ", ".join(f"max(CASE WHEN k = {i} THEN doc_id END) AS row_id_{i}, max(CASE WHEN k = {i} THEN source END) AS source_{i}" for i in (1, 2, 3)) + " FROM k")
+def val_table_wide(spark, sf):
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("row_id"), "source")
+    return sampling.wide_sample(d, 7, ["row_id", "source"], "row_id", 3)
+
+
 @query()
 def micro_batches(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.floor(F.col("doc_id") / 100).alias("batch"), "n_chars")

@@ -427,6 +427,33 @@ def message_parts(spark, sf):
     return c.select("conv_id", text.message_text(F.col("m")).alias("text"), text.last_user_turn(F.col("m")).alias("last_user"))
 
 
+@query("SELECT doc_id, CASE WHEN length(text) > 300 THEN concat(text[:150], '...(truncated) ...', text[-150:]) ELSE text END AS short FROM documents")
+def middle_cut(spark, sf):
+    return docs(spark, sf).select("doc_id", text.middle_cut(F.col("text")).alias("short"))
+
+
+@query()
+def regex_runs(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", text.regex_runs(F.concat(F.repeat("p_brand", F.lit(2)), "p_name")).alias("runs"))
+
+
+@query(f"WITH {RESP} SELECT row_id, CASE WHEN regexp_extract(predict, '```[^\n]*\n(.+?)```', 1, 's') <> '' THEN regexp_extract(predict, '```[^\n]*\n(.+?)```', 1, 's') WHEN regexp_extract(predict, '`([^`]+)`', 1, 's') <> '' THEN regexp_extract(predict, '`([^`]+)`', 1, 's') ELSE predict END AS code FROM resp")
+def code_of(spark, sf):
+    return responses(spark, sf).select("row_id", text.code_of(F.col("predict")).alias("code"))
+
+
+@query(f"WITH {RESP} SELECT row_id, greatest(0, 300 - length(predict)) AS \"left\", md5(CASE WHEN length(predict) >= 300 THEN concat(predict, ' stop') ELSE predict END) AS h FROM resp")
+def early_stop(spark, sf):
+    r = responses(spark, sf).select("row_id", F.col("predict").alias("response"), F.length("predict").cast("long").alias("n_tokens"))
+    return rollout.with_early_stop(r, 300, " stop").select("row_id", "left", F.md5("response").alias("h"))
+
+
+@query(f"WITH {RESP}, w AS (SELECT row_id, string_split(predict, ' ') AS t FROM resp WHERE passes = 0) SELECT row_id, CAST(i AS INT) AS attempt, t[: greatest(0, len(t) - i * 3)] AS tokens FROM w, range(1, 3) r(i)")
+def retry_backtrack(spark, sf):
+    r = responses(spark, sf).select("row_id", (F.col("passes") == 0).alias("failed"), F.split("predict", " ").alias("tokens"))
+    return rollout.retries(r, "failed", 2, 3).select("row_id", "attempt", "tokens")
+
+
 @query()
 def tool_loop(spark, sf):
     """Generations by round from the responses: code in the first, the answer in the second; given results."""
