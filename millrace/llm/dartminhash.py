@@ -225,8 +225,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
 
     Two texts are linked if the weighted Jaccard similarity of their five-word shingles is `least` or more; classes are the
     connected components. Words are runs without white space. Null and empty texts and texts without words are classes of
-    their own. Rows with a null doc_id give no row; of a repeated doc_id all rows' texts count, and it is in one class.
-    Keys are integers.
+    their own. Rows with a null doc_id give no row. A repeated doc_id is in one class: that of all exact copies of its texts,
+    and of near copies of one of them (the one whose shingle hashes come first). Keys are integers.
 
     Exact copies are put together first. The members of a band's bucket are then compared with its most central member, the
     one whose bands lie in the largest buckets; a copy group of any size takes one comparison a member. Members that this
@@ -247,7 +247,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     needed = groups.select(F.col("leader").alias("doc_id")).union(groups.select("doc")).distinct()
     if needed.count() <= 1_000_000:  # 8 MB of ids
         needed = F.broadcast(needed)
-    sets = ws.save(elements(d.join(needed, "doc_id", "left_semi")).dropDuplicates(["doc_id"]), "sets")
+    sets = ws.save(elements(d.join(needed, "doc_id", "left_semi")).groupBy("doc_id").agg(F.min("elements").alias("elements")), "sets")
     one, other = sets.select(F.col("doc_id").alias("leader"), F.col("elements").alias("x")), sets.select(F.col("doc_id").alias("doc"), F.col("elements").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     tried = ws.save(groups.join(other, "doc").join(one, "leader").select("leader", "doc", F.size("y").alias("n"), (common / (F.size("x") + F.size("y") - common) >= least - 1e-12).alias("linked")), "tried")
