@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import advantage, balance, batch, dispatch, groups, sampling
 from millrace.plans.fixtures import RESP, SEQ, TOK, TRAJ, query, responses, sequences, tokens, trajectories
 from millrace.sources import files
-from millrace.sources.tables import table
+from millrace.sources.tables import shared_folder, table
 from millrace.streaming import carry
 
 N = "(SELECT count(*) FROM traj)"
@@ -447,6 +449,57 @@ def response_lists(spark, sf):
     return r.select("uid", F.col("x.truth").alias("responses"))
 
 
+def fresh(spark, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/files/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer")
+def json_array_roundtrip(spark, sf):
+    path = fresh(spark, "array")
+    files.write_json_array(table(spark, sf, "customer").select("c_custkey", "c_name", "c_acctbal"), path)
+    return files.read_json_array(spark, path, "c_custkey long, c_name string, c_acctbal double")
+
+
+@query("SELECT c_custkey, c_name FROM customer UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey < 10")
+def json_lines_append(spark, sf):
+    path, c = fresh(spark, "lines"), table(spark, sf, "customer").select("c_custkey", "c_name")
+    files.append_json_lines(c, path)
+    files.append_json_lines(c.where("c_custkey < 10"), path)
+    return files.read_json_lines(spark, path, "c_custkey long, c_name string")
+
+
+@query(f"WITH {SEQ} SELECT CASE WHEN row_id % 2 = 0 THEN 'train' ELSE 'val' END AS split, row_id % 3 AS step, concat('p', row_id) AS prompt, coalesce(list_filter(rs, lambda x: x <> 0)[-1], 0.0::DOUBLE) AS reward FROM seq")
+def sample_dump(spark, sf):
+    path, k = fresh(spark, "samples"), F.col("row_id")
+    s = sequences(spark, sf).select(F.when(k % 2 == 0, "train").otherwise("val").alias("split"), (k % 3).alias("step"), F.concat(F.lit("p"), k).alias("prompt"), F.lit("r").alias("response"), F.col("rs").alias("token_level_scores"), F.lit("x").alias("source"))
+    files.write_samples(s, path)
+    return spark.read.schema("prompt string, reward double, split string, step long").json(path).select("split", "step", "prompt", "reward")
+
+
+@query(f"WITH {RESP}, s AS (SELECT uid, max(CASE WHEN truth = '7' THEN 1 ELSE 0 END) AS best FROM resp GROUP BY uid) SELECT round(avg(CAST(best AS DOUBLE)), 9) AS pass_at_k, count(*) AS prompts FROM s")
+def offline_evaluation(spark, sf):
+    """Responses in lists, written as Parquet, read again and scored."""
+    path = fresh(spark, "responses")
+    files.write_responses(responses(spark, sf), path, "uid", "truth", "row_id")
+    scored = files.read_prompts(spark, [path]).select(F.transform("responses", lambda x: F.when(x == "7", 1.0).otherwise(0.0)).alias("scores"))
+    return groups.pass_at_k(scored, "scores").select(F.round("pass_at_k", 9).alias("pass_at_k"), F.lit(scored.count()).cast("long").alias("prompts"))
+
+
+@query("SELECT event_id AS step, event_type AS key, value FROM events")
+def metric_log(spark, sf):
+    paths = [fresh(spark, "metrics") for _ in range(2)]
+    files.log_metrics(table(spark, sf, "events").select(F.col("event_id").alias("step"), F.col("event_type").alias("key"), "value"), *paths)
+    return spark.read.parquet(paths[1])
+
+
+@query("SELECT event_type, strftime(ts, '%Y-%m-%d %H') AS hour, round(avg(value), 9) AS mean, count(*) AS n FROM events GROUP BY 1, 2")
+def windowed_means(spark, sf):
+    e = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
+    w = carry.windowed_means(e, "ts", "event_type", "value")
+    return w.select("event_type", F.date_format("window.start", "yyyy-MM-dd HH").alias("hour"), F.round("mean", 9).alias("mean"), "n")
+
+
 @query("SELECT conv_id, string_agg(concat('<|', role, '|>', text), chr(10) ORDER BY turn) AS chat FROM conversations GROUP BY conv_id")
 def chat_render(spark, sf):
     c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
