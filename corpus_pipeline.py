@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, dartminhash, decontam, langid, secrets
-from millrace.llm._base import Workspace, table
+from millrace.llm._base import Workspace, few_files, table
 
 #: A document whose likeliest language is less likely than this has none.
 LEAST_LANGUAGE_SCORE = 0.5
@@ -20,19 +20,19 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """docs but those with a doc_id in dropped; a null doc_id stays. Ids are broadcast if they have been counted to be few."""
     if dropped.count() <= 1_000_000:  # 8 MB
         dropped = F.broadcast(dropped)
-    return docs.join(dropped, "doc_id", "left_anti")
+    return few_files(docs.join(dropped, "doc_id", "left_anti"), docs)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of an identified language. Null texts, texts without a letter and texts of no likely language go."""
     model = langid.train_model(docs, ~langid.held_out())
-    found = langid.identify(docs, model, pred="__language", score="__likely")
+    found = few_files(langid.identify(docs, model, pred="__language", score="__likely"), docs)
     return found.where((F.col("__language") != "und") & (F.col("__likely") >= LEAST_LANGUAGE_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the document of the smallest doc_id, once. Rows with a null doc_id stay."""
-    classes = Workspace(spark, "stage").save(dartminhash.near_duplicates(docs), "classes")
+    classes = Workspace(spark, "stage", docs).save(dartminhash.near_duplicates(docs), "classes")
     kept = without(docs, classes.where("doc_id <> class_id").select("doc_id"))
     if docs.where("doc_id IS NOT NULL").count() == classes.count():
         return kept
@@ -42,7 +42,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     found = decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return without(docs, Workspace(spark, "stage").save(found, "contaminated"))
+    return without(docs, Workspace(spark, "stage", docs).save(found, "contaminated"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,12 +51,12 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     new = {"text": secrets.redacted("text", "__spans")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.size("__spans") > 0, F.length(new["text"]).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return found.select(*[(new[c].alias(c) if c in new else F.col(f"`{c}`")) for c in docs.columns])
+    return few_files(found, docs).select(*[(new[c].alias(c) if c in new else F.col(f"`{c}`")) for c in docs.columns])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, decoded again: doc_id, n_tokens and the digests of both."""
-    return bpe.digests(docs, bpe.vocabulary())
+    return few_files(bpe.digests(docs, bpe.vocabulary()), docs)
 
 
 STAGES = [("language", language), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("redact", redact), ("encode", encode)]

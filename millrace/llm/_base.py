@@ -32,10 +32,13 @@ def shared_dir(spark: SparkSession) -> str:
 class Workspace:
     """Intermediate tables, written once as Parquet in the shared folder, so that a lost executor loses none and no stage is computed twice."""
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path = spark, f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+    def __init__(self, spark: SparkSession, name: str, basis: DataFrame | None = None):
+        """basis: the table that the others are made from; by its size they get no more files than it would need."""
+        self.spark, self.path, self.basis = spark, f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}", basis
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
+        if self.basis is not None:
+            df = few_files(df, self.basis)
         df.write.mode("overwrite").parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
@@ -47,6 +50,13 @@ class Workspace:
             p.getFileSystem(conf).delete(p, True)
 
 
+def few_files(df: DataFrame, basis: DataFrame) -> DataFrame:
+    """df in at most four partitions a core, or one for each 32 MB of basis if those are more: no thousands of tiny files."""
+    size = int(basis._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    most = max(4 * df.sparkSession.sparkContext.defaultParallelism, size >> 25)
+    return df.coalesce(most) if most < 1 << 30 else df  # a size that Spark cannot tell counts as huge
+
+
 def rows_of(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under names of our own: whatever else the input has cannot clash."""
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])

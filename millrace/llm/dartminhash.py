@@ -233,7 +233,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     leaves apart are compared with all members of their group, block by block, without a row for each pair.
     """
     spark = docs.sparkSession
-    ws = Workspace(spark, "dedup")
+    ws = Workspace(spark, "dedup", docs)
     d = rows_of(docs, doc_id=key, text=text).where("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long"))
     sigs = ws.save(signed(d), "sigs")
     reps = ws.save(sigs.where("whole IS NOT NULL").groupBy("whole", "weight").agg(F.min("doc_id").alias("doc"), F.min_by("bands", "doc_id").alias("bands")), "reps")

@@ -72,7 +72,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     one. Other columns are ignored.
     """
     spark = docs.sparkSession
-    ws = Workspace(spark, "decontam")
+    ws = Workspace(spark, "decontam", docs)
     d = rows_of(docs, doc_id=key, text=text).where("doc_id IS NOT NULL")
     b = rows_of(benchmark, item_id=item, text=item_text).where("item_id IS NOT NULL").withColumn("w", word_hashes(F.col("text"))).where("size(w) > 0")
     b = b.withColumn("k", F.least(F.size("w"), F.lit(WORDS)))

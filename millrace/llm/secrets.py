@@ -143,7 +143,7 @@ def scan(docs: DataFrame, text: str = "text", spans: str = "spans", share: float
     column of that name is replaced. Thresholds are of all of docs' tokens. The matches, not the texts, are written to the
     shared folder unless docs has the text among its columns.
     """
-    ws = Workspace(docs.sparkSession, "secrets")
+    ws = Workspace(docs.sparkSession, "secrets", docs)
     found = ws.save(found_in(docs.drop(spans), text), "found")
     return with_spans(found, share, spans).drop("__base", "__candidates")
 
@@ -173,7 +173,7 @@ def redacted(text: str, spans: str, mark: str = "[SECRET]") -> Column:
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, numbers of the base kinds, base_sha256 and spans of each row of docs."""
-    ws = Workspace(docs.sparkSession, "secrets")
+    ws = Workspace(docs.sparkSession, "secrets", docs)
     found = found_in(docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "text").drop("text")
     d = with_spans(ws.save(found, "found"), FALSE_SHARE)
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
