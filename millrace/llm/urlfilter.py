@@ -130,7 +130,8 @@ def shard_of(h1: np.ndarray, shards: int) -> np.ndarray:
 def build(listed: DataFrame, universe: DataFrame, shard_keys: int = SHARD_KEYS) -> list[Cascade]:
     """The cascades (one for each shard) of a list over a universe; both have one string column `key`, repeated keys and nulls ignored.
 
-    The universe is read once; only its keys that pass level 1 are made distinct, less than one for each listed key.
+    The universe is counted, then read once for each pass; only its keys that pass level 1 are made distinct, less than one
+    for each listed key.
     """
     spark = listed.sparkSession
     ws = Workspace(spark, "cascade")
@@ -147,8 +148,7 @@ def build(listed: DataFrame, universe: DataFrame, shard_keys: int = SHARD_KEYS)
         return df if shards == 1 else df.mapInArrow(run, df.schema)
 
     cascades = [Cascade.first(*pulled(part(mine, s)), max(1, rows // shards)) for s in range(shards)]
-    others = []
-    for group in passes(cascades):
+    for i, group in enumerate(passes(cascades)):
         sent = spark.sparkContext.broadcast({s: cascades[s] for s in group})
 
         def passing(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -160,12 +160,12 @@ def build(listed: DataFrame, universe: DataFrame, shard_keys: int = SHARD_KEYS)
                 yield b.filter(pa.array(ok))
 
         keyed = universe.where("key IS NOT NULL").select("key", h1.alias("h1"), h2.alias("h2"))
-        others.append(keyed.mapInArrow(passing, keyed.schema).distinct().join(mine.select("key"), "key", "left_anti"))
-    for s, cascade in enumerate(cascades):
-        if cascade.levels:
-            wrong = ws.save(others[next(i for i, g in enumerate(passes(cascades)) if s in g)], f"others{s}") if s == 0 or shards > 1 else None
-            cascade.finish(pulled(part(mine, s)), pulled(part(wrong, s)))
-    ws.drop("listed", *[f"others{s}" for s in range(shards)])
+        others = ws.save(keyed.mapInArrow(passing, keyed.schema).distinct().join(mine.select("key"), "key", "left_anti"), f"others{i}")
+        for s in group:
+            if cascades[s].levels:
+                cascades[s].finish(pulled(part(mine, s)), pulled(part(others, s)))
+        ws.drop(f"others{i}")
+    ws.drop("listed")
     return cascades
 
 
