@@ -65,7 +65,7 @@ def packed_offsets(df: DataFrame, length: str, row: str, bucket_rows: int = 1 <<
     w = Window.orderBy("__b")
     offsets = sums.select("__b", (F.sum("__s").over(w) - F.col("__s")).alias("__before"))
     within = F.coalesce(F.sum("__len").over(Window.partitionBy("__b").orderBy(row).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    each = d.withColumn("__w", within).join(F.broadcast(offsets), "__b").select(row, (F.col("__before") + F.col("__w")).alias("cu_seqlen"))
+    each = d.withColumn("__w", within).join(offsets, "__b").select(row, (F.col("__before") + F.col("__w")).alias("cu_seqlen"))
     return each.unionByName(sums.agg(F.sum("__c").cast(df.schema[row].dataType).alias(row), F.sum("__s").alias("cu_seqlen")))
 
 
