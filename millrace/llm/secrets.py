@@ -4,7 +4,8 @@ Base patterns find assignments, access keys and long hexadecimal runs. Beyond th
 put to a battery of tests of the hypothesis that they are drawn evenly from the alphabet of their inferred encoding:
 chi-squared uniformity, runs above and below the alphabet's middle, serial correlation. Its combined p-values are even for
 random tokens and near 0 for words, so that in each class of encoding and length the share of false discoveries above a
-threshold is known, and the threshold is set where that share is small enough.
+threshold is known, and the threshold is set where that share is small enough. Each distinct token is one observation; a
+class of few has a fixed threshold.
 """
 
 from __future__ import annotations
@@ -35,6 +36,10 @@ ALPHABETS = [
 #: Thresholds that are tried, and the share of false discoveries allowed.
 EDGES = [1e-4, 3e-4, 1e-3, 3e-3, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5]
 FALSE_SHARE = 0.05
+#: A class of fewer distinct tokens tells nothing of the share; its threshold is this p, under which one random token in 100 is.
+FEW, FEW_EDGE = 20, 0.01
+#: Standard errors by which the number of a class's random tokens may exceed its estimate.
+ERRORS = 2
 SPANS = "array<struct<kind:int,start:int,end:int>>"
 
 
@@ -83,11 +88,11 @@ def battery(codes: str, k: str) -> str:
 
 
 def tested(tokens: str, at: str) -> Column:
-    """Of each token (with its place in the array column `at`) start, end, encoding number, length class and p."""
+    """Of each token (with its place in the array column `at`) start, end, hash, encoding number, length class and p."""
     kinds = "CASE " + " ".join(f"WHEN translate(t, '{a}', '') = '' THEN {i}" for i, (_, a) in enumerate(ALPHABETS)) + f" ELSE {len(ALPHABETS) - 1} END"
     names = "array(" + ", ".join(f"'{a}'" for _, a in ALPHABETS) + ")"
     p = bound(f"{names}[e]", "alpha", bound("transform(split(t, ''), c -> instr(alpha, c) - 1)", "codes", battery("codes", "cast(length(alpha) AS double)")))
-    row = f"struct(x.p.start AS start, x.p.end AS end, e AS encoding, cast(floor(2 * log2(length(t))) AS int) AS length_class, {p} AS p)"
+    row = f"struct(x.p.start AS start, x.p.end AS end, xxhash64(t) AS token, e AS encoding, cast(floor(2 * log2(length(t))) AS int) AS length_class, {p} AS p)"
     each = bound("rtrim('=', x.t)", "t", bound(kinds, "e", row))
     chosen = f"filter(zip_with({tokens}, {at}, (t, p) -> struct(t, p)), x -> x.t RLIKE '[0-9]' AND x.t RLIKE '[A-Za-z]')"
     return F.expr(f"transform({chosen}, x -> {each})")
@@ -120,14 +125,18 @@ def found_in(docs: DataFrame, text: str) -> DataFrame:
 def thresholds(found: DataFrame, share: float = FALSE_SHARE) -> dict[tuple[int, int], float]:
     """The threshold of p in each class of encoding and length (a few hundred at most) in which any holds.
 
-    Twice the number of p over 1/2 estimates a class's random tokens, which lie evenly; of the tokens over a threshold, what
-    exceeds their expected number is false. The smallest threshold with a false share of at most `share` is taken.
+    Distinct tokens are counted, however often each occurs. Of a class's random tokens, which lie evenly, half have a p over
+    1/2, give or take ERRORS standard errors: of the tokens over a threshold, what exceeds the largest number of random ones
+    that agrees with this is false. The smallest threshold with a false share of at most `share` is taken.
     """
-    tokens = found.select(F.explode("__candidates").alias("x")).select("x.*")
+    tokens = found.select(F.explode("__candidates").alias("x")).select("x.*").groupBy("encoding", "length_class", "token").agg(F.first("p").alias("p"))
     over = [F.sum(F.when(F.col("p") >= e, 1).otherwise(0)).alias(f"n{i}") for i, e in enumerate(EDGES)]
     out = {}
-    for r in tokens.groupBy("encoding", "length_class").agg(*over).collect():
-        random = 2 * r[f"n{len(EDGES) - 1}"]
+    for r in tokens.groupBy("encoding", "length_class").agg(F.count("*").alias("n"), *over).collect():
+        if r.n < FEW:
+            out[r.encoding, r.length_class] = FEW_EDGE
+            continue
+        random = ((ERRORS + (ERRORS**2 + 8 * r[f"n{len(EDGES) - 1}"]) ** 0.5) / 2) ** 2
         for i, e in enumerate(EDGES):
             if (n := r[f"n{i}"]) and 1 - random * (1 - e) / n <= share:
                 out[r.encoding, r.length_class] = e

@@ -67,3 +67,27 @@ def test_long_text_with_many_matches(spark):
     rng = random.Random(1)
     text = " ".join(f"token=abcdef{i}" if i % 3 == 0 else w for i, w in enumerate(words(rng, 3000)))
     assert secrets.report(docs_of(spark, [text])).first().base_sha256 == hashlib.sha256(base_spans(text).encode()).hexdigest()
+
+
+def tokens_by_p(spark, alphabet, n, rng):
+    """n random tokens of 40 symbols and their p, by p."""
+    tokens = ["".join(rng.choice(alphabet) for _ in range(40)) for _ in range(n)]
+    found = secrets.found_in(docs_of(spark, tokens), "text").selectExpr("doc_id", "__candidates[0].p AS p").collect()
+    return [t for _, t in sorted((r.p, tokens[r.doc_id]) for r in found)]
+
+
+def test_a_class_of_few_tokens_is_not_dropped(spark):
+    tokens = tokens_by_p(spark, "0123456789ABCDEF", 40, random.Random(5))
+    for lot in (tokens[8:9], tokens[8:9] * 30, tokens[4:16]):  # none has a p of 1/2
+        assert all(r.spans == "random:4:44" for r in secrets.report(docs_of(spark, [f"see {t} there" for t in lot])).collect())
+
+
+def test_copies_of_a_token_do_not_move_the_threshold(spark):
+    tokens = tokens_by_p(spark, "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", 200, random.Random(6))
+    for hot in (tokens[80], tokens[190]):  # p under and over 1/2
+        got = secrets.report(docs_of(spark, [f"see {t} there" for t in [*tokens, *[hot] * 2000]])).collect()
+        assert sum(bool(r.spans) for r in got) >= 2190
+    wordy = ["-".join(random.Random(i).choice(["the", "and", "that", "with"]) for _ in range(9)) + f"-{i}" for i in range(200)]
+    secret = "".join(random.Random(3).choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-_") for _ in range(36))
+    got = secrets.report(docs_of(spark, [*wordy, *[f"{secret}-_"] * 2000])).collect()
+    assert sum(bool(r.spans) for r in got if r.doc_id < 200) <= 10
