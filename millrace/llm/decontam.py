@@ -1,8 +1,8 @@
 """Benchmark decontamination with DataFrame and SQL functions only.
 
 Words are lower-cased runs of letters and digits, shingles are five of them (an item of fewer words is one shingle). A
-window has an item's number of words. Windows are laid wherever a document and an item have a shingle in common, aligned
-at it: no other window can have any similarity. Each window's 64-bit SimHash is looked up among the items of its size by a
+window has an item's number of words. Windows are laid at every start where as many of the window's shingles are shared with
+items of its size as the least similarity takes: no other window can have it. Each window's 64-bit SimHash is looked up among the items of its size by a
 multi-index: of 24 blocks of the 64 bits one at least is equal if 23 bits or fewer differ. What lies within that radius is
 verified by the exact similarity of the shingles weighted by their counts.
 """
@@ -54,10 +54,27 @@ def first_equal_block(a: str, b: str) -> Column:
 
 def weighted_similarity(a: str, b: str) -> Column:
     """Jaccard similarity of two arrays as multisets."""
-    common = f"aggregate(array_distinct({a}), 0, (n, x) -> n + least(size(filter({a}, y -> y = x)), size(filter({b}, y -> y = x))))"
+    counted = f"aggregate(array_distinct({a}), 0, (n, x) -> n + least(size(filter({a}, y -> y = x)), size(filter({b}, y -> y = x))))"
+    single = f"size(array_distinct({a})) = size({a}) OR size(array_distinct({b})) = size({b})"  # of one without repeats no shingle counts twice
+    common = f"CASE WHEN {single} THEN size(array_intersect({a}, {b})) ELSE {counted} END"
     return F.expr(f"{common} / cast(size({a}) + size({b}) - {common} AS double)")
 
 
+def starts(least: float) -> Column:
+    """Starts of windows that can have the least similarity, in order, by `n` shingles of the document, `m` of the item and
+    `ps`, the ordered positions of the document's shingles that occur in items of that size.
+
+    A window of v shingles of similarity x has x / (1 + x) * (m + v) shingles in common with its item, or more. Each start
+    is laid at the first of `ps` not before it.
+    """
+    v = "least(m, n)"
+    c = f"greatest(1, cast(ceil({least / (1 + least)!r}D * (m + {v}) - 1e-6D) AS int))"
+    low = f"greatest(0, CASE WHEN i > 0 THEN ps[i - 1] + 1 ELSE 0 END, ps[i + c - 1] - {v} + 1)"
+    each = f"transform(array({low}), a -> CASE WHEN a <= least(ps[i], n - {v}) THEN sequence(a, least(ps[i], n - {v})) ELSE cast(array() AS array<int>) END)[0]"
+    laid = f"CASE WHEN size(ps) >= c THEN flatten(transform(sequence(0, size(ps) - c), i -> {each})) ELSE cast(array() AS array<int>) END"
+    return F.expr(f"transform(array({c}), c -> {laid})[0]")
+
+
 def few(df: DataFrame) -> DataFrame:
     """df, to be broadcast if it has been counted to be small."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
@@ -73,7 +90,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "decontam", docs)
-    d = rows_of(docs, doc_id=key, text=text).where("doc_id IS NOT NULL")
+    d = rows_of(docs, doc_id=key, text=text).where("doc_id IS NOT NULL").select("doc_id", word_hashes(F.col("text")).alias("w"))
     b = rows_of(benchmark, item_id=item, text=item_text).where("item_id IS NOT NULL").withColumn("w", word_hashes(F.col("text"))).where("size(w) > 0")
     b = b.withColumn("k", F.least(F.size("w"), F.lit(WORDS)))
     sized = [b.where(F.col("k") == k).withColumn("s", shingle_hashes("w", k)) for k in range(1, WORDS + 1)]
@@ -84,22 +101,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     kinds = [r.k for r in items.select("k").distinct().collect()]  # WORDS values at most
     hits = None
     for k in sorted(kinds):
-        own = items.where(F.col("k") == k).select("n_words", F.posexplode("s").alias("q", "shingle")).distinct()
-        ours = d.select("doc_id", word_hashes(F.col("text")).alias("w")).select("doc_id", shingle_hashes("w", k).alias("s")).select("doc_id", "s", F.size("s").alias("n")).select("doc_id", "n", F.posexplode_outer("s").alias("p", "shingle"))
-        at = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("n") + (k - 1) - F.col("n_words")))
-        found = ours.join(few(own), "shingle").select("doc_id", at.alias("start"), "n_words", F.lit(k).alias("k"))
+        own = items.where(F.col("k") == k).select("n_words", F.explode("s").alias("shingle")).distinct()
+        ours = d.select("doc_id", shingle_hashes("w", k).alias("s")).select("doc_id", F.size("s").alias("n"), F.posexplode("s").alias("p", "shingle"))
+        found = ours.join(few(own), "shingle").select("doc_id", "n", "n_words", F.lit(k).alias("k"), "p")
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         return docs.select(F.col(f"`{key}`").alias("doc_id")).where("false").crossJoin(items.select("item_id")).select("doc_id", "item_id", F.lit(0).alias("word_start"), F.lit(0).alias("n_words"), F.lit(0.0).alias("similarity"))
-    windows = ws.save(hits.groupBy("doc_id").agg(F.collect_set(F.struct("start", "n_words", "k")).alias("windows")), "windows")
-    small = (windows.agg(F.sum(F.size("windows"))).first()[0] or 0) <= BROADCAST_ROWS
-    laid = d.join(F.broadcast(windows) if small else windows, "doc_id").withColumn("w", word_hashes(F.col("text"))).select("doc_id", "w", "windows")
+    placed = hits.groupBy("doc_id", "n", "n_words", "k").agg(F.sort_array(F.collect_set("p")).alias("ps")).withColumn("m", F.expr("n_words - k + 1")).withColumn("starts", starts(least)).where("size(starts) > 0")
+    windows = ws.save(placed.groupBy("doc_id").agg(F.collect_list(F.struct("n", "n_words", "k", "starts")).alias("windows")), "windows")
+    small = (windows.agg(F.sum(F.expr("aggregate(windows, 0L, (a, x) -> a + size(x.starts))"))).first()[0] or 0) <= BROADCAST_ROWS
+    laid = d.join(F.broadcast(windows) if small else windows, "doc_id")
     looked = None
     for k in sorted(kinds):
-        own = laid.withColumn("s", shingle_hashes("w", k)).select("doc_id", "s", F.explode(F.expr(f"filter(windows, x -> x.k = {k})")).alias("x"))
-        own = own.select("doc_id", "x.start", "x.n_words", F.expr(f"slice(s, x.start + 1, greatest(1, x.n_words - {k - 1}))").alias("shingles"))
+        own = laid.withColumn("s", shingle_hashes("w", k)).select("doc_id", "s", F.explode(F.expr(f"filter(windows, x -> x.k = {k} AND x.n = size(s))")).alias("x"))
+        own = own.select("doc_id", "s", "x.n_words", F.explode("x.starts").alias("start"))
+        own = own.select("doc_id", "start", "n_words", F.expr(f"slice(s, start + 1, n_words - {k - 1})").alias("shingles"))
         looked = own if looked is None else looked.unionByName(own)
-    looked = ws.save(looked.where("size(shingles) > 0").withColumn("fingerprint", simhash("shingles")), "looked")
+    looked = ws.save(looked.withColumn("fingerprint", simhash("shingles")), "looked")
     index = items.select("item_id", "n_words", F.col("s").alias("item_shingles"), F.col("fingerprint").alias("item_fingerprint"), F.explode(blocks("fingerprint")).alias("x")).select("*", "x.*").drop("x").distinct()
     near = looked.withColumn("x", F.explode(blocks("fingerprint"))).select("*", "x.*").drop("x").join(few(index), ["n_words", "block", "value"])
     near = near.where(F.col("block") == first_equal_block("fingerprint", "item_fingerprint")).where(F.bit_count(F.expr("fingerprint ^ item_fingerprint")) <= RADIUS)

@@ -72,3 +72,22 @@ def test_empty_tables_nulls_and_repeats(spark):
     assert [(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()] == [(1, 7)]
     assert decontam.contaminated(docs, bench.where("false")).count() == 0
     assert decontam.contaminated(docs, bench.where("item_id = 8")).columns == ["doc_id", "item_id", "word_start", "n_words", "similarity"]
+
+
+def test_windows_between_aligned_starts(spark):
+    rng = random.Random(5)
+    items, texts = [], []
+    for n, edge, more in ((59, 1, 2), (100, 3, 6), (120, 3, 8)):
+        v = words(rng, n, f"i{n}x")
+        y = [*["changed"] * edge, *v[edge : n // 2], *["more"] * more, *v[n // 2 : n - edge], *["changed"] * edge]
+        items.append(" ".join(v))
+        texts += [" ".join([*words(rng, 70), *y, *words(rng, 70)]), " ".join([*words(rng, 9), *v[n // 2 :], *v[: n // 2], *words(rng, 9)])]
+    items.append(" ".join(f"r{i % 7}" for i in range(40)))
+    texts += [" ".join([*words(rng, 30), *[f"r{i % 7}" for i in range(200)], *words(rng, 30)]), " ".join(["x", *items[3].split(), *items[0].split(), *items[3].split()[3:]])]
+    got, want = run(spark, texts, items), brute(texts, items)
+    assert {(2 * i, i) for i in range(3)} <= want and set(got) == want
+    for (d, i), r in got.items():  # the first of all windows' best
+        w, v = split(texts[d]), split(items[i])
+        grams = lambda x: Counter(tuple(x[j : j + 5]) for j in range(len(x) - 4))
+        sims = [(grams(w[s : s + len(v)]) & grams(v)).total() / (grams(w[s : s + len(v)]) | grams(v)).total() for s in range(max(1, len(w) - len(v) + 1))]
+        assert (r.word_start, r.similarity) == (sims.index(max(sims)), max(sims))
