@@ -154,33 +154,33 @@ def bands(signatures: np.ndarray, count: int = BANDS, rows: int = ROWS) -> np.nd
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, whole (a hash of the word sequence, null without words), weight (number of shingles) and bands of doc_id, text."""
+    """doc_id, text_hash, whole (a hash of the word sequence, null without words) and bands of doc_id, text, text_hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, "text", rows=128):
             of, h, n, whole = shingles(raw_texts(b.column("text")))
             bs = bands(sketch(of, h, n, b.num_rows, BANDS * ROWS)).view(np.int64)
-            some, w = whole != 0, np.bincount(of, n, b.num_rows).astype(np.int64)
+            some = whole != 0
             at = np.arange(b.num_rows + 1, dtype=np.int32) * BANDS
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(whole.view(np.int64), mask=~some), pa.array(w), pa.ListArray.from_arrays(pa.array(at), pa.array(bs.reshape(-1)))], names=["doc_id", "whole", "weight", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(whole.view(np.int64), mask=~some), pa.ListArray.from_arrays(pa.array(at), pa.array(bs.reshape(-1)))], names=["doc_id", "text_hash", "whole", "bands"])
 
-    return mapped(docs, run, T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("whole long, weight long, bands array<long>").fields]))
+    return mapped(docs, run, T.StructType([docs.schema["doc_id"], docs.schema["text_hash"], *T._parse_datatype_string("whole long, bands array<long>").fields]))
 
 
 def elements(docs: DataFrame) -> DataFrame:
-    """doc_id and elements: the c-th occurrence of each shingle as a hash of its own, so that overlaps of these sets are overlaps of the weighted ones."""
+    """node (the text's whole) and elements: the c-th occurrence of each shingle as a hash of its own, so that overlaps of these sets are overlaps of the weighted ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, "text"):
-            of, h, n, _ = shingles(raw_texts(b.column("text")))
+            of, h, n, whole = shingles(raw_texts(b.column("text")))
             each = np.repeat(h, n)
             nth = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
             with np.errstate(over="ignore"):
                 each = mix(each + nth.astype(U) * ODD).view(np.int64)
             at = np.concatenate([[0], np.cumsum(np.bincount(of, n, b.num_rows).astype(np.int64))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(pa.array(at), pa.array(each))], names=["doc_id", "elements"])
+            yield pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64)), pa.ListArray.from_arrays(pa.array(at), pa.array(each))], names=["node", "elements"])
 
-    return mapped(docs, run, T.StructType([docs.schema["doc_id"], T.StructField("elements", T.ArrayType(T.LongType()))]))
+    return mapped(docs, run, "node long, elements array<long>")
 
 
 def links_in_block(ids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], side: np.ndarray, least: float) -> list[tuple[int, int]]:
@@ -225,8 +225,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
 
     Two texts are linked if the weighted Jaccard similarity of their five-word shingles is `least` or more; classes are the
     connected components. Words are runs without white space. Null and empty texts and texts without words are classes of
-    their own. Rows with a null doc_id give no row. A repeated doc_id is in one class: that of all exact copies of its texts,
-    and of near copies of one of them (the one whose shingle hashes come first). Keys are integers.
+    their own. Rows with a null doc_id give no row. A repeated doc_id is in one class: that of all copies of its texts. Keys
+    are integers.
+    """
+    found = text_classes(docs, key, text, least)
+    repeated = found.select("doc_id", "class_id").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("class_id").alias("first")).where("n > 1")
+    if not repeated.isEmpty():  # a doc_id with several texts joins their classes
+        ws = Workspace(docs.sparkSession, "dedup", docs)
+        joined = found.join(repeated.select("doc_id", "first"), "doc_id").select(F.col("class_id").alias("a"), F.col("first").alias("b"))
+        again = ws.save(components(joined, ws, "ids"), "again")
+        found = found.join(again.withColumnRenamed("node", "class_id"), "class_id", "left").select("doc_id", F.coalesce("root", "class_id").alias("class_id"))
+    return found.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+
+
+def text_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """doc_id, text_hash (xxhash64 of the text), whole (null without words), class_id and class_text of each distinct doc_id
+    and text: the smallest doc_id that has a text of the class, and the smallest whole of the class. Texts are what is linked, by whole, whatever ids they have.
 
     Exact copies are put together first. The members of a band's bucket are then compared with its most central member, the
     one whose bands lie in the largest buckets; a copy group of any size takes one comparison a member. Members that this
@@ -234,21 +248,22 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "dedup", docs)
-    d = rows_of(docs, doc_id=key, text=text).where("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long"))
+    d = rows_of(docs, doc_id=key, text=text).where("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text_hash", F.xxhash64("text"))
     sigs = ws.save(signed(d), "sigs")
-    reps = ws.save(sigs.where("whole IS NOT NULL").groupBy("whole", "weight").agg(F.min("doc_id").alias("doc"), F.min_by("bands", "doc_id").alias("bands")), "reps")
-    rows = reps.select("doc", F.explode("bands").alias("band"))
+    reps = ws.save(sigs.where("whole IS NOT NULL").groupBy("whole").agg(F.min("doc_id").alias("doc_id"), F.min_by("bands", "doc_id").alias("bands")), "reps")
+    rows = reps.select(F.col("whole").alias("doc"), F.explode("bands").alias("band"))
     sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = ws.save(rows.join(sizes, "band"), "shared")
     centre = shared.groupBy("doc").agg(F.sum("n").alias("centrality"))
-    leaders = shared.select("band", "doc").join(centre, "doc").groupBy("band").agg(F.max_by("doc", F.struct("centrality", -F.col("doc"))).alias("leader"))
+    leaders = shared.select("band", "doc").join(centre, "doc").groupBy("band").agg(F.max_by("doc", F.struct("centrality", "doc")).alias("leader"))
     groups = ws.save(shared.select("band", "doc").join(leaders, "band").where("doc <> leader").select("leader", "doc").distinct(), "groups")
     ws.drop("shared")
-    needed = groups.select(F.col("leader").alias("doc_id")).union(groups.select("doc")).distinct()
+    nodes = groups.select(F.col("leader").alias("whole")).union(groups.select("doc")).distinct()
+    needed = ws.save(reps.select("whole", "doc_id").join(nodes, "whole", "left_semi").select("doc_id").distinct(), "needed")
     if needed.count() <= 1_000_000:  # 8 MB of ids
         needed = F.broadcast(needed)
-    sets = ws.save(elements(d.join(needed, "doc_id", "left_semi")).groupBy("doc_id").agg(F.min("elements").alias("elements")), "sets")
-    one, other = sets.select(F.col("doc_id").alias("leader"), F.col("elements").alias("x")), sets.select(F.col("doc_id").alias("doc"), F.col("elements").alias("y"))
+    sets = ws.save(elements(d.join(needed, "doc_id", "left_semi")).groupBy("node").agg(F.min("elements").alias("elements")), "sets")
+    one, other = sets.select(F.col("node").alias("leader"), F.col("elements").alias("x")), sets.select(F.col("node").alias("doc"), F.col("elements").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     tried = ws.save(groups.join(other, "doc").join(one, "leader").select("leader", "doc", F.size("y").alias("n"), (common / (F.size("x") + F.size("y") - common) >= least - 1e-12).alias("linked")), "tried")
     edges = tried.where("linked").select(F.col("leader").alias("a"), F.col("doc").alias("b"))
@@ -258,15 +273,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     if not more.isEmpty():
         roots = ws.save(components(edges.union(more), ws, "all"), "roots2")
     ws.drop("groups", "sets")
-    rep = reps.select("whole", "weight", "doc")
-    found = sigs.select("doc_id", "whole", "weight").join(rep, ["whole", "weight"], "left").join(roots.withColumnRenamed("node", "doc"), "doc", "left")
-    found = ws.save(found.select("doc_id", "whole", F.coalesce("root", "doc", "doc_id").alias("class_id")).distinct(), "found")
-    repeated = found.select("doc_id", "class_id").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("class_id").alias("first")).where("n > 1")
-    if not repeated.isEmpty():  # a doc_id with several texts joins their classes
-        joined = found.join(repeated.select("doc_id", "first"), "doc_id").select(F.col("class_id").alias("a"), F.col("first").alias("b"))
-        again = ws.save(components(joined, ws, "ids"), "again")
-        found = found.join(again.withColumnRenamed("node", "class_id"), "class_id", "left").select("doc_id", "whole", F.coalesce("root", "class_id").alias("class_id"))
-    return found.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    rooted = reps.select("whole", "doc_id").join(roots.withColumnRenamed("node", "whole"), "whole", "left").select("whole", "doc_id", F.coalesce("root", "whole").alias("root"))
+    named = rooted.select("whole", "root").join(rooted.groupBy("root").agg(F.min("doc_id").alias("class_id")), "root").select("whole", "class_id", F.col("root").alias("class_text"))
+    found = sigs.select("doc_id", "text_hash", "whole").join(named, "whole", "left")
+    return ws.save(found.select("doc_id", "text_hash", "whole", F.coalesce("class_id", "doc_id").alias("class_id"), "class_text").distinct(), "found")
 
 
 def unresolved(tried: DataFrame, roots: DataFrame) -> DataFrame:
@@ -285,7 +295,7 @@ def apart_links(apart: DataFrame, sets: DataFrame, ws: Workspace, least: float)
     own = F.when(F.col("apart"), F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.col("block").alias("i"), j.alias("j"), F.lit(1).alias("side"))))
     cells = m.select("leader", "doc", "root", F.explode(F.concat(every, F.coalesce(own, F.array().cast("array<struct<i:bigint,j:bigint,side:int>>")))).alias("c"))
     cells = cells.groupBy("leader", "doc", "root", "c.i", "c.j").agg(F.bit_or("c.side").alias("side"))
-    put = ws.save(cells, "cells").join(sets.withColumnRenamed("doc_id", "doc"), "doc")
+    put = ws.save(cells, "cells").join(sets.withColumnRenamed("node", "doc"), "doc")
 
     def run(pdf):
         import pandas as pd

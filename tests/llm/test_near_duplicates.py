@@ -101,3 +101,14 @@ def test_repeated_ids_null_ids_and_empty_tables(spark):
 def test_many_exact_copies(spark, n):
     got = classes(docs_of(spark, ["one two three four five six"] * n))
     assert set(got.values()) == {0} and len(got) == n
+
+
+def test_texts_of_a_repeated_id_are_linked_each(spark):
+    rng = random.Random(12)
+    rows, want = [], {}
+    for i in range(0, 100, 10):
+        one, two = words(rng, 60, f"a{i}x"), words(rng, 60, f"b{i}x")
+        three, four = words(rng, 60, f"c{i}x"), [*two, "more"]
+        rows += [(i + 5, " ".join(one)), (i + 5, " ".join(two)), (i + 6, " ".join(two)), (i + 8, " ".join(four)), (i + 9, " ".join(three)), (i + 7, " ".join([*one, "more"]))]
+        want |= {i + 5: i + 5, i + 6: i + 5, i + 7: i + 5, i + 8: i + 5, i + 9: i + 9}
+    assert classes(spark.createDataFrame(rows, "doc_id long, text string")) == want
