@@ -31,12 +31,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document of the smallest doc_id, once. Rows with a null doc_id stay."""
-    classes = Workspace(spark, "stage", docs).save(dartminhash.near_duplicates(docs), "classes")
-    kept = without(docs, classes.where("doc_id <> class_id").select("doc_id"))
-    if docs.where("doc_id IS NOT NULL").count() == classes.count():
-        return kept
-    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+    """Of each class of near-duplicate texts the row of the smallest doc_id (of one id's texts that of the smallest hash), once.
+    Rows with a null doc_id stay."""
+    found = Workspace(spark, "stage", docs).save(dartminhash.text_classes(docs), "classes")
+    rows = docs.where("doc_id IS NOT NULL").count()
+    if rows == found.count() and rows == found.agg(F.count_distinct("doc_id")).first()[0]:
+        return without(docs, found.where("doc_id <> class_id").select("doc_id"))
+    first = found.where("whole IS NOT NULL").groupBy("class_id", "class_text").agg(F.min(F.struct("doc_id", "text_hash")).alias("x")).select("x.*")
+    first = first.unionByName(found.where("whole IS NULL").select("doc_id", "text_hash"))
+    named = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__hash", F.xxhash64("text"))
+    kept = named.join(first.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")), ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"])
+    return kept.unionByName(named.where("doc_id IS NULL")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

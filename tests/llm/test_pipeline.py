@@ -38,6 +38,17 @@ def test_one_of_each_group_stays(spark):
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in out) == [-1, -1, 0, 3, 4, 5, 6]
 
 
+def test_texts_of_a_repeated_id_stay_unless_copied(spark):
+    rng = random.Random(4)
+    one, two, three, four = (words(rng, 80, c) for c in "abcd")
+    rows = [(1, one), (1, two), (1, one), (2, [*one, "more"]), (2, three), (3, [*two, "more"]), (4, four), (4, [*four, "more"]), (None, one)]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in rows] + [(5, None, "en", "s", 1)] * 2, DOCS)
+    out = [(r.doc_id, r.text) for r in STAGES["near_dedup"](spark, clashing(docs), SF).collect()]
+    want = [(1, " ".join(one)), (1, " ".join(two)), (2, " ".join(three)), (5, None), (None, " ".join(one))]
+    assert len(out) == 6 and set(want) <= set(out)
+    assert {i for i, t in out if t and t.startswith(" ".join(four))} == {4}
+
+
 def test_benchmark_passages_go(spark):
     item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
     docs = docs_of(spark, ["clean words here", f"before {item} after", None, "", item.upper()])
