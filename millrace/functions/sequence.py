@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.scan import scanned
+
 
 def end_mask(ids: Column, *ends: int) -> Column:
     """1 up to and including the first end token, then 0."""
@@ -14,9 +16,8 @@ def end_mask(ids: Column, *ends: int) -> Column:
 
 def position_ids(mask: Column) -> Column:
     """max(running sum of the mask - 1, 0)."""
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.array().cast("array<bigint>").alias("out"))
-    step = lambda a, m: F.struct((a["n"] + m.cast("long")).alias("n"), F.concat(a["out"], F.array(F.greatest(F.lit(0).cast("long"), a["n"] + m.cast("long") - 1))).alias("out"))
-    return F.aggregate(mask, start, step, lambda a: a["out"])
+    zero = F.lit(0).cast("long")
+    return scanned(mask, zero, lambda n, m: n + m.cast("long"), lambda n: F.greatest(zero, n - 1), "bigint")
 
 
 def padded(ids: Column, length: int | Column, pad: int, left: bool = False) -> Column:

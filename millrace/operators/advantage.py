@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.scan import bound, scanned_back
+
 EPSILON = 1e-6
 
 
@@ -32,19 +32,9 @@ def leave_one_out(df: DataFrame, group: str, score: str, out: str = "advantage")
     return g.withColumn(out, x).drop("__m", "__n")
 
 
-def reverse_scan(items: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
-    """Array of the states after each item, scanned from the last item; in the order of the items."""
-    state = F.struct(start.alias("s"), F.array().cast("array<double>").alias("out"))
-
-    def go(a: Column, x: Column) -> Column:
-        return F.transform(F.array(step(a["s"], x)), lambda s: F.struct(s.alias("s"), F.concat(F.array(s), a["out"]).alias("out")))[0]
-
-    return F.aggregate(F.reverse(items), state, go, lambda a: a["out"])
-
-
 def suffix_sums(rewards: Column, mask: Column) -> Column:
     """Sums of the masked rewards from each position on."""
-    return reverse_scan(F.arrays_zip(rewards.alias("r"), mask.alias("m")), F.lit(0.0), lambda s, x: s + x["r"] * x["m"])
+    return scanned_back(F.arrays_zip(rewards.alias("r"), mask.alias("m")), F.lit(0.0), lambda s, x: s + x["r"] * x["m"], lambda s: s)
 
 
 def greedy_baseline(rewards: Column, mask: Column, baseline: Column) -> Column:
@@ -55,40 +45,32 @@ def greedy_baseline(rewards: Column, mask: Column, baseline: Column) -> Column:
 
 def discounted(rewards: Column, mask: Column, gamma: float) -> Column:
     """R_t = r_t + gamma R_{t+1}, the carry cut after positions where the mask is 0."""
-    state = F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("out"))
-
-    def go(a: Column, x: Column) -> Column:
-        r = x["r"] + F.lit(gamma) * a["s"]
-        return F.transform(F.array(r), lambda v: F.struct((v * x["m"]).alias("s"), F.concat(F.array(v), a["out"]).alias("out")))[0]
-
-    return F.aggregate(F.reverse(F.arrays_zip(rewards.alias("r"), mask.alias("m"))), state, go, lambda a: a["out"])
+    start = F.struct(F.lit(0.0).alias("r"), F.lit(0.0).alias("carry"))
+    step = lambda s, x: bound(x["r"] + F.lit(gamma) * s["carry"], lambda r: F.struct(r.alias("r"), (r * x["m"]).alias("carry")))
+    return scanned_back(F.arrays_zip(rewards.alias("r"), mask.alias("m")), start, step, lambda s: s["r"])
 
 
 def gae(rewards: Column, values: Column, gamma: float, lam: float) -> Column:
     """Generalised advantages: delta_t = r_t + gamma V_{t+1} - V_t, A_t = delta_t + gamma lam A_{t+1}. Not yet whitened."""
-    state = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("v"), F.array().cast("array<double>").alias("out"))
-
-    def go(s: Column, x: Column) -> Column:
-        delta = x["r"] + F.lit(gamma) * s["v"] - x["v"]
-        return F.transform(F.array(delta + F.lit(gamma * lam) * s["a"]), lambda a: F.struct(a.alias("a"), x["v"].alias("v"), F.concat(F.array(a), s["out"]).alias("out")))[0]
-
-    return F.aggregate(F.reverse(F.arrays_zip(rewards.alias("r"), values.alias("v"))), state, go, lambda s: s["out"])
+    start = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("v"))
+    step = lambda s, x: F.struct((x["r"] + F.lit(gamma) * s["v"] - x["v"] + F.lit(gamma * lam) * s["a"]).alias("a"), x["v"].alias("v"))
+    return scanned_back(F.arrays_zip(rewards.alias("r"), values.alias("v")), start, step, lambda s: s["a"])
 
 
 def settled_values(values: Column, tool_mask: Column) -> Column:
     """Values of tool tokens (mask 0) replaced by the next one's, from the end."""
-    return reverse_scan(F.arrays_zip(values.alias("v"), tool_mask.alias("m")), F.lit(0.0), lambda s, x: F.when(x["m"] == 0, s).otherwise(x["v"]))
+    return scanned_back(F.arrays_zip(values.alias("v"), tool_mask.alias("m")), F.lit(0.0), lambda s, x: F.when(x["m"] == 0, s).otherwise(x["v"]), lambda s: s)
 
 
 def skipping_gae(rewards: Column, settled: Column, tool_mask: Column, gamma: float, lam: Column) -> Column:
     """gae over settled values, where tool tokens hand on the advantage after them unchanged."""
-    state = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("v"), F.array().cast("array<double>").alias("out"))
+    start = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("v"))
 
-    def go(s: Column, x: Column) -> Column:
+    def step(s: Column, x: Column) -> Column:
         new = x["r"] + F.lit(gamma) * s["v"] - x["v"] + F.lit(gamma) * lam * s["a"]
-        return F.transform(F.array(F.when(x["m"] == 0, s["a"]).otherwise(new)), lambda a: F.struct(a.alias("a"), x["v"].alias("v"), F.concat(F.array(a), s["out"]).alias("out")))[0]
+        return F.struct(F.when(x["m"] == 0, s["a"]).otherwise(new).alias("a"), x["v"].alias("v"))
 
-    return F.aggregate(F.reverse(F.arrays_zip(rewards.alias("r"), settled.alias("v"), tool_mask.alias("m"))), state, go, lambda s: s["out"])
+    return scanned_back(F.arrays_zip(rewards.alias("r"), settled.alias("v"), tool_mask.alias("m")), start, step, lambda s: s["a"])
 
 
 def policy_lambda(length: Column, alpha: float, least: float = 0.9) -> Column:
@@ -106,16 +88,19 @@ def decoupled_gae(df: DataFrame, rewards: str, values: str, tool_mask: str, gamm
 
 
 def whitened_tokens(df: DataFrame, array: str, mask: str) -> DataFrame:
-    """An array column whitened over all attended tokens of the batch, and masked. Statistics come from sums of each row's
-    array (one row, broadcast); no token is exploded."""
+    """An array column whitened over all attended tokens of the batch, and masked.
+
+    One aggregate of each row's count, mean and squared deviations from that mean (one row, broadcast); no token is exploded.
+    """
     pairs = F.filter(F.zip_with(array, mask, lambda a, m: F.when(m == 1, a)), lambda x: x.isNotNull())
-    total = lambda f: F.sum(F.aggregate(pairs, F.lit(0.0), lambda s, x: s + f(x)))
-    mean = df.agg((total(lambda x: x) / F.sum(F.size(pairs))).alias("__mean"), F.sum(F.size(pairs)).alias("__n"))
-    d = df.crossJoin(F.broadcast(mean))
-    var = d.agg((F.sum(F.aggregate(pairs, F.lit(0.0), lambda s, x: s + (x - F.col("__mean")) * (x - F.col("__mean")))) / (F.max("__n") - 1)).alias("__var"))
-    d = d.crossJoin(F.broadcast(var))
+    n = F.size(pairs)
+    mean = bound(pairs, lambda p: F.when(F.size(p) > 0, F.aggregate(p, F.lit(0.0), lambda s, x: s + x) / F.size(p)))
+    rows = df.select(n.alias("n"), mean.alias("mean"), pairs.alias("x")).select("n", "mean", F.aggregate("x", F.lit(0.0), lambda s, x: s + (x - F.col("mean")) * (x - F.col("mean"))).alias("square"))
+    all_, centre = F.sum("n"), F.sum(F.col("n") * F.col("mean")) / F.sum("n")
+    square = F.sum("square") + F.sum(F.col("n") * F.col("mean") * F.col("mean")) - all_ * centre * centre
+    stats = rows.agg(centre.alias("__mean"), (F.greatest(F.lit(0.0), square) / F.when(all_ > 1, all_ - 1)).alias("__var"))
     white = F.zip_with(array, mask, lambda a, m: (a - F.col("__mean")) / F.sqrt(F.col("__var") + 1e-8) * m)
-    return d.withColumn(array, white).drop("__mean", "__n", "__var")
+    return df.crossJoin(F.broadcast(stats)).withColumn(array, white).drop("__mean", "__var")
 
 
 #: Estimators by name; those that need a value function.

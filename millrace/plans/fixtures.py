@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.sources.tables import table
@@ -25,6 +25,12 @@ def query(sql: str | None = None):
     return add
 
 
+def rounded(x: Column, places: int) -> Column:
+    """Rounded half away from zero as the SQL does, on the double itself: the sign of a zero stays, ties are those of the binary value."""
+    f = 10.0**places
+    return F.signum(x) * F.floor(F.abs(x) * f + 0.5).cast("double") / f
+
+
 TOKEN_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 #: Trajectories: an order; its customer is the prompt.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import sequence
 from millrace.operators import advantage, losses, scores
-from millrace.plans.fixtures import SEQ, TOK, query, sequences, tokens
+from millrace.plans.fixtures import SEQ, TOK, query, rounded, sequences, tokens
 from millrace.sources.tables import table
 
 
@@ -27,13 +27,13 @@ def suffix_returns(spark: SparkSession, sf: str) -> DataFrame:
 def remax(spark, sf):
     s = sequences(spark, sf)
     g = advantage.greedy_baseline(F.col("rs"), F.col("ms"), F.lit(0.1))
-    return s.select("row_id", F.transform(g["advantages"], lambda x: F.round(x, 9)).alias("advantages"))
+    return s.select("row_id", F.transform(g["advantages"], lambda x: rounded(x, 9)).alias("advantages"))
 
 
 @query(scanned("x.r + 0.9::DOUBLE * 0 AS s, (x.r + 0.9::DOUBLE * 0) * x.m AS c", "x.r + 0.9::DOUBLE * p.c, (x.r + 0.9::DOUBLE * p.c) * x.m") + " SELECT row_id, list(round(s, 9) ORDER BY t) AS returns FROM f GROUP BY row_id")
 def reinforce_pp(spark, sf):
     s = sequences(spark, sf)
-    return s.select("row_id", F.transform(advantage.discounted(F.col("rs"), F.col("ms"), 0.9), lambda x: F.round(x, 9)).alias("returns"))
+    return s.select("row_id", F.transform(advantage.discounted(F.col("rs"), F.col("ms"), 0.9), lambda x: rounded(x, 9)).alias("returns"))
 
 
 WHITE = ", w AS (SELECT sum(a * m) / sum(m) AS mu, var_samp(CASE WHEN m = 1 THEN a END) AS var FROM f)"
@@ -42,21 +42,30 @@ WHITE = ", w AS (SELECT sum(a * m) / sum(m) AS mu, var_samp(CASE WHEN m = 1 THEN
 @query(scanned("x.r - x.v AS a, x.v AS v, x.m AS m", "x.r + 0.99::DOUBLE * p.v - x.v + 0.99::DOUBLE * 0.95::DOUBLE * p.a, x.v, x.m") + " SELECT row_id, list(round(a, 9) ORDER BY t) AS advantages FROM f GROUP BY row_id")
 def gae(spark, sf):
     s = sequences(spark, sf)
-    return s.select("row_id", F.transform(advantage.gae(F.col("rs"), F.col("vs"), 0.99, 0.95), lambda x: F.round(x, 9)).alias("advantages"))
+    return s.select("row_id", F.transform(advantage.gae(F.col("rs"), F.col("vs"), 0.99, 0.95), lambda x: rounded(x, 9)).alias("advantages"))
 
 
 @query(scanned("x.r - x.v AS a, x.v AS v, x.m AS m", "x.r + 0.99::DOUBLE * p.v - x.v + 0.99::DOUBLE * 0.95::DOUBLE * p.a, x.v, x.m") + WHITE + " SELECT row_id, list(round((a - mu) / sqrt(var + 1e-8) * m, 6) ORDER BY t) AS advantages FROM f, w GROUP BY row_id")
 def gae_whitened(spark, sf):
     s = sequences(spark, sf).select("row_id", F.col("rs").alias("rewards"), F.col("vs").alias("values"), F.col("ms").alias("mask"))
     out = advantage.advantages(s, "gae", 0.99, 0.95)
-    return out.select("row_id", F.transform("advantages", lambda x: F.round(x, 6) + 0.0).alias("advantages"))
+    return out.select("row_id", F.transform("advantages", lambda x: rounded(x, 6)).alias("advantages"))
 
 
-@query()
+POLICY = "greatest(1 - 1 / greatest(0.05::DOUBLE * {0}, 1.0::DOUBLE), 0.9::DOUBLE)"
+
+
+@query(
+    scanned(
+        f"CASE WHEN x.tool = 0 THEN 0.0::DOUBLE ELSE x.v END AS v, CASE WHEN x.tool = 0 THEN 0.0::DOUBLE ELSE x.r - x.v END AS a, CASE WHEN x.tool = 0 THEN 0.0::DOUBLE ELSE x.r - x.v END AS b, {POLICY.format('(n.last + 1)')} AS lam",
+        "CASE WHEN x.tool = 0 THEN p.v ELSE x.v END, CASE WHEN x.tool = 0 THEN p.a ELSE x.r + p.v - x.v + 0.95::DOUBLE * p.a END, CASE WHEN x.tool = 0 THEN p.b ELSE x.r + p.v - x.v + p.lam * p.b END, p.lam",
+    )
+    + " SELECT row_id, list(round(a + v, 9) ORDER BY t) AS returns, list(round(b, 9) ORDER BY t) AS advantages FROM f GROUP BY row_id"
+)
 def decouple_gae(spark, sf):
     s = sequences(spark, sf)
     out = advantage.decoupled_gae(s, "rs", "vs", "tools", 1.0, 0.95, 0.05)
-    return out.select("row_id", "returns", "advantages")
+    return out.select("row_id", *[F.transform(c, lambda x: rounded(x, 9)).alias(c) for c in ("returns", "advantages")])
 
 
 @query(scanned("CASE WHEN x.tool = 0 THEN 0.0::DOUBLE ELSE x.v END AS v", "CASE WHEN x.tool = 0 THEN p.v ELSE x.v END") + " SELECT row_id, list(v ORDER BY t) AS vs FROM f GROUP BY row_id")
