@@ -61,11 +61,52 @@ def test_graph_search_finds_the_nearest_centroids():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(2000, 16))
     lists = ann.fit(x, 200)
-    counts = np.bincount([a[0] for a in lists.assign(x)], minlength=200)
-    assert counts.max() < 6 * counts.mean()
+    row, at, home = lists.assign(x)
+    held = np.bincount(at[home], minlength=200)
+    assert sorted(row[home].tolist()) == list(range(2000)) and np.bincount(row).max() <= ann.COPIES
+    assert held.max() < 6 * held.mean()
+    lists.ratio, lists.most = 1.4, 20
     hits = total = 0
     for q in x[:50]:
         d = np.sqrt(((lists.centroids - q) ** 2).sum(axis=1))
-        want = {c for c in np.argsort(d)[:20].tolist() if d[c] <= ann.SEARCH_RATIO * d.min()}
-        hits, total = hits + len(set(lists.search(q, 20)) & want), total + len(want)
+        want = {c for c in np.argsort(d)[:20].tolist() if d[c] <= 1.4 * d.min()}
+        hits, total = hits + len(set(lists.search(q, held, 11).tolist()) & want), total + len(want)
     assert hits >= 0.95 * total
+
+
+def test_search_goes_on_until_there_are_enough(spark):
+    rng = np.random.default_rng(6)
+    far = np.concatenate([rng.normal(size=(3000, 16)), 500 + 0.01 * rng.normal(size=(5, 16))])  # an isolated group of 5
+    df = table(spark, rows_of(far))
+    got = {}
+    for r in ann.nearest(df, df.where("vec_id >= 3000 OR vec_id < 5")).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert sorted(got) == [0, 1, 2, 3, 4, 3000, 3001, 3002, 3003, 3004]
+    for q, found in got.items():
+        assert [k for k, _ in sorted(found)] == list(range(1, 11))
+        if q >= 3000:
+            assert {v for _, v in sorted(found)[:4]} == set(range(3000, 3005)) - {q}
+
+
+def test_repeated_ids_count_once(spark):
+    rng = np.random.default_rng(7)
+    near = rng.normal(size=(2000, 8))
+    rows = rows_of(near) + [(5000, [float(c) for c in 300 + 0.01 * rng.normal(size=8)], 0, "", "", "") for _ in range(40)] + [(5001, [300.0] * 8, 0, "", "", "")]
+    df = table(spark, rows)  # 40 vectors of one id around the query
+    got = sorted((r.rank, r.vec_id) for r in ann.nearest(df, df.where("vec_id = 5001")).collect())
+    assert [k for k, _ in got] == list(range(1, 11)) and got[0][1] == 5000 and len({v for _, v in got}) == 10
+
+
+def test_share_of_compared_rows_falls():
+    rng = np.random.default_rng(8)
+    shares = []
+    for n in (2000, 20000):
+        x = rng.normal(size=(200, 32))[rng.integers(0, 200, n)] + 0.5 * rng.normal(size=(n, 32))
+        out = n // 4
+        lists = ann.fit(x[out:], max(1, len(x[out:]) // ann.POINTS))
+        found = [ann.fit_search(lists, x[:out], 10), ann.fit_search(lists, x[: 2 * out], 10)]
+        lists.ratio, lists.most = max(r for r, _ in found) * ann.WIDER, max(m for _, m in found) + ann.MORE
+        _, at, home = lists.assign(x)
+        sizes, held = np.bincount(at, minlength=len(lists.centroids)), np.bincount(at[home], minlength=len(lists.centroids))
+        shares.append(np.mean([sizes[lists.search(q, held, 11)].sum() / n for q in x[:100]]))
+    assert shares[1] < 0.3 and shares[1] < shares[0] / 2
