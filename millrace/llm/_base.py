@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -21,25 +22,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir; only where that is unset (tests) a new one of this machine."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. Where that is unset, a new one of this machine if
+    Spark runs in this process alone (tests); on a cluster this raises."""
     sc = spark.sparkContext
     where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or getattr(sc, "_millrace_dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = sc._millrace_dir = "file://" + tempfile.mkdtemp(prefix="millrace-")
     return where.rstrip("/")
 
 
 class Workspace:
-    """Intermediate tables, written once as Parquet in the shared folder, so that a lost executor loses none and no stage is computed twice."""
+    """Intermediate tables, written once as Parquet in the shared folder, so that a lost executor loses none and no stage is
+    computed twice. They go when the application ends; what is returned may be read until then."""
 
     def __init__(self, spark: SparkSession, name: str, basis: DataFrame | None = None):
         """basis: the table that the others are made from; by its size they get no more files than it would need."""
         self.spark, self.path, self.basis = spark, f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}", basis
+        folder = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.mkdirs(folder):
+            fs.deleteOnExit(folder)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         if self.basis is not None:
             df = few_files(df, self.basis)
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{self.path}/{name}")  # read only after it is committed
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:
@@ -57,6 +66,12 @@ def few_files(df: DataFrame, basis: DataFrame) -> DataFrame:
     return df.coalesce(most) if most < 1 << 30 else df  # a size that Spark cannot tell counts as huge
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names of our own that no column of df has in any case."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n for n in (x + "_" * i for i in range(2, 10**6)) if n.lower() not in taken) for x in names]
+
+
 def rows_of(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under names of our own: whatever else the input has cannot clash."""
     return df.select(*[F.col(f"`{old}`").alias(new) for new, old in columns.items()])

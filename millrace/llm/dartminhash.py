@@ -225,77 +225,82 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
 
     Two texts are linked if the weighted Jaccard similarity of their five-word shingles is `least` or more; classes are the
     connected components. Words are runs without white space. Null and empty texts and texts without words are classes of
-    their own. Rows with a null doc_id give no row. A repeated doc_id is in one class: that of all copies of its texts. Keys
-    are integers.
+    their own. Rows with a null doc_id give no row, though their texts link others. A repeated doc_id is in one class: that
+    of all copies of all its texts. Keys are integers.
     """
-    found = text_classes(docs, key, text, least)
-    repeated = found.select("doc_id", "class_id").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("class_id").alias("first")).where("n > 1")
-    if not repeated.isEmpty():  # a doc_id with several texts joins their classes
-        ws = Workspace(docs.sparkSession, "dedup", docs)
-        joined = found.join(repeated.select("doc_id", "first"), "doc_id").select(F.col("class_id").alias("a"), F.col("first").alias("b"))
-        again = ws.save(components(joined, ws, "ids"), "again")
-        found = found.join(again.withColumnRenamed("node", "class_id"), "class_id", "left").select("doc_id", F.coalesce("root", "class_id").alias("class_id"))
-    return found.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    ws = Workspace(docs.sparkSession, "dedup", docs)
+    found = ws.save(text_classes(docs, key, text, least).where("doc_id IS NOT NULL").select("doc_id", "node").distinct(), "ids")
+    several = found.where("node IS NOT NULL").groupBy("doc_id").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first <> last")
+    if not several.isEmpty():  # a doc_id with several texts joins their classes
+        joined = found.join(several.select("doc_id", "first"), "doc_id").select(F.col("node").alias("a"), F.col("first").alias("b"))
+        again = components(joined, ws, "ids")
+        found = ws.save(found.join(again, "node", "left").select("doc_id", F.coalesce("root", "node").alias("node")), "joined")
+    names = found.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("class_id"))
+    return found.join(names, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("class_id", "doc_id")).alias("class_id"))
 
 
 def text_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """doc_id, text_hash (xxhash64 of the text), whole (null without words), class_id and class_text of each distinct doc_id
-    and text: the smallest doc_id that has a text of the class, and the smallest whole of the class. Texts are what is linked, by whole, whatever ids they have.
+    """doc_id, text_hash (xxhash64 of the text), node and copies of each distinct doc_id (null ones too) and text: node names
+    the text's class, null for texts without words; copies is the number of rows. Texts are what is linked, whatever ids they
+    have; equal texts are told by 64-bit hashes of their word sequence.
 
     Exact copies are put together first. The members of a band's bucket are then compared with its most central member, the
-    one whose bands lie in the largest buckets; a copy group of any size takes one comparison a member. Members that this
-    leaves apart are compared with all members of their group, block by block, without a row for each pair.
+    one whose bands lie in the largest buckets; a copy group of any size takes one comparison a member. Members that are not
+    known to be connected with it after that are compared with all members of their group, block by block, without a row for
+    each pair. Then the components are worked out.
     """
-    spark = docs.sparkSession
-    ws = Workspace(spark, "dedup", docs)
-    d = rows_of(docs, doc_id=key, text=text).where("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text_hash", F.xxhash64("text"))
+    ws = Workspace(docs.sparkSession, "dedup", docs)
+    d = rows_of(docs, doc_id=key, text=text).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text_hash", F.xxhash64("text"))
     sigs = ws.save(signed(d), "sigs")
-    reps = ws.save(sigs.where("whole IS NOT NULL").groupBy("whole").agg(F.min("doc_id").alias("doc_id"), F.min_by("bands", "doc_id").alias("bands")), "reps")
+    first = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "text_hash")  # the row whose text stands for its copies
+    reps = ws.save(sigs.where("whole IS NOT NULL").groupBy("whole").agg(F.min(first).alias("row"), F.min_by("bands", first).alias("bands")).select("whole", "row.*", "bands"), "reps")
     rows = reps.select(F.col("whole").alias("doc"), F.explode("bands").alias("band"))
     sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = ws.save(rows.join(sizes, "band"), "shared")
     centre = shared.groupBy("doc").agg(F.sum("n").alias("centrality"))
-    leaders = shared.select("band", "doc").join(centre, "doc").groupBy("band").agg(F.max_by("doc", F.struct("centrality", "doc")).alias("leader"))
-    groups = ws.save(shared.select("band", "doc").join(leaders, "band").where("doc <> leader").select("leader", "doc").distinct(), "groups")
+    leaders = shared.join(centre, "doc").groupBy("band").agg(F.max_by("doc", F.struct("centrality", "doc")).alias("leader"))
+    groups = ws.save(shared.join(leaders, "band").where("doc <> leader").select("leader", "doc").distinct(), "groups")
     ws.drop("shared")
     nodes = groups.select(F.col("leader").alias("whole")).union(groups.select("doc")).distinct()
-    needed = ws.save(reps.select("whole", "doc_id").join(nodes, "whole", "left_semi").select("doc_id").distinct(), "needed")
-    if needed.count() <= 1_000_000:  # 8 MB of ids
+    needed = ws.save(reps.select("whole", "doc_id", "text_hash").join(nodes, "whole", "left_semi").select("doc_id", "text_hash").distinct(), "needed")
+    ws.drop("reps")
+    if needed.count() <= 1_000_000:  # 16 MB of ids and hashes
         needed = F.broadcast(needed)
-    sets = ws.save(elements(d.join(needed, "doc_id", "left_semi")).groupBy("node").agg(F.min("elements").alias("elements")), "sets")
+    known = d.withColumn("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1))).join(needed, ["doc_id", "text_hash"], "left_semi").select("text")
+    sets = ws.save(elements(known).groupBy("node").agg(F.min("elements").alias("elements")), "sets")
     one, other = sets.select(F.col("node").alias("leader"), F.col("elements").alias("x")), sets.select(F.col("node").alias("doc"), F.col("elements").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     tried = ws.save(groups.join(other, "doc").join(one, "leader").select("leader", "doc", F.size("y").alias("n"), (common / (F.size("x") + F.size("y") - common) >= least - 1e-12).alias("linked")), "tried")
+    ws.drop("groups")
     edges = tried.where("linked").select(F.col("leader").alias("a"), F.col("doc").alias("b"))
-    roots = ws.save(components(edges, ws, "star"), "roots")
-    apart = unresolved(tried, roots)
-    more = ws.save(apart_links(apart, sets, ws, least), "more")
-    if not more.isEmpty():
-        roots = ws.save(components(edges.union(more), ws, "all"), "roots2")
-    ws.drop("groups", "sets")
-    rooted = reps.select("whole", "doc_id").join(roots.withColumnRenamed("node", "whole"), "whole", "left").select("whole", "doc_id", F.coalesce("root", "whole").alias("root"))
-    named = rooted.select("whole", "root").join(rooted.groupBy("root").agg(F.min("doc_id").alias("class_id")), "root").select("whole", "class_id", F.col("root").alias("class_text"))
-    found = sigs.select("doc_id", "text_hash", "whole").join(named, "whole", "left")
-    return ws.save(found.select("doc_id", "text_hash", "whole", F.coalesce("class_id", "doc_id").alias("class_id"), "class_text").distinct(), "found")
-
-
-def unresolved(tried: DataFrame, roots: DataFrame) -> DataFrame:
-    """Of groups with two members or more besides the leader, some of them in another component than the leader: all members (leader, doc, n, root, apart)."""
-    node = roots.select(F.col("node"), F.col("root"))
-    m = tried.join(node.select(F.col("node").alias("doc"), "root"), "doc", "left").join(node.select(F.col("node").alias("leader"), F.col("root").alias("top")), "leader", "left")
-    m = m.select("leader", "doc", "n", F.coalesce("root", "doc").alias("root"), F.coalesce("top", "leader").alias("top")).withColumn("apart", F.col("root") != F.col("top"))
-    open_ = m.groupBy("leader").agg(F.count(F.lit(1)).alias("members"), F.sum(F.col("apart").cast("long")).alias("apart_n"), F.sum("n").alias("size")).where("members > 1 AND apart_n > 0")
+    more = ws.save(apart_links(unresolved(tried), sets, least), "more")
+    ws.drop("sets")
+    roots = components(edges.union(more), ws, "all")
+    found = sigs.groupBy("doc_id", "text_hash", "whole").agg(F.count(F.lit(1)).alias("copies")).join(roots.withColumnRenamed("node", "whole"), "whole", "left")
+    return ws.save(found.select("doc_id", "text_hash", F.coalesce("root", "whole").alias("node"), "copies"), "found")
+
+
+def unresolved(tried: DataFrame) -> DataFrame:
+    """Of groups with two members or more besides the leader, some of them not known to be connected with it: all members
+    (leader, doc, root, apart, blocks). What is known: a text's least linked leader, and that one's own."""
+    up = tried.where("linked").groupBy("doc").agg(F.min("leader").alias("up"))
+    top = up.select("doc", F.least("doc", "up").alias("top"))
+    known = top.join(top.select(F.col("doc").alias("top"), F.col("top").alias("next")), "top", "left").select("doc", F.coalesce("next", "top").alias("root"))
+    m = tried.join(known, "doc", "left").join(known.select(F.col("doc").alias("leader"), F.col("root").alias("its")), "leader", "left")
+    m = m.select("leader", "doc", "n", F.coalesce("root", "doc").alias("root"), (F.coalesce("root", "doc") != F.coalesce("its", "leader")).alias("other"), "linked")
+    m = m.select("leader", "doc", "n", "root", (F.col("other") & ~F.col("linked")).alias("apart"))
+    open_ = m.groupBy("leader").agg(F.count(F.lit(1)).alias("members"), F.count_if("apart").alias("apart_n"), F.sum("n").alias("size")).where("members > 1 AND apart_n > 0")
     return m.join(open_.select("leader", "size", "members"), "leader").select("leader", "doc", "root", "apart", F.greatest(F.ceil(F.col("size") / BLOCK_ELEMENTS), F.ceil(F.col("members") / BLOCK_MEMBERS)).alias("blocks"))
 
 
-def apart_links(apart: DataFrame, sets: DataFrame, ws: Workspace, least: float) -> DataFrame:
+def apart_links(apart: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Links (a, b) that join components: each block of the members apart from their leader, against each block of the group's members."""
     m = apart.withColumn("block", F.pmod(F.xxhash64("doc"), "blocks"))
     every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(i.alias("i"), F.col("block").alias("j"), F.lit(2).alias("side")))
     own = F.when(F.col("apart"), F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.struct(F.col("block").alias("i"), j.alias("j"), F.lit(1).alias("side"))))
     cells = m.select("leader", "doc", "root", F.explode(F.concat(every, F.coalesce(own, F.array().cast("array<struct<i:bigint,j:bigint,side:int>>")))).alias("c"))
     cells = cells.groupBy("leader", "doc", "root", "c.i", "c.j").agg(F.bit_or("c.side").alias("side"))
-    put = ws.save(cells, "cells").join(sets.withColumnRenamed("node", "doc"), "doc")
+    put = cells.join(sets.withColumnRenamed("node", "doc"), "doc")
 
     def run(pdf):
         import pandas as pd

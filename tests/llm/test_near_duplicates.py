@@ -87,7 +87,7 @@ def test_links_in_block_equals_all_pairs():
     ids, side = np.arange(32), np.full(32, 3)
     out = dm.links_in_block(ids, ids, sets, side, 0.8)
     linked = {(i, j) for i in range(32) for j in range(32) if i != j and len(set(sets[i]) & set(sets[j])) >= 0.8 * len(set(sets[i]) | set(sets[j]))}
-    assert all(p in linked for p in out) and bool(out) == bool(linked) and (30, 31) in out or (31, 30) in out
+    assert all(p in linked for p in out) and bool(out) == bool(linked) and ((30, 31) in out or (31, 30) in out)
 
 
 def test_repeated_ids_null_ids_and_empty_tables(spark):
@@ -97,6 +97,27 @@ def test_repeated_ids_null_ids_and_empty_tables(spark):
     assert classes(spark.createDataFrame([], DOCS)) == {}
 
 
+def test_repeated_ids_against_brute_force(spark):
+    """Classes of ids as components over ids and linked texts; texts of null ids link too."""
+    rng = random.Random(21)
+    bases = [words(rng, n) for n in (12, 50, 90)]
+    rows = [(rng.choice([None, *range(25)]), edited(rng, rng.choice(bases), rng.choice([0, 1, 2, 8]))) for _ in range(60)] + [(90, None), (91, ""), (91, "one two")]
+    of_text = brute([t for _, t in rows])
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for i, ((d, _), c) in enumerate(zip(rows, of_text, strict=True)):
+        for x, y in ([(("id", d), ("text", c))] if d is not None else []) + [(("text", c), ("text", of_text[i]))]:
+            root[find(x)] = find(y)
+    ids = {d for d, _ in rows if d is not None}
+    want = {d: min(e for e in ids if find(("id", e)) == find(("id", d))) for d in ids}
+    assert classes(spark.createDataFrame(rows, "doc_id long, text string")) == want
+
+
 @pytest.mark.parametrize("n", [300])
 def test_many_exact_copies(spark, n):
     got = classes(docs_of(spark, ["one two three four five six"] * n))
