@@ -1,10 +1,12 @@
 """Benchmark decontamination with DataFrame and SQL functions only.
 
 Words are lower-cased runs of letters and digits, shingles are five of them (an item of fewer words is one shingle). A
-window has an item's number of words. Windows are laid at every start where as many of the window's shingles are shared with
-items of its size as the least similarity takes: no other window can have it. Each window's 64-bit SimHash is looked up among the items of its size by a
-multi-index: of 24 blocks of the 64 bits one at least is equal if 23 bits or fewer differ. What lies within that radius is
-verified by the exact similarity of the shingles weighted by their counts.
+window has an item's number of words. Windows are laid only at starts where as many of the window's shingles are shared with
+items of its size as the least similarity takes: a lossless prefilter, which says nothing of the item. Each window's 64-bit
+SimHash is looked up in a multi-index of the items of its size: four blocks of 16 bits, where an item stands under every
+value within 4, 4, 3 and 3 flips of its own. Of two fingerprints that differ in 17 bits or fewer some block is within its
+flips, so that four keys of a window find all items within that radius. They are verified by the exact similarity of the
+shingles weighted by their counts.
 """
 
 from __future__ import annotations
@@ -12,15 +14,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.scan import scanned
 from millrace.llm._base import Workspace, rows_of, table
 
 WORDS, SIMILARITY = 5, 0.8
-#: Windows of similarity 0.8 differ from their item in 9.7 of 64 bits on average, in more than 23 with a probability of 4e-6.
-RADIUS = 23
-#: Rows of a side that is broadcast, at most (its size is counted first); beyond, Spark shuffles both sides.
-BROADCAST_ROWS = 1_000_000
-#: Offset and width of each of RADIUS + 1 blocks that make up 64 bits.
-BLOCKS = [(3 * j, 3) for j in range(16)] + [(48 + 2 * j, 2) for j in range(8)]
+#: Width of a block and the flips within which each is enumerated. A window of similarity 0.8 differs from its item in 9.7 of 64
+#: bits on average, and in more than 17 with a probability of 0.005; of similarity 0.85, of 0.0005.
+WIDTH, FLIPS = 16, (4, 4, 3, 3)
+#: All fingerprints within this distance meet: a farther one differs in more than its flips in every block.
+RADIUS = sum(f + 1 for f in FLIPS) - 1
+#: Bytes of the rows of a side that is broadcast, at most (they are added up first); beyond, Spark shuffles both sides.
+BROADCAST_BYTES = 16 << 20
 
 
 def word_hashes(text: Column) -> Column:
@@ -35,29 +39,34 @@ def shingle_hashes(words: str, k: int) -> Column:
 
 
 def simhash(shingles: str) -> Column:
-    """The sign of each bit's sum over an array column of shingle hashes, as 64 bits."""
-    ones = "aggregate(s, 0, (n, h) -> n + cast(shiftright(h, b) & 1L AS int))"
-    return F.expr(f"transform(array({shingles}), s -> aggregate(sequence(0, 63), 0L, (a, b) -> a | shiftleft(CASE WHEN 2 * {ones} > size(s) THEN 1L ELSE 0L END, b)))[0]")
+    """The sign of each bit's sum over an array column of shingle hashes, as 64 bits. Bits b and b + 32 are counted in one long."""
+    ones = "aggregate(s, 0L, (n, h) -> n + (shiftright(h, b) & 4294967297L))"
+    both = f"transform(array({ones}), n -> shiftleft(CASE WHEN 2 * (n & 4294967295L) > size(s) THEN 1L ELSE 0L END, b) | shiftleft(CASE WHEN 2 * shiftright(n, 32) > size(s) THEN 1L ELSE 0L END, b + 32))[0]"
+    return F.expr(f"transform(array({shingles}), s -> aggregate(sequence(0, 31), 0L, (a, b) -> a | {both}))[0]")
 
 
-def blocks(fingerprint: str) -> Column:
-    """An array of (block, value) of a fingerprint."""
-    return F.array(*[F.expr(f"struct({j} AS block, cast(shiftright({fingerprint}, {at}) & {(1 << n) - 1}L AS int) AS value)") for j, (at, n) in enumerate(BLOCKS)])
+def keys(fingerprint: str, variants: bool) -> Column:
+    """An array of (block, value) of a fingerprint: of each block its value, with variants every value within the block's flips."""
+    value = lambda j: f"cast(shiftright({fingerprint}, {WIDTH * j}) & {(1 << WIDTH) - 1}L AS int)"
+    if not variants:
+        return F.array(*[F.expr(f"struct({j} AS block, {value(j)} AS value)") for j in range(len(FLIPS))])
+    return F.concat(*[F.expr(f"transform(filter(sequence(0, {(1 << WIDTH) - 1}), m -> bit_count(m) <= {f}), m -> struct({j} AS block, {value(j)} ^ m AS value))") for j, f in enumerate(FLIPS)])
 
 
-def first_equal_block(a: str, b: str) -> Column:
-    out = F.lit(len(BLOCKS))
-    for j, (at, n) in reversed([*enumerate(BLOCKS)]):
-        out = F.when(F.expr(f"shiftright({a} ^ {b}, {at}) & {(1 << n) - 1}L") == 0, j).otherwise(out)
-    return out
+def occurrences(a: Column) -> Column:
+    """Each item with the number of equal ones before it, as one hash: sets of these overlap as the multisets do."""
+    ordered = F.array_sort(a)
+    start = F.struct(F.lit(0).cast("long").alias("x"), F.lit(-1).alias("n"))
+    nth = scanned(ordered, start, lambda s, x: F.struct(x.alias("x"), F.when((s["n"] >= 0) & (s["x"] == x), s["n"] + 1).otherwise(0).alias("n")), lambda s: s["n"], "int")
+    return F.zip_with(ordered, nth, lambda x, n: F.xxhash64(x, n))
 
 
 def weighted_similarity(a: str, b: str) -> Column:
     """Jaccard similarity of two arrays as multisets."""
-    counted = f"aggregate(array_distinct({a}), 0, (n, x) -> n + least(size(filter({a}, y -> y = x)), size(filter({b}, y -> y = x))))"
-    single = f"size(array_distinct({a})) = size({a}) OR size(array_distinct({b})) = size({b})"  # of one without repeats no shingle counts twice
-    common = f"CASE WHEN {single} THEN size(array_intersect({a}, {b})) ELSE {counted} END"
-    return F.expr(f"{common} / cast(size({a}) + size({b}) - {common} AS double)")
+    x, y = F.col(a), F.col(b)
+    single = (F.size(F.array_distinct(x)) == F.size(x)) | (F.size(F.array_distinct(y)) == F.size(y))  # of one without repeats no shingle counts twice
+    common = F.when(single, F.size(F.array_intersect(x, y))).otherwise(F.size(F.array_intersect(occurrences(x), occurrences(y))))
+    return F.transform(F.array(common), lambda n: n / (F.size(x) + F.size(y) - n).cast("double"))[0]
 
 
 def starts(least: float) -> Column:
@@ -75,9 +84,10 @@ def starts(least: float) -> Column:
     return F.expr(f"transform(array({c}), c -> {laid})[0]")
 
 
-def few(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it has been counted to be small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def few(df: DataFrame, width: Column | int) -> DataFrame:
+    """df, to be broadcast if its rows' bytes (width: of a row, at most) have been added up to few."""
+    size = df.agg(F.sum(width if isinstance(width, Column) else F.lit(width))).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", least: float = SIMILARITY) -> DataFrame:
@@ -103,14 +113,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     for k in sorted(kinds):
         own = items.where(F.col("k") == k).select("n_words", F.explode("s").alias("shingle")).distinct()
         ours = d.select("doc_id", shingle_hashes("w", k).alias("s")).select("doc_id", F.size("s").alias("n"), F.posexplode("s").alias("p", "shingle"))
-        found = ours.join(few(own), "shingle").select("doc_id", "n", "n_words", F.lit(k).alias("k"), "p")
+        found = ours.join(few(own, 16), "shingle").select("doc_id", "n", "n_words", F.lit(k).alias("k"), "p")
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         return docs.select(F.col(f"`{key}`").alias("doc_id")).where("false").crossJoin(items.select("item_id")).select("doc_id", "item_id", F.lit(0).alias("word_start"), F.lit(0).alias("n_words"), F.lit(0.0).alias("similarity"))
     placed = hits.groupBy("doc_id", "n", "n_words", "k").agg(F.sort_array(F.collect_set("p")).alias("ps")).withColumn("m", F.expr("n_words - k + 1")).withColumn("starts", starts(least)).where("size(starts) > 0")
     windows = ws.save(placed.groupBy("doc_id").agg(F.collect_list(F.struct("n", "n_words", "k", "starts")).alias("windows")), "windows")
-    small = (windows.agg(F.sum(F.expr("aggregate(windows, 0L, (a, x) -> a + size(x.starts))"))).first()[0] or 0) <= BROADCAST_ROWS
-    laid = d.join(F.broadcast(windows) if small else windows, "doc_id")
+    laid = d.join(few(windows, F.expr("aggregate(windows, 16L, (a, x) -> a + 32 + 4 * size(x.starts))")), "doc_id")
     looked = None
     for k in sorted(kinds):
         own = laid.withColumn("s", shingle_hashes("w", k)).select("doc_id", "s", F.explode(F.expr(f"filter(windows, x -> x.k = {k} AND x.n = size(s))")).alias("x"))
@@ -118,14 +127,27 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
         own = own.select("doc_id", "start", "n_words", F.expr(f"slice(s, start + 1, n_words - {k - 1})").alias("shingles"))
         looked = own if looked is None else looked.unionByName(own)
     looked = ws.save(looked.withColumn("fingerprint", simhash("shingles")), "looked")
-    index = items.select("item_id", "n_words", F.col("s").alias("item_shingles"), F.col("fingerprint").alias("item_fingerprint"), F.explode(blocks("fingerprint")).alias("x")).select("*", "x.*").drop("x").distinct()
-    near = looked.withColumn("x", F.explode(blocks("fingerprint"))).select("*", "x.*").drop("x").join(few(index), ["n_words", "block", "value"])
-    near = near.where(F.col("block") == first_equal_block("fingerprint", "item_fingerprint")).where(F.bit_count(F.expr("fingerprint ^ item_fingerprint")) <= RADIUS)
+    pairs = ws.save(found_near(looked, items), "pairs")
+    sized = items.select("item_id", "n_words", F.col("s").alias("item_shingles"), F.col("fingerprint").alias("item_fingerprint")).distinct()
+    near = looked.join(few(pairs, 24), ["n_words", "fingerprint"]).join(few(sized, F.size("item_shingles") * 8 + 32), ["n_words", "item_fingerprint"])
     exact = near.withColumn("similarity", weighted_similarity("item_shingles", "shingles")).where(F.col("similarity") >= least)
     best = F.max_by(F.struct("start", "n_words"), F.struct("similarity", -F.col("start"))).alias("w")
     return exact.groupBy("doc_id", "item_id").agg(best, F.max("similarity").alias("similarity")).select("doc_id", "item_id", F.col("w.start").alias("word_start"), "w.n_words", "similarity")
 
 
+def selected(looked: DataFrame, items: DataFrame) -> DataFrame:
+    """n_words, fingerprint, item_fingerprint that share a key of the multi-index: once for each distinct fingerprint, however many
+    windows have it."""
+    index = items.select("n_words", F.col("fingerprint").alias("item_fingerprint")).distinct().select("*", F.explode(keys("item_fingerprint", True)).alias("x")).select("n_words", "item_fingerprint", "x.*")
+    asked = looked.select("n_words", "fingerprint").distinct().select("*", F.explode(keys("fingerprint", False)).alias("x")).select("n_words", "fingerprint", "x.*")
+    return asked.join(index, ["n_words", "block", "value"]).select("n_words", "fingerprint", "item_fingerprint").distinct()
+
+
+def found_near(looked: DataFrame, items: DataFrame) -> DataFrame:
+    """The selected pairs of fingerprints that lie within the radius."""
+    return selected(looked, items).where(F.bit_count(F.expr("fingerprint ^ item_fingerprint")) <= RADIUS)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text of documents against every item of benchmark."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

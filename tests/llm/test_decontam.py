@@ -53,14 +53,54 @@ def test_against_all_windows(spark):
     assert (last.word_start, last.n_words, last.similarity) == (20000, 30, 1.0)
 
 
-def test_fingerprints_within_the_radius_share_a_block(spark):
+def test_fingerprints_within_the_radius_share_a_key(spark):
     rng = random.Random(4)
-    assert sum(n for _, n in decontam.BLOCKS) == 64 and len(decontam.BLOCKS) == decontam.RADIUS + 1
-    for _ in range(200):
-        x = 0
-        for b in rng.sample(range(64), decontam.RADIUS):
-            x |= 1 << b
-        assert any(not x >> at & (1 << n) - 1 for at, n in decontam.BLOCKS)
+    assert decontam.WIDTH * len(decontam.FLIPS) == 64
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    items, windows = [], []
+    for i in range(60):
+        x = rng.getrandbits(64)
+        worst = [b for j, f in enumerate(decontam.FLIPS) for b in rng.sample(range(16 * j, 16 * j + 16), f + 1)]  # one flip too many in every block
+        for bits in (rng.sample(range(64), decontam.RADIUS), rng.sample(worst, decontam.RADIUS), worst, []):
+            y = x
+            for b in bits:
+                y ^= 1 << b
+            windows.append((i, len(bits), signed(y)))
+        items.append((i, signed(x)))
+    d, b = spark.createDataFrame(windows, "n_words int, bits int, fingerprint long"), spark.createDataFrame(items, "n_words int, fingerprint long")
+    near = decontam.found_near(d, b).join(d, ["n_words", "fingerprint"]).groupBy("bits").count().collect()
+    assert {r.bits: r["count"] for r in near} == {0: 60, decontam.RADIUS: 120}
+
+
+def test_the_index_selects(spark):
+    """Of random pairs of fingerprints few share a key."""
+    rng = random.Random(14)
+    rand = lambda n: spark.createDataFrame([(1, rng.getrandbits(64) - (1 << 63)) for _ in range(n)], "n_words int, fingerprint long")
+    assert decontam.selected(rand(300), rand(40)).count() < 0.12 * 300 * 40
+
+
+def test_recall_near_the_threshold(spark):
+    """Of windows whose similarity is 0.8 to 0.85, nearly all lie within the radius."""
+    rng = random.Random(15)
+    items, texts = [], []
+    for _ in range(150):
+        v = words(rng, rng.randrange(20, 64))
+        m = len(v) - 4
+        drop = min(m, next(x for x in range(m, -1, -1) if (m - x) / (m + x) >= 0.8))  # shingles that may differ
+        y = [*v[: len(v) - drop], *[f"new{rng.randrange(10**6)}" for _ in range(drop)]]
+        items.append(" ".join(v))
+        texts.append(" ".join([*words(rng, 30), *y, *words(rng, 30)]))
+    got, want = run(spark, texts, items), brute(texts, items)
+    assert len(want) >= 150 and set(got) <= want and len(want & set(got)) >= 0.97 * len(want)
+
+
+def test_multiset_similarity(spark):
+    rng = random.Random(16)
+    rows = [([rng.randrange(6) for _ in range(rng.randrange(1, 40))], [rng.randrange(6) for _ in range(rng.randrange(1, 40))]) for _ in range(80)] + [([1], [2]), ([5] * 300, [5] * 290)]
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>").withColumn("x", decontam.weighted_similarity("a", "b"))
+    for r in df.collect():
+        a, b = Counter(r.a), Counter(r.b)
+        assert abs(r.x - (a & b).total() / (a | b).total()) < 1e-12
 
 
 def test_empty_tables_nulls_and_repeats(spark):
