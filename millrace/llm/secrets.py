@@ -1,11 +1,12 @@
 """Secret scans with DataFrame and SQL functions only.
 
-Base patterns find assignments, access keys and long hexadecimal runs. Beyond them, long tokens of letters and digits are
-put to a battery of tests of the hypothesis that they are drawn evenly from the alphabet of their inferred encoding:
-chi-squared uniformity, runs above and below the alphabet's middle, serial correlation. Its combined p-values are even for
-random tokens and near 0 for words, so that in each class of encoding and length the share of false discoveries above a
-threshold is known, and the threshold is set where that share is small enough. Each distinct token is one observation; a
-class of few has a fixed threshold.
+Base patterns find assignments, access keys and long hexadecimal runs. Beyond them, every long token is put to a battery of
+tests of the hypothesis that it is drawn evenly from the alphabet of its inferred encoding: chi-squared uniformity, runs
+above and below the alphabet's middle, serial correlation. Its combined p-values are nearly even for random tokens (of 20 to
+64 symbols of any alphabet 2 to 3 % lie under 0.01, 7 to 8 % under 0.05, 43 to 48 % under 1/2) and near 0 for most words, so
+that in each class of encoding and length the share of false discoveries above a threshold can be told, and the threshold is
+set where that share is small enough. Each distinct token is one observation. A class of few is pooled with those of
+neighbouring lengths; if all lengths of an encoding are few, its threshold is fixed.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm._base import Workspace, table
+from millrace.functions.scan import scanned
+from millrace.llm._base import Workspace, rows_of, table
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -25,6 +27,9 @@ ALPHABETS = [
     ("digits", "0123456789"),
     ("hex", "0123456789abcdef"),
     ("HEX", "0123456789ABCDEF"),
+    ("lower", "abcdefghijklmnopqrstuvwxyz"),
+    ("upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+    ("letters", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"),
     ("base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
     ("lower36", "0123456789abcdefghijklmnopqrstuvwxyz"),
     ("upper36", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
@@ -33,12 +38,16 @@ ALPHABETS = [
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
     ("mixed", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_"),
 ]
+#: Letters of one case: mostly long words.
+WORDLIKE = ("lower", "upper")
 #: Thresholds that are tried, and the share of false discoveries allowed.
-EDGES = [1e-4, 3e-4, 1e-3, 3e-3, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5]
+EDGES = [1e-4, 3e-4, 1e-3, 3e-3, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
+HALF = EDGES.index(0.5)
 FALSE_SHARE = 0.05
-#: A class of fewer distinct tokens tells nothing of the share; its threshold is this p, under which one random token in 100 is.
-FEW, FEW_EDGE = 20, 0.01
-#: Standard errors by which the number of a class's random tokens may exceed its estimate.
+#: Fewer distinct tokens of an encoding tell nothing of the share; their threshold is this p, or that one for letters of one case.
+FEW, FEW_EDGE, FEW_WORDLIKE = 20, 0.01, 0.2
+#: Standard errors by which the number of a class's random tokens is taken to exceed its estimate, if most of them are random; to
+#: fall short of it for letters of one case, if not; else the estimate itself is taken.
 ERRORS = 2
 SPANS = "array<struct<kind:int,start:int,end:int>>"
 
@@ -49,16 +58,11 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
 
 def places(text: Column, pattern: str, found: str) -> Column:
     """(start, end) in code points of each match in the array column `found`: the lengths of what lies between matches and of matches, added up."""
-    between = F.split(text, pattern, -1)
-    steps = F.zip_with(between, F.col(found), lambda a, b: F.struct(F.length(a).alias("gap"), F.coalesce(F.length(b), F.lit(0)).alias("n")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-
-    def add(acc: Column, x: Column) -> Column:
-        here = acc["at"] + x["gap"]
-        return F.struct((here + x["n"]).alias("at"), F.concat(acc["out"], F.array(F.struct(here.alias("start"), (here + x["n"]).alias("end")))).alias("out"))
-
-    out = F.slice(F.aggregate(steps, start, add)["out"], F.lit(1), F.greatest(F.lit(0), F.size(found)))
-    return F.when(F.size(found) > 0, out).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+    steps = F.zip_with(between, F.col(found), lambda a, b: F.struct(F.length(a).alias("gap"), F.length(b).alias("n")))
+    zero = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))
+    step = lambda s, x: F.struct((s["end"] + x["gap"]).alias("start"), (s["end"] + x["gap"] + x["n"]).alias("end"))
+    return F.when(F.size(found) > 0, scanned(steps, zero, step, lambda s: s, "struct<start:int,end:int>")).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
 
 def bound(value: str, name: str, body: str) -> str:
@@ -94,8 +98,7 @@ def tested(tokens: str, at: str) -> Column:
     p = bound(f"{names}[e]", "alpha", bound("transform(split(t, ''), c -> instr(alpha, c) - 1)", "codes", battery("codes", "cast(length(alpha) AS double)")))
     row = f"struct(x.p.start AS start, x.p.end AS end, xxhash64(t) AS token, e AS encoding, cast(floor(2 * log2(length(t))) AS int) AS length_class, {p} AS p)"
     each = bound("rtrim('=', x.t)", "t", bound(kinds, "e", row))
-    chosen = f"filter(zip_with({tokens}, {at}, (t, p) -> struct(t, p)), x -> x.t RLIKE '[0-9]' AND x.t RLIKE '[A-Za-z]')"
-    return F.expr(f"transform({chosen}, x -> {each})")
+    return F.expr(f"transform(zip_with({tokens}, {at}, (t, p) -> struct(t, p)), x -> {each})")
 
 
 def spans_of(kind: int, at: Column) -> Column:
@@ -103,68 +106,78 @@ def spans_of(kind: int, at: Column) -> Column:
 
 
 def found_in(docs: DataFrame, text: str) -> DataFrame:
-    """docs with base (spans of the base kinds) and candidates (tested tokens)."""
-    t = F.coalesce(F.col(text), F.lit(""))
+    """row (the columns of docs as a struct, whatever their names), base (spans of the base kinds) and candidates (tested tokens)."""
+    t = F.coalesce(F.col("text"), F.lit(""))
     some = t.contains("=") | t.contains(":")
     none = F.array().cast("array<string>")
-    d = docs.select(
-        "*",
-        t.alias("__text"),
-        F.when(some, matches(t, ASSIGN)).otherwise(none).alias("__assign"),
-        F.when(some, matches(t, ASSIGN, 2)).otherwise(none).alias("__value"),
-        F.when(t.contains("AKIA"), matches(t, ACCESS)).otherwise(none).alias("__access"),
-        matches(t, HEX).alias("__hex"),
-        matches(t, TOKEN).alias("__token"),
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text")).select(
+        "row",
+        t.alias("text"),
+        F.when(some, matches(t, ASSIGN)).otherwise(none).alias("assign"),
+        F.when(some, matches(t, ASSIGN, 2)).otherwise(none).alias("value"),
+        F.when(t.contains("AKIA"), matches(t, ACCESS)).otherwise(none).alias("access"),
+        matches(t, HEX).alias("hex"),
+        matches(t, TOKEN).alias("token"),
     )
-    d = d.select("*", *[places(F.col("__text"), p, c).alias(f"{c}_at") for c, p in (("__assign", ASSIGN), ("__access", ACCESS), ("__hex", HEX), ("__token", TOKEN))])
-    long = F.expr("transform(filter(zip_with(__assign_at, __value, (p, v) -> struct(p, v)), x -> length(x.v) >= 6), x -> x.p)")
-    base = F.concat(spans_of(0, long), spans_of(1, F.col("__access_at")), spans_of(2, F.col("__hex_at")))
-    return d.select(*[F.col(f"`{c}`") for c in docs.columns], base.cast(SPANS).alias("__base"), tested("__token", "__token_at").alias("__candidates"))
+    d = d.select("*", *[places(F.col("text"), p, c).alias(f"{c}_at") for c, p in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("token", TOKEN))])
+    long = F.expr("transform(filter(zip_with(assign_at, value, (p, v) -> struct(p, v)), x -> length(x.v) >= 6), x -> x.p)")
+    base = F.concat(spans_of(0, long), spans_of(1, F.col("access_at")), spans_of(2, F.col("hex_at")))
+    return d.select("row", base.cast(SPANS).alias("base"), tested("token", "token_at").alias("candidates"))
 
 
-def thresholds(found: DataFrame, share: float = FALSE_SHARE) -> dict[tuple[int, int], float]:
-    """The threshold of p in each class of encoding and length (a few hundred at most) in which any holds.
+def threshold(counts: list[int], wordlike: bool, share: float) -> float | None:
+    """The smallest edge with a false share of at most `share`, by the numbers of tokens over each edge and, last, of all.
 
-    Distinct tokens are counted, however often each occurs. Of a class's random tokens, which lie evenly, half have a p over
-    1/2, give or take ERRORS standard errors: of the tokens over a threshold, what exceeds the largest number of random ones
-    that agrees with this is false. The smallest threshold with a false share of at most `share` is taken.
+    Of the random tokens, which lie evenly, half are over 1/2; of the tokens over an edge, what exceeds the random ones is false.
     """
-    tokens = found.select(F.explode("__candidates").alias("x")).select("x.*").groupBy("encoding", "length_class", "token").agg(F.first("p").alias("p"))
-    over = [F.sum(F.when(F.col("p") >= e, 1).otherwise(0)).alias(f"n{i}") for i, e in enumerate(EDGES)]
+    half, n = counts[HALF], counts[-1]
+    errors = ERRORS if 4 * half >= n else -ERRORS if wordlike else 0
+    random = ((errors + (errors**2 + 8 * half) ** 0.5) / 2) ** 2
+    return next((e for e, m in zip(EDGES, counts, strict=False) if m and 1 - random * (1 - e) / m <= share), None)
+
+
+def thresholds(found: DataFrame, share: float = FALSE_SHARE) -> dict[tuple[int, int], float]:
+    """The threshold of p in each class of encoding and length (a few hundred at most) in which any holds. Distinct tokens are
+    counted, however often each occurs; a class of fewer than FEW together with those of the next lengths."""
+    tokens = found.select(F.explode("candidates").alias("x")).select("x.*").groupBy("encoding", "length_class", "token").agg(F.first("p").alias("p"))
+    over = [F.count_if(F.col("p") >= e).alias(f"n{i}") for i, e in enumerate(EDGES)]
+    own = {(r.encoding, r.length_class): [*r[2:]] for r in tokens.groupBy("encoding", "length_class").agg(*over, F.count("*").alias("n")).collect()}
     out = {}
-    for r in tokens.groupBy("encoding", "length_class").agg(F.count("*").alias("n"), *over).collect():
-        if r.n < FEW:
-            out[r.encoding, r.length_class] = FEW_EDGE
-            continue
-        random = ((ERRORS + (ERRORS**2 + 8 * r[f"n{len(EDGES) - 1}"]) ** 0.5) / 2) ** 2
-        for i, e in enumerate(EDGES):
-            if (n := r[f"n{i}"]) and 1 - random * (1 - e) / n <= share:
-                out[r.encoding, r.length_class] = e
-                break
+    for e, n in own:
+        lengths = sorted(m for x, m in own if x == e)
+        reach = next((d for d in range(lengths[-1] - lengths[0] + 1) if sum(own[e, m][-1] for m in lengths if abs(m - n) <= d) >= FEW), None)
+        wordlike = ALPHABETS[e][0] in WORDLIKE
+        if reach is None:
+            p = FEW_WORDLIKE if wordlike else FEW_EDGE
+        else:
+            p = threshold([sum(c) for c in zip(*[own[e, m] for m in lengths if abs(m - n) <= reach], strict=True)], wordlike, share)
+        if p is not None:
+            out[e, n] = p
     return out
 
 
 def scan(docs: DataFrame, text: str = "text", spans: str = "spans", share: float = FALSE_SHARE) -> DataFrame:
     """docs with a column of spans (an array): kind, start, end (code points, end exclusive) of each secret in the whole text, by start and kind.
 
-    Kinds are assign, access, hex and random; a random span is a token of 20 characters or more with a letter and a digit
-    that passes the battery and overlaps no base span. Null and empty texts have none; every row gives one row, and an input
-    column of that name is replaced. Thresholds are of all of docs' tokens. The matches, not the texts, are written to the
-    shared folder unless docs has the text among its columns.
+    Kinds are assign, access, hex and random; a random span is a token of 20 characters or more that passes the battery and
+    overlaps no base span. Null and empty texts have none; every row gives one row, and an input column named as `spans` is
+    replaced; other columns may have any name. Thresholds are of all of docs' tokens. The matches, and the columns of docs,
+    are written to the shared folder.
     """
     ws = Workspace(docs.sparkSession, "secrets", docs)
     found = ws.save(found_in(docs.drop(spans), text), "found")
-    return with_spans(found, share, spans).drop("__base", "__candidates")
+    return found.select("row.*", spans_in(found, share).alias(spans))
 
 
-def with_spans(found: DataFrame, share: float, name: str = "spans") -> DataFrame:
+def spans_in(found: DataFrame, share: float) -> Column:
+    """The spans of a row of found, with thresholds of all of found."""
     limit = thresholds(found, share)
     cases = " ".join(f"WHEN x.encoding = {e} AND x.length_class = {n} THEN x.p >= {p!r}D" for (e, n), p in sorted(limit.items()))
     ok = f"CASE {cases} ELSE false END" if cases else "false"
-    added = f"transform(filter(__candidates, x -> {ok} AND NOT exists(__base, b -> b.start < x.end AND x.start < b.end)), x -> struct({len(KINDS) - 1} AS kind, x.start AS start, x.end AS end))"
-    ordered = f"array_sort(transform(concat(__base, {added}), x -> struct(x.start AS start, x.kind AS kind, x.end AS end)))"
+    added = f"transform(filter(candidates, x -> {ok} AND NOT exists(base, b -> b.start < x.end AND x.start < b.end)), x -> struct({len(KINDS) - 1} AS kind, x.start AS start, x.end AS end))"
+    ordered = f"array_sort(transform(concat(base, {added}), x -> struct(x.start AS start, x.kind AS kind, x.end AS end)))"
     names = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
-    return found.withColumn(name, F.expr(f"transform({ordered}, x -> struct({names}[x.kind] AS kind, x.start AS start, x.end AS end))"))
+    return F.expr(f"transform({ordered}, x -> struct({names}[x.kind] AS kind, x.start AS start, x.end AS end))")
 
 
 def written(spans: Column) -> Column:
@@ -183,8 +196,8 @@ def redacted(text: str, spans: str, mark: str = "[SECRET]") -> Column:
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, numbers of the base kinds, base_sha256 and spans of each row of docs."""
     ws = Workspace(docs.sparkSession, "secrets", docs)
-    found = found_in(docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text")), "text").drop("text")
-    d = with_spans(ws.save(found, "found"), FALSE_SHARE)
+    found = ws.save(found_in(rows_of(docs, doc_id=key, text=text), "text").select(F.struct("row.doc_id").alias("row"), "base", "candidates"), "found")
+    d = found.select("row.doc_id", spans_in(found, FALSE_SHARE).alias("spans"))
     count = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("spans", lambda x: x["kind"] != KINDS[-1])
     return d.select("doc_id", *[count(k) for k in KINDS[:3]], F.sha2(written(base).cast("binary"), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))

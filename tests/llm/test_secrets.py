@@ -1,7 +1,9 @@
 import base64
 import hashlib
+import math
 import random
 import re
+from collections import Counter, defaultdict
 
 from helpers import DOCS, clashing, docs_of, words
 from millrace.llm import secrets
@@ -44,7 +46,7 @@ def test_battery_finds_random_tokens_and_leaves_words(spark):
 def test_random_p_values_are_even(spark):
     rng = random.Random(8)
     tokens = ["".join(rng.choice("0123456789abcdefghijklmnopqrstuvwxyz") for _ in range(48)) for _ in range(600)]
-    found = secrets.found_in(docs_of(spark, tokens), "text").selectExpr("explode(__candidates) AS x").selectExpr("x.p").collect()
+    found = secrets.found_in(docs_of(spark, tokens), "text").selectExpr("explode(candidates) AS x").selectExpr("x.p").collect()
     ps = sorted(r.p for r in found)
     assert max(abs(p - i / len(ps)) for i, p in enumerate(ps)) < 0.1
 
@@ -72,7 +74,7 @@ def test_long_text_with_many_matches(spark):
 def tokens_by_p(spark, alphabet, n, rng):
     """n random tokens of 40 symbols and their p, by p."""
     tokens = ["".join(rng.choice(alphabet) for _ in range(40)) for _ in range(n)]
-    found = secrets.found_in(docs_of(spark, tokens), "text").selectExpr("doc_id", "__candidates[0].p AS p").collect()
+    found = secrets.found_in(docs_of(spark, tokens), "text").selectExpr("row.doc_id", "candidates[0].p AS p").collect()
     return [t for _, t in sorted((r.p, tokens[r.doc_id]) for r in found)]
 
 
@@ -91,3 +93,93 @@ def test_copies_of_a_token_do_not_move_the_threshold(spark):
     secret = "".join(random.Random(3).choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-_") for _ in range(36))
     got = secrets.report(docs_of(spark, [*wordy, *[f"{secret}-_"] * 2000])).collect()
     assert sum(bool(r.spans) for r in got if r.doc_id < 200) <= 10
+
+
+def battery(t, alphabet):
+    """Fisher's combination of three p-values, written out once more."""
+    n, k, codes = len(t), len(alphabet), [alphabet.index(c) for c in t]
+    tail = lambda z: 1 / (1 + math.exp(min(700, 1.5976 * z + 0.070565992 * z**3)))
+    chi = (k / n * sum(c * c for c in Counter(codes).values()) - n) / (k - 1)
+    spread = 2 / (9 * (k - 1))
+    uniform = (max(0, chi) ** (1 / 3) - (1 - spread)) / spread**0.5
+    pairs = list(zip(codes, codes[1:], strict=False))
+    runs = abs(sum((2 * a < k) != (2 * b < k) for a, b in pairs) - (n - 1) / 2) / ((n - 1) ** 0.5 / 2)
+    serial = abs(sum((a - (k - 1) / 2) * (b - (k - 1) / 2) for a, b in pairs) / ((k * k - 1) / 12)) / (n - 1) ** 0.5
+    v = -sum(math.log(max(1e-290, min(1, p))) for p in (tail(uniform), 2 * tail(runs), 2 * tail(serial)))
+    return math.exp(-v) * (1 + v + v * v / 2)
+
+
+def brute(texts):
+    """All spans of each text."""
+    alphabets = dict(secrets.ALPHABETS)
+    tokens, seen = [], defaultdict(dict)
+    for i, t in enumerate(texts):
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}={0,2}", t or ""):
+            x = m[0].rstrip("=")
+            name = next((a for a, s in alphabets.items() if set(x) <= set(s)), "mixed")
+            group = (name, int(2 * math.log2(len(x))))
+            seen[group][x] = p = battery(x, alphabets[name])
+            tokens.append((i, m.start(), m.end(), group, p))
+    limits = {}
+    for name, n in seen:
+        for reach in range(40):
+            ps = [p for (a, m), own in seen.items() if a == name and abs(m - n) <= reach for p in own.values()]
+            if len(ps) >= 20:
+                break
+        words = name in ("lower", "upper")
+        if len(ps) < 20:
+            limits[name, n] = 0.2 if words else 0.01
+            continue
+        half = sum(p >= 0.5 for p in ps)
+        z = 2 if half >= len(ps) / 4 else -2 if words else 0
+        even = ((z + math.sqrt(z * z + 8 * half)) / 2) ** 2
+        limits[name, n] = next((e for e in secrets.EDGES if (k := sum(p >= e for p in ps)) and 1 - even * (1 - e) / k <= 0.05), 2)
+    out = []
+    for i, t in enumerate(texts):
+        base = [x.split(":") for x in base_spans(t).split(",") if x]
+        spans = [(int(s), secrets.KINDS.index(k), int(e)) for k, s, e in base]
+        spans += [(s, 3, e) for j, s, e, g, p in tokens if j == i and p >= limits[g] and not any(a < e and s < b for a, _, b in spans)]
+        out.append(",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans)))
+    return out
+
+
+def test_all_spans_against_brute_force(spark):
+    rng = random.Random(31)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(rng.choice(["tion", "er", "ment", "ing", "que", "lich", "heit", "a"]) for _ in range(8))
+    make = [lambda s=s, n=n: "".join(rng.choices(s, k=n)) for _, s in secrets.ALPHABETS for n in (20, 31, 64)]
+    make += [word, lambda: word().capitalize(), lambda: word().upper(), lambda: "-".join(["see", word(), "2"]), lambda: "0" * 30, lambda: str(10**25), lambda: letters, lambda: f"token={word()}", lambda: f"{rng.randbytes(20).hex()}"]
+    texts = [f"see {rng.choice(make)()} or {rng.choice(make)()}, there" for _ in range(700)] + [f"{word()} and" for _ in range(60)] + [*TEXTS, *TEXTS]
+    got = {r.doc_id: r.spans for r in secrets.report(clashing(docs_of(spark, texts))).collect()}
+    want = brute(texts)
+    assert [got[i] for i in range(len(texts))] == want and sum("random" in x for x in want) > 300
+
+
+def test_tokens_of_letters_or_digits_alone_are_tested(spark):
+    rng = random.Random(12)
+    kinds = [("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 28), ("0123456789", 22), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 28)]  # 24 digits would be a base span
+    texts = ["".join(rng.choices(s, k=n)) for s, n in kinds for _ in range(100)]
+    got = secrets.report(docs_of(spark, texts)).collect()
+    assert all(sum(f"random:0:{n}" in r.spans for r in got if r.doc_id // 100 == i) >= 90 for i, (_, n) in enumerate(kinds))
+
+
+def test_any_names_of_other_columns(spark):
+    docs = docs_of(spark, ["a token=abcdef z"])
+    for c in ("row", "base", "candidates", "token", "hex", "access", "assign", "value", "token_at", "x", "t"):
+        docs = docs.withColumn(c, docs.text.substr(1, 1))
+    r = secrets.scan(docs).first()
+    assert [(x.kind, x.start, x.end) for x in r.spans] == [("assign", 2, 14)] and all(r[c] == "a" for c in ("row", "base", "candidates", "token", "hex", "x"))
+
+
+def test_p_values_of_short_tokens(spark):
+    rng = random.Random(40)
+    tokens = [(a, n, "".join(rng.choices(s, k=n))) for a, s in secrets.ALPHABETS for n in (20, 32) for _ in range(400)]
+    names = [a for a, _ in secrets.ALPHABETS]
+    ps = defaultdict(list)
+    for r in secrets.found_in(docs_of(spark, [t for *_, t in tokens]), "text").selectExpr("row.doc_id AS i", "candidates[0] AS x").collect():
+        a, n, _ = tokens[r.i]
+        if names[r.x.encoding] == a:
+            ps[a, n].append(r.x.p)
+    for p in ps.values():
+        if len(p) > 300:
+            assert sum(x < 0.01 for x in p) <= 0.06 * len(p) and 0.35 < sum(x < 0.5 for x in p) / len(p) < 0.55
