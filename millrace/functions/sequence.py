@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.scan import scanned
+from millrace.functions.scan import bound, scanned
 
 
 def end_mask(ids: Column, *ends: int) -> Column:
@@ -115,6 +115,15 @@ def windows(tokens: Column, window: int, step: int, least: int) -> Column:
     return F.filter(F.transform(starts, lambda s: F.slice(tokens, s + 1, F.lit(window))), lambda w: F.size(w) >= least)
 
 
+def snapped_windows(tokens: Column, cuts: Column, window: int, step: int, least: int) -> Column:
+    """Windows at every step, each ended at the cut (a position of a token) nearest to its length, or at that length where there is
+    no cut; those of fewer than `least` tokens left out."""
+    starts = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+    near = lambda e: F.coalesce(F.array_min(F.transform(cuts, lambda c: F.struct(F.abs(c - e).alias("d"), c.alias("c"))))["c"], e)
+    cut = lambda s: bound(near(F.least(s + window, F.size(tokens))), lambda e: F.slice(tokens, s + 1, F.greatest(F.lit(0), e - s)))
+    return F.filter(F.transform(starts, cut), lambda w: F.size(w) >= least)
+
+
 def random_mask(n: Column, seed: Column, max_left: float = 0.3, least: float = 0.5) -> Column:
     """A mask with random left padding and a random number of valid positions, by a hash of the seed."""
     u = lambda k: F.pmod(F.xxhash64(seed, F.lit(k)), F.lit(1 << 20)) / F.lit(float(1 << 20))

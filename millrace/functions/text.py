@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.scan import bound as let
+
+# Patterns of boxes, think blocks, code fences, tags and links.
 BOXED = r"\\boxed\{((?:[^{}]|\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})*)\}"
 THINK = r"(?s)<think>(.*?)</think>"
 CODE = r"(?s)```python(.*?)```"
@@ -13,11 +16,6 @@ URL = r"https?://\S+"
 MARKDOWN_URL = r"!?\[[^\]]*\]\(([^)]+)\)"
 
 
-def let(value: Column, f) -> Column:
-    """f(value), with the value worked out once for each row."""
-    return F.transform(F.array(value), f)[0]
-
-
 def found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
@@ -27,6 +25,10 @@ def last(items: Column) -> Column:
     return F.when(F.size(items) > 0, F.element_at(items, -1))
 
 
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def count_of(text: Column, part: str) -> Column:
     return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("int")
 
@@ -53,6 +55,13 @@ def has_any_of(text: Column, characters: str) -> Column:
     return F.length(F.translate(text, characters, "")) < F.length(text)
 
 
+def traditional_characters(spark: SparkSession) -> str:
+    """All traditional Chinese characters of the unified block: those that the session's transliterator writes otherwise."""
+    block = [chr(c) for c in range(0x4E00, 0xA000)]
+    simple = spark._jvm.com.ibm.icu.text.Transliterator.getInstance("Traditional-Simplified").transliterate("\n".join(block)).split("\n")
+    return "".join(a for a, b in zip(block, simple, strict=True) if a != b)
+
+
 def low_quality(block: Column, lines: int = 5) -> Column:
     """A code block of few lines that are neither empty nor comments."""
     return F.size(F.filter(F.split(block, "\n"), lambda x: (x != "") & ~F.startswith(x, F.lit("#")))) <= lines
@@ -81,19 +90,33 @@ def answer_tail(text: Column, end: str = "<|im_end|>") -> Column:
     return F.coalesce(F.endswith(F.get(F.split(text, "</think>"), F.lit(1)), F.lit(end)), F.lit(False))
 
 
-def max_ngram_count(text: Column, n: int) -> Column:
-    """The count of the commonest character n-gram, the last start position left out; 0 if there is none.
+def ngrams(text: Column, n: int, piece: int = 256) -> Column:
+    """64-bit hashes of the character n-grams at every start but the last, in order of the hash. They are cut from pieces of the
+    text, since a place in a string is found by walking to it."""
+
+    def of(p: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(p) - n + 1), lambda i: F.xxhash64(F.substr(p, i, F.lit(n))))
+
+    size = F.length(text) - n
+    pieces = F.transform(F.sequence(F.lit(0), size - 1, F.lit(piece)), lambda i: F.substr(text, i + 1, F.least(F.lit(piece), size - i) + n - 1))
+    return F.when(size > 0, F.sort_array(F.flatten(F.transform(pieces, of)))).otherwise(F.array().cast("array<bigint>"))
 
-    One pass over the sorted n-grams. For long texts use operators.repetition, which keeps no array of n-grams.
-    """
-    grams = F.when(F.length(text) > n, F.transform(F.sequence(F.lit(1), F.length(text) - n), lambda i: F.substr(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    start = F.struct(F.lit("").alias("prev"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+def max_ngram_count(text: Column, n: int) -> Column:
+    """The count of the commonest character n-gram, the last start position left out; 0 if there is none, or for null."""
+    start = F.struct(F.lit(0).cast("long").alias("gram"), F.lit(0).alias("run"), F.lit(0).alias("best"))
 
     def step(a: Column, g: Column) -> Column:
-        run = F.when((a["prev"] == g) & (a["run"] > 0), a["run"] + 1).otherwise(1)
-        return F.struct(g.alias("prev"), run.alias("run"), F.greatest(a["best"], run).alias("best"))
+        run = F.when((a["gram"] == g) & (a["run"] > 0), a["run"] + 1).otherwise(1)
+        return let(run, lambda r: F.struct(g.alias("gram"), r.alias("run"), F.greatest(a["best"], r).alias("best")))
+
+    return F.coalesce(F.aggregate(ngrams(text, n), start, step, lambda a: a["best"]), F.lit(0))
 
-    return F.aggregate(F.array_sort(grams), start, step, lambda a: a["best"])
+
+def has_ngram_over(text: Column, n: int, most: int) -> Column:
+    """Whether a character n-gram occurs more than `most` times; false for null."""
+    many = let(ngrams(text, n), lambda g: F.when(F.size(g) > most, F.exists(F.sequence(F.lit(0), F.size(g) - 1 - most), lambda i: F.get(g, i) == F.get(g, i + most))))
+    return F.coalesce(many, F.lit(False))
 
 
 def repeats_pattern(text: Column) -> Column:
@@ -141,6 +164,52 @@ def last_boxed(text: Column) -> Column:
     return last(found(text, BOXED))
 
 
+def balanced(text: Column) -> Column:
+    """struct(first, end): places (from 1) of the first opening brace and of the closing one at which as many have closed as
+    opened; 0 without. One pass over the braces."""
+    braces = found(text, "[{}]", 0)
+    steps = let(braces, lambda b: F.zip_with(F.slice(F.split(text, "[{}]"), F.lit(1), F.size(b)), b, lambda gap, x: F.struct(F.length(gap).alias("gap"), (x == "{").alias("opens"))))
+    zero = F.lit(0)
+    start = F.struct(zero.alias("at"), zero.alias("depth"), zero.alias("first"), zero.alias("end"))
+
+    def step(s: Column, x: Column) -> Column:
+        at, depth = s["at"] + x["gap"] + 1, s["depth"] + F.when(x["opens"], 1).otherwise(-1)
+        first = F.when((s["first"] == 0) & x["opens"], at).otherwise(s["first"])
+        end = F.when((s["end"] == 0) & ~x["opens"] & (depth == 0), at).otherwise(s["end"])
+        return F.struct(at.alias("at"), depth.alias("depth"), first.alias("first"), end.alias("end"))
+
+    return F.aggregate(steps, start, step)
+
+
+def from_last(text: Column, mark: str) -> Column:
+    """The text from the last mark on; null without one."""
+    at = F.locate(mark[::-1], F.reverse(text))
+    return F.when(at > 0, F.substr(text, F.length(text) - at - len(mark) + 2))
+
+
+def from_last_box(text: Column) -> Column:
+    return F.coalesce(from_last(text, "\\boxed"), from_last(text, "\\fbox"))
+
+
+def last_box(text: Column) -> Column:
+    """The last box (else framed box) with its command and balanced braces of any depth; null without one or if it is open. Where
+    a box command is followed by a blank anywhere, what follows the last such up to a dollar, after that command."""
+    spaced = F.concat(F.lit("\\boxed "), F.get(F.split(F.element_at(F.split(text, r"\\boxed "), -1), r"\$"), F.lit(0)))
+    cut = let(from_last_box(text), lambda t: let(balanced(t), lambda b: F.when(b["end"] > 0, F.left(t, b["end"]))))
+    return F.when(F.contains(text, F.lit("\\boxed ")), spaced).otherwise(cut)
+
+
+def box_content(box: Column) -> Column:
+    """What a box as of last_box holds; null for a framed box."""
+    inner = F.when(F.startswith(box, F.lit("\\boxed{")) & F.endswith(box, F.lit("}")), F.substr(box, F.lit(8), F.length(box) - 8))
+    return F.when(F.startswith(box, F.lit("\\boxed ")), F.substr(box, F.lit(8))).otherwise(inner)
+
+
+def last_braced(text: Column) -> Column:
+    """The trimmed content of the braces after the last box command (else framed box), balanced at any depth; null without."""
+    return let(from_last_box(text), lambda t: let(balanced(t), lambda b: F.when((b["first"] > 0) & (b["end"] > 0), stripped(F.substr(t, b["first"] + 1, b["end"] - b["first"] - 1)))))
+
+
 def unboxed(text: Column) -> Column:
     """The content of a string that is one box, else null."""
     inner = F.regexp_extract(text, r"(?s)^\\boxed\{(.*)\}$", 1)
@@ -180,6 +249,12 @@ def has_tool_call(text: Column) -> Column:
     return last_program(text) != ""
 
 
+def tool_call(text: Column) -> Column:
+    """The program of a text's tool call, if it is there and stands unchanged in JSON; else null."""
+    program = last_program(text)
+    return let(program, lambda p: F.when((p != "") & (F.from_json(F.to_json(F.struct(p.alias("code"))), "code string")["code"] == p), p))
+
+
 def first_code(text: Column) -> Column:
     return F.regexp_extract(text, CODE, 1)
 
@@ -212,6 +287,11 @@ def without_last_call(text: Column) -> Column:
     return F.when(head.isNull(), text).otherwise(F.coalesce(before_last(head, "```python"), before_last(head, "``` python"), head))
 
 
+def without_tail(tokens: Column, n: int) -> Column:
+    """Tokens (of a text cut before its last call) without the last n."""
+    return F.slice(tokens, F.lit(1), F.greatest(F.lit(0), F.size(tokens) - n))
+
+
 def choice_letter(text: Column) -> Column:
     """The last of A-E as a word, else the trimmed text."""
     t = F.ltrim(F.trim(F.rtrim(F.rtrim(F.trim(text, F.lit("\n")), F.lit(".")), F.lit("/")), F.lit(" ")), F.lit(":"))
@@ -263,6 +343,11 @@ def has_chinese(text: Column) -> Column:
     return F.rlike(text, F.lit(r"[\u4e00-\u9fff]"))
 
 
+def has_chinese_message(messages: Column, *roles: str) -> Column:
+    """Whether a message (role, text) of one of the roles, or of any if none is named, holds Chinese."""
+    return F.exists(messages, lambda m: (m["role"].isin(*roles) if roles else F.lit(True)) & F.coalesce(has_chinese(m["text"]), F.lit(False)))
+
+
 def cut_points(tokens: Column) -> Column:
     """Positions (from 0) of tokens that hold a newline."""
     return F.filter(F.transform(tokens, lambda t, i: F.when(F.contains(t, F.lit("\n")), i)), lambda i: i.isNotNull())
@@ -297,7 +382,7 @@ def cuts() -> list:
     return (
         [(lambda t, m=m: after_last(t, m), True) for m in BEFORE_ANSWER]
         + [(lambda t, m=m: head_of_last(t, m), True) for m in AFTER_ANSWER]
-        + [(lambda t: last(found(t, BOXED, 0)), True), (lambda t: head_of_last(t, ". "), False)]
+        + [(lambda t: F.nullif(last_braced(t), F.lit("")), True), (lambda t: head_of_last(t, ". "), False)]
         + [(lambda t, m=m: after_last(t, m), True) for m in VERBS]
     )
 
@@ -325,22 +410,31 @@ def matched_answer(text: Column) -> Column:
     return let(s, lambda x: F.struct((x["m"] & F.rlike(x["t"], F.lit("[0-9]"))).alias("matched"), x["t"].alias("answer")))
 
 
+#: The line after an answer mark in any case (fixed value).
+ANSWER_LINE = r"(?i)Answer\s*:\s*([^\n]+)"
+#: A number before words (fixed value).
+NUMBER_AND_UNIT = r"^(\d+(\.\d+)?)\s+[a-zA-Z]+(?:\s+[a-zA-Z]+)*$"
+
+
 def candidates(text: Column) -> Column:
-    """Answers that a text may mean: tails of separators, the last box, then what follows = and set signs, choices, numbers before units."""
-    clean = lambda c: F.trim(F.trim(F.trim(c, F.lit("*"))), F.lit("*"))
-    tails = [F.trim(F.element_at(F.split(text, "####"), -1)), clean(F.element_at(F.split(text, "####\n"), -1)), clean(F.element_at(F.split(text, "Answer:"), -1)), clean(F.coalesce(last_boxed(text), F.lit("")))]
+    """Answers that a text may mean: tails of separators, the last answer line, the last box; then of each what follows =, a choice,
+    a number before units, what follows set signs."""
+    clean = lambda c: F.trim(stripped(F.trim(c, F.lit("*"))), F.lit("*"))
+    line, box = last(found(text, ANSWER_LINE)), last_boxed(text)
+    tails = [stripped(F.element_at(F.split(text, "####"), -1)), *[clean(F.element_at(F.split(text, mark), -1)) for mark in ("####\n", "Answer:")], *[clean(F.coalesce(c, F.lit(""))) for c in (line, box)]]
 
-    def more(a: Column) -> Column:
+    def signs(a: Column) -> Column:
         up = F.upper(a)
         choice = F.lit(None).cast("string")
         for c in "FEDCBA":
             choice = F.when(F.contains(up, F.lit(f"({c})")) | F.contains(up, F.lit(f"{c}:")) | F.contains(up, F.lit(f"{c}. ")), c).otherwise(choice)
-        tail = lambda mark: F.when(F.contains(a, F.lit(mark)), F.trim(F.element_at(F.split(a, mark.replace("\\", "\\\\")), -1)))
-        unit = F.when(F.rlike(a, F.lit(r"^(\d+(\.\d+)?)\s+[a-zA-Z]+(?:\s+[a-zA-Z]+)*$")), F.get(F.split(a, " "), F.lit(0)))
-        equal = F.when(F.contains(a, F.lit("=")), F.element_at(F.split(a, "="), -1))
-        return F.array(equal, choice, unit, tail("\\in"), tail("∈"))
+        return F.array(F.when(F.contains(a, F.lit("=")), F.element_at(F.split(a, "="), -1)), choice)
 
-    return let(F.array(*tails), lambda xs: F.concat(xs, F.filter(F.flatten(F.transform(xs, more)), lambda x: x.isNotNull())))
+    unit = lambda a: F.when(F.rlike(a, F.lit(NUMBER_AND_UNIT)), F.get(F.split(a, " "), F.lit(0)))
+    after = lambda a, mark, pattern: F.when(F.contains(a, F.lit(mark)), stripped(F.element_at(F.split(a, pattern), -1)))
+    sets = lambda a: F.array(after(a, "\\in", r"\\in"), after(a, "∈", "∈"))
+    more = lambda xs: F.concat(F.flatten(F.transform(xs, signs)), F.transform(xs, unit), F.flatten(F.transform(xs, sets)))
+    return let(F.array(*tails), lambda xs: F.concat(xs, F.filter(more(xs), lambda x: x.isNotNull())))
 
 
 # ---- formats --------------------------------------------------------------------------------------------------------
@@ -403,6 +497,15 @@ def message_files(messages: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(messages, lambda m: m["file"]), lambda f: f.isNotNull()))
 
 
+def rendered_chat(messages: Column, reply: Column | None = None, most: int | None = None) -> Column:
+    """Messages (role, text) in order as one text of marked turns, with a reply appended as the assistant's; of at most `most`
+    characters, cut on the right."""
+    if reply is not None:
+        messages = F.concat(F.transform(messages, lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text"))), F.array(F.struct(F.lit("assistant").alias("role"), reply.alias("text"))))
+    text = F.array_join(F.transform(messages, lambda m: F.concat(F.lit("<|"), m["role"], F.lit("|>"), m["text"])), "\n")
+    return text if most is None else F.left(text, F.lit(most))
+
+
 def last_user_turn(messages: Column) -> Column:
     """Index of the last message of the user; raises without one."""
     at = F.array_max(F.filter(F.transform(messages, lambda m, i: F.when(m["role"] == "user", i)), lambda i: i.isNotNull()))

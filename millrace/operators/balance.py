@@ -68,10 +68,17 @@ def balanced(df: DataFrame, batch: str, length: str, row: str, parts: int, equal
     return df.join(placed, [batch, row])
 
 
-def token_budget(df: DataFrame, batch: str, length: str, row: str, budget: int) -> DataFrame:
-    """df with micro: rows of a batch cut where the running sum of lengths passes multiples of the budget."""
-    w = Window.partitionBy(batch).orderBy(row).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("micro", F.floor((F.sum(length).over(w) - 1) / budget).cast("long"))
+def token_budget(df: DataFrame, batch: str, length: str, row: str, budget: int, bucket_rows: int = 1 << 16) -> DataFrame:
+    """df with micro: rows of a batch cut where the running sum of lengths, in order of the integer `row`, passes multiples of the budget.
+
+    Sums of a batch's buckets of rows meet in one task, rows only with those of their bucket.
+    """
+    d = df.withColumn("__bucket", F.floor(F.col(row) / bucket_rows))
+    sums = d.groupBy(batch, "__bucket").agg(F.sum(length).alias("__sum"))
+    before = sums.withColumn("__before", F.sum("__sum").over(Window.partitionBy(batch).orderBy("__bucket")) - F.col("__sum")).drop("__sum")
+    w = Window.partitionBy(batch, "__bucket").orderBy(row).rowsBetween(Window.unboundedPreceding, 0)
+    summed = d.withColumn("__sum", F.sum(length).over(w)).join(before, [batch, "__bucket"])
+    return summed.withColumn("micro", F.floor((F.col("__before") + F.col("__sum") - 1) / budget).cast("long")).select(*[F.col(f"`{c}`") for c in df.columns], "micro")
 
 
 def micro_batches(df: DataFrame, batch: str, length: str, row: str, budget: int) -> DataFrame:

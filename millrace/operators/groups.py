@@ -36,6 +36,22 @@ def keep_flags(df: DataFrame, group: str, flag: str, ratio: float, out: str = "k
     return df.join(g, group).withColumn(out, F.when(F.col("__k") >= F.ceil(F.col("__n") * F.lit(ratio)), F.col(flag)).otherwise(0)).drop("__k", "__n")
 
 
+def row_flag(passes: Column, length: Column, boxed: Column, text: Column, optimised: Column, least: int = 150, by_passes: bool = True, by_length: bool = True, by_box: bool = True) -> Column:
+    """1 for a row whose calls all passed (1), that is longer than `least` tokens and holds a box near its end, as far as each is
+    asked; a row of pass-rate optimisation needs a fence in its last 200 characters instead."""
+    parts = [c for c, asked in ((passes == 1, by_passes), (length > least, by_length), (boxed, by_box)) if asked]
+    good = F.lit(True)
+    for c in parts:
+        good &= F.coalesce(c, F.lit(False))
+    fenced = F.contains(F.right(text, F.lit(200)), F.lit("```"))
+    return F.when(F.when(F.coalesce(optimised, F.lit(0)) == 1, F.coalesce(fenced, F.lit(False))).otherwise(good), 1).otherwise(0)
+
+
+def skipped(df: DataFrame, flag: str, batch: str) -> DataFrame:
+    """Batches none of whose rows has the flag: an update skips them."""
+    return df.groupBy(batch).agg(F.max(F.when(F.col(flag) == 1, 1).otherwise(0)).alias("any")).where("any = 0").select(batch)
+
+
 def outcome_ratios(df: DataFrame, group: str, metric: str) -> DataFrame:
     """Shares of groups that are all right, all wrong and mixed; uniformly negative groups are none of these."""
     g = df.groupBy(group).agg(F.stddev_pop(metric).alias("sd"), F.sum(metric).alias("s"))

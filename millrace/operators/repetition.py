@@ -1,14 +1,20 @@
-"""Repetition in texts: character n-grams and consecutive patterns, in Arrow functions for texts of any length."""
+"""Repetition in texts of any length: character n-grams as columns, consecutive patterns in an Arrow function."""
 
 from __future__ import annotations
 
+import contextlib
+import signal
+import threading
 from collections import Counter
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.text import has_ngram_over, max_ngram_count
+
 
 def most_repeated(text: str | None, n: int) -> int:
     """The count of the commonest n-gram; the last start position is left out."""
@@ -18,15 +24,11 @@ def most_repeated(text: str | None, n: int) -> int:
 
 
 def ngram_count(text: Column, n: int) -> Column:
-    @F.pandas_udf(T.IntegerType())
-    def count(xs: pd.Series) -> pd.Series:
-        return pd.Series([most_repeated(x, n) for x in xs])
-
-    return count(text)
+    return max_ngram_count(text, n)
 
 
 def repeats(text: Column, n: int = 20, most: int = 20) -> Column:
-    return ngram_count(text, n) > most
+    return has_ngram_over(text, n, most)
 
 
 def has_runs(text: str | None, times: int = 20) -> bool | None:
@@ -53,9 +55,48 @@ def has_runs(text: str | None, times: int = 20) -> bool | None:
     return False
 
 
-def consecutive(text: Column) -> Column:
-    @F.pandas_udf(T.BooleanType())
-    def check(xs: pd.Series) -> pd.Series:
-        return pd.Series([has_runs(x) for x in xs], dtype="object")
+class OutOfTime(Exception):
+    pass
+
+
+@contextlib.contextmanager
+def time_limit(seconds: float | None) -> Iterator[None]:
+    """Raises OutOfTime in its body after that many seconds of the wall clock (where a signal can be had: a worker's main thread)."""
+    if not seconds or threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def stop(*_):
+        raise OutOfTime
+
+    was = signal.signal(signal.SIGALRM, stop)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, was)
+
+
+def consecutive(text: Column, seconds: float | None = None) -> Column:
+    """has_runs of a column. With a limit of seconds a text, struct(repeats, timed_out): a text that takes longer counts as repeating."""
+    if seconds is None:
+
+        @F.pandas_udf(T.BooleanType())
+        def check(xs: pd.Series) -> pd.Series:
+            return pd.Series([has_runs(x) for x in xs], dtype="object")
+
+        return check(text)
+
+    @F.pandas_udf("repeats boolean, timed_out boolean")
+    def limited(xs: pd.Series) -> pd.DataFrame:
+        out = []
+        for x in xs:
+            try:
+                with time_limit(seconds):
+                    out.append((has_runs(x), False))
+            except OutOfTime:
+                out.append((True, True))
+        return pd.DataFrame(out, columns=["repeats", "timed_out"], dtype="object")
 
-    return check(text)
+    return limited(text)

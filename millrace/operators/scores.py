@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import pandas as pd
@@ -22,9 +23,9 @@ def hash_score(response: Column, truth: Column, method: str = "strict", format_s
 
 
 def boxed_score(response: Column, truth: Column) -> Column:
-    """The last box, equal to the truth in plain form; without a box 0."""
-    got = text.last_boxed(response)
-    return F.when(got.isNull(), 0.0).when(normalize.equivalent(got, truth), 1.0).otherwise(0.0)
+    """The last box, its braces balanced at any depth, equal to the truth in plain form; without a box (or with a framed one) 0."""
+    content = text.box_content(text.last_box(response))
+    return text.let(content, lambda got: F.when(got.isNull(), 0.0).when(normalize.equivalent(got, truth), 1.0).otherwise(0.0))
 
 
 def format_score(response: Column) -> Column:
@@ -36,21 +37,45 @@ def geometry_score(response: Column, truth: Column) -> Column:
     return 0.9 * F.when(text.last_boxed(response) == truth, 1.0).otherwise(0.0) + 0.1 * format_score(response)
 
 
+def graded(got: Column, truth: Column, symbolic: Callable[[Column, Column], Column] | None = None) -> Column:
+    """Equal plain or lenient forms; else the cascade of comparisons, with pi as its value and as 3.14 where it occurs."""
+    same = (normalize.plain_answer(got) == normalize.plain_answer(truth)) | (normalize.lenient(got) == normalize.lenient(truth))
+    value = lambda x, pi: F.coalesce(normalize.pi_value(x, pi), normalize.number_of(x))
+    with_pi = F.contains(got, F.lit("\\pi")) | F.contains(truth, F.lit("\\pi"))
+    by_pi = [F.coalesce(with_pi & normalize.same_number(value(got, pi), value(truth, pi)), F.lit(False)) for pi in (math.pi, 3.14)]
+    return F.coalesce(same, F.lit(False)) | by_pi[0] | by_pi[1] | normalize.math_equal_column(got, truth, symbolic)
+
+
+def matched(response: Column, truth: Column, symbolic: Callable[[Column, Column], Column] | None = None) -> Column:
+    """struct(correct, format, answer) of the heuristically matched answer. The format is that of a response in steps with a box;
+    it counts as kept where plain or lenient forms are equal."""
+    form = F.contains(response, F.lit("Step 2:")) & F.contains(response, F.lit("\\box"))
+
+    def of(got: Column) -> Column:
+        early = F.coalesce((normalize.plain_answer(got) == normalize.plain_answer(truth)) | (normalize.lenient(got) == normalize.lenient(truth)), F.lit(False))
+        return F.struct(graded(got, truth, symbolic).alias("correct"), (form | early).alias("format"), got.alias("answer"))
+
+    return text.let(text.reply(response), of)
+
+
 def matched_score(response: Column, truth: Column) -> Column:
-    """The heuristically matched answer: equal in lenient form, else by the cascade of comparisons."""
-    got = text.reply(response)
-    same = normalize.lenient(got) == normalize.lenient(truth)
-    return F.when(same | normalize.math_equal_column(got, truth), 1.0).otherwise(0.0)
+    """1 if the heuristically matched answer is right."""
+    return text.let(text.reply(response), lambda got: F.when(graded(got, truth), 1.0).otherwise(0.0))
 
 
-def verified_score(response: Column, truth: Column, kind: str = "default", n: int = 50, most: int = 20) -> Column:
-    """0 for repetitions; 1 for the right box; else 0, or -0.5 (0 without a box) for the kind with format."""
+def verified_score(response: Column, truth: Column, kind: str = "default", n: int = 50, most: int = 20, symbolic: Callable[[Column, Column], Column] | None = None) -> Column:
+    """0 for repetitions; 1 for the right box; else 0, or -0.5 (0 without a box) for the kind with format. A box is right if it
+    equals the truth in any case, in its normal or plain form, or by `symbolic`, a function of both, where there is one."""
     from millrace.operators.repetition import repeats
 
-    got = text.last_boxed(response)
-    right = (F.lower(got) == F.lower(truth)) | (normalize.final_answer(got) == normalize.final_answer(truth)) | normalize.equivalent(got, truth)
     wrong = 0.0 if kind == "default" else -0.5
-    return F.when(repeats(response, n, most), 0.0).when(got.isNull(), 0.0).when(F.coalesce(right, F.lit(False)), 1.0).otherwise(wrong)
+
+    def of(got: Column) -> Column:
+        right = (F.lower(got) == F.lower(truth)) | (normalize.final_answer(got) == normalize.final_answer(truth)) | normalize.equivalent(got, truth)
+        right = F.coalesce(right, F.lit(False)) if symbolic is None else text.let(F.coalesce(right, F.lit(False)), lambda r: F.when(r, True).otherwise(symbolic(got, truth)))
+        return F.when(got.isNull(), 0.0).when(right, 1.0).otherwise(wrong)
+
+    return F.when(repeats(response, n, most), 0.0).otherwise(text.let(text.last_boxed(response), of))
 
 
 def code_format(response: Column) -> Column:
@@ -83,14 +108,17 @@ def dispatched(source: Column, response: Column, truth: Column, default: Scorer
     return out
 
 
-def safe(score: Callable[[str, str], float]) -> Scorer:
-    """A scorer from any Python function; what raises or gives no number scores 0."""
+def safe(score: Callable[[str, str], float], seconds: float | None = None) -> Scorer:
+    """A scorer from any Python function; what raises, gives no number or takes longer than the limit of a row scores 0."""
 
     @F.pandas_udf(T.DoubleType())
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        from millrace.operators.repetition import time_limit
+
         def one(x: str, y: str) -> float:
             try:
-                got = score(x, y)
+                with time_limit(seconds):
+                    got = score(x, y)
                 return float(got[0] if isinstance(got, tuple) else got)
             except Exception:  # a scorer's own error is a score of 0
                 return 0.0
@@ -117,9 +145,22 @@ def output_matches(output: Column, expected: Column) -> Column:
     return (F.trim(output) == F.trim(expected)) | (lines(output) == lines(expected)) | near | (tokens(output) == tokens(expected))
 
 
-def sparse_reward(score: Column, valid: Column, length: Column) -> Column:
-    """An array of zeros with the score at the last valid position."""
-    return F.when(length > 0, F.transform(F.sequence(F.lit(0), length - 1), lambda i: F.when(i == valid - 1, score).otherwise(F.lit(0.0)))).otherwise(F.array().cast("array<double>"))
+#: Results of a run against an expected output: right, wrong, an error while running, an error before that.
+RIGHT, WRONG, RUN_ERROR, COMPILE_ERROR = 1, 0, -1, -2
+
+
+def output_result(output: Column, expected: Column, error: Column) -> Column:
+    """The code of a run's result. error: run, compile, or null."""
+    return F.when(error == "compile", COMPILE_ERROR).when(error == "run", RUN_ERROR).when(output_matches(output, expected), RIGHT).otherwise(WRONG)
+
+
+def sparse_reward(score: Column, valid: Column, length: Column, given: Column | None = None, passes: Column | None = None, optimised: Column | None = None) -> Column:
+    """An array of zeros with the score at the last valid position; rows of pass-rate optimisation have their passes there instead.
+    Rewards that are given (not null) are returned as they are."""
+    if optimised is not None:
+        score = F.when(optimised == 1, passes.cast("double")).otherwise(score)
+    made = F.when(length > 0, F.transform(F.sequence(F.lit(0), length - 1), lambda i: F.when(i == valid - 1, score).otherwise(F.lit(0.0)))).otherwise(F.array().cast("array<double>"))
+    return made if given is None else F.coalesce(given, made)
 
 
 def at_last_position(score: Column, positions: Column, mask: Column, response_length: Column) -> Column:

@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions import text
 from millrace.operators import advantage, balance, batch, dispatch, groups, sampling
+from millrace.plans import config
 from millrace.plans.fixtures import RESP, SEQ, TOK, TRAJ, query, responses, sequences, tokens, trajectories
 from millrace.sources import files
 from millrace.sources.tables import shared_folder, table
@@ -67,10 +69,10 @@ def inverse_permutation(spark, sf):
     return batch.inverse_permutation(permutation(spark, sf).withColumnRenamed("row_id", "value"))
 
 
-@query(f"WITH {TRAJ} SELECT row_id, reward FROM traj WHERE row_id < 50 UNION ALL SELECT row_id, reward FROM traj WHERE row_id % 1000 = 0")
+@query(f"WITH {TRAJ} SELECT row_id, reward FROM traj UNION ALL SELECT row_id, reward FROM traj")
 def proto_concat(spark, sf):
     t = trajectories(spark, sf).select("row_id", "reward")
-    return batch.concat(t.where("row_id < 50"), t.where("row_id % 1000 = 0"))
+    return batch.concat(t, t)
 
 
 @query(f"WITH {TRAJ} SELECT row_id, uid, reward, score FROM traj")
@@ -461,11 +463,11 @@ def json_array_roundtrip(spark, sf):
     return files.read_json_array(spark, path, "c_custkey long, c_name string, c_acctbal double")
 
 
-@query("SELECT c_custkey, c_name FROM customer UNION ALL SELECT c_custkey, c_name FROM customer WHERE c_custkey < 10")
+@query("SELECT c_custkey, c_name FROM customer UNION ALL SELECT c_custkey, c_name FROM customer")
 def json_lines_append(spark, sf):
     path, c = fresh(spark, "lines"), table(spark, sf, "customer").select("c_custkey", "c_name")
     files.append_json_lines(c, path)
-    files.append_json_lines(c.where("c_custkey < 10"), path)
+    files.append_json_lines(c, path)
     return files.read_json_lines(spark, path, "c_custkey long, c_name string")
 
 
@@ -503,4 +505,86 @@ def windowed_means(spark, sf):
 @query("SELECT conv_id, string_agg(concat('<|', role, '|>', text), chr(10) ORDER BY turn) AS chat FROM conversations GROUP BY conv_id")
 def chat_render(spark, sf):
     c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
-    return c.select("conv_id", F.array_join(F.transform("m", lambda m: F.concat(F.lit("<|"), m["role"], F.lit("|>"), m["text"])), "\n").alias("chat"))
+    return c.select("conv_id", text.rendered_chat(F.col("m")).alias("chat"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE 'x' END AS truth, o_orderstatus AS style FROM orders")
+def nested_fields(spark, sf):
+    """A prompt table written as Parquet with a nested reward model, whose fields are read by successive keys."""
+    path, o = fresh(spark, "prompts"), table(spark, sf, "orders")
+    truth = F.array(F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).otherwise("x"))
+    o.select("o_orderkey", F.struct(F.col("o_orderstatus").alias("style"), truth.alias("truth")).alias("reward_model")).write.parquet(path)
+    got = files.nested(files.read_prompts(spark, [path]), "reward_model", "truth", name="truth")
+    return files.nested(got, "reward_model", "style", name="style").select("o_orderkey", "truth", "style")
+
+
+@query("SELECT p_name AS prompt, p_brand AS chosen, p_type AS rejected FROM part")
+def preference_rows(spark, sf):
+    path = fresh(spark, "preferences")
+    table(spark, sf, "part").select("p_partkey", F.col("p_name").alias("prompt"), F.col("p_brand").alias("chosen"), F.col("p_type").alias("rejected")).write.parquet(path)
+    return files.read_preferences(spark, [path])
+
+
+@query("SELECT concat(r_name, CASE WHEN r_regionkey % 2 = 0 THEN ' é' ELSE ' ñ' END) AS text FROM region")
+def text_files(spark, sf):
+    """Whole text files, some in UTF-8 and some in another charset, read as text."""
+    path = fresh(spark, "texts")
+    t = table(spark, sf, "region").select(F.concat("r_name", F.when(F.col("r_regionkey") % 2 == 0, " é").otherwise(" ñ")).alias("value"), (F.col("r_regionkey") % 2).alias("k"))
+    for k, charset in ((0, "utf-8"), (1, "iso-8859-1")):
+        part = t.where(F.col("k") == k).select("value")
+        part.repartition(part.count(), "value").write.option("encoding", charset).option("lineSep", "\u0001").text(f"{path}/{k}")
+    whole = files.read_text(spark, f"{path}/*/*.txt").select(F.explode(F.split("text", "\u0001")).alias("text"))
+    return whole.where("text <> ''")
+
+
+@query("SELECT i AS n, concat('run_', i + 1) AS name FROM range(5) r(i)")
+def versioned_names(spark, sf):
+    made = [(n, files.versioned([f"run_{i}" for i in range(n)], "run")) for n in range(5)]
+    return spark.createDataFrame(made, "n long, name string")
+
+
+@query("SELECT 'a/b' AS key, '1' AS value UNION ALL SELECT 'a/xs/list_len', '2' UNION ALL SELECT 'a/xs/0', 'p' UNION ALL SELECT 'a/xs/1/z', 'q'")
+def flat_config(spark, sf):
+    return spark.createDataFrame([(k, str(v)) for k, v in files.flatten_config({"a": {"b": 1, "xs": ["p", {"z": "q"}]}}).items()], "key string, value string")
+
+
+@query("SELECT CAST(r AS BIGINT) AS ranks, CASE WHEN 32 % r <> 0 THEN 1 ELSE 0 END + CASE WHEN 8 % r <> 0 THEN 1 ELSE 0 END AS problems FROM range(1, 9) t(r)")
+def config_problems(spark, sf):
+    found = [(r, len(config.problems({"train_batch": 8, "samples": 4, "ranks": r, "mini": 16, "micro": 8}))) for r in range(1, 9)]
+    return spark.createDataFrame(found, "ranks long, problems int")
+
+
+@query("SELECT c_custkey, CAST(c_custkey % 4 AS INT) AS part_id, 1 AS places FROM customer")
+def placed_parts(spark, sf):
+    """Rows on partitions by their part: each part is on one partition only."""
+    c = table(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") % 4).cast("int").alias("part_id"))
+    at = balance.placed(c, 4).withColumn("place", F.spark_partition_id())
+    places = at.groupBy("part_id").agg(F.countDistinct("place").cast("int").alias("places"))
+    return at.join(places, "part_id").select("c_custkey", "part_id", "places")
+
+
+@query("SELECT n_nationkey, length(n_name) AS n FROM nation")
+def registered_tool(spark, sf):
+    r = dispatch.Registry()
+    r.register("length")(F.length)
+    return table(spark, sf, "nation").select("n_nationkey", r["length"]("n_name").cast("long").alias("n"))
+
+
+@query("SELECT n_nationkey, r_name, 25 AS rows FROM nation, region")
+def sent_to_all(spark, sf):
+    n, r = table(spark, sf, "nation").select("n_nationkey"), table(spark, sf, "region").select("r_name")
+    return dispatch.to_all(n, r).withColumn("rows", F.lit(dispatch.on_driver(n, lambda d: d.count())).cast("int"))
+
+
+@query(f"WITH {TRAJ} SELECT row_id, reward FROM traj WHERE row_id <= {N} - 10 AND ({N} - 10 - row_id) % 7 = 0")
+def proto_slice_back(spark, sf):
+    return batch.slice_rows(trajectories(spark, sf), -10, None, -7).select("row_id", "reward")
+
+
+@query(f"WITH {TRAJ}, x AS (SELECT source, CAST(count(*) AS BIGINT) AS n, CAST(sum(round(score)) AS BIGINT) AS total FROM traj GROUP BY 1) SELECT n, total, 8 AS parts, true AS balanced FROM x")
+def balanced_parts(spark, sf):
+    """What balanced parts keep: all rows and lengths, and no part longer than the mean and the longest row together."""
+    d = trajectories(spark, sf).select("row_id", "source", F.round("score").cast("long").alias("len"))
+    parts = balance.balanced(d, "source", "len", "row_id", 8).groupBy("source", "part_id").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("s"), F.max("len").alias("longest"))
+    g = parts.groupBy("source").agg(F.sum("n").alias("n"), F.sum("s").alias("total"), F.count(F.lit(1)).cast("int").alias("parts"), (F.max("s") <= F.sum("s") / 8 + F.max("longest")).alias("balanced"))
+    return g.drop("source")

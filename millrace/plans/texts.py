@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions import normalize, text
-from millrace.operators import repetition, scores
+from millrace.functions import normalize, sequence, text
+from millrace.operators import groups, repetition, scores
 from millrace.plans import filters, rollout
 from millrace.plans.fixtures import RESP, TOK, query, responses, tokens
 from millrace.sources.tables import table
@@ -113,6 +113,22 @@ def boxed_near_end(spark, sf):
     return responses(spark, sf).select("row_id", text.boxed_near_end(F.split("predict", " "), 3).alias("boxed"))
 
 
+CLEAN = "trim(regexp_replace(trim({0}, '*'), '^\\s+|\\s+$', '', 'g'), '*')"
+TRIMMED = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
+
+
+def candidates_sql(x: str) -> str:
+    """SQL of the candidate answers of a text."""
+    line, box = f"coalesce(regexp_extract_all({x}, '(?i)Answer\\s*:\\s*([^\n]+)', 1)[-1], '')", f"coalesce(regexp_extract_all({x}, '{BOX}', 1)[-1], '')"
+    tails = [TRIMMED.format(f"string_split({x}, '####')[-1]"), *[CLEAN.format(c) for c in (f"string_split({x}, concat('####', chr(10)))[-1]", f"string_split({x}, 'Answer:')[-1]", line, box)]]
+    choice = "CASE " + " ".join(f"WHEN contains(upper(a), '({c})') OR contains(upper(a), '{c}:') OR contains(upper(a), '{c}. ') THEN '{c}'" for c in "ABCDEF") + " END"
+    signs = f"[CASE WHEN contains(a, '=') THEN string_split(a, '=')[-1] END, {choice}]"
+    unit = r"CASE WHEN regexp_matches(a, '^(\d+(\.\d+)?)\s+[a-zA-Z]+(?:\s+[a-zA-Z]+)*$') THEN string_split(a, ' ')[1] END"
+    sets = f"[CASE WHEN contains(a, concat(chr(92), 'in')) THEN {TRIMMED.format("string_split(a, concat(chr(92), 'in'))[-1]")} END, CASE WHEN contains(a, '∈') THEN {TRIMMED.format("string_split(a, '∈')[-1]")} END]"
+    more = f"list_concat(flatten(list_transform(xs, lambda a: {signs})), list_concat(list_transform(xs, lambda a: {unit}), flatten(list_transform(xs, lambda a: {sets}))))"
+    return f"(SELECT list_concat(xs, list_filter({more}, lambda a: a IS NOT NULL)) FROM (SELECT [{', '.join(tails)}] AS xs))"
+
+
 # ---- extractors -----------------------------------------------------------------------------------------------------
 
 
@@ -201,13 +217,13 @@ def cut_points(spark, sf):
     return p.select("doc_id", F.size("p").alias("cuts"), text.nearest(F.col("p"), F.lit(100)).alias("nearest"))
 
 
-@query()
+@query(f"WITH {RESP} SELECT row_id, true AS matched, regexp_extract_all(predict, '{BOX}', 1)[-1] AS answer FROM resp")
 def match_answer(spark, sf):
     r = responses(spark, sf).select("row_id", text.matched_answer(F.col("predict")).alias("m"))
     return r.select("row_id", "m.matched", "m.answer")
 
 
-@query()
+@query(f"WITH {RESP} SELECT row_id, {candidates_sql('predict')} AS answers FROM resp")
 def candidate_answers(spark, sf):
     return responses(spark, sf).select("row_id", text.candidates(F.col("predict")).alias("answers"))
 
@@ -291,22 +307,33 @@ def may_evaluate(spark, sf):
     return table(spark, sf, "part").select("p_partkey", normalize.may_evaluate(F.col("p_name")).alias("ok"))
 
 
-@query()
+@query(f"""WITH {ANSWERS} SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN concat(chr(92), 'frac{{', p_partkey % 10, '}}{{3}}') WHEN 2 THEN concat(chr(92), 'frac{{', p_partkey, '}}{{', p_size, '}}') WHEN 4 THEN concat(chr(92), 'sqrt{{', p_size % 10, '}}degrees')
+WHEN 5 THEN replace(s, ' ', '') WHEN 7 THEN concat(chr(92), 'boxed{{', chr(92), 'frac{{1}}{{', p_size, '}}}}') WHEN 8 THEN concat(p_size, 'dollars') ELSE s END AS plain FROM (SELECT ans.*, p_size FROM ans JOIN part USING (p_partkey))""")
 def plain_latex(spark, sf):
-    return answers(spark, sf).select("p_partkey", normalize.plain_latex_udf(F.col("s")).alias("plain"))
+    return answers(spark, sf).select("p_partkey", normalize.plain_latex(F.col("s")).alias("plain"))
 
 
-@query()
+@query(f"""WITH {ANSWERS} SELECT p_partkey, CASE p_partkey % 9 WHEN 0 THEN concat(p_partkey % 10, '/3') WHEN 1 THEN concat(p_partkey, '.', p_size) WHEN 3 THEN concat('', p_partkey) WHEN 4 THEN concat('sqrt(', p_size % 10, ')')
+WHEN 6 THEN concat('1', p_partkey % 900 + 100) WHEN 7 THEN concat('1/', p_size) ELSE s END AS form FROM (SELECT ans.*, p_size FROM ans JOIN part USING (p_partkey))""")
 def lenient_form(spark, sf):
     return answers(spark, sf).select("p_partkey", normalize.lenient(F.col("s")).alias("form"))
 
 
-@query()
+SAME = "coalesce(abs(v - w / 100) <= 1e-4 * greatest(abs(v), abs(w / 100)) OR abs(v - w) <= 1e-4 * greatest(abs(v), abs(w)) OR abs(v - w * 100) <= 1e-4 * greatest(abs(v), abs(w * 100)), false)"
+
+
+@query(f"SELECT p_partkey, {SAME} AS equal FROM (SELECT p_partkey, CASE p_partkey % 9 WHEN 2 THEN p_partkey / CAST(p_size AS DOUBLE) WHEN 3 THEN p_partkey / 100.0::DOUBLE WHEN 6 THEN CAST(1000 + p_partkey % 900 + 100 AS DOUBLE) END AS v, CAST(p_size AS DOUBLE) AS w FROM part)")
 def math_equal(spark, sf):
     return answers(spark, sf).select("p_partkey", normalize.math_equal_column(F.col("s"), F.col("p_size").cast("string")).alias("equal"))
 
 
-@query()
+def _form_sql(x: str) -> str:
+    n = _normal_sql(TRIMMED.format(x))
+    return f"(SELECT {TRIMMED.format("CASE WHEN regexp_matches(replace(f, ',', ''), '^[0-9]+$') THEN replace(f, ',', '') ELSE f END")} FROM (SELECT replace({n}, '$', '') AS f))"
+
+
+@query(f"""WITH {RESP}, c AS (SELECT row_id, {candidates_sql('predict')} AS a, {candidates_sql('truth')} AS b FROM resp), l AS (SELECT row_id, unnest(a) AS a FROM c), r AS (SELECT row_id, unnest(b) AS b FROM c),
+x AS (SELECT DISTINCT row_id, {_form_sql('a')} AS f FROM l), y AS (SELECT DISTINCT row_id, {_form_sql('b')} AS f FROM r) SELECT row_id, coalesce(m, false) AS match FROM resp LEFT JOIN (SELECT DISTINCT row_id, true AS m FROM x JOIN y USING (row_id, f) WHERE f <> '') USING (row_id)""")
 def exact_match(spark, sf):
     return responses(spark, sf).select("row_id", normalize.exact_match(F.col("predict"), F.col("truth")).alias("match"))
 
@@ -340,22 +367,34 @@ def code_format(spark, sf):
     return responses(spark, sf).select("row_id", scores.code_format(F.col("predict")).alias("score"))
 
 
-@query()
+LONGEST_50 = LONGEST.replace("- 19", "- 49").replace(", 20)", ", 50)")
+
+
+@query(f"WITH {RESP} SELECT row_id, CASE WHEN coalesce({LONGEST_50}, 0) > 20 THEN 0.0::DOUBLE WHEN regexp_extract_all(predict, '{BOX}', 1)[-1] = truth THEN 1.0::DOUBLE ELSE -0.5::DOUBLE END AS score FROM resp")
 def verifier_score(spark, sf):
     return responses(spark, sf).select("row_id", scores.verified_score(F.col("predict"), F.col("truth"), "v2.wformat").alias("score"))
 
 
-@query()
+@query(f"WITH {RESP} SELECT row_id, {BOXED_SCORE} AS score FROM resp")
 def boxed_score(spark, sf):
     return responses(spark, sf).select("row_id", scores.boxed_score(F.col("predict"), F.col("truth")).alias("score"))
 
 
-@query()
+MATCHED = f"x AS (SELECT row_id, regexp_extract_all(predict, '{BOX}', 1)[-1] AS box, truth, CAST(truth AS DOUBLE) AS w FROM resp), y AS (SELECT *, CASE WHEN box = truth THEN w ELSE 1 / nullif(w, 0) END AS v FROM x)"
+
+
+@query(f"WITH {RESP}, {MATCHED} SELECT row_id, CASE WHEN {SAME} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM y")
 def matched_score(spark, sf):
     return responses(spark, sf).select("row_id", scores.matched_score(F.col("predict"), F.col("truth")).alias("score"))
 
 
-@query()
+@query(f"WITH {RESP}, {MATCHED} SELECT row_id, {SAME} AS correct, box = truth AS format, box AS answer FROM y")
+def matched_triple(spark, sf):
+    r = responses(spark, sf).select("row_id", scores.matched(F.col("predict"), F.col("truth")).alias("m"))
+    return r.select("row_id", "m.*")
+
+
+@query(f"WITH {RESP} SELECT row_id, CASE WHEN ends_with(predict, truth) THEN 1.0::DOUBLE / length(truth) WHEN regexp_matches(predict, '[0-9]$') THEN CAST(right(predict, 1) AS DOUBLE) ELSE 0.0::DOUBLE END AS score FROM resp")
 def safe_scorer(spark, sf):
     def exact(a: str, b: str) -> float:
         return 1.0 / len(b) if a.endswith(b) else int(a[-1])
@@ -472,3 +511,104 @@ def pass_rate_branch(spark, sf):
 @query(f"WITH {RESP} SELECT row_id, CAST(i AS INT) AS try_id FROM resp, range(3) r(i)")
 def sample_tries(spark, sf):
     return rollout.tries(responses(spark, sf).select("row_id"), 3)
+
+
+# ---- boxes by braces, row flags, messages, more normal forms ---------------------------------------------------------
+
+BOXES = """bx AS (SELECT p_partkey, p_size, p_size % 8 AS d, concat('so ', CASE p_partkey % 5 WHEN 0 THEN concat(chr(92), 'boxed{1} then ', chr(92), 'boxed{') WHEN 1 THEN concat(chr(92), 'fbox{') WHEN 2 THEN concat(chr(92), 'boxed ') WHEN 3 THEN concat(chr(92), 'boxed{') ELSE concat('} ', chr(92), 'boxed{ ') END,
+ repeat('{a', CAST(p_size % 8 AS INT)), p_size, repeat('}', CAST(p_size % 8 AS INT)), CASE p_partkey % 5 WHEN 2 THEN '$ more' WHEN 3 THEN ' open' WHEN 4 THEN ' } end' ELSE '} end' END) AS s FROM part)"""
+INNER = "concat(repeat('{a', CAST(d AS INT)), p_size, repeat('}', CAST(d AS INT)))"
+
+
+@query(f"WITH {BOXES} SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN concat(chr(92), 'boxed{{', {INNER}, '}}') WHEN 1 THEN concat(chr(92), 'fbox{{', {INNER}, '}}') WHEN 2 THEN concat(chr(92), 'boxed ', {INNER}) WHEN 4 THEN concat(chr(92), 'boxed{{ ', {INNER}, ' }}') END AS box, CASE p_partkey % 5 WHEN 4 THEN concat(' ', {INNER}, ' ') WHEN 0 THEN {INNER} WHEN 2 THEN {INNER} END AS content, CASE WHEN p_partkey % 5 IN (0, 1, 4) THEN {INNER} WHEN p_partkey % 5 = 2 AND d > 0 THEN substr({INNER}, 2, length({INNER}) - 2) END AS braced FROM bx")
+def braced_box(spark, sf):
+    body = BOXES[len("bx AS (SELECT p_partkey, p_size, p_size % 8 AS d, ") : -len(" AS s FROM part)")]
+    b = table(spark, sf, "part").select("p_partkey", F.expr(body).alias("s"))
+    return b.select("p_partkey", text.last_box(F.col("s")).alias("box"), text.box_content(text.last_box(F.col("s"))).alias("content"), text.last_braced(F.col("s")).alias("braced"))
+
+
+@query(f"WITH {RESP} SELECT row_id, CASE WHEN row_id % 3 = 0 THEN concat('print(', truth, ')', chr(10)) END AS call FROM resp")
+def tool_call(spark, sf):
+    t = F.when(F.col("row_id") % 3 == 0, F.concat(F.lit("so\n```python\nprint("), "truth", F.lit(")\n```"))).otherwise(F.concat(F.lit("```python\nprint("), "truth"))
+    return responses(spark, sf).select("row_id", text.tool_call(t).alias("call"))
+
+
+@query(f"WITH {RESP}, w AS (SELECT *, string_split(predict, ' ') AS t, row_id % 13 = 0 AS optim FROM resp) SELECT row_id, CASE WHEN CASE WHEN optim THEN contains(right(predict, 200), '```') ELSE passes = 1 AND len(t) > 15 AND coalesce(length(regexp_extract(array_to_string(t[-3:], ''), '\\\\boxed\\{{(.*)\\}}', 1, 's')) > 0, false) END THEN 1 ELSE 0 END AS flag FROM w")
+def row_flags(spark, sf):
+    tokens_ = F.split("predict", " ")
+    flag = groups.row_flag(F.col("passes"), F.size(tokens_), text.boxed_near_end(tokens_, 3), F.col("predict"), F.when(F.col("row_id") % 13 == 0, 1).otherwise(0), 15)
+    return responses(spark, sf).select("row_id", flag.alias("flag"))
+
+
+@query(f"WITH {RESP} SELECT uid FROM resp GROUP BY uid HAVING max(CASE WHEN score = 1 THEN 1 ELSE 0 END) = 0")
+def skipped_batches(spark, sf):
+    return groups.skipped(responses(spark, sf), "score", "uid")
+
+
+@query("WITH m AS (SELECT conv_id, list(concat('<|', role, '|>', text) ORDER BY turn) AS m FROM conversations GROUP BY 1) SELECT conv_id, left(array_to_string(list_append(m, '<|assistant|>done'), chr(10)), 500) AS chat, bool_or(role = 'user' AND regexp_matches(text, '[\\x{4e00}-\\x{9fff}]')) AS chinese FROM m JOIN conversations USING (conv_id) GROUP BY conv_id, m")
+def chat_append(spark, sf):
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("m"))
+    return c.select("conv_id", text.rendered_chat(F.col("m"), F.lit("done"), 500).alias("chat"), text.has_chinese_message(F.col("m"), "user").alias("chinese"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN -2 WHEN p_partkey % 4 = 1 THEN -1 WHEN p_size % 2 = 0 THEN 1 ELSE 0 END AS result FROM part")
+def output_codes(spark, sf):
+    k = F.col("p_partkey") % 4
+    error = F.when(k == 0, "compile").when(k == 1, "run")
+    out = F.concat("p_name", F.lit("\n\n"), F.col("p_size"), F.lit(" "))
+    want = F.concat("p_name", F.lit("\n"), F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string")).otherwise(F.lit("none")))
+    return table(spark, sf, "part").select("p_partkey", scores.output_result(out, want, error).alias("result"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN [0.25::DOUBLE] ELSE [0.0::DOUBLE, CASE WHEN p_partkey % 3 = 1 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END, 0.0::DOUBLE] END AS rewards FROM part")
+def given_rewards(spark, sf):
+    k = F.col("p_partkey") % 3
+    r = scores.sparse_reward(F.lit(0.5), F.lit(2), F.lit(3), F.when(k == 0, F.array(F.lit(0.25))), F.lit(1), F.when(k == 1, 1).otherwise(0))
+    return table(spark, sf, "part").select("p_partkey", r.alias("rewards"))
+
+
+@query("WITH w AS (SELECT doc_id, string_split(text, ' ') AS t FROM documents), c AS (SELECT doc_id, t, list_filter(list_transform(range(0, len(t)), lambda i: CASE WHEN contains(t[i + 1], chr(10)) THEN i END), lambda i: i IS NOT NULL) AS p FROM w), s AS (SELECT doc_id, t, p, unnest(range(0, len(t), 150)) AS s FROM c), e AS (SELECT doc_id, s, coalesce((SELECT min(struct_pack(d := abs(c - least(s + 200, len(t))), c := c)) FROM (SELECT unnest(p) AS c)).c, least(s + 200, len(t))) - s AS n FROM s) SELECT doc_id, coalesce(list(CAST(n AS INT) ORDER BY s) FILTER (n >= 64), []) AS sizes FROM e GROUP BY doc_id")
+def snapped_windows(spark, sf):
+    d = docs(spark, sf).select("doc_id", F.split("text", " ").alias("t"))
+    w = sequence.snapped_windows(F.col("t"), text.cut_points(F.col("t")), 200, 150, 64)
+    return d.select("doc_id", F.transform(w, F.size).alias("sizes"))
+
+
+@query("SELECT p_partkey, concat(p_size, CASE WHEN p_size % 2 = 0 THEN ' x' ELSE '' END) AS form FROM part")
+def unwrapped_forms(spark, sf):
+    n, kind = F.col("p_size").cast("string"), F.col("p_partkey") % 3
+    inside = F.concat(n, F.when(F.col("p_size") % 2 == 0, " x").otherwise(""))
+    raw = F.when(kind == 0, F.concat(F.lit("\\textbf{"), inside, F.lit("}"))).when(kind == 1, F.concat(F.lit("\\overline{"), inside, F.lit("}"))).otherwise(F.concat(F.lit(" \\text{"), inside, F.lit("} ")))
+    normal = F.when(kind == 2, normalize.unwrapped_text(raw)).otherwise(F.regexp_replace(normalize.final_answer(raw), "x$", " x"))
+    return table(spark, sf, "part").select("p_partkey", normal.alias("form"))
+
+
+@query(f"""WITH {ANSWERS} SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN concat(p_size, '') ELSE 'x/y' END AS plain FROM ans JOIN part USING (p_partkey)""")
+def plain_answers(spark, sf):
+    raw = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("\\text{ "), F.col("p_size"), F.lit(" }"))).otherwise("x/y")
+    return table(spark, sf, "part").select("p_partkey", normalize.plain_answer(raw).alias("plain"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN concat(p_size, p_partkey % 900 + 100, p_partkey % 800 + 100) ELSE concat(p_size, ',', p_partkey % 90 + 10) END AS n, p_partkey % 2 = 0 AS whole FROM part")
+def thousands_commas(spark, sf):
+    k = F.col("p_partkey")
+    raw = F.when(k % 2 == 0, F.concat_ws(",", "p_size", k % 900 + 100, k % 800 + 100)).otherwise(F.concat_ws(",", "p_size", k % 90 + 10))
+    return table(spark, sf, "part").select("p_partkey", normalize.without_thousands_commas(raw).alias("n"), normalize.is_whole(raw).alias("whole"))
+
+
+@query("SELECT p_partkey, p_size % 3 = 0 AS traditional FROM part")
+def traditional_text(spark, sf):
+    t = F.concat("p_name", F.when(F.col("p_size") % 3 == 0, "漢字").otherwise("汉字中文"))
+    return table(spark, sf, "part").select("p_partkey", text.has_any_of(t, text.traditional_characters(spark)).alias("traditional"))
+
+
+@query("SELECT page_id, regexp_matches(lower(url), '\\.(jpg|jpeg|png|webp|gif|bmp)$') AS image FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url FROM pages)")
+def image_urls(spark, sf):
+    return table(spark, sf, "pages").select("page_id", text.is_image(F.col("url")).alias("image"))
+
+
+@query("WITH f AS (SELECT conv_id, CAST(turn % 3 AS VARCHAR) AS f, min(turn) AS t FROM conversations WHERE role <> 'system' GROUP BY 1, 2) SELECT conv_id, coalesce(list(f ORDER BY t) FILTER (f IS NOT NULL), []) AS files FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN f USING (conv_id) GROUP BY conv_id")
+def message_files(spark, sf):
+    file = F.when(F.col("role") != "system", (F.col("turn") % 3).cast("string"))
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", file.alias("file")))).alias("m"))
+    return c.select("conv_id", text.message_files(F.col("m")).alias("files"))

@@ -250,6 +250,19 @@ def preference_pair(spark, sf):
     return sequences(spark, sf).select("row_id", p["input_ids"].alias("out"))
 
 
+@query(listed("list_transform([1, 2], lambda k: list_transform(range(0, 6), lambda i: CASE WHEN i < len(ids) + k THEN 1 ELSE 0 END))"))
+def preference_masks(spark, sf):
+    ids = F.col("ids")
+    p = sequence.preference_pair(ids, F.array(F.lit(7).cast("long")), F.array(F.lit(8).cast("long"), F.lit(9).cast("long")), 6, 0)
+    return sequences(spark, sf).select("row_id", p["attention_mask"].alias("out"))
+
+
+@query(scanned("x.r + 0.9::DOUBLE * 0 AS a, (x.r + 0.9::DOUBLE * 0) * x.m AS c, x.m AS m", "x.r + 0.9::DOUBLE * p.c, (x.r + 0.9::DOUBLE * p.c) * x.m, x.m") + WHITE + " SELECT row_id, list(round((a - mu) / sqrt(var + 1e-8) * m, 6) ORDER BY t) AS advantages FROM f, w GROUP BY row_id")
+def reinforce_whitened(spark, sf):
+    s = sequences(spark, sf).select("row_id", F.col("rs").alias("rewards"), F.col("ms").alias("mask"))
+    return advantage.advantages(s, "discounted", 0.9).select("row_id", F.transform("advantages", lambda x: rounded(x, 6)).alias("advantages"))
+
+
 @query(listed("list_transform(range(0, len(ids)), lambda i: CASE WHEN i * 3 >= 4 AND i * 3 < 10 THEN 0 ELSE 1 END)"))
 def tool_token_mask(spark, sf):
     s = sequences(spark, sf)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,16 +15,29 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of this machine only where that is unset, as in tests."""
+    """spark.checkpoint.dir of the session. Where that is unset, a folder of this machine if Spark runs in this process alone (as
+    in tests); on a cluster this raises."""
     sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir") or getattr(sc, "_millrace_tables", None)
+    where = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or getattr(sc, "_millrace_tables", None)
     if not where:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = sc._millrace_tables = "file://" + tempfile.mkdtemp(prefix="millrace-")
     return where.rstrip("/")
 
 
+def until_exit(spark: SparkSession, path: str) -> str:
+    """The path of a new folder, which goes when the application ends."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.mkdirs(folder):
+        fs.deleteOnExit(folder)
+    return path
+
+
 def materialized(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet in the shared folder and read again: cuts the lineage of loops, and outlives executors."""
-    path = f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    """df, written as Parquet in the shared folder and read again: cuts the lineage of loops, and outlives executors. It goes when
+    the application ends."""
+    path = until_exit(df.sparkSession, f"{shared_folder(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}") + "/rows"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,49 +2,73 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.sources.tables import materialized
+from millrace.functions.scan import bound, scanned
+from millrace.sources.tables import shared_folder, until_exit
+
+MARK = "batch long, since long"
 
 
 def carried(batches: DataFrame, order: str, groups: str, enough: int) -> DataFrame:
     """order, carried (groups kept after the batch comes in) and emitted: at `enough` or more all are emitted and the count
     starts anew. A row a batch, in one array."""
     xs = batches.agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), F.col(groups).cast("long").alias("n")))).alias("xs"))
-    start = F.struct(F.lit(0).cast("long").alias("held"), F.array().cast("array<struct<o:bigint,carried:bigint,emitted:boolean>>").alias("out"))
+    zero = F.lit(0).cast("long")
+    start = F.struct(zero.alias("held"), zero.alias("o"), zero.alias("carried"), F.lit(False).alias("emitted"))
 
-    def go(a, x):
-        held = a["held"] + x["n"]
-        row = F.struct(x["o"].alias("o"), held.alias("carried"), (held >= enough).alias("emitted"))
-        return F.struct(F.when(held >= enough, F.lit(0).cast("long")).otherwise(held).alias("held"), F.concat(a["out"], F.array(row)).alias("out"))
+    def step(a, x):
+        return bound(a["held"] + x["n"], lambda held: F.struct(F.when(held >= enough, zero).otherwise(held).alias("held"), x["o"].alias("o"), held.alias("carried"), (held >= enough).alias("emitted")))
 
-    return xs.select(F.explode(F.aggregate("xs", start, go, lambda a: a["out"])).alias("r")).select(F.col("r.o").alias(order), "r.carried", "r.emitted")
+    rows = scanned(F.col("xs"), start, step, lambda s: F.struct(s["o"].alias("o"), s["carried"].alias("carried"), s["emitted"].alias("emitted")), "struct<o:bigint,carried:bigint,emitted:boolean>")
+    return xs.select(F.explode(rows).alias("r")).select(F.col("r.o").alias(order), "r.carried", "r.emitted")
 
 
 class CarryOver:
-    """A foreachBatch sink: rows of groups wait in the shared folder until `enough` distinct groups are there, then go to `emit`.
+    """A foreachBatch sink: rows of groups wait in a folder until `enough` distinct groups are there, then go to `emit`.
 
-    State is a table that is written anew for each batch; a batch that is given twice (its id is not new) is left out.
+    Each batch's rows are written once, under its id; a table of marks says from which batch on rows wait. With a path (beside
+    the stream's checkpoint) another process goes on where this one ended. A batch that is given twice is left out; one whose
+    emission was not marked before a failure is emitted again.
     """
 
-    def __init__(self, group: str, enough: int, emit: Callable[[DataFrame, int], None]):
-        self.group, self.enough, self.emit = group, enough, emit
-        self.held: DataFrame | None = None
-        self.last = -1
+    def __init__(self, group: str, enough: int, emit: Callable[[DataFrame, int], None], path: str | None = None):
+        self.group, self.enough, self.emit, self.path = group, enough, emit, path
+        self.last, self.since = -1, None
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        if self.path is None:
+            self.path = until_exit(spark, f"{shared_folder(spark)}/carry-{uuid.uuid4().hex}")
+        if self.since is None:
+            self.last, self.since = self.marked(spark)
         if batch_id <= self.last:
             return
-        held = materialized(batch if self.held is None else self.held.unionByName(batch), "carry")
+        batch.write.mode("overwrite").parquet(f"{self.path}/rows/{batch_id}")
+        waiting = [i for i in self.written(spark) if self.since <= i <= batch_id]
+        held = spark.read.schema(batch.schema).parquet(*[f"{self.path}/rows/{i}" for i in waiting])
+        since = self.since
         if held.agg(F.countDistinct(self.group)).first()[0] >= self.enough:
             self.emit(held, batch_id)
-            self.held = None
-        else:
-            self.held = held
-        self.last = batch_id
+            since = batch_id + 1
+        spark.createDataFrame([(batch_id, since)], MARK).coalesce(1).write.mode("append").parquet(f"{self.path}/marks")
+        self.last, self.since = batch_id, since
+
+    def written(self, spark: SparkSession) -> list[int]:
+        """Ids of the batches whose rows are there."""
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/rows")
+        return sorted(int(x.getPath().getName()) for x in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder))
+
+    def marked(self, spark: SparkSession) -> tuple[int, int]:
+        """The last batch that was taken, and the first whose rows wait."""
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/marks")
+        if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+            return -1, 0
+        return tuple(spark.read.schema(MARK).parquet(f"{self.path}/marks").agg(F.max(F.struct("batch", "since")).alias("x")).select("x.*").first())
 
 
 def windowed_means(stream: DataFrame, time: str, key: str, value: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:

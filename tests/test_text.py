@@ -1,10 +1,12 @@
+import random
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from millrace.functions import normalize, text
-from millrace.operators import repetition, scores
+from millrace.operators import groups, repetition, scores
 from millrace.plans import filters
 
 
@@ -102,8 +104,8 @@ def test_final_answers(spark, raw, want):
     ("raw", "want"),
     [("0.5", "\\frac{1}{2}"), (".5", "\\frac{1}{2}"), ("\\frac12", "\\frac{1}{2}"), ("\\frac1{72}", "\\frac{1}{72}"), ("1/2", "\\frac{1}{2}"), ("k=7", "7"), ("\\sqrt3", "\\sqrt{3}"), ("5\\text{ cm}", "5"), ("a\\text{ b}\\text{ c}", None), ("x/y", None), ("1/02", "1/02"), ("", "")],
 )
-def test_plain_latex(raw, want):
-    assert normalize.plain_latex(raw) == want
+def test_plain_latex(spark, raw, want):
+    assert one(spark, normalize.plain_latex(c0), raw) == want
 
 
 def test_digits_and_numbers(spark):
@@ -123,9 +125,9 @@ def test_digits_and_numbers(spark):
     [("1/2", "0.5", True), ("50%", "0.5", True), ("(1, 2)", "(1.0,2)", True), ("(1,2)", "(1,3)", False), ("x=3", "3", True), ("B.", "B", True), ("\\frac{1}{2}", "0.5", True), ("abc", "ABC", True), ("x", "y", False), ("{1}", "1", False), ("x=y", "x=y ", True),
      ("\\begin{pmatrix}1\\\\2\\end{pmatrix}", "\\begin{pmatrix}1.0\\\\2\\end{pmatrix}", True), (None, None, True), (None, "1", False), ("", "1", False)],
 )
-def test_math_equal(a, b, same):
-    assert normalize.math_equal(a, b) == same
-    assert normalize.math_equal("p", "q", symbolic=lambda x, y: True)
+def test_math_equal(spark, a, b, same):
+    assert one(spark, normalize.math_equal_column(c0, c1), a, b) == same
+    assert one(spark, normalize.math_equal_column(c0, c1, symbolic=lambda x, y: F.concat(x, y) == "pq"), "p", "q")
 
 
 def test_equivalence(spark):
@@ -167,3 +169,68 @@ def test_reasons_name_the_first_stage(spark):
     assert got == [None, "score", "passes", "length", "boxed", "dollars", "think", "answer", "length"]
     assert [r.code_num for r in filters.kept(df, filters.multistage(most=10_000)).collect()] == [1]
     assert [r.reason for r in filters.with_reason(df.limit(1), filters.multistage()).collect()] == ["repetition"]
+
+
+@pytest.mark.parametrize(
+    ("t", "box", "content", "braced"),
+    [
+        ("\\boxed{a{b{c{d{e}}}}}", "\\boxed{a{b{c{d{e}}}}}", "a{b{c{d{e}}}}", "a{b{c{d{e}}}}"), ("x \\boxed 12$ more", "\\boxed 12", "12", None), ("\\fbox{9} x", "\\fbox{9}", None, "9"), ("\\boxed{open", None, None, None), ("no", None, None, None),
+        ("\\boxed{1} \\boxed{ 2 } {3}", "\\boxed{ 2 }", " 2 ", "2"), ("} \\boxed{z}", "\\boxed{z}", "z", "z"), ("\\boxed}{x}", None, None, None), ("", None, None, None), (None, None, None, None), ("\\boxed{" + "{" * 300 + "x" + "}" * 301, "\\boxed{" + "{" * 300 + "x" + "}" * 301, "{" * 300 + "x" + "}" * 300, "{" * 300 + "x" + "}" * 300),
+    ],
+)
+def test_boxes_by_braces(spark, t, box, content, braced):
+    got = spark.createDataFrame([(t,)], "c0 string").select(text.last_box(c0), text.box_content(text.last_box(c0)), text.last_braced(c0)).first()
+    assert tuple(got) == (box, content, braced)
+
+
+def test_ngram_counts_of_any_length(spark):
+    ts = ["abé" * k + "x" * (k % 7) for k in (0, 1, 2, 6, 7, 85, 86, 92, 200)] + [None]
+    df = spark.createDataFrame(list(enumerate(ts)), "i int, t string")
+    for n in (1, 5, 20):
+        got = {r.i: (r.c, r.o) for r in df.select("i", repetition.ngram_count(F.col("t"), n).alias("c"), repetition.repeats(F.col("t"), n, 3).alias("o")).collect()}
+        assert got == {i: (repetition.most_repeated(t, n), repetition.most_repeated(t, n) > 3) for i, t in enumerate(ts)}
+
+
+def test_time_limits(spark):
+    slow = "".join(random.Random(1).choices([chr(c) for c in range(0x4E00, 0x9000)], k=400_000))
+    df = spark.createDataFrame([("go" * 30,), ("clean",), (slow,)], "c0 string")
+    got = [tuple(r.x) for r in df.select(repetition.consecutive(c0, seconds=0.2).alias("x")).collect()]
+    assert got[:2] == [(True, False), (False, False)] and got[2] in ((True, True), (False, False))
+
+    def endless(a, b):
+        while a == "loop":
+            pass
+        return 1.0
+
+    df = spark.createDataFrame([("loop", "x"), ("ok", "x")], "c0 string, c1 string")
+    assert [r.s for r in df.select(scores.safe(endless, 0.3)(c0, c1).alias("s")).collect()] == [0.0, 1.0]
+
+
+def test_messages_flags_and_results(spark):
+    m = spark.createDataFrame([([("user", "hi"), ("assistant", "汉")],)], "m array<struct<role:string,text:string>>")
+    got = m.select(text.has_chinese_message(F.col("m")).alias("a"), text.has_chinese_message(F.col("m"), "user").alias("b"), text.rendered_chat(F.col("m"), F.lit("yes"), 12).alias("c"), text.rendered_chat(F.col("m")).alias("d")).first()
+    assert tuple(got) == (True, False, "<|user|>hi\n<", "<|user|>hi\n<|assistant|>汉")
+    assert one(spark, scores.output_result(c0, c1, F.lit("run")), "1", "1") == -1 and one(spark, scores.output_result(c0, c1, F.lit("compile")), "1", "1") == -2
+    assert one(spark, text.without_tail(F.split(c0, " "), 2), "a b c") == ["a"] and one(spark, text.without_tail(F.split(c0, " "), 5), "a b") == []
+    assert one(spark, text.tool_call(c0), "```python\nx\n```") == "x\n" and one(spark, text.tool_call(c0), "none") is None
+    flag = lambda p, n, b, t, o: one(spark, groups.row_flag(F.lit(p), F.lit(n), F.lit(b), c0, F.lit(o)), t)
+    assert [flag(1, 151, True, "x", 0), flag(0, 151, True, "x", 0), flag(1, 150, True, "x", 0), flag(1, 151, False, "x", 0), flag(0, 1, False, "``` " + "x" * 100, 1), flag(1, 999, True, "```" + "x" * 300, 1)] == [1, 0, 0, 0, 1, 0]
+
+
+def test_filters_run_no_python(spark):
+    df = spark.createDataFrame([("a", 1, 1)], "predict string, score int, passes int")
+    for stages in (filters.multistage(), filters.acceptance()):
+        assert "Python" not in filters.with_reason(df, stages)._jdf.queryExecution().executedPlan().toString()
+    both = spark.createDataFrame([("a", "b")], "a string, b string")
+    for f in (scores.boxed_score, scores.matched_score, scores.verified_score, normalize.math_equal_column):
+        assert "Python" not in both.select(f(F.col("a"), F.col("b")))._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(("raw", "want"), [("\\frac12 \\text{ cm}", "1/2"), ("\\sqrt{2\\pi}", "sqrt(2pi)"), ("\\frac{\\sqrt{3}}{2}", "sqrt(3)/2"), ("3\\frac{1}{2}", "3+1/2"), ("5 million", "5 *10^6"), ("(1, 2]", "(1, 2]")])
+def test_lenient_forms(spark, raw, want):
+    assert one(spark, normalize.lenient(c0), raw) == want
+
+
+def test_graded_answers(spark):
+    for a, b, same in (("2\\pi", "6.28", True), ("2\\pi", "6.2831853", True), ("2\\pi", "6.1", False), ("\\text{ 7 }", "7", True), ("1/2", "0.5", True)):
+        assert one(spark, scores.graded(c0, c1), a, b) == same

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import sequence
+from millrace.functions.scan import scanned, scanned_back
 from millrace.operators import advantage, balance, groups, losses
 from millrace.plans import rollout
 from millrace.streaming import carry
@@ -155,4 +156,41 @@ def test_carry_over_a_stream(spark, tmp_path):
     q.stop()
     assert seen == [6, 6]
     sink(spark.createDataFrame([("x", 1)], "uid string, v int"), 0)
-    assert sink.held is None
+    assert seen == [6, 6] and sink.marked(spark) == (3, 4)
+
+
+def test_carry_over_survives_a_restart(spark, tmp_path):
+    batch = lambda i: spark.createDataFrame([(f"g{i}{j}", i) for j in range(3)], "uid string, v int")
+    seen = []
+    for i in range(4):  # a new sink for each batch, as after a restart; the last batch comes twice
+        carry.CarryOver("uid", 8, lambda df, k: seen.append((k, df.count())), str(tmp_path / "state"))(batch(i), i)
+    carry.CarryOver("uid", 8, lambda df, k: seen.append((k, df.count())), str(tmp_path / "state"))(batch(3), 3)
+    assert seen == [(2, 9)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 17, 100])
+def test_scans_of_any_length(spark, n):
+    df = spark.createDataFrame([(list(range(n)),), (None,)], "x array<int>")
+    sums = scanned(F.col("x"), F.lit(0).cast("long"), lambda s, x: s + x, lambda s: s, "bigint")
+    back = scanned_back(F.col("x"), F.lit(0).cast("long"), lambda s, x: s + x, lambda s: s, "bigint")
+    got = df.select(sums.alias("a"), back.alias("b")).collect()
+    assert got[0].a == [sum(range(i + 1)) for i in range(n)] and got[0].b == [sum(range(i, n)) for i in range(n)]
+    assert got[1].a is None and got[1].b is None
+
+
+def test_a_long_response_is_no_quadratic_fold(spark):
+    n = 100_000
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.lit(1.0)).alias("r"))
+    got = df.select(advantage.gae(F.col("r"), F.col("r"), 1.0, 1.0).alias("a")).first().a
+    assert len(got) == n and got[-1] == 0.0 and got[0] == n - 1
+
+
+def test_token_budget_in_buckets(spark):
+    rows = [(b, i, (i * 7 + b) % 5) for b in range(2) for i in range(300)]
+    df = spark.createDataFrame(rows, "b int, i long, n long")
+    got = {(r.b, r.i): r.micro for r in balance.token_budget(df, "b", "n", "i", 37, bucket_rows=50).collect()}
+    for b in range(2):
+        total = 0
+        for _, i, n in rows[b * 300 : b * 300 + 300]:
+            total += n
+            assert got[b, i] == (total - 1) // 37
