@@ -72,39 +72,46 @@ class Network:
         return float(1 / (1 + np.exp(-min(30.0, max(-30.0, v)))))
 
 
+NAMES = ["embed", "filters", "bias", "out", "out_bias"]
+
+
+def gradients(net: Network, rows: list[tuple[bytes, int]], weight: dict[int, float]) -> dict[str, np.ndarray]:
+    """Of the rows' weighted log loss, over BATCH, in each part of the network."""
+    grad = {k: np.zeros_like(getattr(net, k)) for k in NAMES}
+    for raw, y in rows:
+        b, x = net.windows(raw)
+        top, at = net.pooled(x)
+        mean = top.mean(axis=0)
+        v = float(mean @ net.out + net.out_bias[0])
+        d = np.float32(weight[y] * (1 / (1 + np.exp(-v)) - y) / BATCH)
+        grad["out"] += d * mean
+        grad["out_bias"] += d
+        g = (top > 0) * (d * net.out / len(top))
+        grad["bias"] += g.sum(axis=0)
+        seen, inverse = np.unique(at, return_inverse=True)
+        to = np.zeros((len(seen), FILTERS), np.float32)
+        np.add.at(to, (inverse.reshape(at.shape), np.arange(FILTERS)[None, :]), g)
+        grad["filters"] += x[seen].T @ to
+        np.add.at(grad["embed"], b[seen[:, None] * STRIDE + np.arange(WIDTH)], (to @ net.filters.T).reshape(len(seen), WIDTH, EMBED))
+    return grad
+
+
 def fit(rows: list[tuple[bytes, int]], positive: float = 0.5, epochs: int = EPOCHS, seed: int = 7) -> Network:
     """A network from (text, label) rows, both labels weighing the same; positive: the share of label 1, put into the bias in the end.
 
     With one label only, or no row, the network's bias alone answers.
     """
     net, rng = Network.new(seed), np.random.default_rng(seed)
-    names = ["embed", "filters", "bias", "out", "out_bias"]
-    first, second = ({k: np.zeros_like(getattr(net, k)) for k in names} for _ in range(2))
+    first, second = ({k: np.zeros_like(getattr(net, k)) for k in NAMES} for _ in range(2))
     labels = np.array([y for _, y in rows])
     weight = {y: len(rows) / (2 * max(1, int((labels == y).sum()))) for y in (0, 1)}
     step = 0
     for _ in range(epochs if len(set(labels.tolist())) == 2 else 0):
         order = rng.permutation(len(rows))
         for start in range(0, len(order), BATCH):
-            grad = {k: np.zeros_like(getattr(net, k)) for k in names}
-            for i in order[start : start + BATCH]:
-                raw, y = rows[i]
-                b, x = net.windows(raw)
-                top, at = net.pooled(x)
-                mean = top.mean(axis=0)
-                v = float(mean @ net.out + net.out_bias[0])
-                d = np.float32(weight[y] * (1 / (1 + np.exp(-v)) - y) / BATCH)
-                grad["out"] += d * mean
-                grad["out_bias"] += d
-                g = (top > 0) * (d * net.out / len(top))
-                grad["bias"] += g.sum(axis=0)
-                seen, inverse = np.unique(at, return_inverse=True)
-                to = np.zeros((len(seen), FILTERS), np.float32)
-                np.add.at(to, (inverse.reshape(at.shape), np.arange(FILTERS)[None, :]), g)
-                grad["filters"] += x[seen].T @ to
-                np.add.at(grad["embed"], b[seen[:, None] * STRIDE + np.arange(WIDTH)], (to @ net.filters.T).reshape(len(seen), WIDTH, EMBED))
+            grad = gradients(net, [rows[i] for i in order[start : start + BATCH]], weight)
             step += 1
-            for k in names:
+            for k in NAMES:
                 first[k] = 0.9 * first[k] + 0.1 * grad[k]
                 second[k] = 0.999 * second[k] + 0.001 * grad[k] ** 2
                 update = RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)

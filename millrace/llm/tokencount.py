@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -14,6 +15,11 @@ from millrace.llm._base import by_bytes, mapped, one_thread, raw_texts, rows_of,
 
 #: Distinct fragments that a task keeps; then it starts anew.
 KEPT_FRAGMENTS = 200_000
+#: Bytes beyond which a fragment is split further.
+LONG = 256
+#: Places where the pre-tokenizer parts whatever stands around them: beside an ASCII digit, and between an ASCII letter and an ASCII
+#: sign (but not after an apostrophe, which may take letters with it).
+CUT = re.compile(rb"(?<=[0-9])(?=[!-~])|(?<=[!-~])(?=[0-9])|(?<=[A-Za-z])(?=[!-/:-@\[-`{-~])|(?<=[!-&(-/:-@\[-`{-~])(?=[A-Za-z])")
 _models: dict[str, LengthCoder] = {}
 
 
@@ -21,7 +27,8 @@ class LengthCoder:
     """Token counts by a vocabulary (the text of its JSON file) whose pre-tokenizer drops white space.
 
     Such a vocabulary parts at every run of ASCII white space whatever stands around it, and no special token holds any:
-    texts are cut there, and each distinct fragment is encoded once.
+    texts are cut there, long fragments also at CUT unless they may hold a special token, and each distinct fragment is
+    encoded once. (A run of letters alone, of any length, is one word to the vocabulary and is encoded whole.)
     """
 
     def __init__(self, model: str):
@@ -33,8 +40,14 @@ class LengthCoder:
         self.tok.no_padding()
         self.cache: dict[bytes, int] = {}
 
+    def fragments(self, raw: bytes) -> list[bytes]:
+        out = raw.split()
+        if out and max(map(len, out)) > LONG:
+            out = [p for f in out for p in (CUT.split(f) if len(f) > LONG and b"<|" not in f else [f])]
+        return out
+
     def counts(self, raws: list[bytes]) -> list[int]:
-        split = [r.split() for r in raws]
+        split = [self.fragments(r) for r in raws]
         if len(self.cache) > KEPT_FRAGMENTS:
             self.cache.clear()
         cache = self.cache

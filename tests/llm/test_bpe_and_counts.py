@@ -52,6 +52,24 @@ def test_any_count(text):
     assert tokencount.coder(WORDS).counts([text.encode()]) == [len(WORD_LIB.encode(text, add_special_tokens=False).ids)]
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet=st.one_of(st.sampled_from(list("'’—.,!?=éÉñΣσaSdt<|>0159\u0301\u0338")), st.characters(codec="utf-8")), max_size=60))
+def test_any_count_of_long_fragments(text):
+    c = tokencount.LengthCoder(WORDS)
+    was, tokencount.LONG = tokencount.LONG, 4
+    try:
+        assert c.counts([text.encode()]) == [len(WORD_LIB.encode(text, add_special_tokens=False).ids)]
+    finally:
+        tokencount.LONG = was
+
+
+def test_a_long_text_without_blanks_is_split():
+    text = "".join(f"key{i}=value;it's,{i}<|endoftext|>" if i == 7 else f"key{i}=value;it's,{i}" for i in range(5000))
+    c = tokencount.LengthCoder(WORDS)
+    assert c.counts([text.encode(), text.replace("<|endoftext|>", "").encode()]) == [len(WORD_LIB.encode(t, add_special_tokens=False).ids) for t in (text, text.replace("<|endoftext|>", ""))]
+    assert max(map(len, c.fragments(text.replace("<|endoftext|>", "").encode()))) < 16
+
+
 MODEL, WORDS = bpe.vocabulary(), tokencount.vocabulary()
 LIB, WORD_LIB = Tokenizer.from_str(MODEL), Tokenizer.from_str(WORDS)
 

@@ -1,3 +1,8 @@
+import math
+import random
+import re
+from collections import Counter
+
 import pytest
 
 from helpers import DOCS, clashing, docs_of
@@ -55,3 +60,62 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang")
     got = langid.op8_language_id(spark, "/root/testdata/sf0.001").join(docs, "doc_id").where("held_out")
     assert got.where("lang = lang_pred").count() >= 0.97 * got.count() > 0
+
+
+def brute(rows, texts):
+    """Predictions written out once more, word by word with dictionaries."""
+    langs = sorted({g for _, g in rows})
+    words = {g: Counter(w for t, x in rows if x == g for w in re.findall(r"[^\W\d_]+", t.lower())) for g in langs}
+    grams = {n: {g: Counter() for g in langs} for n in range(1, 6)}
+    for g in langs:
+        for w, c in words[g].items():
+            p = f"^{w}$"
+            for n in grams:
+                for j in range(len(p) - n + 1):
+                    grams[n][g][p[j : j + n]] += c
+
+    def logs(counts, least):
+        known = [k for k, n in sum(counts.values(), Counter()).items() if n >= least]
+        return {k: [math.log((counts[g][k] + 0.5) / (max(1, counts[g].total()) + 0.5 * (len(known) + 1))) for g in langs] for k in known}
+
+    word_logs, gram_logs = logs(words, 3), {n: logs(grams[n], 2) for n in grams}
+    docs = Counter(g for _, g in rows)
+    prior = [math.log((docs[g] + 0.5) / (len(rows) + 0.5 * len(langs))) for g in langs]
+
+    def word(w):
+        if w in word_logs:
+            return word_logs[w]
+        p, i, parts = f"^{w}$", 0, []
+        while i < len(p):
+            n = next((n for n in range(min(5, len(p) - i), 0, -1) if p[i : i + n] in gram_logs[n]), 0)
+            parts.append(gram_logs[n][p[i : i + n]] if n else [math.log(1e-7)] * len(langs))
+            i += max(1, n - 2)
+        return [2 * sum(c) / len(parts) for c in zip(*parts, strict=True)]
+
+    out = []
+    for t in texts:
+        ws = re.findall(r"[^\W\d_]+", (t or "").lower())
+        if not any(c.isalpha() for w in ws for c in w):
+            out.append(("und", 0.0))
+            continue
+        x = [(p + sum(word(w)[i] for w in ws)) / len(ws) * min(len(ws), 20) for i, p in enumerate(prior)]
+        e = [math.exp(v - max(x)) for v in x]
+        out.append((langs[x.index(max(x))], max(e) / sum(e)))
+    return out
+
+
+def test_against_brute_force(spark):
+    rng = random.Random(4)
+    parts = {"aa": ["ka", "lo", "mi"], "bb": ["sch", "ung", "er", "mi"], "cc": ["é", "ño", "ka", "que"]}
+    make = lambda g: " ".join("".join(rng.choices(parts[g], k=rng.randrange(1, 5))) for _ in range(rng.randrange(1, 30)))
+    rows = [(make(g), g) for g in parts for _ in range(40)]
+    texts = [make(rng.choice(list(parts))) for _ in range(80)] + [None, "", "12 _ !", "zzz ЖЖ", "KA lo, MI.", "ka " * 40000]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(clashing(docs_of(spark, texts)), langid.fit(rows)).collect()}
+    for i, (lang, score) in enumerate(brute(rows, texts)):
+        assert got[i][0] == lang and abs(got[i][1] - score) < 1e-9
+
+
+def test_a_rare_language_is_learned(spark, monkeypatch):
+    rows = [(i, "alpha beta gamma delta", "aa", "s", 1) for i in range(3000)] + [(i, "uno dos tres quatro", "bb", "s", 1) for i in range(3000, 3020)]
+    m = langid.train_model(spark.createDataFrame(rows, DOCS), ~langid.held_out(), rows=40)
+    assert m.langs == ["aa", "bb"]

@@ -14,15 +14,48 @@ def test_learns_and_scores_between_0_and_1():
     assert late < good  # the end of a long text counts
 
 
+def loss(net, raw, y):
+    """Of one text, in double precision: chunks of two halves, the largest response of each filter, the mean of chunks."""
+    b = np.frombuffer(raw + bytes(max(0, quality.WIDTH - len(raw)) or -(len(raw) - quality.WIDTH) % quality.STRIDE), np.uint8)
+    x = net["embed"][b]
+    z = np.array([x[i : i + quality.WIDTH].reshape(-1) @ net["filters"] for i in range(0, len(b) - quality.WIDTH + 1, quality.STRIDE)])
+    halves = [z[i : i + quality.HALF] for i in range(0, len(z), quality.HALF)]
+    chunks = [np.concatenate(halves[i : i + 2]) for i in range(max(1, len(halves) - 1))]
+    top = np.maximum(np.array([c.max(axis=0) for c in chunks]) + net["bias"], 0)
+    p = 1 / (1 + np.exp(-(top.mean(axis=0) @ net["out"] + net["out_bias"][0])))
+    return -np.log(p if y else 1 - p), p
+
+
+def doubles(net):
+    return {k: getattr(net, k).astype(float) for k in ("embed", "filters", "bias", "out", "out_bias")}
+
+
+def test_scores_against_brute_force(spark):
+    net = quality.fit(ROWS, epochs=1)
+    rng = np.random.default_rng(1)
+    texts = ["", "a", "short text", "x" * 12, "y" * 13, "é" * 300] + ["".join(rng.choice(list("abc def!\n0"), n)) for n in (200, 203, 380, 381, 400, 1000, 5000)]
+    got = {r.doc_id: r.score for r in quality.classify(docs_of(spark, texts), net).collect()}
+    for i, t in enumerate(texts):
+        assert abs(got[i] - loss(doubles(net), t.encode(), 1)[1]) < 1e-4
+
+
 def test_gradients():
-    """Backpropagation against differences, by one step of the loss."""
+    """Backpropagation against differences of the loss."""
     net = quality.Network.new(3)
-    raw = b"abcdefghijklmnopqrstuvwxyz " * 40
-    _, x = net.windows(raw)
-    top, at = net.pooled(x)
-    v = float(top.mean(axis=0) @ net.out + net.out_bias[0])
-    assert abs(net.score(raw) - 1 / (1 + np.exp(-v))) < 1e-6
-    assert np.allclose(np.maximum((x[at[0]] @ net.filters)[np.arange(quality.FILTERS), np.arange(quality.FILTERS)] + net.bias, 0), top[0], atol=1e-5)
+    rows = [((b"abcdefghijklmnopqrstuvwxyz ,.!" * 40)[:900], 1), (b"0123456789 $%&/" * 30, 0), (b"tiny", 1)]
+    grad, base = quality.gradients(net, rows, {0: 1.5, 1: 0.75}), doubles(net)
+    total = lambda n: sum({0: 1.5, 1: 0.75}[y] * loss(n, r, y)[0] for r, y in rows) / quality.BATCH
+    rng = np.random.default_rng(2)
+    for name, g in grad.items():
+        flat = np.flatnonzero(g)
+        assert len(flat)
+        for at in rng.choice(flat, min(12, len(flat)), replace=False):
+            around = []
+            for step in (1e-6, -1e-6):
+                moved = {k: v.copy() for k, v in base.items()}
+                moved[name].reshape(-1)[at] += step
+                around.append(total(moved))
+            assert abs((around[0] - around[1]) / 2e-6 - g.reshape(-1)[at]) < 1e-3 * max(0.02, abs(g.reshape(-1)[at])) + 2e-5
 
 
 def test_windows_cover_the_text():
