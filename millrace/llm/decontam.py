@@ -45,12 +45,17 @@ def simhash(shingles: str) -> Column:
     return F.expr(f"transform(array({shingles}), s -> aggregate(sequence(0, 31), 0L, (a, b) -> a | {both}))[0]")
 
 
-def keys(fingerprint: str, variants: bool) -> Column:
-    """An array of (block, value) of a fingerprint: of each block its value, with variants every value within the block's flips."""
+def keys(fingerprint: str) -> Column:
+    """An array of (block, value, flips) of a fingerprint."""
     value = lambda j: f"cast(shiftright({fingerprint}, {WIDTH * j}) & {(1 << WIDTH) - 1}L AS int)"
-    if not variants:
-        return F.array(*[F.expr(f"struct({j} AS block, {value(j)} AS value)") for j in range(len(FLIPS))])
-    return F.concat(*[F.expr(f"transform(filter(sequence(0, {(1 << WIDTH) - 1}), m -> bit_count(m) <= {f}), m -> struct({j} AS block, {value(j)} ^ m AS value))") for j, f in enumerate(FLIPS)])
+    return F.array(*[F.expr(f"struct({j} AS block, {value(j)} AS value, {f} AS flips)") for j, f in enumerate(FLIPS)])
+
+
+def variants(keyed: DataFrame) -> DataFrame:
+    """Every value within its block's flips, of rows with block, value and flips: one for each mask of as few bits."""
+    masks = keyed.sparkSession.range(1 << WIDTH).select(F.col("id").cast("int").alias("mask"), F.bit_count("id").alias("bits")).where(F.col("bits") <= max(FLIPS))
+    each = keyed.withColumn("bits", F.explode(F.sequence(F.lit(0), F.col("flips"))))
+    return each.join(F.broadcast(masks), "bits").withColumn("value", F.expr("value ^ mask")).drop("bits", "mask")  # 2,517 masks
 
 
 def occurrences(a: Column) -> Column:
@@ -138,8 +143,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
 def selected(looked: DataFrame, items: DataFrame) -> DataFrame:
     """n_words, fingerprint, item_fingerprint that share a key of the multi-index: once for each distinct fingerprint, however many
     windows have it."""
-    index = items.select("n_words", F.col("fingerprint").alias("item_fingerprint")).distinct().select("*", F.explode(keys("item_fingerprint", True)).alias("x")).select("n_words", "item_fingerprint", "x.*")
-    asked = looked.select("n_words", "fingerprint").distinct().select("*", F.explode(keys("fingerprint", False)).alias("x")).select("n_words", "fingerprint", "x.*")
+    index = variants(items.select("n_words", F.col("fingerprint").alias("item_fingerprint")).distinct().select("*", F.explode(keys("item_fingerprint")).alias("x")).select("n_words", "item_fingerprint", "x.*"))
+    asked = looked.select("n_words", "fingerprint").distinct().select("*", F.explode(keys("fingerprint")).alias("x")).select("n_words", "fingerprint", "x.block", "x.value")
     return asked.join(index, ["n_words", "block", "value"]).select("n_words", "fingerprint", "item_fingerprint").distinct()
 
 
