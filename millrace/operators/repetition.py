@@ -100,3 +100,42 @@ def consecutive(text: Column, seconds: float | None = None) -> Column:
         return pd.DataFrame(out, columns=["repeats", "timed_out"], dtype="object")
 
     return limited(text)
+
+
+def longest_runs(text: str | None) -> list[tuple[str, int]] | None:
+    """Units that stand twice or more in a row and how often, left to right, newlines and <ret> left out: at each place the longest
+    such unit, then on from the end of its run. By the lengths to which the text agrees with itself from each place on: n ** 2."""
+    if text is None:
+        return None
+    t = text.replace("\n", "").replace("<ret>", "")
+    out, i, n = [], 0, len(t)
+    while i < n:
+        rest = t[i:]
+        same, left, right = [0] * len(rest), 0, 0  # of the rest with itself from each place on
+        for k in range(1, len(rest)):
+            m = min(right - k, same[k - left]) if k < right else 0
+            while k + m < len(rest) and rest[m] == rest[k + m]:
+                m += 1
+            same[k] = m
+            if k + m > right:
+                left, right = k, k + m
+        k = next((k for k in range(len(rest) // 2, 0, -1) if same[k] >= k), 0)
+        if k:
+            out.append((rest[:k], same[k] // k + 1))
+        i += k * (same[k] // k + 1) if k else 1
+    return out
+
+
+def consecutive_runs(text: Column) -> Column:
+    """Array of struct(unit, times) as of longest_runs."""
+
+    @F.pandas_udf("array<struct<unit:string,times:int>>")
+    def found(xs: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else [{"unit": u, "times": k} for u, k in longest_runs(x)] for x in xs], dtype="object")
+
+    return found(text)
+
+
+def too_many(runs: Column) -> Column:
+    """Whether a run of consecutive_runs is one of 20 units or more (which 25 of 30 characters and 30 of 10 are too)."""
+    return F.exists(runs, lambda r: r["times"] >= 20)

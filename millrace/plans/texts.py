@@ -612,3 +612,10 @@ def message_files(spark, sf):
     file = F.when(F.col("role") != "system", (F.col("turn") % 3).cast("string"))
     c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", file.alias("file")))).alias("m"))
     return c.select("conv_id", text.message_files(F.col("m")).alias("files"))
+
+
+@query("SELECT p_partkey, [struct_pack(unit := repeat('ab', CAST(m // 2 AS INT)), times := CAST(CASE WHEN m = 3 THEN 3 ELSE 2 END AS INT))] AS runs, false AS many FROM (SELECT p_partkey, p_size % 5 + 2 AS m FROM part)")
+def longest_runs(spark, sf):
+    t = F.concat(F.lit("x\n"), F.repeat(F.lit("ab"), F.col("p_size") % 5 + 2), F.lit("<ret>-z"))
+    r = table(spark, sf, "part").select("p_partkey", repetition.consecutive_runs(t).alias("runs"))
+    return r.select("p_partkey", "runs", repetition.too_many(F.col("runs")).alias("many"))

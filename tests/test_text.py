@@ -234,3 +234,17 @@ def test_lenient_forms(spark, raw, want):
 def test_graded_answers(spark):
     for a, b, same in (("2\\pi", "6.28", True), ("2\\pi", "6.2831853", True), ("2\\pi", "6.1", False), ("\\text{ 7 }", "7", True), ("1/2", "0.5", True)):
         assert one(spark, scores.graded(c0, c1), a, b) == same
+
+
+@given(st.text("ab", max_size=24))
+def test_longest_runs_against_all_units(t):
+    want, i = [], 0
+    while i < len(t):
+        k = next((k for k in range((len(t) - i) // 2, 0, -1) if t[i : i + k] == t[i + k : i + 2 * k]), 0)
+        times = 1
+        while k and t[i + times * k : i + (times + 1) * k] == t[i : i + k]:
+            times += 1
+        if k:
+            want.append((t[i : i + k], times))
+        i += k * times if k else 1
+    assert repetition.longest_runs(t) == want
