@@ -145,6 +145,7 @@ def selected(looked: DataFrame, items: DataFrame) -> DataFrame:
     windows have it."""
     index = variants(items.select("n_words", F.col("fingerprint").alias("item_fingerprint")).distinct().select("*", F.explode(keys("item_fingerprint")).alias("x")).select("n_words", "item_fingerprint", "x.*"))
     asked = looked.select("n_words", "fingerprint").distinct().select("*", F.explode(keys("fingerprint")).alias("x")).select("n_words", "fingerprint", "x.block", "x.value")
+    index = index.hint("merge")  # its size is thousands of times what Spark takes it for: never to be broadcast
     return asked.join(index, ["n_words", "block", "value"]).select("n_words", "fingerprint", "item_fingerprint").distinct()
 
 
