@@ -271,18 +271,23 @@ def read(places: DataFrame, root: str) -> DataFrame:
     return near.mapInArrow(run, "page_id long, uri string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary")
 
 
-def archive(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> tuple[str, DataFrame]:
+def archive(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", to: str | None = None) -> tuple[str, DataFrame]:
     """Write a record for each row of pages, and the index: the folder of both, and the directory.
 
     Null html is an empty payload, null urls have an empty key. Repeated rows and rows with a null page_id get a record
     each; of a repeated page_id that is the smallest of its payload all rows are responses. An empty table gives an empty
-    directory. Other columns are ignored.
+    directory. Other columns are ignored. With `to`, a new folder that all executors see, archives, index and the directory
+    (as Parquet, in its folder `directory`) stay there; else they go when the application ends.
     """
-    ws = Workspace(pages.sparkSession, "warc")
-    root = f"{ws.path}/archive"
+    spark = pages.sparkSession
+    ws = Workspace(spark, "warc")
+    root = f"{(to or ws.path).rstrip('/')}/archive"
     rows = rows_of(pages, page_id=key, url=url, html=html).select(F.col("page_id").cast("long"), "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     places = ws.save(write(with_duplicates(rows), root), "places")
-    return root, ws.save(index(places, root), "directory")
+    if to is None:
+        return root, ws.save(index(places, root), "directory")
+    index(places, root).write.parquet(f"{to.rstrip('/')}/directory")
+    return root, spark.read.schema(BLOCKS).parquet(f"{to.rstrip('/')}/directory")
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,6 +51,13 @@ def test_many_shards_and_blocks_with_hot_keys(spark, monkeypatch):
     assert any(f.startswith("warc") for f in files) and any(f.startswith("cdx") for f in files)
 
 
+def test_archives_stay_where_they_are_written_to(spark, tmp_path):
+    pages = spark.createDataFrame(ROWS, PAGES)
+    root, _ = warc.archive(pages, to=f"file://{tmp_path}/kept")
+    again = spark.read.parquet(f"{tmp_path}/kept/directory")
+    assert root == f"file://{tmp_path}/kept/archive" and warc.read(warc.lookup(pages, again, root), root).count() == len(ROWS)
+
+
 def test_archives_are_standard_gzip(spark):
     import gzip
 
