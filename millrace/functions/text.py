@@ -444,6 +444,7 @@ TEMPLATES = {
     "plain": "[PROMPT]",
     "boxed": "[PROMPT]\nReason step by step and put the final answer into \\boxed{}.",
     "tool": "[PROMPT]\nReason step by step; you may write python blocks, whose output follows them. Put the final answer into \\boxed{}.",
+    "direct": "[PROMPT]\nGive the final answer alone.",
     "review": "Question: [question]\nReasoning so far: [long_cot]\nSay where code would help.",
 }
 
@@ -455,10 +456,10 @@ def filled(template: str, **values: Column) -> Column:
     return out
 
 
-def filled_by_type(kind: Column, **values: Column) -> Column:
-    """The template of a row's type; an unknown type raises."""
+def filled_by_type(kind: Column, templates: dict[str, str] = TEMPLATES, **values: Column) -> Column:
+    """The template of a row's type; an unknown type raises. For whole chats see rendered_chat."""
     out = F.raise_error(F.concat(F.lit("unknown template "), kind)).cast("string")
-    for k, t in TEMPLATES.items():
+    for k, t in templates.items():
         out = F.when(kind == k, filled(t, **values)).otherwise(out)
     return out
 

@@ -490,8 +490,8 @@ def offline_evaluation(spark, sf):
 
 @query("SELECT event_id AS step, event_type AS key, value FROM events")
 def metric_log(spark, sf):
-    paths = [fresh(spark, "metrics") for _ in range(2)]
-    files.log_metrics(table(spark, sf, "events").select(F.col("event_id").alias("step"), F.col("event_type").alias("key"), "value"), *paths)
+    paths = [fresh(spark, "metrics") for _ in range(3)]
+    files.log_metrics(table(spark, sf, "events").select(F.col("event_id").alias("step"), F.col("event_type").alias("key"), "value"), *paths[:2], ("json", paths[2]))
     return spark.read.parquet(paths[1])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import dataclasses
 import enum
 import re
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from typing import Any
 
 import pyarrow as pa
@@ -134,10 +134,15 @@ def metric_rows(spark: SparkSession, step: int, metrics: Mapping[str, float]) ->
     return spark.createDataFrame([(step, k, float(v)) for k, v in metrics.items()], "step long, key string, value double")
 
 
-def log_metrics(rows: DataFrame, *folders: str) -> None:
-    """The same metric rows appended to each sink."""
-    for f in folders:
-        rows.write.mode("append").parquet(f)
+def log_metrics(rows: DataFrame, *sinks: str | tuple[str, str] | Callable[[DataFrame], object]) -> None:
+    """The same metric rows to each sink: a folder of Parquet files, (format, folder) of any other format that Spark writes, or a
+    function of the rows (a tracker's client, console_lines)."""
+    for s in sinks:
+        if callable(s):
+            s(rows)
+        else:
+            kind, folder = ("parquet", s) if isinstance(s, str) else s
+            rows.write.mode("append").format(kind).save(folder)
 
 
 def console_lines(rows: DataFrame) -> DataFrame:

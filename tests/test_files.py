@@ -64,6 +64,9 @@ def test_metrics(spark, tmp_path):
     rows = files.metric_rows(spark, 3, {"b": 2, "a": 0.12345})
     files.log_metrics(rows, str(tmp_path / "m"), str(tmp_path / "n"))
     assert spark.read.parquet(str(tmp_path / "m")).count() == spark.read.parquet(str(tmp_path / "n")).count() == 2
+    seen = []
+    files.log_metrics(rows, ("json", str(tmp_path / "j")), ("csv", str(tmp_path / "c")), lambda r: seen.append(r.count()))
+    assert spark.read.json(str(tmp_path / "j")).count() == spark.read.csv(str(tmp_path / "c")).count() == 2 and seen == [2]
     assert files.console_lines(rows).first().line == "step:3 - a:0.123 - b:2.000"
 
 
