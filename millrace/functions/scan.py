@@ -16,11 +16,11 @@ def bound(value: Column, f: Callable[[Column], Column]) -> Column:
 def scanned(items: Column, start: Column, step: Callable[[Column, Column], Column], value: Callable[[Column], Column], kind: str = "double") -> Column:
     """Array of value(state) after each item, in the order of items; null for a null array.
 
-    A fold that appends to its result copies it at every item. Here items are folded in chunks of the square root of their
-    number, each with a result of its own, and only a list of chunks grows: n ** 1.5 copied values instead of n ** 2.
+    A fold that appends to its result copies it at every item. Here items (beyond 64) are folded in chunks of the square root of
+    their number, each with a result of its own, and only a list of chunks grows: n ** 1.5 copied values instead of n ** 2.
     """
     none, n = F.array().cast(f"array<{kind}>"), F.size(items)
-    width = F.ceil(F.sqrt(n.cast("double"))).cast("int")
+    width = F.when(n <= 64, n).otherwise(F.ceil(F.sqrt(n.cast("double"))).cast("int"))
 
     def one(a: Column, x: Column) -> Column:
         return bound(step(a["s"], x), lambda s: F.struct(s.alias("s"), F.concat(a["out"], F.array(value(s).cast(kind))).alias("out")))

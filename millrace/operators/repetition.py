@@ -1,4 +1,4 @@
-"""Repetition in texts of any length: character n-grams as columns, consecutive patterns in an Arrow function."""
+"""Repetition in texts of any length: character n-grams, consecutive patterns."""
 
 from __future__ import annotations
 
@@ -8,12 +8,13 @@ import threading
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.text import has_ngram_over, max_ngram_count
+from millrace.functions.text import has_ngram_over
 
 
 def most_repeated(text: str | None, n: int) -> int:
@@ -23,8 +24,29 @@ def most_repeated(text: str | None, n: int) -> int:
     return max(Counter(text[i : i + n] for i in range(len(text) - n)).values())
 
 
+def hashed_most_repeated(text: str | None, n: int) -> int:
+    """most_repeated by 64-bit hashes of the n-grams (m of them: about m^2 / 2^65 wrong counts expected)."""
+    if not text or len(text) <= n:
+        return 0
+    u = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    h = np.zeros(len(u) - n, np.uint64)
+    for j in range(n):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + u[j : j + len(h)]
+        h ^= h >> np.uint64(29)
+    h.sort()
+    new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
+    return int(np.diff(new).max())
+
+
 def ngram_count(text: Column, n: int) -> Column:
-    return max_ngram_count(text, n)
+    """The count of the commonest n-gram of each text, in Arrow batches (counts of whole texts are many times dearer as a column
+    expression; repeats, which filters ask only of rows that are left, is one)."""
+
+    @F.pandas_udf(T.IntegerType())
+    def count(xs: pd.Series) -> pd.Series:
+        return pd.Series([hashed_most_repeated(x, n) for x in xs], dtype="int32")
+
+    return count(text)
 
 
 def repeats(text: Column, n: int = 20, most: int = 20) -> Column:

@@ -187,8 +187,8 @@ def test_ngram_counts_of_any_length(spark):
     ts = ["abé" * k + "x" * (k % 7) for k in (0, 1, 2, 6, 7, 85, 86, 92, 200)] + [None]
     df = spark.createDataFrame(list(enumerate(ts)), "i int, t string")
     for n in (1, 5, 20):
-        got = {r.i: (r.c, r.o) for r in df.select("i", repetition.ngram_count(F.col("t"), n).alias("c"), repetition.repeats(F.col("t"), n, 3).alias("o")).collect()}
-        assert got == {i: (repetition.most_repeated(t, n), repetition.most_repeated(t, n) > 3) for i, t in enumerate(ts)}
+        got = {r.i: (r.c, r.d, r.o) for r in df.select("i", repetition.ngram_count(F.col("t"), n).alias("c"), text.max_ngram_count(F.col("t"), n).alias("d"), repetition.repeats(F.col("t"), n, 3).alias("o")).collect()}
+        assert got == {i: (repetition.most_repeated(t, n), repetition.most_repeated(t, n), repetition.most_repeated(t, n) > 3) for i, t in enumerate(ts)}
 
 
 def test_time_limits(spark):
