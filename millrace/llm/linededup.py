@@ -43,8 +43,8 @@ def repeated_lines(rows: DataFrame, ws: Workspace, least_chars: int, least_docs:
     long_keys = F.filter(F.transform(lines_of(F.col("text")), line_key), lambda k: F.length(k) >= least_chars)
     hashes = rows.where(F.octet_length("text") >= least_chars).select(F.explode(F.array_distinct(F.transform(long_keys, lambda k: F.xxhash64(k)))).alias("h"))
     often = ws.save(hashes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_docs), "often")
-    t, u = F.xxhash64("text").alias("t"), F.xxhash64(F.lit(1), "text").alias("u")
-    lines = rows.where(F.octet_length("text") >= least_chars).select("id", t, u, F.posexplode(F.transform(lines_of(F.col("text")), line_key)).alias("pos", "key"))
+    texts = rows.where(F.octet_length("text") >= least_chars).select("id", "text", F.xxhash64("text").alias("t"), F.xxhash64(F.lit(1), "text").alias("u"))  # once a text, not a line
+    lines = texts.select("id", "t", "u", F.posexplode(F.transform(lines_of(F.col("text")), line_key)).alias("pos", "key"))
     lines = lines.where(F.length("key") >= least_chars).select("id", "t", "u", "pos", *hash_pair(F.col("key")))
     return ws.save(salted_join(lines, often, ["h"]).select("id", "t", "u", "pos", "h", "g"), "repeated")
 
