@@ -63,7 +63,7 @@ def test_thresholds_and_the_kept_document(spark):
 
 def test_hot_lines_long_texts_clashing_columns_and_an_empty_table(spark):
     hot = "the same long line in every document of a hot source"
-    rows = [(i, f"{hot}\nown {i}") for i in range(2500)] + [(9999, "\n".join([hot] * 40_000 + ["end"])), (3, "\n".join(f"{hot} {i % 700}" for i in range(60_000)))]
+    rows = [(i, f"{hot}\nown {i}") for i in range(2500)] + [(9999, "\n".join([hot] * 20_000 + ["end"])), (3, "\n".join(f"{hot} {i % 700}" for i in range(6_000)))]
     df = clashing(spark.createDataFrame(rows, "doc_id long, text string")).withColumns({c: F.lit("clash") for c in ("id", "t", "u", "h", "g", "k", "x", "y", "pos", "gone", "row", "n", "salt", "lines")}).withColumn("N_dropped", F.lit("clash"))
     out = linededup.without_repeated_lines(df)
     assert out.where("id = 'clash' AND gone = 'clash' AND `row` = 'clash'").count() == len(rows)
