@@ -389,9 +389,19 @@ def cuts() -> list:
 
 def reply(text: Column) -> Column:
     """What all cuts leave."""
-    for cut, _ in cuts():
-        text = _cut(text, cut)
-    return text
+    heads = _cut_at(text, [(m, True) for m in BEFORE_ANSWER] + [(m, False) for m in AFTER_ANSWER])
+    return _cut_at(_cut(heads, lambda t: F.nullif(last_braced(t), F.lit(""))), [(". ", False)] + [(m, True) for m in VERBS])
+
+
+def _cut_at(text: Column, marks: list[tuple[str, bool]]) -> Column:
+    """Of each mark in turn the text after its last place (or before that), where it has one: one fold, however many marks."""
+
+    def cut(t: Column, mark: Column) -> Column:
+        at = F.position(mark["back"], F.reverse(F.lower(t)))
+        after, head = F.substr(t, F.length(t) - at + 2), F.substr(t, F.lit(1), F.length(t) - at - F.length(mark["back"]) + 1)
+        return F.when(at > 0, F.regexp_replace(F.when(mark["after"], after).otherwise(head), r"^\s+|\s+$", "")).otherwise(t)
+
+    return F.aggregate(F.array(*[F.struct(F.lit(m[::-1]).alias("back"), F.lit(after).alias("after")) for m, after in marks]), text, cut)
 
 
 def _cut(text: Column, cut) -> Column:

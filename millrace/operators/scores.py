@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import normalize, text
+from millrace.functions.symbolic import same_formula
 from millrace.operators.losses import kl_shaped
 
 Scorer = Callable[[Column, Column], Column]
@@ -37,45 +38,71 @@ def geometry_score(response: Column, truth: Column) -> Column:
     return 0.9 * F.when(text.last_boxed(response) == truth, 1.0).otherwise(0.0) + 0.1 * format_score(response)
 
 
-def graded(got: Column, truth: Column, symbolic: Callable[[Column, Column], Column] | None = None) -> Column:
-    """Equal plain or lenient forms; else the cascade of comparisons, with pi as its value and as 3.14 where it occurs."""
-    same = (normalize.plain_answer(got) == normalize.plain_answer(truth)) | (normalize.lenient(got) == normalize.lenient(truth))
+def grades(got: Column, truth: Column) -> Column:
+    """struct(early, near): equal plain or lenient forms; equal numbers with pi as its value or as 3.14, where it occurs."""
     value = lambda x, pi: F.coalesce(normalize.pi_value(x, pi), normalize.number_of(x))
     with_pi = F.contains(got, F.lit("\\pi")) | F.contains(truth, F.lit("\\pi"))
-    by_pi = [F.coalesce(with_pi & normalize.same_number(value(got, pi), value(truth, pi)), F.lit(False)) for pi in (math.pi, 3.14)]
-    return F.coalesce(same, F.lit(False)) | by_pi[0] | by_pi[1] | normalize.math_equal_column(got, truth, symbolic)
+    forms = lambda x: F.struct(normalize.plain_answer(x).alias("plain"), normalize.lenient(x).alias("lenient"), *[F.when(with_pi, value(x, pi)).alias(n) for n, pi in (("pi", math.pi), ("short", 3.14))])
 
+    def of(both: Column) -> Column:
+        x, y = F.get(both, F.lit(0)), F.get(both, F.lit(1))
+        early = F.coalesce(x["plain"] == y["plain"], F.lit(False)) | F.coalesce(x["lenient"] == y["lenient"], F.lit(False))
+        by_pi = F.coalesce(normalize.same_number(x["pi"], y["pi"]), F.lit(False)) | F.coalesce(normalize.same_number(x["short"], y["short"]), F.lit(False))
+        return F.struct(early.alias("early"), by_pi.alias("near"))
 
-def matched(response: Column, truth: Column, symbolic: Callable[[Column, Column], Column] | None = None) -> Column:
-    """struct(correct, format, answer) of the heuristically matched answer. The format is that of a response in steps with a box;
-    it counts as kept where plain or lenient forms are equal."""
+    return text.let(F.transform(F.array(got, truth), forms), of)
+
+
+def _or_same_formula(right: Column, got: Column, truth: Column, symbolic: Callable[[Column, Column], Column] | None) -> Column:
+    """right, or the same formula; strings that are equal are not looked at again."""
+    return right if symbolic is None else right | F.coalesce(symbolic(F.when(got != truth, got), truth), F.lit(False))
+
+
+def _correct(g: Column, got: Column, truth: Column, symbolic: Callable[[Column, Column], Column] | None) -> Column:
+    return _or_same_formula(F.when(g["early"] | g["near"], True).otherwise(normalize.math_equal_column(got, truth)), got, truth, symbolic)
+
+
+def graded(got: Column, truth: Column, symbolic: Callable[[Column, Column], Column] | None = same_formula) -> Column:
+    """Equal forms or numbers (grades), or else by the cascade of comparisons, or the same formula by `symbolic`, a function of two
+    columns (null: undecided). The default is a Python function, so that this column cannot stand inside a lambda, nor `got` hold
+    one; None leaves formulas out."""
+    return _correct(grades(got, truth), got, truth, symbolic)
+
+
+def matched(response: Column, truth: Column) -> Column:
+    """struct(correct, format, answer) of the heuristically matched answer, without formulas (with_matched has them). The format is
+    that of a response in steps with a box; it counts as kept where plain or lenient forms are equal."""
     form = F.contains(response, F.lit("Step 2:")) & F.contains(response, F.lit("\\box"))
+    m = text.let(text.reply(response), lambda got: F.struct(got.alias("answer"), grades(got, truth).alias("g")))
+    return F.struct(_correct(m["g"], m["answer"], truth, None).alias("correct"), (form | m["g"]["early"]).alias("format"), m["answer"].alias("answer"))
 
-    def of(got: Column) -> Column:
-        early = F.coalesce((normalize.plain_answer(got) == normalize.plain_answer(truth)) | (normalize.lenient(got) == normalize.lenient(truth)), F.lit(False))
-        return F.struct(graded(got, truth, symbolic).alias("correct"), (form | early).alias("format"), got.alias("answer"))
 
-    return text.let(text.reply(response), of)
+def with_matched(df: DataFrame, response: str, truth: str, out: str = "matched", symbolic: Callable[[Column, Column], Column] = same_formula) -> DataFrame:
+    """df with matched of two columns, formulas too: the answer is worked out first, since a Python function's argument in Spark
+    cannot hold a lambda. A column named `out` is replaced."""
+    names = {c.lower() for c in df.columns}
+    tmp = next(n for n in ("m" + "_" * i for i in range(1, 10**6)) if n not in names)
+    d = df.withColumn(tmp, matched(F.col(f"`{response}`"), F.col(f"`{truth}`")))
+    m = F.col(tmp)
+    correct = F.when(m["correct"], True).otherwise(F.coalesce(symbolic(m["answer"], F.col(f"`{truth}`")), F.lit(False)))
+    return d.withColumn(out, F.struct(correct.alias("correct"), m["format"].alias("format"), m["answer"].alias("answer"))).drop(tmp)
 
 
 def matched_score(response: Column, truth: Column) -> Column:
-    """1 if the heuristically matched answer is right."""
-    return text.let(text.reply(response), lambda got: F.when(graded(got, truth), 1.0).otherwise(0.0))
+    """1 if the heuristically matched answer is right, formulas apart."""
+    return F.when(matched(response, truth)["correct"], 1.0).otherwise(0.0)
 
 
-def verified_score(response: Column, truth: Column, kind: str = "default", n: int = 50, most: int = 20, symbolic: Callable[[Column, Column], Column] | None = None) -> Column:
+def verified_score(response: Column, truth: Column, kind: str = "default", n: int = 50, most: int = 20, symbolic: Callable[[Column, Column], Column] | None = same_formula) -> Column:
     """0 for repetitions; 1 for the right box; else 0, or -0.5 (0 without a box) for the kind with format. A box is right if it
-    equals the truth in any case, in its normal or plain form, or by `symbolic`, a function of both, where there is one."""
+    equals the truth in any case, in its normal or plain form, or as a formula (`symbolic` as in graded)."""
     from millrace.operators.repetition import repeats
 
     wrong = 0.0 if kind == "default" else -0.5
-
-    def of(got: Column) -> Column:
-        right = (F.lower(got) == F.lower(truth)) | (normalize.final_answer(got) == normalize.final_answer(truth)) | normalize.equivalent(got, truth)
-        right = F.coalesce(right, F.lit(False)) if symbolic is None else text.let(F.coalesce(right, F.lit(False)), lambda r: F.when(r, True).otherwise(symbolic(got, truth)))
-        return F.when(got.isNull(), 0.0).when(right, 1.0).otherwise(wrong)
-
-    return F.when(repeats(response, n, most), 0.0).otherwise(text.let(text.last_boxed(response), of))
+    same = lambda got: (F.lower(got) == F.lower(truth)) | (normalize.final_answer(got) == normalize.final_answer(truth)) | normalize.equivalent(got, truth)
+    box = text.last_boxed(response)
+    right = _or_same_formula(text.let(box, lambda got: F.coalesce(same(got), F.lit(False))), box, truth, symbolic)
+    return F.when(repeats(response, n, most), 0.0).when(box.isNull(), 0.0).when(right, 1.0).otherwise(wrong)
 
 
 def code_format(response: Column) -> Column:

@@ -5,7 +5,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from millrace.functions import normalize, text
+from millrace.functions import latex, normalize, symbolic, text
 from millrace.operators import groups, repetition, scores
 from millrace.plans import filters
 
@@ -123,7 +123,8 @@ def test_digits_and_numbers(spark):
 @pytest.mark.parametrize(
     ("a", "b", "same"),
     [("1/2", "0.5", True), ("50%", "0.5", True), ("(1, 2)", "(1.0,2)", True), ("(1,2)", "(1,3)", False), ("x=3", "3", True), ("B.", "B", True), ("\\frac{1}{2}", "0.5", True), ("abc", "ABC", True), ("x", "y", False), ("{1}", "1", False), ("x=y", "x=y ", True),
-     ("\\begin{pmatrix}1\\\\2\\end{pmatrix}", "\\begin{pmatrix}1.0\\\\2\\end{pmatrix}", True), (None, None, True), (None, "1", False), ("", "1", False)],
+     ("\\begin{pmatrix}1\\\\2\\end{pmatrix}", "\\begin{pmatrix}1.0\\\\2\\end{pmatrix}", True), (None, None, True), (None, "1", False), ("", "1", False), ("((1,2),3)", "((1.0,2),3)", True), ("((1,2),3)", "((1,3),3)", False), ("((1,2),3)", "(1,2,3)", False), ("[(1,[2,(3)]),4]", "[(1.0,[2,(3.0)]),4]", True), ("((1),2)", "(1,(2))", True), ("((1),2)", "(1,(3))", False),
+     ("(\\frac{1}{2}, f(1,2))", "(0.5, f(1,2))", True), ("(1)+(2)", "(1.0)+(2)", False), ("(1,(2)", "(1,(2.0)", False), ("(" * 60 + "1,2" + ")" * 60, "(" * 60 + "1.0,2" + ")" * 60, True), ("1,200", "1200", True), (" x ", "X", True)],
 )
 def test_math_equal(spark, a, b, same):
     assert one(spark, normalize.math_equal_column(c0, c1), a, b) == same
@@ -222,8 +223,8 @@ def test_filters_run_no_python(spark):
     for stages in (filters.multistage(), filters.acceptance()):
         assert "Python" not in filters.with_reason(df, stages)._jdf.queryExecution().executedPlan().toString()
     both = spark.createDataFrame([("a", "b")], "a string, b string")
-    for f in (scores.boxed_score, scores.matched_score, scores.verified_score, normalize.math_equal_column):
-        assert "Python" not in both.select(f(F.col("a"), F.col("b")))._jdf.queryExecution().executedPlan().toString()
+    for f, more in ((scores.boxed_score, {}), (scores.matched_score, {}), (scores.verified_score, {"symbolic": None}), (normalize.math_equal_column, {})):
+        assert "Python" not in both.select(f(F.col("a"), F.col("b"), **more))._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize(("raw", "want"), [("\\frac12 \\text{ cm}", "1/2"), ("\\sqrt{2\\pi}", "sqrt(2pi)"), ("\\frac{\\sqrt{3}}{2}", "sqrt(3)/2"), ("3\\frac{1}{2}", "3+1/2"), ("5 million", "5 *10^6"), ("(1, 2]", "(1, 2]")])
@@ -231,6 +232,41 @@ def test_lenient_forms(spark, raw, want):
     assert one(spark, normalize.lenient(c0), raw) == want
 
 
+def nested(kind, depth, core):
+    return ("\\sqrt{" if kind == "root" else "\\frac{") * depth + core + ("}" if kind == "root" else "}{3}") * depth
+
+
+def test_latex_of_any_depth_as_text(spark):
+    for d in (1, 4, 150):
+        assert one(spark, latex.plain_text(c0), nested("root", d, "2")) == "sqrt(" * d + "2" + ")" * d
+        assert one(spark, latex.plain_text(c0), nested("fraction", d, "2")) == "(" * (d - 1) + "2/3" + ")/3" * (d - 1)
+        assert not one(spark, scores.graded(c0, c1), nested("root", d, "2"), nested("root", d + 1, "2"))
+    rows = [("\\frac\\sqrt{2}3", "sqrt(2)/3"), ("\\sqrt\\sqrt2", "sqrt(sqrt(2))"), ("\\sqrt[3]{\\frac12}", "root(3,1/2)"), ("\\foo{x}+\\bar", "\\foox+\\bar"), ("x^{n+1}_{2}", "x^(n+1)_2"), ("1\\frac{a+b}{c}", "1 (a+b)/c"), ("a}b{c", "abc"), ("\\{1,2\\}", "{1,2}"), ("", ""), (None, None), ("{\\frac1}", "1/")]
+    for raw, want in rows:
+        assert one(spark, latex.plain_text(c0), raw) == want, raw
+
+
+def test_formulas(spark):
+    same = [("x^2+x", "x+x^2"), ("(x+1)^2", "x^2+2x+1"), ("\\frac{x^2-1}{x-1}", "x+1"), ("\\sqrt{8}", "2\\sqrt2"), ("x^{3/2}", "x\\sqrt{x}"), ("\\sqrt[3]{x^3}", "x"), ("2^{n+1}", "2\\cdot 2^n"), ("2x+y=3", "3-y=2x"), ("1\\frac{1}{2}", "3/2"), ("\\sqrt{12}", "3.4641"), ("2^3^2", "512"), ("\\sin(x+1)", "\\sin(1+x)"), ("e^{x+1}", "e*e^x"), ("0.1+0.2", "0.3"), ("(" * 2000 + "x" + ")" * 2000, "x")]
+    other = [("x", "y"), ("x^2", "x^3"), ("-x^2", "(-x)^2"), ("1/3", "0.34"), ("y=x", "y=2x"), ("x^2+x", "x^2-x"), ("\\sqrt{\\sqrt{\\sqrt{\\sqrt{2}}}}", "\\sqrt{\\sqrt{\\sqrt{2}}}"), ("ab+1", "a+b")]
+    undecided = [("\\sqrt{x^2}", "x"), ("Monday", "Mondya"), ("no", "on"), ("2 3", "6"), ("(1+2", "3"), ("1)+(2", "3"), ("", ""), ("x+", "x"), ("1/0", "1/0"), ("\\sin x", "\\sin x "), ("x=1", "1"), ("(1,2)", "(1,2)"), ("__import__('os')", "0"), ("\\log(x)", "\\ln(x)"), ("\\frac{}{}", "1"), ("0^0", "1"), (None, "1")]
+    cases = [(a, b, w) for w, rows in ((True, same), (False, other), (None, undecided)) for a, b in rows]
+    df = spark.createDataFrame(cases, "c0 string, c1 string, want boolean").repartition(3)
+    for r in df.select("*", symbolic.same_formula(c0, c1).alias("got"), symbolic.same_formula(c1, c0).alias("back")).collect():
+        assert (r.got, r.back) == (r.want, r.want), r
+    assert one(spark, scores.graded(c0, c1), "x^2+x", "x(1+x)") and not one(spark, scores.graded(c0, c1, None), "x^2+x", "x(1+x)")
+    assert one(spark, scores.verified_score(c0, c1), "so \\boxed{x^2+x}", "x(x+1)") == 1 and one(spark, scores.verified_score(c0, c1), "so \\boxed{x^2-x}", "x(x+1)") == 0
+    rows = spark.createDataFrame([("so \\boxed{x^2+x}", "x(x+1)", 1), ("the answer is x^2-x", "x(x+1)", 2), (None, "x", 3)], "r string, t string, m_ int")
+    assert [x.matched.correct for x in scores.with_matched(rows, "r", "t").orderBy("m_").collect()] == [True, False, False]
+
+
+@given(st.integers(-9, 9), st.integers(-9, 9), st.integers(-9, 9), st.integers(1, 9))
+def test_formulas_against_arithmetic(a, b, c, d):
+    assert symbolic.same_value(f"(x+{a})(x-({b}))*{d}", f"{d}x^2+{d * (a - b)}x+{-d * a * b}".replace("+-", "-"))
+    assert symbolic.same_value(f"\\frac{{x}}{{{d}}}+{c}", f"\\frac{{x+({c * d})}}{{{d}}}")
+    assert symbolic.same_value(f"x+{a}", f"x+{b}") is (a == b)
+
+
 def test_graded_answers(spark):
     for a, b, same in (("2\\pi", "6.28", True), ("2\\pi", "6.2831853", True), ("2\\pi", "6.1", False), ("\\text{ 7 }", "7", True), ("1/2", "0.5", True)):
         assert one(spark, scores.graded(c0, c1), a, b) == same
