@@ -19,8 +19,6 @@ from millrace.llm._base import by_bytes, mapped, raw_texts, rows_of, table
 
 #: Labelled rows that the model is fitted on, at most, and bytes that such a text has at most.
 SAMPLE_ROWS, SAMPLE_BYTES = 2000, 1 << 16
-#: Languages that the model knows at most: those with the most labelled rows.
-MOST_LANGUAGES = 200
 LONGEST = 5
 #: Words that a task keeps with their scores; then it starts anew.
 KEPT_WORDS = 100_000
@@ -123,24 +121,23 @@ class Scorer:
 
 def train_model(docs: DataFrame, train: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = SAMPLE_ROWS) -> Model:
     """Fitted on a bounded sample of the rows of docs where `train` holds and neither text nor lang is null, of those of at most
-    SAMPLE_BYTES bytes: of the largest MOST_LANGUAGES languages each an equal share of `rows`, by the smallest hash of (key,
-    text), and what smaller ones leave goes to the larger. Without any such row it predicts `und`."""
+    SAMPLE_BYTES bytes: of every language an equal share of `rows` (one at least, so that more languages than `rows` have one
+    each), by the smallest hash of (key, text), and what smaller ones leave goes to the larger. Without any such row it predicts
+    `und`."""
     d = docs.where(train & F.col(text).isNotNull() & F.col(lang).isNotNull() & (F.octet_length(text) <= SAMPLE_BYTES))
     picked = d.select(F.col(text).alias("t"), F.col(lang).alias("g"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("h"))
-    counts = {r.g: r.n for r in picked.groupBy("g").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "g").limit(MOST_LANGUAGES).collect()}
+    counts = {r.g: r.n for r in picked.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
     if not counts:
         return fit([])
-    quotas, left = {}, rows
-    for i, (g, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
-        quotas[g] = min(n, left // (len(counts) - i))
-        left -= quotas[g]
-    most = F.lit(0)
-    quota = F.lit(0)
-    for g, q in quotas.items():  # half as many again by the hash's value (and some), then exactly the quota
-        share = min(1.0, (1.5 * q + 50) / counts[g])
-        most, quota = F.when(F.col("g") == g, int(share * (1 << 30))).otherwise(most), F.when(F.col("g") == g, q).otherwise(quota)
-    near = picked.where(F.pmod("h", F.lit(1 << 30)) < most).withColumn("k", F.row_number().over(Window.partitionBy("g").orderBy("h", "t")))
-    return fit([(r.t, r.g) for r in near.where(F.col("k") <= quota).select("t", "g").toLocalIterator()])
+    quotas, left = [], rows
+    for i, (n, g) in enumerate(sorted((n, g) for g, n in counts.items())):
+        quota = max(1, min(n, left // (len(counts) - i)))
+        left = max(0, left - quota)
+        share = min(1.0, (1.5 * quota + 50) / n)  # half as many again by the hash's value (and some), then exactly the quota
+        quotas.append((g, quota, int(share * (1 << 30))))
+    quota_of = F.broadcast(docs.sparkSession.createDataFrame(quotas, "g string, quota int, most long"))
+    near = picked.join(quota_of, "g").where(F.pmod("h", F.lit(1 << 30)) < F.col("most")).withColumn("k", F.row_number().over(Window.partitionBy("g").orderBy("h", "t")))
+    return fit([(r.t, r.g) for r in near.where(F.col("k") <= F.col("quota")).select("t", "g").toLocalIterator()])
 
 
 def identify(df: DataFrame, model: Model, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:

@@ -122,21 +122,21 @@ def fit(rows: list[tuple[bytes, int]], positive: float = 0.5, epochs: int = EPOC
 
 
 def train_network(docs: DataFrame, labels: DataFrame, train: Column, key: str = "doc_id", text: str = "text", label: str = "quality", each: int = SAMPLE_EACH) -> Network:
-    """Fitted on at most `each` documents of each label (0, 1), those of the smallest hash of the key where `train` holds.
+    """Fitted on at most `each` texts of each label (0, 1): of all labelled documents where `train` holds whose text is neither null
+    nor over SAMPLE_BYTES, those of the smallest hash of key and text.
 
-    Labels that are null or contradict each other for a key are left out, and so are null texts and those over SAMPLE_BYTES.
+    Labels that are null or contradict each other for a key are left out; labels of documents that are missing or too long take no
+    room in the sample. The share of label 1 is that of all usable labelled texts.
     """
     marked = labels.where(train & F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(key).agg(F.min(label).alias("y"), F.max(label).alias("z")).where("y = z").select(key, "y")
-    counts = {r.y: r.n for r in marked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    chosen = None
-    for y in (0, 1):  # twice as many ids as wanted, for texts that fall out
-        part = marked.where(F.col("y") == y).orderBy(F.xxhash64(key), key).limit(2 * each)
-        chosen = part if chosen is None else chosen.union(part)
-    texts = docs.where(F.col(text).isNotNull() & (F.octet_length(text) <= SAMPLE_BYTES)).select(key, F.col(text).alias("t"))
-    picked = texts.join(F.broadcast(chosen), key).select("y", "t", F.xxhash64(key, "t").alias("h"))
+    usable = docs.where(F.col(text).isNotNull() & (F.octet_length(text) <= SAMPLE_BYTES)).select(F.col(key).alias("k"), F.xxhash64(key, text).alias("h"))
+    of_label = usable.join(marked, F.col("k") == F.col(key)).select("y", "k", "h")  # ids and hashes only
+    counts = {r.y: r.n for r in of_label.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows: list[tuple[bytes, int]] = []
-    for y in (0, 1):
-        rows += [(r.t.encode(), y) for r in picked.where(F.col("y") == y).orderBy("h", "t").limit(each).toLocalIterator()]
+    for y in sorted(counts):
+        chosen = F.broadcast(of_label.where(F.col("y") == y).select("k", "h").distinct().orderBy("h", "k").limit(each))
+        texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(chosen, "k").where(F.xxhash64("k", "t") == F.col("h"))
+        rows += [(r.t.encode(), y) for r in texts.select("h", "t").distinct().orderBy("h", "t").limit(each).toLocalIterator()]
     total = sum(counts.values())
     return fit(rows, counts.get(1, 0) / total if total else 0.5)
 

@@ -11,9 +11,12 @@ neighbouring lengths; if all lengths of an encoding are few, its threshold is fi
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.scan import bound as bound_column
 from millrace.functions.scan import scanned
 from millrace.llm._base import Workspace, rows_of, table
 
@@ -49,6 +52,8 @@ FEW, FEW_EDGE, FEW_WORDLIKE = 20, 0.01, 0.2
 #: Standard errors by which the number of a class's random tokens is taken to exceed its estimate, if most of them are random; to
 #: fall short of it for letters of one case, if not; else the estimate itself is taken.
 ERRORS = 2
+#: Characters of the pieces in which a text is redacted.
+PIECE = 1024
 SPANS = "array<struct<kind:int,start:int,end:int>>"
 
 
@@ -174,10 +179,30 @@ def spans_in(found: DataFrame, share: float) -> Column:
     limit = thresholds(found, share)
     cases = " ".join(f"WHEN x.encoding = {e} AND x.length_class = {n} THEN x.p >= {p!r}D" for (e, n), p in sorted(limit.items()))
     ok = f"CASE {cases} ELSE false END" if cases else "false"
-    added = f"transform(filter(candidates, x -> {ok} AND NOT exists(base, b -> b.start < x.end AND x.start < b.end)), x -> struct({len(KINDS) - 1} AS kind, x.start AS start, x.end AS end))"
-    ordered = f"array_sort(transform(concat(base, {added}), x -> struct(x.start AS start, x.kind AS kind, x.end AS end)))"
-    names = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
-    return F.expr(f"transform({ordered}, x -> struct({names}[x.kind] AS kind, x.start AS start, x.end AS end))")
+    kinds = "array(" + ", ".join(f"'{k}'" for k in KINDS) + ")"
+    added = f"transform(filter(candidates, x -> {ok}), x -> struct(x.start AS start, {len(KINDS) - 1} AS kind, x.end AS end))"
+    ordered = f"array_sort(concat(transform(base, x -> struct(x.start AS start, x.kind AS kind, x.end AS end)), {added}))"
+    return F.transform(_apart(F.expr(ordered)), lambda x: F.struct(F.get(F.expr(kinds), x["kind"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
+
+
+def _apart(spans: Column) -> Column:
+    """Spans in order, without the random ones that overlap one of the base kinds. Two passes, since a base span may reach over its
+    start from the left or the right: each carries the reach of the base spans so far."""
+    item, random = "struct<start:int,kind:int,end:int>", len(KINDS) - 1
+
+    def kept(xs: Column, step: Callable[[Column, Column], Column], start: int) -> Column:
+        state = F.struct(F.lit(start).alias("reach"), F.lit(None).cast(item).alias("x"))
+        return F.filter(scanned(xs, state, step, lambda s: s["x"], item), lambda x: x.isNotNull())
+
+    def forth(s: Column, x: Column) -> Column:
+        base = x["kind"] != random
+        return F.struct(F.when(base, F.greatest(s["reach"], x["end"])).otherwise(s["reach"]).alias("reach"), F.when(base | (x["start"] >= s["reach"]), x).alias("x"))
+
+    def back(s: Column, x: Column) -> Column:
+        base = x["kind"] != random
+        return F.struct(F.when(base, F.least(s["reach"], x["start"])).otherwise(s["reach"]).alias("reach"), F.when(base | (x["end"] <= s["reach"]), x).alias("x"))
+
+    return F.reverse(kept(F.reverse(kept(spans, forth, 0)), back, 2**31 - 1))
 
 
 def written(spans: Column) -> Column:
@@ -185,12 +210,30 @@ def written(spans: Column) -> Column:
 
 
 def redacted(text: str, spans: str, mark: str = "[SECRET]") -> Column:
-    """The text with each span (overlapping ones together) replaced by a mark."""
-    step = (
-        f"CASE WHEN x.end <= a.at THEN a ELSE named_struct('at', x.end, 'out', concat(a.out, CASE WHEN x.start >= a.at THEN concat(substr({text}, a.at + 1, x.start - a.at), '{mark}') ELSE '' END)) END"
-    )
-    folded = f"aggregate({spans}, named_struct('at', 0, 'out', ''), (a, x) -> {step}, a -> concat(a.out, substr({text}, a.at + 1)))"
-    return F.expr(f"CASE WHEN size({spans}) > 0 THEN {folded} ELSE {text} END")
+    """The text with each span (overlapping ones together) replaced by a mark. The text is cut into pieces of PIECE characters once,
+    and places are sought in their pieces: time grows with the text and the spans, not with their product."""
+    joined = "struct<start:int,end:int>"
+
+    def step(s: Column, x: Column) -> Column:
+        """Reaches of overlapping spans: what is given out is the part of the text before a span, or null inside one."""
+        new = x["start"] >= s["end"]
+        return F.struct(F.greatest(s["end"], x["end"]).alias("end"), F.when(new, F.struct(s["end"].alias("start"), x["start"].alias("end"))).cast(joined).alias("gap"))
+
+    def gaps(xs: Column) -> Column:
+        start = F.struct(F.lit(0).alias("end"), F.lit(None).cast(joined).alias("gap"))
+        last = F.struct(F.array_max(F.transform(xs, lambda x: x["end"])).alias("start"), F.length(text).alias("end"))
+        return F.concat(F.filter(scanned(xs, start, step, lambda s: s["gap"], joined), lambda g: g.isNotNull()), F.array(last))
+
+    def part(pieces: Column, g: Column) -> Column:
+        piece = lambda at: F.floor(at / PIECE).cast("int")
+        of = lambda at: F.coalesce(F.get(pieces, piece(at)), F.lit(""))
+        first, n = F.substr(of(g["start"]), g["start"] % PIECE + 1), g["end"] - g["start"]
+        between = F.array_join(F.slice(pieces, piece(g["start"]) + 2, F.greatest(piece(g["end"]) - piece(g["start"]) - 1, F.lit(0))), "")
+        return F.when(piece(g["start"]) == piece(g["end"]), F.left(first, n)).otherwise(F.concat(first, between, F.left(of(g["end"]), g["end"] % PIECE)))
+
+    whole = F.struct(matches(F.col(text), f"(?s).{{1,{PIECE}}}").alias("pieces"), gaps(F.col(spans)).alias("gaps"))
+    parts = bound_column(whole, lambda w: F.transform(w["gaps"], lambda g: part(w["pieces"], g)))
+    return F.when(F.size(spans) > 0, F.array_join(parts, mark)).otherwise(F.col(text))
 
 
 def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -5,6 +5,8 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from helpers import DOCS, clashing, docs_of
 from millrace.llm import langid
 
@@ -119,3 +121,13 @@ def test_a_rare_language_is_learned(spark, monkeypatch):
     rows = [(i, "alpha beta gamma delta", "aa", "s", 1) for i in range(3000)] + [(i, "uno dos tres quatro", "bb", "s", 1) for i in range(3000, 3020)]
     m = langid.train_model(spark.createDataFrame(rows, DOCS), ~langid.held_out(), rows=40)
     assert m.langs == ["aa", "bb"]
+
+
+def test_every_language_is_learned_however_many(spark):
+    rows = [(4 * i + j, " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}word{x}" for x in range(30)), f"l{i:03}", "s", 0) for i in range(250) for j in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    model = langid.train_model(docs, F.lit(True))
+    assert len(model.langs) == 250
+    assert all(r.lang == r.lang_pred for r in langid.identify(docs, model).collect())
+    few = langid.train_model(docs, F.lit(True), rows=100)
+    assert len(few.langs) == 250

@@ -1,5 +1,7 @@
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from helpers import DOCS, clashing, docs_of
 from millrace.llm import quality
 
@@ -86,3 +88,30 @@ def test_held_out_accuracy(spark):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     rows = quality.op10_quality(spark, sf).join(labels, "doc_id").where("held_out").collect()
     assert sum(r.predicted == r.quality for r in rows) > 0.9 * len(rows) > 0
+
+
+def test_labels_of_missing_or_too_long_documents_take_no_room(spark):
+    texts = [("good words here " if i % 2 else "bad zzz qqq ") * 3 for i in range(120)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(i, "x" * (quality.SAMPLE_BYTES + 1)) for i in range(500, 540)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)] + [(i, i % 2) for i in range(500, 540)] + [(i, i % 2) for i in range(10_000, 16_000)], "doc_id long, quality int")
+    seen = []
+    kept, quality.fit = quality.fit, lambda rows, positive: seen.append((rows, positive))
+    try:
+        quality.train_network(docs, labels, F.lit(True), each=50)
+    finally:
+        quality.fit = kept
+    (rows, positive), = seen
+    assert positive == 0.5 and sorted(y for _, y in rows) == [0] * 50 + [1] * 50
+
+
+def test_the_sample_is_bounded_and_of_usable_texts(spark):
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(300)] + [(5, "text number 5")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 200)) for i in range(300)] + [(i, 1) for i in range(1000, 9000)], "doc_id long, quality int")
+    seen = []
+    kept, quality.fit = quality.fit, lambda rows, positive: seen.append((rows, positive))
+    try:
+        quality.train_network(docs, labels, F.lit(True), each=60)
+    finally:
+        quality.fit = kept
+    (rows, _), = seen
+    assert sum(y == 0 for _, y in rows) == 60 and sum(y == 1 for _, y in rows) == 60 and len({t for t, _ in rows}) == 120

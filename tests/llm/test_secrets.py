@@ -2,6 +2,7 @@ import base64
 import hashlib
 import math
 import random
+import time
 import re
 from collections import Counter, defaultdict
 
@@ -183,3 +184,37 @@ def test_p_values_of_short_tokens(spark):
     for p in ps.values():
         if len(p) > 300:
             assert sum(x < 0.01 for x in p) <= 0.06 * len(p) and 0.35 < sum(x < 0.5 for x in p) / len(p) < 0.55
+
+
+def test_redaction_of_long_texts_and_overlapping_spans_is_linear(spark):
+    rng = random.Random(3)
+    cases = []
+    for n in (0, 1, 1023, 1024, 1025, 5000):
+        text = "".join(rng.choices("aé漢\U0001f600\n", k=n))
+        spans = sorted((i, min(n, i + rng.randrange(1, 1500))) for i in rng.sample(range(n), min(n, 6)))
+        cases.append((text, [("assign", a, b) for a, b in spans]))
+    cases.append(("0123456789", [("assign", 0, 4), ("access", 1, 3), ("hex", 3, 6), ("random", 8, 10)]))
+    df = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(cases)], "i int, text string, spans array<struct<kind:string,start:int,end:int>>")
+    for r in df.select("i", secrets.redacted("text", "spans", "#").alias("new")).collect():
+        text, spans = cases[r.i]
+        out, at = "", 0
+        for _, a, b in spans:
+            if a >= at:
+                out += text[at:a] + "#"
+            at = max(at, b)
+        assert r.new == out + text[at:], r.i
+    seconds = []
+    for k in (20_000, 80_000):
+        big = spark.createDataFrame([(1, "x token=abcdef1 fine words so on. " * k)], "doc_id long, text string")
+        began = time.time()
+        new = secrets.scan(big).select(secrets.redacted("text", "spans").alias("new")).first().new
+        seconds.append(time.time() - began)
+        assert new == "x [SECRET] fine words so on. " * k
+    assert seconds[1] < 12 * seconds[0] + 5
+
+
+def test_random_spans_that_touch_or_overlap_base_spans(spark):
+    token = "aB3dE5gH7jK9mN1pQ2sT4vW6"
+    texts = [f"token={token}", f"{token} token=abcdef", f"token=abcdef {token}", f"password={token} {token}"] * 30
+    got = {r.doc_id: r.spans for r in secrets.report(docs_of(spark, texts)).collect()}
+    assert [got[i] for i in range(4)] == ["assign:0:30", "random:0:24,assign:25:37", "assign:0:12,random:13:37", "assign:0:33,random:34:58"]
