@@ -8,7 +8,7 @@ from millrace.functions.scan import applied, bound_sql, quoted, scanned_sql
 
 # What commands read as, and commands whose argument is read as it is.
 AS_TEXT = [("\\pi", "pi"), ("\\infty", "inf"), ("\\cup", "U"), ("\\cdot", "*"), ("\\times", "*"), ("\\div", "/")]
-FRACTIONS, PLAIN_ARGUMENT = ("\\frac", "\\tfrac", "\\dfrac"), ("\\text", "\\mathrm", "\\mathbf", "\\textbf", "\\mbox", "\\operatorname")
+FRACTIONS, PLAIN_ARGUMENT = ("\\frac", "\\tfrac", "\\dfrac"), ("\\text", "\\mathrm", "\\mathbf", "\\textbf", "\\mbox", "\\operatorname", "\\boxed")
 SILENT = ("\\left", "\\right", "\\,", "\\;", "\\!", "\\:", "\\ ", "\\quad")
 # Brackets of the machine's own around arguments, until it is known whether these need any.
 OPEN, CLOSE = "", ""

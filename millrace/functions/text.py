@@ -119,11 +119,6 @@ def has_ngram_over(text: Column, n: int, most: int) -> Column:
     return F.coalesce(many, F.lit(False))
 
 
-def repeats_pattern(text: Column) -> Column:
-    """A unit of five characters or more five times in a row, within a line."""
-    return F.rlike(text, F.lit(r"(.{5,}?)\1{4,}"))
-
-
 def count_matching(text: Column, kept: str) -> Column:
     """Number of characters of a class (a class without its brackets)."""
     return F.length(F.regexp_replace(text, f"[^{kept}]", ""))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import signal
 import threading
 from collections import Counter
@@ -53,27 +54,92 @@ def repeats(text: Column, n: int = 20, most: int = 20) -> Column:
     return has_ngram_over(text, n, most)
 
 
-def has_runs(text: str | None, times: int = 20) -> bool | None:
-    """Whether any unit stands `times` times in a row or more, newlines and <ret> left out; null for null.
+#: Two primes and their bases, by which parts of a text are compared (62 bits in all).
+PRIMES, BASES = (2**31 - 1, 2**31 - 19), (911382323, 972663749)
+#: Places that are probed at once.
+CHUNK = 1 << 17
+
+
+class Parts:
+    """Prefix hashes of a text: how far it agrees with itself from two places on, for many pairs of places at once."""
+
+    def __init__(self, text: str):
+        self.code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        self.n = len(self.code)
+        self.powers, self.sums = [], []
+        for p, base in zip(PRIMES, BASES, strict=True):
+            powers = np.ones(self.n + 1, np.int64)
+            size, step = 1, base
+            while size <= self.n:
+                powers[size : 2 * size] = powers[:size][: self.n + 1 - size] * step % p
+                size, step = 2 * size, step * step % p
+            self.powers.append(powers)
+            self.sums.append(np.concatenate([[0], np.cumsum((self.code + 1) * powers[:-1] % p)]) % p)
+
+    def equal(self, i: np.ndarray, j: np.ndarray, size: np.ndarray) -> np.ndarray:
+        ok = np.ones(len(i), bool)
+        for p, powers, sums in zip(PRIMES, self.powers, self.sums, strict=True):
+            ok &= (sums[i + size] - sums[i]) % p * powers[j - i] % p == (sums[j + size] - sums[j]) % p
+        return ok
+
+    def extent(self, i: np.ndarray, j: np.ndarray, most: np.ndarray, back: bool = False) -> np.ndarray:
+        """The longest common part from i and j on (or up to them), of `most` characters at most: by halving."""
+        low, high = np.zeros(len(i), np.int64), most.copy()
+        while (low < high).any():
+            mid = (low + high + 1) // 2
+            same = self.equal(i - mid, j - mid, mid) if back else self.equal(i, j, mid)
+            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+        return low
+
+
+def probes(n: int, times: int, least: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and units (i, k), in chunks: of each unit from `least` to n / times every (times - 1) k-th place. A run of unit k agrees
+    with itself shifted by k over (times - 1) k characters, so that it covers one of them. n log n / times in all."""
+    k = np.arange(least, n // times + 1)
+    count = (n - k - 1) // ((times - 1) * k) + 1
+    start = 0
+    while start < len(k):
+        end = max(start + 1, int(np.searchsorted(np.cumsum(count[start:]), CHUNK, "right")) + start)
+        units = np.repeat(k[start:end], count[start:end])
+        first = np.repeat(np.cumsum(count[start:end]) - count[start:end], count[start:end])
+        yield (np.arange(len(units)) - first) * (times - 1) * units, units
+        start = end
+
+
+def steps_of(n: int, times: int = 20, least: int = 1) -> int:
+    """How many places has_runs probes in a text of n characters: the same on every machine."""
+    k = np.arange(least, n // times + 1)
+    return int(((n - k - 1) // ((times - 1) * k) + 1).sum())
+
+
+def cleaned(text: str) -> str:
+    return text.replace("\n", "").replace("<ret>", "")
+
+
+def has_runs(text: str | None, times: int = 20, least: int = 1) -> bool | None:
+    """Whether any unit of `least` characters or more stands `times` times in a row or more, newlines and <ret> left out; null for
+    null. In n log^2 n steps, whatever the text.
 
     Units are shortest ones. (Counting the longest unit of each run instead, as a rule that tries long units first does,
-    never gives more than 3: a unit that stands four times is half of one that stands twice.) A run of unit k agrees with
-    itself shifted by k over (times - 1) k characters, so it covers a multiple of that; only those places are looked at.
+    never gives more than 3: a unit that stands four times is half of one that stands twice.)
     """
-    if text is None:
-        return None
-    t = text.replace("\n", "").replace("<ret>", "")
-    for k in range(1, len(t) // times + 1):
-        need, n = (times - 1) * k, len(t) - k
-        for i in range(0, n, need):
-            if t[i] == t[i + k]:
-                a, b = i, i + 1
-                while a and t[a - 1] == t[a - 1 + k]:
-                    a -= 1
-                while b < n and t[b] == t[b + k]:
-                    b += 1
-                if b - a >= need:
-                    return True
+    return None if text is None else _has_runs(cleaned(text), times, least)
+
+
+def _has_runs(t: str, times: int, least: int) -> bool:
+    if len(t) < times * least:
+        return False
+    parts = Parts(t)
+    code, n = parts.code, parts.n
+    for i, k in probes(n, times, least):
+        hit = code[i] == code[i + k]
+        i, k = i[hit], k[hit]
+        need = (times - 1) * k
+        right = parts.extent(i, i + k, np.minimum(need, n - k - i))
+        left = parts.extent(i, i + k, np.minimum(need, i), back=True)
+        for a, u in zip((i - left)[left + right >= need].tolist(), k[left + right >= need].tolist(), strict=True):
+            if np.array_equal(code[a : a + (times - 1) * u], code[a + u : a + times * u]):
+                return True
     return False
 
 
@@ -100,9 +166,10 @@ def time_limit(seconds: float | None) -> Iterator[None]:
         signal.signal(signal.SIGALRM, was)
 
 
-def consecutive(text: Column, seconds: float | None = None) -> Column:
-    """has_runs of a column. With a limit of seconds a text, struct(repeats, timed_out): a text that takes longer counts as repeating."""
-    if seconds is None:
+def consecutive(text: Column, steps: int | None = None) -> Column:
+    """has_runs of a column. With a budget of steps a text, struct(repeats, spent): a text whose length takes more steps than that
+    is not searched and counts as repeating."""
+    if steps is None:
 
         @F.pandas_udf(T.BooleanType())
         def check(xs: pd.Series) -> pd.Series:
@@ -110,41 +177,68 @@ def consecutive(text: Column, seconds: float | None = None) -> Column:
 
         return check(text)
 
-    @F.pandas_udf("repeats boolean, timed_out boolean")
+    @F.pandas_udf("repeats boolean, spent boolean")
     def limited(xs: pd.Series) -> pd.DataFrame:
-        out = []
-        for x in xs:
-            try:
-                with time_limit(seconds):
-                    out.append((has_runs(x), False))
-            except OutOfTime:
-                out.append((True, True))
-        return pd.DataFrame(out, columns=["repeats", "timed_out"], dtype="object")
+        spent = [x is not None and steps_of(len(cleaned(x))) > steps for x in xs]
+        return pd.DataFrame([(s or has_runs(x), s) for x, s in zip(xs, spent, strict=True)], columns=["repeats", "spent"], dtype="object")
 
     return limited(text)
 
 
+def repeats_pattern(text: Column, times: int = 5, least: int = 5) -> Column:
+    """Whether a unit of `least` characters or more stands `times` times in a row within a line (a back-reference would look for
+    it in a time without bound)."""
+
+    @F.pandas_udf(T.BooleanType())
+    def check(xs: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else any(_has_runs(line, times, least) for line in re.split("[\n\r\x85\u2028\u2029]", x)) for x in xs], dtype="object")
+
+    return check(text)
+
+
+def squares(t: str) -> np.ndarray:
+    """At each place the longest unit that stands twice from there on (0: none). Every square of unit k covers a multiple of k, from
+    which the text agrees with itself shifted by k to both sides; spans of starts are painted from the longest unit down, each
+    place once."""
+    parts = Parts(t)
+    n = parts.n
+    best, spans = np.zeros(n, np.int64), []
+    for i, k in probes(n, 2):
+        right = parts.extent(i, i + k, np.minimum(k, n - k - i))
+        left = parts.extent(i, i + k, np.minimum(k - 1, i), back=True)
+        ok = left + right >= k
+        if ok.any():
+            spans.append(np.unique(np.stack([k[ok], (i - left)[ok], (i + right - k)[ok]]), axis=1))
+    free = list(range(n + 1))  # the next place that is not painted, by halved paths
+
+    def next_free(x: int) -> int:
+        while free[x] != x:
+            free[x] = free[free[x]]
+            x = free[x]
+        return x
+
+    for k, low, high in np.concatenate(spans, axis=1)[:, ::-1].T.tolist() if spans else []:
+        x = next_free(low)
+        while x <= high:
+            best[x], free[x] = k, x + 1
+            x = next_free(x + 1)
+    return best
+
+
 def longest_runs(text: str | None) -> list[tuple[str, int]] | None:
     """Units that stand twice or more in a row and how often, left to right, newlines and <ret> left out: at each place the longest
-    such unit, then on from the end of its run. By the lengths to which the text agrees with itself from each place on: n ** 2."""
+    such unit, then on from the end of its run. In n log^2 n steps."""
     if text is None:
         return None
-    t = text.replace("\n", "").replace("<ret>", "")
-    out, i, n = [], 0, len(t)
-    while i < n:
-        rest = t[i:]
-        same, left, right = [0] * len(rest), 0, 0  # of the rest with itself from each place on
-        for k in range(1, len(rest)):
-            m = min(right - k, same[k - left]) if k < right else 0
-            while k + m < len(rest) and rest[m] == rest[k + m]:
-                m += 1
-            same[k] = m
-            if k + m > right:
-                left, right = k, k + m
-        k = next((k for k in range(len(rest) // 2, 0, -1) if same[k] >= k), 0)
+    t = cleaned(text)
+    best, out, i = squares(t).tolist(), [], 0
+    while i < len(t):
+        k, times = best[i], 1
+        while k and t.startswith(t[i : i + k], i + times * k):
+            times += 1
         if k:
-            out.append((rest[:k], same[k] // k + 1))
-        i += k * (same[k] // k + 1) if k else 1
+            out.append((t[i : i + k], times))
+        i += max(1, k * times)
     return out
 
 

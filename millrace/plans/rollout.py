@@ -4,51 +4,83 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text
+from millrace.functions.scan import scanned
 from millrace.operators.scores import classified, observation
 from millrace.sources.tables import materialized
 
-STATE = "row_id long, response string, stop boolean, passes array<int>, ranges array<struct<s:int,e:int>>"
-
-
 def tool_loop(prompts: DataFrame, generate: Callable[[DataFrame, int], DataFrame], execute: Callable[[DataFrame, int], DataFrame], rounds: int, stop_on_failure: bool = True, budget: int | None = None) -> DataFrame:
     """row_id, response, stop, passes (0/1 of each call) and ranges (characters of tool output) after at most `rounds` rounds.
 
     generate(active rows, round) gives row_id and output; execute(rows with code, round) gives row_id, return_code, stdout,
     stderr. A round appends the output, and the observation if it calls a tool; a row without a call, or with a failed one
-    if stop_on_failure, is done. The budget counts rounds with a call. Each round's state is written to the shared folder.
+    if stop_on_failure, is done; so is a row for which nothing is generated. The budget counts rounds with a call.
+
+    The rounds are a log: each writes what it appends to its active rows to the shared folder, once. generate sees the active rows
+    with their responses so far, of the log's entries for these rows alone; finished rows are not touched again until one ordered
+    aggregate puts all responses together at the end.
     """
-    state = prompts.select(F.col("row_id").cast("long").alias("row_id"), F.lit("").alias("response"), F.lit(False).alias("stop"), F.array().cast("array<int>").alias("passes"), F.array().cast("array<struct<s:int,e:int>>").alias("ranges"))
-    left = rounds if budget is None else budget
+    rows = prompts.select(F.col("row_id").cast("long").alias("row_id"))
+    log: list[DataFrame] = []
+    active, left = rows.withColumn("response", F.lit("")), rounds if budget is None else budget
     for k in range(rounds):
-        active = state.where("NOT stop")
         if left <= 0 or active.isEmpty():
             break
-        out = active.join(generate(active, k).select("row_id", "output"), "row_id").withColumn("code", text.last_program(F.col("output")))
+        out = active.select("row_id").join(generate(active, k).select("row_id", "output"), "row_id").withColumn("code", text.last_program(F.col("output")))
         out = materialized(out, "round")
         calls = out.where("code <> ''")
         left -= not calls.isEmpty()
         ran = execute(calls.select("row_id", "code"), k)
         c = classified(F.col("return_code"), F.col("stdout"), F.col("stderr"))
         seen = ran.select("row_id", c.alias("c")).select("row_id", observation(F.col("c.output"), F.col("c.status")).alias("o"))
-        after = out.join(seen, "row_id", "left")
-        body = F.concat("response", "output")
-        called = F.col("o").isNotNull()
-        spot = F.struct(F.length(body).alias("s"), (F.length(body) + F.length("o.text")).alias("e"))
-        done = ~called | ((F.col("o.passed") == 0) & F.lit(stop_on_failure))
-        stepped = after.select(
-            "row_id",
-            F.when(called, F.concat(body, F.col("o.text"))).otherwise(body).alias("response"),
-            done.alias("stop"),
-            F.when(called, F.concat("passes", F.array("o.passed"))).otherwise(F.col("passes")).alias("passes"),
-            F.when(called, F.concat("ranges", F.array(spot))).otherwise(F.col("ranges")).alias("ranges"),
-        )
-        silent = active.join(out.select("row_id"), "row_id", "left_anti").withColumn("stop", F.lit(True))
-        state = materialized(state.where("stop").unionByName(silent).unionByName(stepped), "state")
-    return state
+        done = F.col("o").isNull() | ((F.col("o.passed") == 0) & F.lit(stop_on_failure))
+        silent = active.join(out.select("row_id"), "row_id", "left_anti").select("row_id", F.lit(None).cast("string").alias("output"), F.lit(None).cast("string").alias("seen"), F.lit(None).cast("int").alias("passed"), F.lit(True).alias("stop"))
+        step = out.join(seen, "row_id", "left").select("row_id", "output", F.col("o.text").alias("seen"), F.col("o.passed").alias("passed"), done.alias("stop")).unionByName(silent)
+        log.append(materialized(step.withColumn("round", F.lit(k)), "delta"))
+        going = log[-1].where("NOT stop").select("row_id")
+        active = _responses(going, log)
+    return _assembled(rows, log)
+
+
+def _entries(log: list[DataFrame]) -> DataFrame | None:
+    out = None
+    for x in log:
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+def _responses(rows: DataFrame, log: list[DataFrame]) -> DataFrame:
+    """row_id and response so far of some rows: the log's entries for them, in order of rounds."""
+    entry = F.struct("round", F.concat(F.coalesce("output", F.lit("")), F.coalesce("seen", F.lit(""))).alias("t"))
+    parts = _entries(log).join(rows, "row_id", "left_semi").groupBy("row_id").agg(F.array_sort(F.collect_list(entry)).alias("x"))
+    return parts.select("row_id", F.array_join(F.transform("x", lambda e: e["t"]), "").alias("response"))
+
+
+def _assembled(rows: DataFrame, log: list[DataFrame]) -> DataFrame:
+    """All rows with what the log holds of them: at most one entry a round and row in one array."""
+    if not log:
+        return rows.select("row_id", F.lit("").alias("response"), F.lit(False).alias("stop"), F.array().cast("array<int>").alias("passes"), F.array().cast("array<struct<s:int,e:int>>").alias("ranges"))
+    entry = F.struct("round", "output", "seen", "passed", "stop")
+    whole = rows.join(_entries(log).groupBy("row_id").agg(F.array_sort(F.collect_list(entry)).alias("x")), "row_id", "left")
+    size = lambda c: F.coalesce(F.length(c), F.lit(0))
+    start = F.struct(F.lit(0).alias("end"), F.lit(None).cast("struct<s:int,e:int>").alias("spot"))
+
+    def step(a: Column, e: Column) -> Column:
+        body = a["end"] + size(e["output"])
+        end = body + size(e["seen"])
+        return F.struct(end.alias("end"), F.when(e["passed"].isNotNull(), F.struct(body.alias("s"), end.alias("e"))).alias("spot"))
+
+    there = F.coalesce(F.col("x"), F.array().cast(whole.schema["x"].dataType))
+    return whole.select(
+        "row_id",
+        F.array_join(F.transform(there, lambda e: F.concat(F.coalesce(e["output"], F.lit("")), F.coalesce(e["seen"], F.lit("")))), "").alias("response"),
+        F.exists(there, lambda e: e["stop"]).alias("stop"),
+        F.filter(F.transform(there, lambda e: e["passed"]), lambda p: p.isNotNull()).alias("passes"),
+        F.filter(scanned(there, start, step, lambda s: s["spot"], "struct<s:int,e:int>"), lambda p: p.isNotNull()).alias("ranges"),
+    )
 
 
 def with_early_stop(df: DataFrame, budget: int, note: str, tokens: str = "n_tokens") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions import normalize, sequence, text
+from millrace.functions import latex, normalize, sequence, symbolic, text
 from millrace.operators import groups, repetition, scores
 from millrace.plans import filters, rollout
 from millrace.plans.fixtures import RESP, TOK, query, responses, tokens
@@ -51,7 +51,22 @@ def ngram_repetition(spark, sf):
 
 @query()
 def repeat_pattern(spark, sf):
-    return docs(spark, sf).select("doc_id", text.repeats_pattern(F.col("text")).alias("repeats"))
+    return docs(spark, sf).select("doc_id", repetition.repeats_pattern(F.col("text")).alias("repeats"))
+
+
+def _runs_sql(times: int, least: int) -> str:
+    """Whether a unit stands so often in t: every unit and every start."""
+    return f"len(list_filter(range({least}, CAST(length(t) // {times} AS BIGINT) + 1), lambda k: len(list_filter(range(1, length(t) - {times} * k + 2), lambda i: substr(t, i, {times - 1} * k) = substr(t, i + k, {times - 1} * k))) > 0)) > 0"
+
+
+RUNS = "concat(p_name, repeat(substr(p_name, 1, CAST(p_partkey % 8 + 1 AS INT)), CAST(p_size % 24 AS INT)), p_brand)"
+
+
+@query(f"SELECT p_partkey, {_runs_sql(20, 1)} AS runs, {_runs_sql(5, 5)} AS pattern FROM (SELECT p_partkey, {RUNS} AS t FROM part)")
+def short_runs(spark, sf):
+    """Units of 1 to 8 characters up to 23 times in a row, among other text."""
+    d = table(spark, sf, "part").select("p_partkey", F.expr(RUNS).alias("t"))
+    return d.select("p_partkey", repetition.consecutive(F.col("t")).alias("runs"), repetition.repeats_pattern(F.col("t")).alias("pattern"))
 
 
 @query()
@@ -327,6 +342,40 @@ def math_equal(spark, sf):
     return answers(spark, sf).select("p_partkey", normalize.math_equal_column(F.col("s"), F.col("p_size").cast("string")).alias("equal"))
 
 
+FORMULAS = """fm AS (SELECT p_partkey, p_size, p_partkey % 5 AS kind, p_partkey % 6 + 1 AS p, p_partkey % 7 + 1 AS q, p_size % 2 AS off, p_size % 3 - 1 AS more FROM part)"""
+FORMULA_A = """CASE kind WHEN 0 THEN concat('(x+', p, ')(x+', q, ')') WHEN 1 THEN concat(B, 'frac{x}{', p, '}+', q) WHEN 2 THEN concat(B, 'sqrt{', q * p * p + off, '}') WHEN 3 THEN concat('2^{n+', p, '}') ELSE concat('word', p) END"""
+FORMULA_B = """CASE kind WHEN 0 THEN concat('x^2+', p + q + more, 'x+', p * q + off) WHEN 1 THEN concat(B, 'frac{x+', p * q + off, '}{', p, '}') WHEN 2 THEN concat(p, B, 'sqrt', B, 'sqrt{', q * q, '}') WHEN 3 THEN concat(CAST(pow(2, p + off) AS INT), B, 'cdot 2^n') ELSE concat('wrod', p) END"""
+
+
+@query(f"""WITH {FORMULAS} SELECT p_partkey, CASE kind WHEN 0 THEN more = 0 AND off = 0 WHEN 1 THEN off = 0 WHEN 2 THEN abs(sqrt(q * p * p + off) - p * sqrt(q)) <= 1e-4 * greatest(sqrt(q * p * p + off), p * sqrt(q)) WHEN 3 THEN off = 0 END AS same FROM fm""")
+def symbolic_equal(spark, sf):
+    """Polynomials, fractions, roots (nested ones on one side), powers; words, which are undecided."""
+    d = table(spark, sf, "part").selectExpr("p_partkey", "p_partkey % 5 AS kind", "p_partkey % 6 + 1 AS p", "p_partkey % 7 + 1 AS q", "p_size % 2 AS off", "p_size % 3 - 1 AS more", "chr(92) AS B")
+    return d.select("p_partkey", symbolic.same_formula(F.expr(FORMULA_A), F.expr(FORMULA_B)).alias("same"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN concat(repeat('sqrt(', d), p_size, repeat(')', d)) WHEN 1 THEN CASE WHEN d = 0 THEN concat('', p_size) ELSE concat(repeat('(', d - 1), p_size, '/3', repeat(')/3', d - 1)) END
+WHEN 2 THEN CASE WHEN d = 0 THEN concat('', p_size) ELSE concat(repeat('1/(', d - 1), '1/', p_size, repeat(')', d - 1)) END ELSE concat(chr(92), 'foo', repeat('a^(x+', d), p_size, repeat(')', d)) END AS t FROM (SELECT *, CAST(p_size % 21 AS INT) AS d FROM part)""")
+def deep_latex(spark, sf):
+    """Roots, fractions on either side, and exponents nested to depth 20, and a command that is not known."""
+    d = table(spark, sf, "part").selectExpr("p_partkey", "p_size", "cast(p_size % 21 AS int) AS d", "chr(92) AS B")
+    raw = """CASE p_partkey % 4 WHEN 0 THEN concat(repeat(concat(B, 'sqrt{'), d), p_size, repeat('}', d)) WHEN 1 THEN concat(repeat(concat(B, 'frac{'), d), p_size, repeat('}{3}', d))
+    WHEN 2 THEN concat(repeat(concat(B, 'frac{1}{'), d), p_size, repeat('}', d)) ELSE concat(B, 'foo', repeat('a^{x+', d), p_size, repeat('}', d)) END"""
+    return d.select("p_partkey", latex.plain_text(F.expr(raw)).alias("t"))
+
+
+NESTED = "p_partkey % 5 AS kind, p_partkey % 6 + 2 AS i, p_size % 7 + 2 AS j, p_partkey % 11 + 2 AS k, p_size % 2 AS off"
+NESTED_A = """CASE kind WHEN 0 THEN concat('((', i, ', ', j, '), [', k, ', (1, x)])') WHEN 1 THEN concat(B, 'begin{pmatrix}', i, '&', j, B, B, k, '&x', B, 'end{pmatrix}') WHEN 2 THEN concat('x = ', i) WHEN 3 THEN concat('(', substr('ABCDE', i % 5 + 1, 1), ')') ELSE concat('(f(', i, ',', j, '), ', k, ')') END"""
+NESTED_B = """CASE kind WHEN 0 THEN concat('((', i, '.0,', j + off, '.00),[', k, ',(1.0,X)])') WHEN 1 THEN concat(B, 'begin{pmatrix}', i, '.0&', j, B, B, k + off, '.0&x', B, 'end{pmatrix}') WHEN 2 THEN concat('', i + off, '.0') WHEN 3 THEN substr('ABCDE', (i + off) % 5 + 1, 1) ELSE concat('(f(', i, ',', j, '), ', k + off, '.0)') END"""
+
+
+@query("SELECT p_partkey, p_size % 2 = 0 AS equal FROM part")
+def nested_equal(spark, sf):
+    """Nested tuples, matrices, equations, choices, and items with brackets of their own: equal where nothing was added."""
+    d = table(spark, sf, "part").selectExpr("p_partkey", *NESTED.split(", "), "chr(92) AS B")
+    return d.select("p_partkey", normalize.math_equal_column(F.expr(NESTED_A), F.expr(NESTED_B)).alias("equal"))
+
+
 def _form_sql(x: str) -> str:
     n = _normal_sql(TRIMMED.format(x))
     return f"(SELECT {TRIMMED.format("CASE WHEN regexp_matches(replace(f, ',', ''), '^[0-9]+$') THEN replace(f, ',', '') ELSE f END")} FROM (SELECT replace({n}, '$', '') AS f))"
@@ -493,7 +542,13 @@ def retry_backtrack(spark, sf):
     return rollout.retries(r, "failed", 2, 3).select("row_id", "attempt", "tokens")
 
 
-@query()
+TOOL_OUT = """concat(chr(10), '```output', chr(10), CASE WHEN passes = 1 THEN truth ELSE 'ValueError: bad' END, chr(10), '```', chr(10))"""
+TOOL_CALL = """concat('```python', chr(10), 'print(', truth, ')', chr(10), '```')"""
+
+
+@query(f"""WITH {RESP}, f AS (SELECT *, concat({TOOL_CALL}, {TOOL_OUT}) AS first FROM resp), l AS (SELECT *, predict[length(predict) - instr(reverse(predict), reverse('```python')) - 7:] AS tail FROM f),
+c AS (SELECT *, contains(tail[10:], '```') AND regexp_matches(string_split(tail[10:], '```')[1], '\\S') AS calls FROM l)
+SELECT row_id, CASE WHEN passes = 0 THEN first WHEN calls THEN concat(first, predict, {TOOL_OUT}, predict, {TOOL_OUT}) ELSE concat(first, predict) END AS response, passes = 0 OR NOT calls AS stop, CASE WHEN passes = 1 AND calls THEN [1, 1, 1] ELSE [CAST(passes AS INT)] END AS passes FROM c""")
 def tool_loop(spark, sf):
     """Generations by round from the responses: code in the first, the answer in the second; given results."""
     r = responses(spark, sf)

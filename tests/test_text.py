@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from hypothesis import given
@@ -192,12 +193,23 @@ def test_ngram_counts_of_any_length(spark):
         assert got == {i: (repetition.most_repeated(t, n), repetition.most_repeated(t, n), repetition.most_repeated(t, n) > 3) for i, t in enumerate(ts)}
 
 
-def test_time_limits(spark):
-    slow = "".join(random.Random(1).choices([chr(c) for c in range(0x4E00, 0x9000)], k=400_000))
-    df = spark.createDataFrame([("go" * 30,), ("clean",), (slow,)], "c0 string")
-    got = [tuple(r.x) for r in df.select(repetition.consecutive(c0, seconds=0.2).alias("x")).collect()]
-    assert got[:2] == [(True, False), (False, False)] and got[2] in ((True, True), (False, False))
+def test_budgets_of_steps_and_long_texts(spark):
+    slow = "".join(random.Random(1).choices([chr(c) for c in range(0x4E00, 0x9000)], k=40_000))
+    df = spark.createDataFrame([("go" * 30,), ("clean",), (slow,), (None,)], "c0 string")
+    got = [tuple(r.x) for r in df.select(repetition.consecutive(c0, steps=5000).alias("x")).collect()]
+    assert got == [(True, False), (False, False), (True, True), (None, False)] and repetition.steps_of(40_000) > 5000
+    began = time.time()
+    assert repetition.has_runs("a" * 1_000_000) and not repetition.has_runs(slow * 5) and repetition.longest_runs("a" * 200_000) == [("a" * 100_000, 2)]
+    assert time.time() - began < 60
 
+
+@given(st.text("abc", max_size=60), st.integers(2, 5), st.integers(1, 4))
+def test_runs_against_brute_force(t, times, least):
+    want = any(t[i : i + (times - 1) * k] == t[i + k : i + times * k] for k in range(least, len(t) // times + 1) for i in range(len(t) - times * k + 1))
+    assert repetition._has_runs(t, times, least) == want
+
+
+def test_scorers_time_limit(spark):
     def endless(a, b):
         while a == "loop":
             pass
