@@ -11,7 +11,7 @@ from millrace.functions import text
 from millrace.operators import advantage, balance, batch, dispatch, groups, sampling
 from millrace.plans import config
 from millrace.plans.fixtures import RESP, SEQ, TOK, TRAJ, query, responses, sequences, tokens, trajectories
-from millrace.sources import files
+from millrace.sources import files, json_array
 from millrace.sources.tables import shared_folder, table
 from millrace.streaming import carry
 
@@ -463,6 +463,20 @@ def json_array_roundtrip(spark, sf):
     return files.read_json_array(spark, path, "c_custkey long, c_name string, c_acctbal double")
 
 
+@query(r"""SELECT c_custkey, concat(c_name, ' "}], {[ ', chr(92)) AS name, [c_nationkey, c_custkey % 3] AS xs, row_number() OVER (ORDER BY c_custkey) - 1 AS row_id FROM customer""")
+def json_array_split(spark, sf):
+    """One array in one file (customers in order), read by tasks of a few kilobytes each: braces, brackets and quotes in strings."""
+    path = fresh(spark, "one-array")
+    c = table(spark, sf, "customer").select("c_custkey", F.concat("c_name", F.lit(' "}], {[ \\')).alias("name"), F.array(F.col("c_nationkey").cast("long"), F.col("c_custkey") % 3).alias("xs"))
+    files.write_json_array(c.coalesce(1).sortWithinPartitions("c_custkey"), path)
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        return json_array.read_array(spark, path, "c_custkey long, name string, xs array<bigint>").drop("file")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
 @query("SELECT c_custkey, c_name FROM customer UNION ALL SELECT c_custkey, c_name FROM customer")
 def json_lines_append(spark, sf):
     path, c = fresh(spark, "lines"), table(spark, sf, "customer").select("c_custkey", "c_name")

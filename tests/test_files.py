@@ -1,10 +1,11 @@
 import dataclasses
 import enum
 import json
+import random
 
 from pyspark.sql import functions as F
 
-from millrace.sources import files
+from millrace.sources import files, json_array
 from millrace.sources.tables import materialized
 
 
@@ -18,6 +19,33 @@ def test_json_arrays_and_lines(spark, tmp_path):
     assert files.read_json_lines(spark, str(tmp_path / "l")).count() == 20
 
 
+def test_one_json_array_is_read_by_many_tasks(spark, tmp_path):
+    rng = random.Random(6)
+    text = lambda: "".join(rng.choices('ab"\\\\{}[],:\n é', k=rng.randrange(0, 60)))
+    value = lambda d: rng.choice([text(), rng.randrange(99), None, True, [text()] if d else [], {text(): value(d - 1)} if d else {}])
+    rows = [{"id": i, "q": text(), "more": value(3)} for i in range(120)]
+    files_ = {"a": json.dumps(rows), "b": json.dumps(rows, indent=2, ensure_ascii=False), "c": "[]", "d": json.dumps([value(2) for _ in range(50)]), "e": " [ 1, [2, 3] , \"x,]}\" ]\n", "f": "[" + json.dumps(rows[:3]) + "]"}
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in (400, 1 << 20):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        try:
+            for name, whole in files_.items():
+                (tmp_path / name).write_text(whole)
+                found = json_array.elements(spark, str(tmp_path / name))
+                got = {r.row_id: json.loads(r.value) for r in found.collect()}
+                assert got == dict(enumerate(json.loads(whole))), (name, size)
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "400")
+    try:
+        parts = json_array._parts(spark, str(tmp_path / "b"))
+        assert parts.rdd.getNumPartitions() > 20 and parts.where("NOT whole").count() > 20
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    got = json_array.read_array(spark, str(tmp_path / "a"), "id long, q string").orderBy("row_id").collect()
+    assert [(r.id, r.q) for r in got] == [(x["id"], x["q"]) for x in rows]
+
+
 def test_prompts_preferences_and_nested_keys(spark, tmp_path):
     df = spark.createDataFrame([("p", "c", "r", {"style": "rule", "truth": ["4"]})], "prompt string, chosen string, rejected string, reward_model struct<style:string,truth:array<string>>")
     df.write.parquet(str(tmp_path / "x"))
