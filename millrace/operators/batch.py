@@ -40,10 +40,18 @@ def rename(df: DataFrame, old: list[str], new: list[str]) -> DataFrame:
     return df.withColumnsRenamed(dict(zip(old, new, strict=True)))
 
 
+def position_faults(df: DataFrame, row: str = ROW) -> DataFrame:
+    """One row: n, repeated (rows beyond the first of each position) and outside (positions beyond 0 ... n-1, and nulls)."""
+    each = df.groupBy(F.col(row).alias("p")).agg(F.count(F.lit(1)).alias("k"))
+    n = each.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"))
+    sums = each.crossJoin(F.broadcast(n)).agg(F.sum(F.col("k") - 1).alias("repeated"), F.sum(F.when(F.col("p").isNull() | (F.col("p") < 0) | (F.col("p") >= F.col("n")), F.col("k")).otherwise(0)).alias("outside"))
+    return n.crossJoin(F.broadcast(sums)).select("n", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("repeated", "outside")])  # one row each
+
+
 def check_consistent(df: DataFrame, row: str = ROW) -> None:
     """Raises unless positions are 0 ... n-1, each once."""
-    n, distinct, least, most = df.agg(F.count(F.lit(1)), F.countDistinct(row), F.min(row), F.max(row)).first()
-    if n and (distinct != n or least != 0 or most != n - 1):
+    faults = position_faults(df, row).first()
+    if faults.repeated or faults.outside:
         raise ValueError("positions are not 0 ... n-1")
 
 

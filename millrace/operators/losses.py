@@ -109,14 +109,23 @@ def adaptive_coefficient(steps: DataFrame, order: str, kl: str, n: str, start: f
     return items.select(F.explode(F.aggregate("xs", state, go, lambda a: a["out"])).alias("x")).select(F.col("x.o").alias("step"), F.col("x.v").alias("coefficient"))
 
 
-def cosine_schedule(spark: SparkSession, steps: int, warmup: int, floor: float = 0.0, cycles: float = 0.5) -> DataFrame:
-    """step and factor: linear warm-up, then a cosine between 1 and the floor."""
-    s = F.col("id").cast("double")
+def cosine_factor(step: Column, steps: int, warmup: int, floor: float = 0.0, cycles: float = 0.5) -> Column:
+    """The learning rate's factor at a step (from 0): linear warm-up, then a cosine between 1 and the floor."""
+    s = step.cast("double")
     progress = (s - warmup) / max(1, steps - warmup)
     wave = (1 - floor) / 2 * F.cos(F.lit(math.pi * cycles * 2) * progress) + (1 + floor) / 2
-    return spark.range(steps).select(F.col("id").alias("step"), F.when(s < warmup, s / max(1, warmup)).otherwise(F.greatest(F.lit(0.0), wave)).alias("factor"))
+    return F.when(s < warmup, s / max(1, warmup)).otherwise(F.greatest(F.lit(0.0), wave))
+
+
+def constant_factor(step: Column, warmup: int) -> Column:
+    """Linear warm-up, then 1."""
+    return F.least(F.lit(1.0), step.cast("double") / max(1, warmup))
+
+
+def cosine_schedule(spark: SparkSession, steps: int, warmup: int, floor: float = 0.0, cycles: float = 0.5) -> DataFrame:
+    """step and factor of all steps."""
+    return spark.range(steps).select(F.col("id").alias("step"), cosine_factor(F.col("id"), steps, warmup, floor, cycles).alias("factor"))
 
 
 def constant_schedule(spark: SparkSession, steps: int, warmup: int) -> DataFrame:
-    s = F.col("id").cast("double")
-    return spark.range(steps).select(F.col("id").alias("step"), F.least(F.lit(1.0), s / max(1, warmup)).alias("factor"))
+    return spark.range(steps).select(F.col("id").alias("step"), constant_factor(F.col("id"), warmup).alias("factor"))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 
 def problems(config: Mapping[str, int | None | str | bool]) -> list[str]:
     """What is wrong with batch sizes and options, in words; empty if nothing is.
@@ -33,6 +36,27 @@ def problems(config: Mapping[str, int | None | str | bool]) -> list[str]:
     return out
 
 
+def checked(configs: DataFrame, out: str = "problems") -> DataFrame:
+    """A table of configurations, one a row, with `problems` of each in an array column. Columns as the settings' names; what is not
+    there counts as not set. A column named `out` is replaced."""
+    names = {c.lower() for c in configs.columns}
+    get = lambda n, kind="long": F.col(n).cast(kind) if n in names else F.lit(None).cast(kind)
+    set_ = lambda c, other: F.when(F.coalesce(c, F.lit(0)) != 0, c).otherwise(other)
+    rows, ranks = F.coalesce(get("train_batch"), F.lit(0)) * set_(get("samples"), F.lit(1)), set_(get("ranks"), F.lit(1))
+    mini, micro, per_rank = set_(get("mini"), rows), get("micro"), get("micro_per_rank")
+    fixed, odd = ~F.coalesce(get("dynamic", "boolean"), F.lit(False)), lambda a, b: set_(micro, F.lit(None)).isNotNull() & (a % set_(b, F.lit(1)) != 0)
+    rules = [
+        ("train_batch * samples is not divisible by the ranks", (rows <= 0) | (rows % ranks != 0)),
+        ("mini is larger than the batch", mini > rows),
+        ("one of micro and micro_per_rank is needed", fixed & micro.isNull() & per_rank.isNull()),
+        ("micro and micro_per_rank exclude each other", fixed & micro.isNotNull() & per_rank.isNotNull()),
+        ("mini is not divisible by micro", fixed & odd(mini, micro)),
+        ("micro is not divisible by the ranks", fixed & odd(micro, ranks)),
+        ("the estimator needs a critic", F.coalesce(get("estimator", "string").isin("gae", "decoupled_gae"), F.lit(False)) & ~F.coalesce(get("critic", "boolean"), F.lit(True))),
+    ]
+    return configs.withColumn(out, F.filter(F.array(*[F.when(wrong, text) for text, wrong in rules]), lambda p: p.isNotNull()))
+
+
 def validate(config: Mapping[str, int | None | str | bool]) -> None:
     if found := problems(config):
         raise ValueError("; ".join(found))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -81,10 +82,12 @@ def proto_union_checked(spark, sf):
     return batch.union_columns(t.select("row_id", "uid", "reward"), t.select("row_id", "reward", "score"))
 
 
-@query("SELECT 0 AS bad WHERE false")
+@query("WITH x AS (SELECT l_orderkey AS p, count(*) AS k, (SELECT count(*) FROM lineitem) AS n FROM lineitem GROUP BY 1) SELECT max(n) AS n, CAST(sum(k - 1) AS BIGINT) AS repeated, CAST(sum(CASE WHEN p < 0 OR p >= n THEN k ELSE 0 END) AS BIGINT) AS outside FROM x UNION ALL SELECT count(*), 0, 0 FROM orders")
 def consistency_check(spark, sf):
-    batch.check_consistent(trajectories(spark, sf))
-    return spark.range(0).select(F.col("id").cast("int").alias("bad"))
+    """Faults of order numbers taken as positions of line items, and of positions that are made (none, and the check passes)."""
+    made = batch.numbered(table(spark, sf, "orders").select("o_orderkey"), "o_orderkey", row="place")
+    batch.check_consistent(made, "place")
+    return batch.position_faults(table(spark, sf, "lineitem"), "l_orderkey").unionByName(batch.position_faults(made, "place"))
 
 
 @query(f"WITH {TRAJ} SELECT 'reward' AS \"column\", 8 * count(*) AS bytes FROM traj UNION ALL SELECT 'source', CAST(sum(octet_length(encode(source))) AS BIGINT) FROM traj UNION ALL SELECT 'uid', 8 * count(*) FROM traj")
@@ -502,11 +505,12 @@ def offline_evaluation(spark, sf):
     return groups.pass_at_k(scored, "scores").select(F.round("pass_at_k", 9).alias("pass_at_k"), F.lit(scored.count()).cast("long").alias("prompts"))
 
 
-@query("SELECT event_id AS step, event_type AS key, value FROM events")
+@query("SELECT event_id AS step, event_type AS key, value, CAST(i AS INT) AS sink FROM events, range(3) r(i)")
 def metric_log(spark, sf):
     paths = [fresh(spark, "metrics") for _ in range(3)]
     files.log_metrics(table(spark, sf, "events").select(F.col("event_id").alias("step"), F.col("event_type").alias("key"), "value"), *paths[:2], ("json", paths[2]))
-    return spark.read.parquet(paths[1])
+    kinds = [spark.read.parquet(paths[0]), spark.read.parquet(paths[1]), spark.read.schema("step long, key string, value double").json(paths[2])]
+    return functools.reduce(DataFrame.unionByName, [d.withColumn("sink", F.lit(i)) for i, d in enumerate(kinds)])
 
 
 @query("SELECT event_type, strftime(ts, '%Y-%m-%d %H') AS hour, round(avg(value), 9) AS mean, count(*) AS n FROM events GROUP BY 1, 2")
@@ -551,21 +555,32 @@ def text_files(spark, sf):
     return whole.where("text <> ''")
 
 
-@query("SELECT i AS n, concat('run_', i + 1) AS name FROM range(5) r(i)")
+@query("WITH x AS (SELECT concat('run', o_custkey % 7) AS base FROM orders) SELECT base, count(*) AS n, concat(base, '_', count(*) + 1) AS next FROM x GROUP BY 1")
 def versioned_names(spark, sf):
-    made = [(n, files.versioned([f"run_{i}" for i in range(n)], "run")) for n in range(5)]
-    return spark.createDataFrame(made, "n long, name string")
+    """Folders named by order: the bare name or one with a number."""
+    o = table(spark, sf, "orders")
+    name = F.concat(F.lit("run"), F.col("o_custkey") % 7, F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.concat(F.lit("_"), "o_orderkey")))
+    return files.next_versions(o.select(name.alias("name")))
 
 
-@query("SELECT 'a/b' AS key, '1' AS value UNION ALL SELECT 'a/xs/list_len', '2' UNION ALL SELECT 'a/xs/0', 'p' UNION ALL SELECT 'a/xs/1/z', 'q'")
+@query("""WITH x AS (SELECT c_custkey, unnest([{'key': 'a/b', 'value': CAST(c_nationkey AS VARCHAR)}, {'key': 'a/xs/list_len', 'value': CAST(c_custkey % 3 AS VARCHAR)}, {'key': 'name', 'value': c_name}]) AS e FROM customer
+UNION ALL SELECT c_custkey, {'key': concat('a/xs/', i, '/z'), 'value': CASE WHEN i = 0 THEN c_mktsegment END} FROM customer, range(3) r(i) WHERE i < c_custkey % 3) SELECT c_custkey, e.key AS key, e.value AS value FROM x""")
 def flat_config(spark, sf):
-    return spark.createDataFrame([(k, str(v)) for k, v in files.flatten_config({"a": {"b": 1, "xs": ["p", {"z": "q"}]}}).items()], "key string, value string")
+    """A nested configuration of each customer, flat."""
+    c = table(spark, sf, "customer").selectExpr("c_custkey", "struct(struct(c_nationkey AS b, transform(slice(array(0, 1, 2), 1, cast(c_custkey % 3 AS int)), i -> struct(CASE WHEN i = 0 THEN c_mktsegment END AS z)) AS xs) AS a, c_name AS name) AS config")
+    return c.select("c_custkey", F.inline(files.flat_entries(F.col("config"), c.schema["config"].dataType)))
 
 
-@query("SELECT CAST(r AS BIGINT) AS ranks, CASE WHEN 32 % r <> 0 THEN 1 ELSE 0 END + CASE WHEN 8 % r <> 0 THEN 1 ELSE 0 END AS problems FROM range(1, 9) t(r)")
+CONFIG = "p_size % 9 AS train_batch, p_partkey % 4 AS samples, p_partkey % 5 + 1 AS ranks, CASE WHEN p_partkey % 6 > 0 THEN p_size % 12 END AS mini, CASE WHEN p_partkey % 3 > 0 THEN p_partkey % 7 END AS micro, CASE WHEN p_size % 4 = 0 THEN 2 END AS micro_per_rank, p_size % 5 = 0 AS dynamic, CASE WHEN p_partkey % 2 = 0 THEN 'gae' ELSE 'grpo' END AS estimator, p_size % 3 = 0 AS critic"
+
+
+@query(f"""WITH c AS (SELECT p_partkey, {CONFIG} FROM part), x AS (SELECT *, train_batch * coalesce(nullif(samples, 0), 1) AS total FROM c), y AS (SELECT *, coalesce(nullif(mini, 0), total) AS m FROM x)
+SELECT p_partkey, CAST((total <= 0 OR total % ranks <> 0) AS INT) + CAST(m > total AS INT) + CAST((NOT dynamic AND micro IS NULL AND micro_per_rank IS NULL) AS INT) + CAST((NOT dynamic AND micro IS NOT NULL AND micro_per_rank IS NOT NULL) AS INT)
+ + CAST((NOT dynamic AND coalesce(micro, 0) <> 0 AND m % nullif(micro, 0) <> 0) AS INT) + CAST((NOT dynamic AND coalesce(micro, 0) <> 0 AND micro % ranks <> 0) AS INT) + CAST((estimator = 'gae' AND NOT critic) AS INT) AS problems FROM y""")
 def config_problems(spark, sf):
-    found = [(r, len(config.problems({"train_batch": 8, "samples": 4, "ranks": r, "mini": 16, "micro": 8}))) for r in range(1, 9)]
-    return spark.createDataFrame(found, "ranks long, problems int")
+    """A configuration made of each part's numbers."""
+    c = table(spark, sf, "part").selectExpr("p_partkey", *CONFIG.split(", "))
+    return config.checked(c).select("p_partkey", F.size("problems").alias("problems"))
 
 
 @query("SELECT c_custkey, CAST(c_custkey % 4 AS INT) AS part_id, 1 AS places FROM customer")

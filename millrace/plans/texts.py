@@ -456,9 +456,15 @@ def code_pass_share(spark, sf):
     return scores.code_share(tokens(spark, sf), "row_id", "t", "m", 3).select("row_id", F.round("score", 9).alias("score"))
 
 
-@query(f"WITH {RESP} SELECT row_id, trim(predict) = trim(concat(predict, ' ')) AS same, truth = concat(truth, '.0') OR TRY_CAST(truth AS DOUBLE) = TRY_CAST(concat(truth, '.0') AS DOUBLE) AS near FROM resp")
+@query(f"WITH {RESP} SELECT row_id, length(predict) % 2 = 0 AS same, row_id % 4 = 0 AS near, row_id % 6 = 0 AS tokens FROM resp")
 def output_compare(spark, sf):
-    return responses(spark, sf).select("row_id", scores.output_matches(F.col("predict"), F.concat("predict", F.lit(" "))).alias("same"), scores.output_matches(F.col("truth"), F.concat("truth", F.lit(".0"))).alias("near"))
+    """Blank lines and ends, or another letter; numbers a millionth apart, or more; tokens in another order, or another token."""
+    k, t = F.col("row_id"), F.col("truth")
+    other = F.concat(F.replace(F.col("predict"), F.lit("\n"), F.lit("\n \n")), F.when(F.length("predict") % 2 == 0, " \n").otherwise("?"))
+    number = (t.cast("int") + 1).cast("string")
+    near = F.concat(number, F.when(k % 4 == 0, ".0000001").otherwise(".25"))
+    pair = F.concat(F.lit("b"), k % 6, F.lit(" a "), t)
+    return responses(spark, sf).select("row_id", scores.output_matches(F.col("predict"), other).alias("same"), scores.output_matches(number, near).alias("near"), scores.output_matches(F.concat(t, F.lit(" a b0")), pair).alias("tokens"))
 
 
 RAW = "CASE WHEN passes = 1 THEN predict WHEN row_id % 22 = 0 THEN '  ' ELSE concat('trace', chr(10), 'ValueError: ', truth) END"

@@ -149,14 +149,15 @@ def adaptive_kl(spark, sf):
     return losses.adaptive_coefficient(s, "step", "kl", "n", 0.2, 0.3, 10000.0).select("step", F.round("coefficient", 9).alias("coefficient"))
 
 
-@query("SELECT i AS step, round(CASE WHEN i < 100 THEN i / 100.0::DOUBLE ELSE greatest(0, 0.45::DOUBLE * cos(pi() * (i - 100) / 900.0::DOUBLE) + 0.55::DOUBLE) END, 9) AS factor FROM range(1000) r(i)")
+@query("SELECT event_id AS step, round(CASE WHEN event_id < 100 THEN event_id / 100.0::DOUBLE ELSE greatest(0, 0.45::DOUBLE * cos(pi() * (event_id - 100) / 999900.0::DOUBLE) + 0.55::DOUBLE) END, 9) AS factor FROM events")
 def lr_cosine(spark, sf):
-    return losses.cosine_schedule(spark, 1000, 100, 0.1).select("step", F.round("factor", 9).alias("factor"))
+    """The factor at each event's step, of a million steps."""
+    return table(spark, sf, "events").select(F.col("event_id").alias("step"), F.round(losses.cosine_factor(F.col("event_id"), 1_000_000, 100, 0.1), 9).alias("factor"))
 
 
-@query("SELECT i AS step, least(1.0::DOUBLE, i / 100.0::DOUBLE) AS factor FROM range(1000) r(i)")
+@query("SELECT event_id AS step, least(1.0::DOUBLE, event_id / 100.0::DOUBLE) AS factor FROM events")
 def lr_constant(spark, sf):
-    return losses.constant_schedule(spark, 1000, 100)
+    return table(spark, sf, "events").select(F.col("event_id").alias("step"), losses.constant_factor(F.col("event_id"), 100).alias("factor"))
 
 
 @query(f"WITH {TOK}, n AS (SELECT row_id, count(*) AS n FROM tok GROUP BY 1) SELECT row_id, list_transform(range(0, n), lambda i: CASE WHEN i = n - 1 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END) AS rewards FROM n")

@@ -108,6 +108,29 @@ def versioned(existing: list[str], name: str) -> str:
     return f"{name}_{sum(bool(re.fullmatch(re.escape(name) + r'(_\d+)?', e)) for e in existing) + 1}"
 
 
+def next_versions(existing: DataFrame, name: str = "name") -> DataFrame:
+    """base, n and next: of each name without its number how many folders there are, and the name of the next."""
+    base = F.regexp_replace(F.col(name), r"_\d+$", "").alias("base")
+    counted = existing.groupBy(base).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("base", "n", F.concat_ws("_", "base", (F.col("n") + 1).cast("string")).alias("next"))
+
+
+def flat_entries(column: Column, kind: T.DataType, at: Column | None = None, sep: str = "/") -> Column:
+    """flatten_config of a nested column: an array of struct(key, value), in the order of the fields."""
+    under = lambda k: k if at is None else F.concat(at, F.lit(sep), k)
+    leaf = lambda v, k: F.array(F.struct(k.alias("key"), v.cast("string").alias("value")))
+    if isinstance(kind, T.StructType):
+        out = F.flatten(F.array(*[flat_entries(column[f.name], f.dataType, under(F.lit(f.name)), sep) for f in kind.fields]))
+    elif isinstance(kind, T.MapType):
+        out = F.flatten(F.transform(F.map_entries(column), lambda e: flat_entries(e["value"], kind.valueType, under(e["key"].cast("string")), sep)))
+    elif isinstance(kind, T.ArrayType):
+        items = F.flatten(F.transform(column, lambda x, i: flat_entries(x, kind.elementType, under(i.cast("string")), sep)))
+        out = F.concat(leaf(F.size(column), under(F.lit("list_len"))), items)
+    else:
+        return leaf(column, F.lit("") if at is None else at)
+    return out if at is None else F.when(column.isNull(), leaf(F.lit(None), at)).otherwise(out)
+
+
 def flatten_config(config: Any, sep: str = "/") -> dict[str, Any]:
     """Nested mappings, dataclasses and lists as flat keys; a list gives its length and its items by index, an enum its value."""
     out: dict[str, Any] = {}
