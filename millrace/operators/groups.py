@@ -128,8 +128,19 @@ def metric_means(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.groupBy(F.col(key).alias("metric")).agg(F.avg(value).alias("mean"))
 
 
+def metric_segments(df: DataFrame, key: str, value: str, order: str, size: int = 10_000) -> DataFrame:
+    """metric, segment (from 0) and values: each metric's values in order (which must be total in a metric), in lists of `size` at
+    most, so that no metric, however long its history, is one array or one task."""
+    from millrace.operators.batch import numbered
+
+    rows = numbered(df.select(F.col(key).alias("metric"), F.col(order).alias("o"), F.col(value).alias("v")), "metric", "o", row="i")
+    first = rows.groupBy(F.col("metric").alias("k")).agg(F.min("i").alias("first"))
+    at = rows.join(first, F.col("metric").eqNullSafe(F.col("k"))).select("metric", "o", "v", F.floor((F.col("i") - F.col("first")) / size).alias("segment"))
+    return at.groupBy("metric", "segment").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "v"))), lambda x: x["v"]).alias("values"))
+
+
 def metric_lists(df: DataFrame, key: str, value: str, order: str) -> DataFrame:
-    """Values of each metric in order."""
+    """Values of each metric in order, in one list (metric_segments: in bounded ones)."""
     return df.groupBy(F.col(key).alias("metric")).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias("values"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.groups import masked_mean
@@ -96,17 +96,18 @@ def kl_shaped(score: Column, new: Column, reference: Column, beta: float, kind:
     return score - beta * divergence(new, reference, kind)
 
 
-def adaptive_coefficient(steps: DataFrame, order: str, kl: str, n: str, start: float, target: float, horizon: float) -> DataFrame:
+def adaptive_coefficient(steps: DataFrame, order: str, kl: str, n: str, start: float, target: float, horizon: float, bucket_rows: int = 1 << 16) -> DataFrame:
     """step and coefficient after it: value *= 1 + clip(kl / target - 1, -0.2, 0.2) n / horizon, over the ordered steps of
-    one run (a row a step; gathered in one array)."""
-    items = steps.agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(kl).alias("kl"), F.col(n).cast("double").alias("n")))).alias("xs"))
-    state = F.struct(F.lit(start).alias("v"), F.array().cast("array<struct<o:bigint,v:double>>").alias("out"))
-
-    def go(a: Column, x: Column) -> Column:
-        v = a["v"] * (1 + F.greatest(F.lit(-0.2), F.least(F.lit(0.2), x["kl"] / target - 1)) * x["n"] / horizon)
-        return F.transform(F.array(v), lambda w: F.struct(w.alias("v"), F.concat(a["out"], F.array(F.struct(x["o"].cast("long").alias("o"), w.alias("v")))).alias("out")))[0]
-
-    return items.select(F.explode(F.aggregate("xs", state, go, lambda a: a["out"])).alias("x")).select(F.col("x.o").alias("step"), F.col("x.v").alias("coefficient"))
+    one run (a null kl or n changes nothing). A factor does not depend on the value before: products of buckets of steps meet in
+    one task, steps only with those of their bucket."""
+    from millrace.operators.batch import numbered
+
+    factor = F.coalesce(1 + F.greatest(F.lit(-0.2), F.least(F.lit(0.2), F.col(kl) / target - 1)) * F.col(n) / horizon, F.lit(1.0))
+    rows = numbered(steps.select(F.col(order).cast("long").alias("step"), factor.alias("factor")), "step", row="i").withColumn("b", F.floor(F.col("i") / bucket_rows))
+    whole = rows.groupBy("b").agg(F.product("factor").alias("p"))
+    before = F.coalesce(F.product("p").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0))
+    within = F.product("factor").over(Window.partitionBy("b").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("within", within).join(whole.select("b", before.alias("before")), "b").select("step", (start * F.col("before") * F.col("within")).alias("coefficient"))
 
 
 def cosine_factor(step: Column, steps: int, warmup: int, floor: float = 0.0, cycles: float = 0.5) -> Column:

@@ -319,6 +319,11 @@ def append_metrics(spark, sf):
     return groups.metric_lists(table(spark, sf, "events"), "event_type", "value", "event_id")
 
 
+@query("WITH x AS (SELECT event_type AS metric, event_id, value, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 100 AS segment FROM events) SELECT metric, segment, list(value ORDER BY event_id) AS \"values\" FROM x GROUP BY 1, 2")
+def metric_segments(spark, sf):
+    return groups.metric_segments(table(spark, sf, "events"), "event_type", "value", "event_id", 100)
+
+
 def _stats(c: str, src: str) -> str:
     return " UNION ALL ".join(f"SELECT '{c}/{name}' AS metric, CAST(round({f}, 7) AS DOUBLE) AS value FROM {src}" for name, f in (("mean", f"avg({c})"), ("max", f"max({c})"), ("min", f"min({c})")))
 

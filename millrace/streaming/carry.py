@@ -1,4 +1,4 @@
-"""Groups carried over batches until enough are there: as a fold over a table of batches, and over a stream."""
+"""Groups carried over batches until enough are there: over a table of batches by pointer doubling, and over a stream."""
 
 from __future__ import annotations
 
@@ -8,24 +8,45 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions.scan import bound, scanned
-from millrace.sources.tables import shared_folder, until_exit
+from millrace.functions.sequence import packed_offsets
+from millrace.operators.batch import numbered
+from millrace.sources.tables import materialized, shared_folder, until_exit
 
 MARK = "batch long, since long"
 
 
+#: Batches of a bucket, in which segments and batches meet.
+BUCKET = 256
+
+
 def carried(batches: DataFrame, order: str, groups: str, enough: int) -> DataFrame:
     """order, carried (groups kept after the batch comes in) and emitted: at `enough` or more all are emitted and the count
-    starts anew. A row a batch, in one array."""
-    xs = batches.agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), F.col(groups).cast("long").alias("n")))).alias("xs"))
-    zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("held"), zero.alias("o"), zero.alias("carried"), F.lit(False).alias("emitted"))
+    starts anew. Batches are in the order of `order`, which must be total; groups are whole numbers from 0 on (null: 0).
 
-    def step(a, x):
-        return bound(a["held"] + x["n"], lambda held: F.struct(F.when(held >= enough, zero).otherwise(held).alias("held"), x["o"].alias("o"), held.alias("carried"), (held >= enough).alias("emitted")))
-
-    rows = scanned(F.col("xs"), start, step, lambda s: F.struct(s["o"].alias("o"), s["carried"].alias("carried"), s["emitted"].alias("emitted")), "struct<o:bigint,carried:bigint,emitted:boolean>")
-    return xs.select(F.explode(rows).alias("r")).select(F.col("r.o").alias(order), "r.carried", "r.emitted")
+    No task sees all batches. Running sums tell of every batch where an emission would come next, if the count started there; these
+    pointers are followed from the first batch by doubling: each round joins them with themselves, so that as many rounds as
+    the number of emissions has binary digits find all starts.
+    """
+    rows = numbered(batches.select(F.col(order).alias("o"), F.coalesce(F.col(groups), F.lit(0)).cast("long").alias("n")), "o", row="i")
+    m = rows.count()
+    if not m:
+        return rows.select(F.col("o").alias(order), F.col("n").alias("carried"), F.lit(False).alias("emitted"))
+    sums = materialized(packed_offsets(rows, "n", "i").withColumnRenamed("cu_seqlen", "before"), "sums")
+    wanted = sums.where(F.col("i") < m).select((F.col("before") + enough).alias("v"), F.lit(0).alias("kind"), "i")
+    reached = sums.where(F.col("i") > 0).select(F.col("before").alias("v"), F.lit(1).alias("kind"), (F.col("i") - 1).alias("i"))
+    # among sums in order, what lies before the i-th wanted one is i wanted ones and the sums that are too small
+    at = numbered(wanted.unionByName(reached), "v", "kind", "i", row="at").where("kind = 0").select("i", F.greatest("i", F.col("at") - F.col("i")).alias("j"))
+    first = materialized(at.where(F.col("j") < m).select("i", (F.col("j") + 1).alias("to")), "jumps")
+    starts, jumps = rows.where("i = 0").select("i"), first
+    while not jumps.isEmpty():
+        starts = materialized(starts.unionByName(starts.join(jumps, "i").where(F.col("to") < m).select(F.col("to").alias("i"))), "starts")
+        jumps = materialized(jumps.select("i", F.col("to").alias("via")).join(jumps.select(F.col("i").alias("via"), "to"), "via").select("i", "to"), "jumps")
+    segments = starts.join(first, "i", "left").join(sums, "i").select(F.col("i").alias("s"), F.coalesce("to", F.lit(m)).alias("to"), F.col("to").isNotNull().alias("emits"), F.col("before").alias("base"))
+    bucket = lambda c: F.floor(c / BUCKET)
+    dealt = segments.withColumn("b", F.explode(F.sequence(bucket(F.col("s")), bucket(F.col("to") - 1))))
+    each = rows.join(sums, "i").select("o", "i", (F.col("before") + F.col("n")).alias("through"), bucket(F.col("i")).alias("b"))
+    met = each.join(dealt, "b").where("s <= i AND i < to")
+    return met.select(F.col("o").alias(order), (F.col("through") - F.col("base")).alias("carried"), (F.col("emits") & (F.col("i") == F.col("to") - 1)).alias("emitted"))
 
 
 class CarryOver:

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -146,6 +147,30 @@ def test_carry_over(spark):
     assert [tuple(r) for r in carry.carried(df, "o", "n", 6).orderBy("o").collect()] == [(0, 3, False), (1, 7, True), (2, 5, False), (3, 6, True)]
 
 
+def test_carry_over_many_batches(spark):
+    r = random.Random(1)
+    xs = [(3 * i + 1, r.choice([0, 0, 1, 2, 5, 9, None])) for i in range(300)]
+    want, held = [], 0
+    for o, n in xs:
+        held += n or 0
+        want.append((o, held, held >= 17))
+        held = 0 if held >= 17 else held
+    df = spark.createDataFrame(r.sample(xs, len(xs)), "o long, n long")
+    assert [tuple(x) for x in carry.carried(df, "o", "n", 17).orderBy("o").collect()] == want
+    assert carry.carried(df.limit(0), "o", "n", 17).count() == 0
+
+
+def test_coefficients_over_buckets(spark):
+    r = random.Random(2)
+    xs = [(i, r.uniform(0, 1), r.randrange(1, 50)) for i in range(200)]
+    value, want = 0.2, []
+    for _, k, n in xs:
+        value *= 1 + max(-0.2, min(0.2, k / 0.5 - 1)) * n / 100.0
+        want.append(value)
+    got = losses.adaptive_coefficient(spark.createDataFrame(r.sample(xs, 200), "s long, k double, n int"), "s", "k", "n", 0.2, 0.5, 100.0, bucket_rows=16).orderBy("step").collect()
+    assert [x.coefficient for x in got] == pytest.approx(want, rel=1e-12)
+
+
 def test_carry_over_a_stream(spark, tmp_path):
     for i in range(4):
         spark.createDataFrame([(f"g{i}{j}", i) for j in range(3)], "uid string, v int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
