@@ -115,13 +115,31 @@ def windows(tokens: Column, window: int, step: int, least: int) -> Column:
     return F.filter(F.transform(starts, lambda s: F.slice(tokens, s + 1, F.lit(window))), lambda w: F.size(w) >= least)
 
 
+def nearest_sorted(points: Column, to: Column) -> Column:
+    """The point nearest to a position in an array in order, of two the smaller; the position itself where there is none. By halving."""
+    n = F.size(points)
+    bits = F.sequence(F.floor(F.log2(n.cast("double"))).cast("int"), F.lit(0), F.lit(-1))
+
+    def step(below: Column, k: Column) -> Column:
+        return bound(below + F.pow(F.lit(2.0), k).cast("int"), lambda t: F.when((t <= n) & (F.get(points, t - 1) < to), t).otherwise(below))
+
+    def of(below: Column) -> Column:
+        left, right = F.get(points, below - 1), F.get(points, below)
+        return F.when(left.isNull() | (right - to < to - left), right).otherwise(left)
+
+    return F.when(n > 0, bound(F.aggregate(bits, F.lit(0), step), of)).otherwise(to)
+
+
 def snapped_windows(tokens: Column, cuts: Column, window: int, step: int, least: int) -> Column:
     """Windows at every step, each ended at the cut (a position of a token) nearest to its length, or at that length where there is
-    no cut; those of fewer than `least` tokens left out."""
+    no cut; those of fewer than `least` tokens left out. Cuts are put in order once, and each window's is found by halving."""
     starts = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    near = lambda e: F.coalesce(F.array_min(F.transform(cuts, lambda c: F.struct(F.abs(c - e).alias("d"), c.alias("c"))))["c"], e)
-    cut = lambda s: bound(near(F.least(s + window, F.size(tokens))), lambda e: F.slice(tokens, s + 1, F.greatest(F.lit(0), e - s)))
-    return F.filter(F.transform(starts, cut), lambda w: F.size(w) >= least)
+
+    def of(points: Column) -> Column:
+        cut = lambda s: bound(nearest_sorted(points, F.least(s + window, F.size(tokens))), lambda e: F.slice(tokens, s + 1, F.greatest(F.lit(0), e - s)))
+        return F.filter(F.transform(starts, cut), lambda w: F.size(w) >= least)
+
+    return bound(F.array_sort(F.filter(F.coalesce(cuts, F.array().cast("array<int>")), lambda c: c.isNotNull())), of)
 
 
 def random_mask(n: Column, seed: Column, max_left: float = 0.3, least: float = 0.5) -> Column:

@@ -219,3 +219,14 @@ def test_token_budget_in_buckets(spark):
         for _, i, n in rows[b * 300 : b * 300 + 300]:
             total += n
             assert got[b, i] == (total - 1) // 37
+
+
+def test_snapped_windows_against_all_cuts(spark):
+    r = random.Random(5)
+    rows = [(i, list(range(r.randrange(0, 60))), r.sample(range(60), r.randrange(0, 25))) for i in range(60)] + [(60, list(range(9)), None), (61, list(range(9)), [3, None])]
+    df = spark.createDataFrame(rows, "i int, t array<int>, c array<int>")
+    for x in df.select("i", sequence.snapped_windows(F.col("t"), F.col("c"), 10, 4, 2).alias("w")).collect():
+        _, t, cuts = rows[x.i]
+        cuts = [c for c in cuts or [] if c is not None]
+        ends = [(s, min((abs(c - min(s + 10, len(t))), c) for c in cuts)[1] if cuts else min(s + 10, len(t))) for s in range(0, len(t), 4)]
+        assert x.w == [t[s:e] for s, e in ends if len(t[s : max(s, e)]) >= 2]
