@@ -65,4 +65,5 @@ def plain_text(x: Column, every_group: bool = False) -> Column:
     out = f"array_join({scanned_sql(tokens, state("''", "''", "''"), step, 's.out', 'string')}, '')"
     sign = "" if every_group else "-?"
     out = f"translate(regexp_replace({out}, '{OPEN}({sign}[^{OPEN}{CLOSE}+*/^ -]*){CLOSE}', '$1'), '{OPEN}{CLOSE}', '()')"
+    out = f"regexp_replace({out}, '(root[(][^,()]*,) +', '$1')"
     return applied(x, "x_", f"regexp_replace(replace({out}, '( ', '('), '^\\\\s+|\\\\s+$', '')")
