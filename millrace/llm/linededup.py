@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.scan import bound
-from millrace.llm._base import Workspace, few_files, fresh, rows_of, table
+from millrace.llm._base import Workspace, few_files, rows_of, table
 
 LEAST_CHARS, LEAST_DOCS = 40, 5
 #: Lines with more than this share of all repeated lines (fewer than a thousand) are dealt over so many tasks of a join.
