@@ -18,18 +18,16 @@ def _any(words: tuple[str, ...]) -> str:
     return ", ".join(map(quoted, words))
 
 
-def plain_text(x: Column, every_group: bool = False) -> Column:
+def plain_text(x: Column) -> Column:
     """LaTeX as plain text: fractions as " a/b", roots as sqrt(a) and root(n,a), some signs, text as it is. Arguments, exponents and
-    indices that are no single name or number are put in brackets, and with every_group any other group too; otherwise its braces
-    go. Commands that are not known stay. Nesting may be of any depth; null for null.
+    indices that are no single name or number are put in brackets; the braces of any other group go. Commands that are not known stay. Nesting may be of any depth; null for null.
 
     The stack is a string, a character a level: what closes there. f, d: both sides of a fraction; q: a root; i, r: a root's
     index and what follows it; t: text; p: an exponent or index; g: any other group. In capitals: an argument without braces
     that is a command itself and ends with that command's arguments. want: what the next token (t) is the argument of.
     """
-    group = "true" if every_group else "false"
     state = lambda stack, want, out: f"named_struct('stack', {stack}, 'want', {want}, 'out', {out})"
-    opened = lambda kind: f"CASE WHEN {kind} IN ('f', 'd', 'p') OR ({group} AND {kind} = 'g') THEN '{OPEN}' WHEN {kind} = 'q' THEN 'sqrt(' ELSE '' END"
+    opened = lambda kind: f"CASE WHEN {kind} IN ('f', 'd', 'p') THEN '{OPEN}' WHEN {kind} = 'q' THEN 'sqrt(' ELSE '' END"
 
     def done(stack: str, out: str) -> str:
         """After a whole argument: arguments without braces that end with it."""
@@ -41,7 +39,7 @@ def plain_text(x: Column, every_group: bool = False) -> Column:
     nested = "CASE WHEN s.want = '' THEN s.stack ELSE concat(s.stack, upper(s.want)) END"
     autos, kind = "regexp_extract(s.stack, '[A-Z]*$', 0)", "CASE WHEN s.want = '' THEN 'g' ELSE s.want END"
     read = f"CASE {' '.join(f'WHEN t = {quoted(a)} THEN {quoted(b)}' for a, b in AS_TEXT)} WHEN t RLIKE '^\\\\\\\\[{{}}%$&#_]$' THEN right(t, 1) ELSE t END"
-    ends = f"CASE WHEN {top} IN ('q', 'r') THEN ')' WHEN {top} IN ('d', 'p') OR ({group} AND {top} = 'g') THEN '{CLOSE}' ELSE '' END"
+    ends = f"CASE WHEN {top} IN ('q', 'r') THEN ')' WHEN {top} IN ('d', 'p') THEN '{CLOSE}' ELSE '' END"
     bare = f"CASE s.want WHEN 'p' THEN {read} WHEN 't' THEN {read} WHEN 'r' THEN concat({read}, ')') WHEN 'q' THEN concat('sqrt(', {read}, ')') ELSE concat('{OPEN}', {read}, '{CLOSE}') END"
     unclosed = state(f"left(s.stack, length(s.stack) - length({autos}) - 1)", "''", f"concat(translate(reverse({autos}), 'QRDPFT', ')){CLOSE}{CLOSE}{CLOSE}'), '{CLOSE}')")
     step = f"""CASE WHEN t = '}}' AND {autos} <> '' THEN {unclosed}
@@ -63,7 +61,6 @@ def plain_text(x: Column, every_group: bool = False) -> Column:
         ELSE {done("s.stack", f"({bare})")} END"""
     tokens = "regexp_extract_all(x_, '(?s)\\\\\\\\[A-Za-z]+|\\\\\\\\.|.', 0)"
     out = f"array_join({scanned_sql(tokens, state("''", "''", "''"), step, 's.out', 'string')}, '')"
-    sign = "" if every_group else "-?"
-    out = f"translate(regexp_replace({out}, '{OPEN}({sign}[^{OPEN}{CLOSE}+*/^ -]*){CLOSE}', '$1'), '{OPEN}{CLOSE}', '()')"
+    out = f"translate(regexp_replace({out}, '{OPEN}(-?[^{OPEN}{CLOSE}+*/^ -]*){CLOSE}', '$1'), '{OPEN}{CLOSE}', '()')"
     out = f"regexp_replace({out}, '(root[(][^,()]*,) +', '$1')"
     return applied(x, "x_", f"regexp_replace(replace({out}, '( ', '('), '^\\\\s+|\\\\s+$', '')")
