@@ -129,15 +129,23 @@ def has_runs(text: str | None, times: int = 20, least: int = 1) -> bool | None:
 def _has_runs(t: str, times: int, least: int) -> bool:
     if len(t) < times * least:
         return False
-    parts = Parts(t)
-    code, n = parts.code, parts.n
+    code = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+    n, parts = len(code), None
+    half = ((times - 1) * least + 1) // 2  # a run reaches at least half its length to one side of its place
     for i, k in probes(n, times, least):
-        hit = code[i] == code[i + k]
-        i, k = i[hit], k[hit]
+        for side in (min(2, half), min(16, half)):
+            right, left = i + k + side <= n, i >= side
+            for d in range(side):
+                right &= code[np.minimum(i + d, n - 1)] == code[np.minimum(i + k + d, n - 1)]
+                left &= code[np.maximum(i - 1 - d, 0)] == code[np.maximum(i + k - 1 - d, 0)]
+            i, k = i[right | left], k[right | left]
+        if not len(i):
+            continue
+        parts = parts or Parts(t)
         need = (times - 1) * k
-        right = parts.extent(i, i + k, np.minimum(need, n - k - i))
-        left = parts.extent(i, i + k, np.minimum(need, i), back=True)
-        for a, u in zip((i - left)[left + right >= need].tolist(), k[left + right >= need].tolist(), strict=True):
+        after = parts.extent(i, i + k, np.minimum(need, n - k - i))
+        before = parts.extent(i, i + k, np.minimum(need, i), back=True)
+        for a, u in zip((i - before)[before + after >= need].tolist(), k[before + after >= need].tolist(), strict=True):
             if np.array_equal(code[a : a + (times - 1) * u], code[a + u : a + times * u]):
                 return True
     return False
