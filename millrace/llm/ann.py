@@ -5,6 +5,10 @@ list of its cheapest centroid, and a boundary vector also in those of others tha
 nearest centroids in an in-memory graph and searches the lists whose distance is within a ratio of the nearest one's. The
 ratio is the smallest that finds the wished share of neighbours within the sample. Lists are short and grow in number
 with the table, so that the share of it that a query is compared with falls.
+
+A sample says nothing of queries that lie elsewhere than most vectors, so an exact check follows: each list keeps how near to its
+centroid and how far from it its own vectors lie, and by the triangle inequality a query passes over only lists that can hold
+nothing nearer than the farthest neighbour that it has found.
 """
 
 from __future__ import annotations
@@ -36,6 +40,8 @@ WIDER, MORE = 1.05, 3
 DEGREE, ENTRIES = 24, 256
 #: Postings, and queries, that one task compares at once; a longer list or more queries are dealt over several.
 BLOCK, QUERIES = 16_384, 2_048
+#: Queries whose products with a block are worked out at once.
+TOGETHER = 32
 
 
 @dataclass
@@ -97,6 +103,13 @@ class Lists:
             found = order[: max(len(found), int(np.searchsorted(np.cumsum(held[order]), least)) + 1)]
         return found
 
+    def beyond(self, q: np.ndarray, done: np.ndarray, reach: float, near: np.ndarray, far: np.ndarray) -> np.ndarray:
+        """The lists but those done that may be home to a vector within reach: their vectors lie from near to far off the centroid."""
+        d = np.sqrt(((self.centroids - q) ** 2).sum(axis=1))
+        may = np.maximum(d - far, near - d) <= reach + 1e-9 * (d + far) + 1e-12 * np.sqrt((q**2).sum())  # more than roundings amount to
+        may[done] = False
+        return np.flatnonzero(may & (far >= near))
+
 
 def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum(0, (x**2).sum(axis=1)[:, None] - 2 * x @ y.T + (y**2).sum(axis=1))
@@ -104,7 +117,9 @@ def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def fit(x: np.ndarray, lists: int, rounds: int = 8, seed: int = 11) -> Lists:
     """Balanced k-means: after each round, centroids of long lists get dearer and those of short ones cheaper, by ever less."""
-    x = x.astype(np.float32)
+    middle = x.mean(axis=0) if len(x) else np.zeros(x.shape[1])
+    size = float(np.abs(x - middle).max(initial=0)) or 1.0
+    x = ((x - middle) / size).astype(np.float32)  # of any magnitude, and any distance from zero
     c = x[np.random.default_rng(seed).permutation(len(x))[:lists]].copy()
     lists, prices = len(c), np.zeros(len(c), np.float32)
     scale = float(squared(x[:256], c).min(axis=1).mean()) if lists else 0.0
@@ -116,9 +131,10 @@ def fit(x: np.ndarray, lists: int, rounds: int = 8, seed: int = 11) -> Lists:
         c[n > 0] = total[n > 0] / n[n > 0][:, None]
         prices += np.float32(0.04 * scale / (i + 2)) * np.clip(n * lists / len(x) - 1, -1, 1).astype(np.float32)
     m = min(DEGREE + 1, lists)
-    near = [np.argpartition(squared(c[i : i + 512], c), m - 1, axis=1)[:, :m] for i in range(0, lists, 512)] if lists else []
+    c, prices = c.astype(float) * size + middle, prices.astype(float) * size**2
+    near = [np.argpartition(squared(c[i : i + 512] - middle, c - middle), m - 1, axis=1)[:, :m] for i in range(0, lists, 512)] if lists else []
     far = np.stack([np.roll(np.arange(lists), 1), *[np.random.default_rng(seed + j).permutation(lists) for j in range(4)]], axis=1)  # a ring keeps the graph in one piece
-    return Lists(c.astype(float), prices.astype(float), np.concatenate([np.concatenate(near), far], axis=1) if lists else far)
+    return Lists(c, prices, np.concatenate([np.concatenate(near), far], axis=1) if lists else far)
 
 
 def fit_search(lists: Lists, x: np.ndarray, k: int, share: float = FOUND) -> tuple[float, int]:
@@ -184,12 +200,14 @@ def nearest_in(key: list, q: np.ndarray, lists: list, at: np.ndarray, v: np.ndar
     """(key, id, distance) of the k nearest distinct ids of each query among the vectors of its lists. at: the list of each vector, in order."""
     out = []
     norms = (v**2).sum(axis=1)
-    for name, x, own in zip(key, q, lists, strict=True):
-        spans = np.stack([np.searchsorted(at, own, "left"), np.searchsorted(at, own, "right")], axis=1)
-        rows = np.concatenate([np.arange(i, j) for i, j in spans.tolist()])
+    for n, (name, x, own) in enumerate(zip(key, q, lists, strict=True)):
+        if n % TOGETHER == 0:  # a product of matrices, where its queries are compared with much of the block
+            some = [np.concatenate([np.arange(i, j) for i, j in zip(np.searchsorted(at, o, "left").tolist(), np.searchsorted(at, o, "right").tolist(), strict=True)]) for o in lists[n : n + TOGETHER]]
+            dots = q[n : n + TOGETHER] @ v.T if 4 * sum(map(len, some)) > len(some) * len(v) else None
+        rows = some[n % TOGETHER]
         if not len(rows):
             continue
-        rough = norms[rows] - 2 * (v[rows] @ x)
+        rough = norms[rows] - 2 * (v[rows] @ x if dots is None else dots[n % TOGETHER][rows])
         take = k
         while True:
             kth = np.partition(rough, take - 1)[take - 1] if take < len(rows) else np.inf
@@ -213,6 +231,8 @@ class Index:
     postings: DataFrame
     sizes: np.ndarray  # postings of each list
     held: np.ndarray  # vectors at home in each list
+    near: np.ndarray  # least distance of these from the list's centroid (none: inf)
+    far: np.ndarray  # and largest (none: -inf)
 
 
 def indexed(x: DataFrame, ws: Workspace, k: int) -> Index:
@@ -233,30 +253,39 @@ def indexed(x: DataFrame, ws: Workspace, k: int) -> Index:
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row, at, home = sent.value.assign(matrix(b.column("v")))
+            x = matrix(b.column("v"))
+            row, at, home = sent.value.assign(x)
+            off = np.sqrt(((x[row] - sent.value.centroids[at]) ** 2).sum(axis=1)) if len(row) else np.zeros(0)
             to = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(home), b.column("v").take(to), b.column("ids").take(to)], names=["list", "home", "v", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(home), pa.array(off), b.column("v").take(to), b.column("ids").take(to)], names=["list", "home", "off", "v", "ids"])
 
     kind = x.schema["id"].dataType.simpleString()
-    postings = ws.save(mapped(nodes, post, f"list int, home boolean, v array<double>, ids array<{kind}>"), "postings")
-    sizes, held = np.zeros(max(1, len(lists.centroids)), int), np.zeros(max(1, len(lists.centroids)), int)
-    for r in postings.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("home").cast("int")).alias("home")).collect():  # MOST_LISTS rows
+    postings = ws.save(mapped(nodes, post, f"list int, home boolean, off double, v array<double>, ids array<{kind}>"), "postings")
+    n = max(1, len(lists.centroids))
+    sizes, held, near, far = np.zeros(n, int), np.zeros(n, int), np.full(n, np.inf), np.full(n, -np.inf)
+    own = F.when(F.col("home"), F.col("off"))
+    for r in postings.groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.count(own).alias("home"), F.min(own).alias("near"), F.max(own).alias("far")).collect():  # MOST_LISTS rows
         sizes[r.list], held[r.list] = r.n, r.home
-    return Index(lists, postings, sizes, held)
+        if r.home:
+            near[r.list], far[r.list] = r.near, r.far
+    return Index(lists, postings, sizes, held, near, far)
 
 
-def asked(index: Index, queries: DataFrame, k: int, everywhere: bool = False) -> DataFrame:
-    """key, v, bucket and lists of each query (key, v) and each bucket that holds some of the lists it searches."""
-    of, _ = buckets(index.sizes)
-    sent = queries.sparkSession.sparkContext.broadcast((index.lists, index.held, of))
+def asked(index: Index, queries: DataFrame, k: int, of: np.ndarray, rest: bool) -> DataFrame:
+    """key, v, bucket and lists of each query (key, v) and each bucket that holds some of the lists it searches; of the lists that it
+    has not searched and that may hold something within its reach, where `rest` is asked for."""
+    sent = queries.sparkSession.sparkContext.broadcast((index.lists, index.held, index.near, index.far, of))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists, held, of = sent.value
+        lists, held, near, far, of = sent.value
         n, dim = lists.centroids.shape
         for b in batches:
             rows, bs, ls = [], [], []
             for i, v in enumerate(b.column("v").to_pylist()):
-                found = np.sort(np.arange(n) if everywhere else lists.search(np.array(v), held, k + 1)) if n and len(v) == dim else []
+                q = np.array(v)
+                found = np.sort(lists.search(q, held, k + 1)) if n and len(v) == dim else np.zeros(0, int)
+                if rest and len(found):
+                    found = lists.beyond(q, found, b.column("reach")[i].as_py(), near, far)
                 starts = np.flatnonzero(np.diff(of[found], prepend=-1)) if len(found) else []
                 for j, part in zip(starts, np.split(found, starts[1:]) if len(found) else [], strict=True):
                     rows.append(i)
@@ -268,16 +297,17 @@ def asked(index: Index, queries: DataFrame, k: int, everywhere: bool = False) ->
     return mapped(queries, route, f"key {queries.schema['key'].dataType.simpleString()}, v array<double>, bucket int, lists array<int>")
 
 
-def searched(index: Index, queries: DataFrame, ws: Workspace, k: int, everywhere: bool = False) -> DataFrame:
-    """key and found (structs of score and id, nearest first, at most k + 1 distinct ids) of the queries (key, v)."""
+def searched(index: Index, queries: DataFrame, ws: Workspace, k: int, rest: bool = False) -> DataFrame:
+    """key, id and score of the queries (key, v) and the k + 1 nearest distinct ids, at most, of each cell of lists that they search:
+    their nearest lists, or (of queries with a reach) what the rest may be home to."""
     spark = queries.sparkSession
-    of, blocks = buckets(index.sizes)
-    routes = ws.save(asked(index, queries, k, everywhere), f"routes{int(everywhere)}")
+    of, blocks = buckets(index.held if rest else index.sizes)
+    routes = ws.save(asked(index, queries, k, of, rest), f"routes{int(rest)}")
     many = {r.bucket: r.n for r in routes.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}  # MOST_LISTS rows at most
     size = spark.createDataFrame([(b, int(blocks[b]), -(-n // QUERIES)) for b, n in many.items()] or [(-1, 1, 1)], "bucket int, blocks int, parts int")
     lists = spark.createDataFrame(list(enumerate(of.tolist())), "list int, bucket int")
     cell = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    rows = index.postings.join(F.broadcast(lists), "list").join(F.broadcast(size), "bucket")
+    rows = (index.postings.where("home") if rest else index.postings).join(F.broadcast(lists), "list").join(F.broadcast(size), "bucket")
     rows = rows.select("bucket", F.pmod(F.xxhash64("v"), "blocks").cast("int").alias("block"), cell("parts").alias("part"), "list", "v", "ids")
     ask = routes.join(F.broadcast(size), "bucket").select("bucket", cell("blocks").alias("block"), F.pmod(F.xxhash64("key"), "parts").cast("int").alias("part"), "key", "v", "lists")
 
@@ -293,29 +323,35 @@ def searched(index: Index, queries: DataFrame, ws: Workspace, k: int, everywhere
     kind = queries.schema["key"].dataType.simpleString()
     cells = ["bucket", "block", "part"]
     found = ask.groupBy(*cells).cogroup(rows.groupBy(*cells)).applyInPandas(search, f"key {kind}, id {kind}, score double")
-    best = found.groupBy("key", "id").agg(F.min("score").alias("score"))
-    return best.groupBy("key").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "id"))), 1, k + 1).alias("found"))
+    return found
+
+
+def best(found: DataFrame, k: int) -> DataFrame:
+    """key and found (structs of score and id, nearest first, at most k + 1 distinct ids) of what cells gave."""
+    least = found.groupBy("key", "id").agg(F.min("score").alias("score"))
+    return least.groupBy("key").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "id"))), 1, k + 1).alias("found"))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, rank (from 1), vec_id and score (Euclidean distance): the k nearest found of each query among all vectors but its own.
+    """query_id, rank (from 1), vec_id and score (Euclidean distance): the k nearest of each query among all vectors but its own. The
+    search of the index finds most of them, and the check of the lists that it passed over the rest.
 
     vectors and queries have the columns key and vector. Vectors that are null, zero, or hold null or non-finite components,
     or have another number of components than most, take no part, nor do null ids. Ties go to the smaller vec_id. Of repeated
     ids the nearest row counts, once. A query gets k rows, or one for each other id if those are fewer: its search goes on
-    until lists with k + 1 vectors are found, and queries that still lack some (by repeated ids) search all lists. An empty
-    table gives no row. Equal vectors are indexed and searched once.
+    until lists with k + 1 vectors are found, and the reach of queries that still lack some (by repeated ids) has no bound. An
+    empty table gives no row. Equal vectors are indexed and searched once.
     """
     ws = Workspace(vectors.sparkSession, "ann")
     rows = lambda df: rows_of(df, id=key, v=vector).select("id", F.col("v").cast("array<double>").alias("v"))
     index = indexed(valid(rows(vectors)), ws, k)
     members = ws.save(valid(rows(queries)).distinct(), "queries")
     each = ws.save(members.select("v").distinct().withColumn("key", F.monotonically_increasing_id()), "asked")
-    near = ws.save(of_members(members, each, searched(index, each, ws, k), k), "near")
-    short = members.select("id").distinct().join(near.where(F.size("near") == k), "id", "left_anti")
-    if len(index.lists.centroids) > 1 and not short.isEmpty():
-        again = ws.save(each.join(members.join(short, "id", "left_semi"), "v", "left_semi"), "again")
-        near = near.where(F.size("near") == k).unionByName(of_members(members.join(short, "id", "left_semi"), again, searched(index, again, ws, k, everywhere=True), k))
+    first = ws.save(best(searched(index, each, ws, k), k), "first")
+    reach = F.when(F.size("found") > k, F.col("found")[k]["score"]).otherwise(F.lit(float("inf")))
+    more = searched(index, each.join(first, "key").select("key", "v", reach.alias("reach")), ws, k, rest=True)
+    found = best(first.select("key", F.explode("found").alias("x")).select("key", "x.id", "x.score").unionByName(more), k)
+    near = of_members(members, each, found, k)
     each_rank = near.select(F.col("id").alias("query_id"), F.posexplode("near").alias("rank", "x"))
     return each_rank.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("x.id").alias("vec_id"), "x.score")
 

@@ -110,3 +110,18 @@ def test_share_of_compared_rows_falls():
         sizes, held = np.bincount(at, minlength=len(lists.centroids)), np.bincount(at[home], minlength=len(lists.centroids))
         shares.append(np.mean([sizes[lists.search(q, held, 11)].sum() / n for q in x[:100]]))
     assert shares[1] < 0.3 and shares[1] < shares[0] / 2
+
+
+def test_queries_unlike_most_vectors_miss_nothing(spark):
+    rng = np.random.default_rng(9)
+    x = 5 * rng.normal(size=(60, 24))[rng.integers(0, 60, 6000)] + 0.2 * rng.normal(size=(6000, 24))
+    x[::100] = 4 * rng.normal(size=(60, 24))  # between the groups, where the fitted sample has next to nothing
+    for moved in (0.0, 1e4):  # and far from zero
+        y = x + moved
+        df = table(spark, rows_of(y))
+        got = {}
+        for r in ann.nearest(df, df.where("vec_id % 100 = 0")).collect():
+            got.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+        for q in range(0, 6000, 100):
+            want = exact(y, np.arange(6000), q)
+            assert [got[q][k][0] for k in range(1, 11)] == [w[0] for w in want] and np.allclose([got[q][k][1] for k in range(1, 11)], [w[1] for w in want])
