@@ -421,12 +421,19 @@ ANSWER_LINE = r"(?i)Answer\s*:\s*([^\n]+)"
 NUMBER_AND_UNIT = r"^(\d+(\.\d+)?)\s+[a-zA-Z]+(?:\s+[a-zA-Z]+)*$"
 
 
-def candidates(text: Column) -> Column:
+def _without_stars(x: Column) -> Column:
+    return F.trim(stripped(F.trim(x, F.lit("*"))), F.lit("*"))
+
+
+def marked_answers(text: Column) -> Column:
+    """The last answer line and the last box; empty strings without them."""
+    return F.array(*[_without_stars(F.coalesce(c, F.lit(""))) for c in (last(found(text, ANSWER_LINE)), last_boxed(text))])
+
+
+def candidates(text: Column, once: bool = False) -> Column:
     """Answers that a text may mean: tails of separators, the last answer line, the last box; then of each what follows =, a choice,
-    a number before units, what follows set signs."""
-    clean = lambda c: F.trim(stripped(F.trim(c, F.lit("*"))), F.lit("*"))
-    line, box = last(found(text, ANSWER_LINE)), last_boxed(text)
-    tails = [stripped(F.element_at(F.split(text, "####"), -1)), *[clean(F.element_at(F.split(text, mark), -1)) for mark in ("####\n", "Answer:")], *[clean(F.coalesce(c, F.lit(""))) for c in (line, box)]]
+    a number before units, what follows set signs. once: each answer once (a text without separators is its own tail three times)."""
+    tails = [stripped(F.element_at(F.split(text, "####"), -1)), *[_without_stars(F.element_at(F.split(text, mark), -1)) for mark in ("####\n", "Answer:")]]
 
     def signs(a: Column) -> Column:
         up = F.upper(a)
@@ -439,7 +446,8 @@ def candidates(text: Column) -> Column:
     after = lambda a, mark, pattern: F.when(F.contains(a, F.lit(mark)), stripped(F.element_at(F.split(a, pattern), -1)))
     sets = lambda a: F.array(after(a, "\\in", r"\\in"), after(a, "∈", "∈"))
     more = lambda xs: F.concat(F.flatten(F.transform(xs, signs)), F.transform(xs, unit), F.flatten(F.transform(xs, sets)))
-    return let(F.array(*tails), lambda xs: F.concat(xs, F.filter(more(xs), lambda x: x.isNotNull())))
+    distinct = F.array_distinct if once else (lambda xs: xs)
+    return distinct(let(distinct(F.concat(F.array(*tails), marked_answers(text))), lambda xs: F.concat(xs, F.filter(more(xs), lambda x: x.isNotNull()))))
 
 
 # ---- formats --------------------------------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.sources.tables import table
+from millrace.sources.tables import dealt, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -69,7 +69,10 @@ def sequences(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def responses(spark: SparkSession, sf: str) -> DataFrame:
+def responses(spark: SparkSession, sf: str, costly: bool = False) -> DataFrame:
+    """costly: orders are dealt over the cluster before the texts are made."""
     o = table(spark, sf, "orders")
+    if costly:
+        o = dealt(o.select("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus"))
     k = F.col("o_orderkey")
     return o.select(k.alias("row_id"), F.col("o_custkey").alias("uid"), F.col("o_orderpriority").alias("source"), F.expr(RESPONSE).alias("predict"), F.concat(F.lit(""), k % 50).alias("truth"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("score"), F.when(k % 11 == 0, 0).otherwise(1).alias("passes"))

@@ -384,7 +384,7 @@ def _form_sql(x: str) -> str:
 @query(f"""WITH {RESP}, c AS (SELECT row_id, {candidates_sql('predict')} AS a, {candidates_sql('truth')} AS b FROM resp), l AS (SELECT row_id, unnest(a) AS a FROM c), r AS (SELECT row_id, unnest(b) AS b FROM c),
 x AS (SELECT DISTINCT row_id, {_form_sql('a')} AS f FROM l), y AS (SELECT DISTINCT row_id, {_form_sql('b')} AS f FROM r) SELECT row_id, coalesce(m, false) AS match FROM resp LEFT JOIN (SELECT DISTINCT row_id, true AS m FROM x JOIN y USING (row_id, f) WHERE f <> '') USING (row_id)""")
 def exact_match(spark, sf):
-    return responses(spark, sf).select("row_id", normalize.exact_match(F.col("predict"), F.col("truth")).alias("match"))
+    return responses(spark, sf, costly=True).select("row_id", normalize.exact_match(F.col("predict"), F.col("truth")).alias("match"))
 
 
 # ---- scores ---------------------------------------------------------------------------------------------------------

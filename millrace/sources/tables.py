@@ -14,6 +14,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def dealt(df: DataFrame, least: int = 1 << 14, most: int = 1 << 22) -> DataFrame:
+    """df dealt over the cluster, for costly work on each row: four partitions a core, though none for less than `least` bytes of
+    the files read, and one for each `most` bytes if those are more. A scan alone has a partition for each 4 MB at best, and no
+    more than there are row groups."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    n = max(min(4 * df.sparkSession.sparkContext.defaultParallelism, size // least), min(size // most, 1 << 14))
+    return df.repartition(n) if n > 1 else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session. Where that is unset, a folder of this machine if Spark runs in this process alone (as
     in tests); on a cluster this raises."""

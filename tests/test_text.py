@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from millrace.functions import latex, normalize, symbolic, text
 from millrace.operators import groups, repetition, scores
 from millrace.plans import filters
+from millrace.plans import texts as texts_plans
 
 
 def one(spark, column, *values, kinds=None):
@@ -296,3 +297,18 @@ def test_longest_runs_against_all_units(t):
             want.append((t[i : i + k], times))
         i += k * times if k else 1
     assert repetition.longest_runs(t) == want
+
+
+def test_exact_match_tries_each_answer_once_and_as_before(spark):
+    texts = [None, "", "5", "answer is $x=5$", "so \\boxed{5} or 6", "Answer: *5*", "(A) or B. x", "12 cm", "#### 7\n", "####\n7", "\\boxed{1,000}", "plain words " * 30]
+    pairs = [(a, b) for a in texts for b in texts]
+    forms = lambda t: F.array_distinct(F.filter(F.transform(text.candidates(t), normalize.final_answer), lambda a: a != ""))
+    df = spark.createDataFrame(pairs, "c0 string, c1 string").select("c0", "c1", normalize.exact_match(c0, c1).alias("got"), F.arrays_overlap(forms(c0), forms(c1)).alias("want"), text.candidates(c0, once=True).alias("once"), text.candidates(c0).alias("all"))
+    for r in df.collect():
+        assert r.got == r.want and r.once == list(dict.fromkeys(r.all)), r
+
+
+def test_costly_rows_are_dealt_over_the_cluster(spark, tmp_path):
+    spark.range(60_000).selectExpr("id AS o_orderkey", "id AS o_custkey", "'1-URGENT' AS o_orderpriority", "'F' AS o_orderstatus").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    rows = texts_plans.exact_match(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() > 4 and rows.count() == 60_000
