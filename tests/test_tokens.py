@@ -230,3 +230,19 @@ def test_snapped_windows_against_all_cuts(spark):
         cuts = [c for c in cuts or [] if c is not None]
         ends = [(s, min((abs(c - min(s + 10, len(t))), c) for c in cuts)[1] if cuts else min(s + 10, len(t))) for s in range(0, len(t), 4)]
         assert x.w == [t[s:e] for s, e in ends if len(t[s : max(s, e)]) >= 2]
+
+
+def test_a_large_batch_is_balanced_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(balance, "BLOCK", 50)
+    df = spark.range(1203).selectExpr("id % 3 AS b", "id AS i", "1 + id * id % 97 AS n")
+    blocks = balance._blocks
+    held = []
+    monkeypatch.setattr(balance, "_blocks", lambda ids, *a, **k: held.append(ids.groupBy("batch", "block").count().agg(F.max("count")).first()[0]) or blocks(ids, *a, **k))
+    for method, equal, data in (("differencing", False, df), ("greedy", False, df), ("differencing", True, df.where("i < 1200"))):
+        got = balance.balanced(data, "b", "n", "i", 8, equal, method).collect()
+        assert sorted(r.i for r in got) == [r.i for r in data.orderBy("i").collect()]
+        for b in range(3):
+            rows = [r for r in got if r.b == b]
+            sums, sizes = [[f(r.n for r in rows if r.part_id == k) for k in range(8)] for f in (sum, lambda x: len(list(x)))]
+            assert max(sums) - min(sums) <= max(r.n for r in rows) and (not equal or len(set(sizes)) == 1)
+    assert max(held) < 100  # of 401 rows of a batch
