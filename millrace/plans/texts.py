@@ -9,7 +9,7 @@ from millrace.functions import latex, normalize, sequence, symbolic, text
 from millrace.operators import groups, repetition, scores
 from millrace.plans import filters, rollout
 from millrace.plans.fixtures import RESP, TOK, query, responses, tokens
-from millrace.sources.tables import table
+from millrace.sources.tables import dealt, table
 
 BOX = r"\\boxed\{((?:[^{}]|\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})*)\}"
 
@@ -678,5 +678,5 @@ def message_files(spark, sf):
 @query("SELECT p_partkey, [struct_pack(unit := repeat('ab', CAST(m // 2 AS INT)), times := CAST(CASE WHEN m = 3 THEN 3 ELSE 2 END AS INT))] AS runs, false AS many FROM (SELECT p_partkey, p_size % 5 + 2 AS m FROM part)")
 def longest_runs(spark, sf):
     t = F.concat(F.lit("x\n"), F.repeat(F.lit("ab"), F.col("p_size") % 5 + 2), F.lit("<ret>-z"))
-    r = table(spark, sf, "part").select("p_partkey", repetition.consecutive_runs(t).alias("runs"))
+    r = dealt(table(spark, sf, "part").select("p_partkey", "p_size")).select("p_partkey", repetition.consecutive_runs(t).alias("runs"))
     return r.select("p_partkey", "runs", repetition.too_many(F.col("runs")).alias("many"))
