@@ -65,7 +65,7 @@ RUNS = "concat(p_name, repeat(substr(p_name, 1, CAST(p_partkey % 8 + 1 AS INT)),
 @query(f"SELECT p_partkey, {_runs_sql(20, 1)} AS runs, {_runs_sql(5, 5)} AS pattern FROM (SELECT p_partkey, {RUNS} AS t FROM part)")
 def short_runs(spark, sf):
     """Units of 1 to 8 characters up to 23 times in a row, among other text."""
-    d = table(spark, sf, "part").select("p_partkey", F.expr(RUNS).alias("t"))
+    d = dealt(table(spark, sf, "part").select("p_partkey", "p_name", "p_size", "p_brand")).select("p_partkey", F.expr(RUNS).alias("t"))
     return d.select("p_partkey", repetition.consecutive(F.col("t")).alias("runs"), repetition.repeats_pattern(F.col("t")).alias("pattern"))
 
 
