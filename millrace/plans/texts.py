@@ -358,7 +358,7 @@ def symbolic_equal(spark, sf):
 WHEN 2 THEN CASE WHEN d = 0 THEN concat('', p_size) ELSE concat(repeat('1/(', d - 1), '1/', p_size, repeat(')', d - 1)) END ELSE concat(chr(92), 'foo', repeat('a^(x+', d), p_size, repeat(')', d)) END AS t FROM (SELECT *, CAST(p_size % 21 AS INT) AS d FROM part)""")
 def deep_latex(spark, sf):
     """Roots, fractions on either side, and exponents nested to depth 20, and a command that is not known."""
-    d = table(spark, sf, "part").selectExpr("p_partkey", "p_size", "cast(p_size % 21 AS int) AS d", "chr(92) AS B")
+    d = dealt(table(spark, sf, "part").select("p_partkey", "p_size")).selectExpr("p_partkey", "p_size", "cast(p_size % 21 AS int) AS d", "chr(92) AS B")
     raw = """CASE p_partkey % 4 WHEN 0 THEN concat(repeat(concat(B, 'sqrt{'), d), p_size, repeat('}', d)) WHEN 1 THEN concat(repeat(concat(B, 'frac{'), d), p_size, repeat('}{3}', d))
     WHEN 2 THEN concat(repeat(concat(B, 'frac{1}{'), d), p_size, repeat('}', d)) ELSE concat(B, 'foo', repeat('a^{x+', d), p_size, repeat('}', d)) END"""
     return d.select("p_partkey", latex.plain_text(F.expr(raw)).alias("t"))
