@@ -165,11 +165,16 @@ def code_share(tests: DataFrame, solution: str, test: str, passed: str, first: i
 def output_matches(output: Column, expected: Column) -> Column:
     """Outputs compared: trimmed, line by line without blank lines, as numbers, as sets of tokens."""
     lines = lambda c: F.filter(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    tokens = lambda c: F.array_sort(F.array_distinct(F.filter(F.split(c, r"\s+"), lambda x: x != "")))
-    numbers = lambda c: F.transform(F.filter(F.split(c, r"\s+"), lambda x: x != ""), lambda x: x.try_cast("double"))
-    a, b = numbers(output), numbers(expected)
-    near = (F.size(a) == F.size(b)) & (F.size(a) > 0) & F.forall(F.arrays_zip(a.alias("x"), b.alias("y")), lambda p: F.coalesce(F.abs(p["x"] - p["y"]) <= 1e-8 + 1e-5 * F.abs(p["y"]), F.lit(False)))
-    return (F.trim(output) == F.trim(expected)) | (lines(output) == lines(expected)) | near | (tokens(output) == tokens(expected))
+    parts = lambda c: F.filter(F.split(c, r"\s+"), lambda x: x != "")
+
+
+    def alike(both: Column) -> Column:
+        a, b = both["a"], both["b"]
+        number = lambda p, n: p[n].try_cast("double")  # noqa: E731 # read one by one, up to the first pair that differs
+        near = (F.size(a) == F.size(b)) & (F.size(a) > 0) & F.forall(F.arrays_zip(a.alias("x"), b.alias("y")), lambda p: F.coalesce(F.abs(number(p, "x") - number(p, "y")) <= 1e-8 + 1e-5 * F.abs(number(p, "y")), F.lit(False)))
+        return near | (F.sort_array(F.array_distinct(a)) == F.sort_array(F.array_distinct(b)))
+
+    return (F.trim(output) == F.trim(expected)) | (lines(output) == lines(expected)) | text.let(F.struct(parts(output).alias("a"), parts(expected).alias("b")), alike)
 
 
 #: Results of a run against an expected output: right, wrong, an error while running, an error before that.

@@ -464,7 +464,7 @@ def output_compare(spark, sf):
     number = (t.cast("int") + 1).cast("string")
     near = F.concat(number, F.when(k % 4 == 0, ".0000001").otherwise(".25"))
     pair = F.concat(F.lit("b"), k % 6, F.lit(" a "), t)
-    return responses(spark, sf).select("row_id", scores.output_matches(F.col("predict"), other).alias("same"), scores.output_matches(number, near).alias("near"), scores.output_matches(F.concat(t, F.lit(" a b0")), pair).alias("tokens"))
+    return responses(spark, sf, costly=True).select("row_id", scores.output_matches(F.col("predict"), other).alias("same"), scores.output_matches(number, near).alias("near"), scores.output_matches(F.concat(t, F.lit(" a b0")), pair).alias("tokens"))
 
 
 RAW = "CASE WHEN passes = 1 THEN predict WHEN row_id % 22 = 0 THEN '  ' ELSE concat('trace', chr(10), 'ValueError: ', truth) END"
