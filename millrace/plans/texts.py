@@ -51,7 +51,7 @@ def ngram_repetition(spark, sf):
 
 @query()
 def repeat_pattern(spark, sf):
-    return docs(spark, sf).select("doc_id", repetition.repeats_pattern(F.col("text")).alias("repeats"))
+    return dealt(docs(spark, sf)).select("doc_id", repetition.repeats_pattern(F.col("text")).alias("repeats"))
 
 
 def _runs_sql(times: int, least: int) -> str:
@@ -71,7 +71,7 @@ def short_runs(spark, sf):
 
 @query()
 def consecutive_repeat(spark, sf):
-    return docs(spark, sf).select("doc_id", repetition.consecutive(F.col("text")).alias("repeats"))
+    return dealt(docs(spark, sf)).select("doc_id", repetition.consecutive(F.col("text")).alias("repeats"))
 
 
 CODE_SQL = "regexp_extract_all(regexp_extract(predict, '<think>(.*?)</think>', 1, 's'), '```python(.*?)```', 1, 's')"
