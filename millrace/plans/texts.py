@@ -350,7 +350,7 @@ FORMULA_B = """CASE kind WHEN 0 THEN concat('x^2+', p + q + more, 'x+', p * q +
 @query(f"""WITH {FORMULAS} SELECT p_partkey, CASE kind WHEN 0 THEN more = 0 AND off = 0 WHEN 1 THEN off = 0 WHEN 2 THEN abs(sqrt(q * p * p + off) - p * sqrt(q)) <= 1e-4 * greatest(sqrt(q * p * p + off), p * sqrt(q)) WHEN 3 THEN off = 0 END AS same FROM fm""")
 def symbolic_equal(spark, sf):
     """Polynomials, fractions, roots (nested ones on one side), powers; words, which are undecided."""
-    d = table(spark, sf, "part").selectExpr("p_partkey", "p_partkey % 5 AS kind", "p_partkey % 6 + 1 AS p", "p_partkey % 7 + 1 AS q", "p_size % 2 AS off", "p_size % 3 - 1 AS more", "chr(92) AS B")
+    d = dealt(table(spark, sf, "part").select("p_partkey", "p_size")).selectExpr("p_partkey", "p_partkey % 5 AS kind", "p_partkey % 6 + 1 AS p", "p_partkey % 7 + 1 AS q", "p_size % 2 AS off", "p_size % 3 - 1 AS more", "chr(92) AS B")
     return d.select("p_partkey", symbolic.same_formula(F.expr(FORMULA_A), F.expr(FORMULA_B)).alias("same"))
 
 
@@ -372,7 +372,7 @@ NESTED_B = """CASE kind WHEN 0 THEN concat('((', i, '.0,', j + off, '.00),[', k,
 @query("SELECT p_partkey, p_size % 2 = 0 AS equal FROM part")
 def nested_equal(spark, sf):
     """Nested tuples, matrices, equations, choices, and items with brackets of their own: equal where nothing was added."""
-    d = table(spark, sf, "part").selectExpr("p_partkey", *NESTED.split(", "), "chr(92) AS B")
+    d = dealt(table(spark, sf, "part").select("p_partkey", "p_size")).selectExpr("p_partkey", *NESTED.split(", "), "chr(92) AS B")
     return d.select("p_partkey", normalize.math_equal_column(F.expr(NESTED_A), F.expr(NESTED_B)).alias("equal"))
 
 
