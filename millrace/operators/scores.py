@@ -73,8 +73,9 @@ def matched(response: Column, truth: Column) -> Column:
     """struct(correct, format, answer) of the heuristically matched answer, without formulas (with_matched has them). The format is
     that of a response in steps with a box; it counts as kept where plain or lenient forms are equal."""
     form = F.contains(response, F.lit("Step 2:")) & F.contains(response, F.lit("\\box"))
-    m = text.let(text.reply(response), lambda got: F.struct(got.alias("answer"), grades(got, truth).alias("g")))
-    return F.struct(_correct(m["g"], m["answer"], truth, None).alias("correct"), (form | m["g"]["early"]).alias("format"), m["answer"].alias("answer"))
+    of = lambda correct, early, got: F.struct(correct.alias("correct"), (form | early).alias("format"), got.alias("answer"))
+    unlike = lambda got: text.let(grades(got, truth), lambda g: of(_correct(g, got, truth, None), g["early"], got))
+    return text.let(text.reply(response), lambda got: F.when(got == truth, of(F.lit(True), F.lit(True), got)).otherwise(unlike(got)))  # equal strings have equal forms
 
 
 def with_matched(df: DataFrame, response: str, truth: str, out: str = "matched", symbolic: Callable[[Column, Column], Column] = same_formula) -> DataFrame:

@@ -434,12 +434,12 @@ MATCHED = f"x AS (SELECT row_id, regexp_extract_all(predict, '{BOX}', 1)[-1] AS
 
 @query(f"WITH {RESP}, {MATCHED} SELECT row_id, CASE WHEN {SAME} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS score FROM y")
 def matched_score(spark, sf):
-    return responses(spark, sf).select("row_id", scores.matched_score(F.col("predict"), F.col("truth")).alias("score"))
+    return responses(spark, sf, costly=True).select("row_id", scores.matched_score(F.col("predict"), F.col("truth")).alias("score"))
 
 
 @query(f"WITH {RESP}, {MATCHED} SELECT row_id, {SAME} AS correct, box = truth AS format, box AS answer FROM y")
 def matched_triple(spark, sf):
-    r = responses(spark, sf).select("row_id", scores.matched(F.col("predict"), F.col("truth")).alias("m"))
+    r = responses(spark, sf, costly=True).select("row_id", scores.matched(F.col("predict"), F.col("truth")).alias("m"))
     return r.select("row_id", "m.*")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import latex, normalize, symbolic, text
 from millrace.operators import groups, repetition, scores
-from millrace.plans import filters
+from millrace.plans import filters, fixtures
 from millrace.plans import texts as texts_plans
 
 
@@ -312,3 +312,26 @@ def test_costly_rows_are_dealt_over_the_cluster(spark, tmp_path):
     spark.range(60_000).selectExpr("id AS o_orderkey", "id AS o_custkey", "'1-URGENT' AS o_orderpriority", "'F' AS o_orderstatus").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
     rows = texts_plans.exact_match(spark, str(tmp_path))
     assert rows.rdd.getNumPartitions() > 4 and rows.count() == 60_000
+
+
+@pytest.mark.parametrize("name", ["longest_runs", "short_runs", "deep_latex", "nested_equal", "symbolic_equal", "output_compare", "matched_score", "matched_triple", "repeat_pattern", "consecutive_repeat"])
+def test_costly_queries_do_not_hang_on_one_file(spark, tmp_path, name):
+    spark.range(50_000).selectExpr("id AS o_orderkey", "id AS o_custkey", "'1-URGENT' AS o_orderpriority", "'F' AS o_orderstatus").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(50_000).selectExpr("id AS p_partkey", "concat('part ', id) AS p_name", "cast(id % 50 AS int) AS p_size", "'Brand' AS p_brand").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(5_000).selectExpr("id AS doc_id", "sha2(cast(id AS string), 512) AS text").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    assert fixtures.QUERIES[name](spark, str(tmp_path)).rdd.getNumPartitions() >= 4
+
+
+def test_choices_without_a_letter_are_unequal(spark):
+    assert one(spark, normalize.math_equal_column(c0, c1), "12", "B") is False and one(spark, normalize.math_equal_column(c0, c1), "(b)", "B") is True
+    assert one(spark, scores.matched_score(c0, c1), "the answer is 12", "B") == 0
+
+
+@given(st.text("ab", max_size=150), st.integers(2, 6), st.integers(1, 6))
+def test_short_texts_by_letters_and_by_arrays_agree(t, times, least):
+    by_letters, was = repetition._has_runs(t, times, least), repetition.longest_runs(t)
+    short, repetition.SHORT = repetition.SHORT, -1
+    try:
+        assert repetition._has_runs(t, times, least) == by_letters and repetition.longest_runs(t) == was
+    finally:
+        repetition.SHORT = short
