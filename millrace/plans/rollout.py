@@ -12,6 +12,10 @@ from millrace.functions.scan import scanned
 from millrace.operators.scores import classified, observation
 from millrace.sources.tables import materialized
 
+#: Rows that one task joins and puts together, about; a task's memory does not grow with the table.
+ROWS = 1 << 15
+
+
 def tool_loop(prompts: DataFrame, generate: Callable[[DataFrame, int], DataFrame], execute: Callable[[DataFrame, int], DataFrame], rounds: int, stop_on_failure: bool = True, budget: int | None = None) -> DataFrame:
     """row_id, response, stop, passes (0/1 of each call) and ranges (characters of tool output) after at most `rounds` rounds.
 
@@ -21,16 +25,21 @@ def tool_loop(prompts: DataFrame, generate: Callable[[DataFrame, int], DataFrame
 
     The rounds are a log: each writes what it appends to its active rows to the shared folder, once. generate sees the active rows
     with their responses so far, of the log's entries for these rows alone; finished rows are not touched again until one ordered
-    aggregate puts all responses together at the end.
+    aggregate puts all responses together at the end. All of it is dealt by row_id over a partition for each ROWS rows, where those
+    are more than the cores: partitions that Spark merges by their compressed size may be many times that in memory.
     """
     rows = prompts.select(F.col("row_id").cast("long").alias("row_id"))
+    parts = rows.count() // ROWS
+    many = parts > rows.sparkSession.sparkContext.defaultParallelism  # fewer than that Spark does not merge partitions to
+    dealt = lambda df: df.repartition(parts, "row_id") if many else df
+    rows = dealt(rows)
     log: list[DataFrame] = []
     active, left = rows.withColumn("response", F.lit("")), rounds if budget is None else budget
     for k in range(rounds):
         if left <= 0 or active.isEmpty():
             break
         out = active.select("row_id").join(generate(active, k).select("row_id", "output"), "row_id").withColumn("code", text.last_program(F.col("output")))
-        out = materialized(out, "round")
+        out = dealt(materialized(out, "round"))
         calls = out.where("code <> ''")
         left -= not calls.isEmpty()
         ran = execute(calls.select("row_id", "code"), k)
@@ -41,8 +50,8 @@ def tool_loop(prompts: DataFrame, generate: Callable[[DataFrame, int], DataFrame
         step = out.join(seen, "row_id", "left").select("row_id", "output", F.col("o.text").alias("seen"), F.col("o.passed").alias("passed"), done.alias("stop")).unionByName(silent)
         log.append(materialized(step.withColumn("round", F.lit(k)), "delta"))
         going = log[-1].where("NOT stop").select("row_id")
-        active = _responses(going, log)
-    return _assembled(rows, log)
+        active = _responses(going, log, dealt)
+    return _assembled(rows, log, dealt)
 
 
 def _entries(log: list[DataFrame]) -> DataFrame | None:
@@ -52,19 +61,19 @@ def _entries(log: list[DataFrame]) -> DataFrame | None:
     return out
 
 
-def _responses(rows: DataFrame, log: list[DataFrame]) -> DataFrame:
+def _responses(rows: DataFrame, log: list[DataFrame], dealt: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """row_id and response so far of some rows: the log's entries for them, in order of rounds."""
     entry = F.struct("round", F.concat(F.coalesce("output", F.lit("")), F.coalesce("seen", F.lit(""))).alias("t"))
-    parts = _entries(log).join(rows, "row_id", "left_semi").groupBy("row_id").agg(F.array_sort(F.collect_list(entry)).alias("x"))
+    parts = dealt(_entries(log)).join(rows, "row_id", "left_semi").groupBy("row_id").agg(F.array_sort(F.collect_list(entry)).alias("x"))
     return parts.select("row_id", F.array_join(F.transform("x", lambda e: e["t"]), "").alias("response"))
 
 
-def _assembled(rows: DataFrame, log: list[DataFrame]) -> DataFrame:
+def _assembled(rows: DataFrame, log: list[DataFrame], dealt: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """All rows with what the log holds of them: at most one entry a round and row in one array."""
     if not log:
         return rows.select("row_id", F.lit("").alias("response"), F.lit(False).alias("stop"), F.array().cast("array<int>").alias("passes"), F.array().cast("array<struct<s:int,e:int>>").alias("ranges"))
     entry = F.struct("round", "output", "seen", "passed", "stop")
-    whole = rows.join(_entries(log).groupBy("row_id").agg(F.array_sort(F.collect_list(entry)).alias("x")), "row_id", "left")
+    whole = rows.join(dealt(_entries(log)).groupBy("row_id").agg(F.array_sort(F.collect_list(entry)).alias("x")), "row_id", "left")
     size = lambda c: F.coalesce(F.length(c), F.lit(0))
     start = F.struct(F.lit(0).alias("end"), F.lit(None).cast("struct<s:int,e:int>").alias("spot"))
 

@@ -246,3 +246,14 @@ def test_a_large_batch_is_balanced_in_blocks(spark, monkeypatch):
             sums, sizes = [[f(r.n for r in rows if r.part_id == k) for k in range(8)] for f in (sum, lambda x: len(list(x)))]
             assert max(sums) - min(sums) <= max(r.n for r in rows) and (not equal or len(set(sizes)) == 1)
     assert max(held) < 100  # of 401 rows of a batch
+
+
+def test_tool_loop_deals_many_rows_over_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(rollout, "ROWS", 50)
+    prompts = spark.range(1000).select(F.col("id").alias("row_id"))
+    generate = lambda active, k: active.select("row_id", F.when((F.col("row_id") % 3 == 0) & (F.lit(k) == 0), "```python\nx\n```").otherwise("end").alias("output"))
+    execute = lambda calls, k: calls.select("row_id", F.lit(0).alias("return_code"), F.lit("1").alias("stdout"), F.lit("").alias("stderr"))
+    got = rollout.tool_loop(prompts, generate, execute, 3)
+    assert got.rdd.getNumPartitions() == 20
+    rows = {r.row_id: r for r in got.collect()}
+    assert len(rows) == 1000 and all(r.stop and r.passes == ([1] if i % 3 == 0 else []) and r.response.endswith("end") for i, r in rows.items())
